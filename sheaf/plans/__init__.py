@@ -1,4 +1,4 @@
 """Every registered query, by operator group."""
 
-from sheaf.plans import annotations, assembly, ingest, links, relevance  # noqa: F401
+from sheaf.plans import annotations, assembly, cleaning, ingest, links, records, relevance  # noqa: F401
 from sheaf.plans.registry import ORACLES, QUERIES  # noqa: F401
