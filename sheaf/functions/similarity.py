@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,18 +40,26 @@ def _ratio_udfs():
     """The two Arrow UDFs. Local functions travel to the workers by value, so
     executors need no copy of this package."""
 
-    @lru_cache(maxsize=100_000)
-    def score(x: str, y: str) -> float:
-        return SequenceMatcher(None, x, y).ratio()
+    def scorer():
+        # Texts repeat within a batch: every distinct pair is matched once.
+        known: dict[tuple[str, str], float] = {}
 
-    def one(x, y):
-        return None if x is None or y is None else score(x, y)
+        def score(x, y):
+            if x is None or y is None:
+                return None
+            if (x, y) not in known:
+                known[x, y] = SequenceMatcher(None, x, y).ratio()
+            return known[x, y]
+
+        return score
 
     def pairwise(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+        score = scorer()
+        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
     def to_each(a: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([[one(x, y) for y in ys] for x, ys in zip(a, others)])
+        score = scorer()
+        return pd.Series([[score(x, y) for y in ys] for x, ys in zip(a, others)])
 
     return (
         F.pandas_udf(pairwise, T.DoubleType()),

@@ -103,65 +103,58 @@ def rule_extractor(fields: Mapping[str, str]) -> Extractor:
     return extract
 
 
-def raw_fields(record: Column) -> Column:
-    """All top-level keys of a record as a map of texts."""
-    return F.from_json(record, "map<string,string>")
+def spellings(field: str, aliases: Mapping[str, str] = FIELD_ALIASES) -> list[str]:
+    """The canonical name and its aliases."""
+    return [field, *[old for old, new in aliases.items() if new == field]]
 
 
-def canonical_keys(fields: Column, aliases: Mapping[str, str] = FIELD_ALIASES) -> Column:
-    """Rename aliased keys; a canonical key already present wins."""
-    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+def _loose_schema(fields: Sequence[str]) -> str:
+    return ", ".join(f"`{name}`: string" for f in fields for name in spellings(f))
 
-    def renamed(k: Column) -> Column:
-        return F.coalesce(F.try_element_at(known, k), k)
 
-    own = F.map_filter(fields, lambda k, v: renamed(k) == k)
-    moved = F.map_filter(
-        fields, lambda k, v: (renamed(k) != k) & ~F.map_contains_key(fields, renamed(k))
-    )
-    # Two aliases of one name may both occur: the first one is kept.
-    entries = F.map_entries(moved)
-    firsts = F.filter(
-        F.transform(
-            entries,
-            lambda e, i: F.struct(
-                renamed(e["key"]).alias("key"),
-                e["value"].alias("value"),
-                F.exists(F.slice(entries, 1, i), lambda p: renamed(p["key"]) == renamed(e["key"])).alias("dup"),
-            ),
-        ),
-        lambda e: ~e["dup"],
-    )
-    tail = F.map_from_entries(
-        F.transform(firsts, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
-    return F.map_concat(own, tail)
+def _canonical(loose: Column, fields: Sequence[str]) -> list[Column]:
+    """One column per field; a filled alias wins, the last listed one first."""
+    return [
+        F.coalesce(*[loose[name] for name in reversed(spellings(f))]).alias(f) for f in fields
+    ]
 
 
 def conformed(df: DataFrame, record: str, fields: Sequence[str] = TOP_FIELDS) -> DataFrame:
-    """Fixed record struct ``conformed``: missing keys become null, tests are
-    a map of structs, other keys are kept as text in ``extra``."""
-    keyed = df.withColumn("_m", canonical_keys(raw_fields(F.col(record))))
+    """Fixed record struct ``conformed``: missing keys become null, aliased
+    keys take their canonical name, tests are a map of structs, and keys
+    outside the schema are kept as text in ``extra``.
+
+    Each text is parsed into columns first: an expression nested in a lambda
+    would parse it once per key.
+    """
+    known = [name for f in fields for name in spellings(f)]
     is_test = lambda k: k.startswith("test")
+    loose_test = f"struct<{_loose_schema(TEST_FIELDS)}>"
+    parsed = df.withColumns(
+        {
+            "_top": F.from_json(record, f"struct<{_loose_schema(fields)}>"),
+            "_all": F.from_json(record, "map<string,string>"),
+        }
+    ).withColumn(
+        "_tests",
+        F.transform_values(
+            F.map_filter("_all", lambda k, v: is_test(k) & v.isNotNull()),
+            lambda k, v: F.from_json(v, loose_test),
+        ),
+    )
     tests = F.transform_values(
-        F.map_filter("_m", lambda k, v: is_test(k) & v.isNotNull()),
-        lambda k, v: test_struct(v),
+        "_tests", lambda k, t: F.struct(*_canonical(t, TEST_FIELDS)).cast(TEST)
     )
-    extra = F.map_filter("_m", lambda k, v: ~k.isin(*fields) & ~is_test(k))
-    top = [F.try_element_at("_m", F.lit(f)).alias(f) for f in fields]
+    extra = F.map_filter("_all", lambda k, v: ~k.isin(*known) & ~is_test(k))
     return (
-        keyed.withColumn("conformed", F.struct(*top, tests.alias("tests")))
+        parsed.withColumn(
+            "conformed", F.struct(*_canonical(F.col("_top"), fields), tests.alias("tests"))
+        )
         .withColumn("extra", extra)
-        .drop("_m")
+        .drop("_top", "_all", "_tests")
     )
 
 
-def test_struct(raw: Column) -> Column:
-    """One test as the fixed struct, with its keys made canonical."""
-    inner = canonical_keys(F.from_json(raw, "map<string,string>"))
-    return F.struct(*[F.try_element_at(inner, F.lit(f)).alias(f) for f in TEST_FIELDS]).cast(TEST)
-
-
 def null_record(fields: Sequence[str] = TOP_FIELDS) -> Column:
     """Template of a missing record: all fields null, one empty test."""
     empty = F.struct(*[F.lit(None).cast("string").alias(f) for f in TEST_FIELDS])
