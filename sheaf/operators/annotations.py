@@ -246,9 +246,8 @@ def running_records(
     )
     keys = ["paper", "section", "field"]
     state = written(grid.join(finals, [*keys, "passage"], "left"), "passage-grid")
-    after = running_last(state, keys, "passage", F.col("_w"), "_after", block=block)
     both = running_last(
-        after, keys, "passage", F.col("_w"), "_before", inclusive=False, block=block
+        state, keys, "passage", F.col("_w"), "_after", before="_before", block=block
     )
     return both.select(
         "paper",

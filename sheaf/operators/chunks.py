@@ -20,8 +20,10 @@ SCORE_DIGITS = 9
 
 def chunk_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Rows ``key, pos, chunk`` for every line worth scoring."""
+    # The outer form infers no filter on the text, so that this branch and the
+    # one that re-assembles the text share one exchange.
     return (
-        df.select(key, F.posexplode(lines(F.col(text))).alias("pos", "chunk"))
+        df.select(key, F.posexplode_outer(lines(F.col(text))).alias("pos", "chunk"))
         .where(is_chunk(F.col("chunk"), F.col("pos")))
     )
 
@@ -40,8 +42,8 @@ def tfidf_scores(
 ) -> DataFrame:
     """Cosine of every chunk to the query in TF-IDF space: ``keys, cos``.
 
-    Only two sums per chunk cross the network: the terms of a chunk are
-    weighed next to where it was read, against the broadcast vocabulary.
+    Give it chunks partitioned by document: terms are then counted and weighed
+    against the broadcast vocabulary without an exchange.
     """
     counts = term_counts(chunks, keys, F.col(chunk))
     n = chunks.agg(F.count("*").alias("n")).scalar()
@@ -119,11 +121,18 @@ def assemble(df: DataFrame, kept: DataFrame, key: str, text: str = "text") -> Da
 def filter_documents(
     df: DataFrame, key: str, text: str, query: str, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """Chunk, score, keep by document mean and re-assemble."""
+    """Chunk, score, keep by document mean and re-assemble.
+
+    Texts move once, partitioned by document. Scoring, keeping and putting the
+    text back together all read that one exchange; the other columns, small
+    next to the text, join at the end.
+    """
+    texts = df.select(key, text).repartition(key)
     scored = tfidf_scores(
-        chunk_rows(df, key, text), [key, "pos"], query, max_features=max_features
+        chunk_rows(texts, key, text), [key, "pos"], query, max_features=max_features
     )
-    return assemble(df, kept_positions(scored, key), key, text)
+    out = assemble(texts, kept_positions(scored, key), key, text)
+    return df.drop(text).join(out, key)
 
 
 def above_percentile(df: DataFrame, score: str, share: float = 0.7) -> DataFrame:

@@ -90,10 +90,12 @@ def running_last(
     order: str,
     value: Column,
     name: str,
-    inclusive: bool = True,
+    before: str | None = None,
     block: int = POSITION_BLOCK,
 ) -> DataFrame:
-    """Last non-null ``value`` up to (or strictly before) each row.
+    """Last non-null ``value`` up to each row, as column ``name``.
+
+    ``before`` names a second column that leaves the row itself out.
 
     Rows of a group are cut into blocks of ``block`` positions. Each block is
     scanned on its own; a second scan over one row per block carries the
@@ -104,10 +106,12 @@ def running_last(
         "_blk", F.floor(F.col(order) / F.lit(block)).cast("long")
     )
     within = W.partitionBy(*group, "_blk").orderBy(order)
-    end = W.currentRow if inclusive else -1
+    latest = F.last("_v", ignorenulls=True)
     held = held.withColumn(
-        "_in", F.last("_v", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, end))
+        "_in", latest.over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
+    if before:
+        held = held.withColumn("_ex", latest.over(within.rowsBetween(W.unboundedPreceding, -1)))
     finals = held.groupBy(*group, "_blk").agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_final")
     )
@@ -115,11 +119,12 @@ def running_last(
     carried = finals.select(
         *group, "_blk", F.last("_final", ignorenulls=True).over(earlier).alias("_carry")
     )
-    return (
-        held.join(carried, [*group, "_blk"], "left")
-        .withColumn(name, F.coalesce("_in", "_carry"))
-        .drop("_v", "_blk", "_in", "_carry")
+    out = held.join(carried, [*group, "_blk"], "left").withColumn(
+        name, F.coalesce("_in", "_carry")
     )
+    if before:
+        out = out.withColumn(before, F.coalesce("_ex", "_carry"))
+    return out.drop("_v", "_blk", "_in", "_ex", "_carry")
 
 
 def exact_quantiles(

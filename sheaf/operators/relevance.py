@@ -62,31 +62,16 @@ def train_test(
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """Rows ``keys, term, tf`` without a shuffle; texts without terms keep a
-    row whose term is null.
+    """Rows ``keys, term, tf``; a text without terms keeps a row with a null
+    term and tf 0.
 
-    Sorting the tokens inside the row puts equal terms side by side, so run
-    lengths are the frequencies. Grouping exploded tokens would move every
-    token of the corpus through an exchange.
+    Give it rows partitioned by one of the keys: the count then needs no
+    exchange, and tokens never cross the network on their own.
     """
-    sorted_terms = df.select(*keys, F.array_sort(terms(text)).alias("_t"))
-    starts = F.filter(
-        F.transform(
-            F.col("_t"),
-            lambda t, i: F.when((i == 0) | (t != F.get(F.col("_t"), i - 1)), i),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    runs = sorted_terms.withColumn("_s", starts)
-    counted = F.transform(
-        F.col("_s"),
-        lambda s, j: F.struct(
-            F.get(F.col("_t"), s).alias("term"),
-            (F.coalesce(F.get(F.col("_s"), j + 1), F.size("_t")) - s).alias("tf"),
-        ),
-    )
-    return runs.select(*keys, F.explode_outer(counted).alias("_r")).select(
-        *keys, F.col("_r.term").alias("term"), F.col("_r.tf").alias("tf")
+    return (
+        df.select(*keys, F.explode_outer(terms(text)).alias("term"))
+        .groupBy(*keys, "term")
+        .agg(F.count("term").alias("tf"))
     )
 
 
@@ -107,10 +92,11 @@ def tfidf(
 ) -> DataFrame:
     """Long L2-normalised TF-IDF: rows ``key, term, tfidf``.
 
-    The vocabulary is bounded by ``max_features``, so it is broadcast and no
-    text ever carries more weights than that.
+    Texts move once, to be partitioned by key; counting, weighing and norming
+    then stay in place. The vocabulary is bounded by ``max_features``, so it
+    is broadcast and no text ever carries more weights than that.
     """
-    counts = term_counts(df, [key], F.col(text))
+    counts = term_counts(df.select(key, text).repartition(key), [key], F.col(text))
     n = df.agg(F.count("*").alias("n")).scalar()
     vocab = vocabulary(counts, n, max_features).select("term", "idf")
     weights = counts.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))

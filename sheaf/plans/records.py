@@ -130,7 +130,7 @@ def _(t: Tables):
 @query("x8_apply_extractor")
 def _(t: Tables):
     rules = C.rule_extractor({"first_word": r"\w{4,}", "number": r"\d+"})
-    out = C.apply_extractor(t.documents, "doc_id", "text", rules)
+    out = C.apply_extractor(t.spread("documents"), "doc_id", "text", rules)
     return out.withColumn("n_fields", F.size(F.from_json("json_output", "map<string,string>")))
 
 

@@ -26,7 +26,7 @@ _NAMES_SQL = ", ".join(f"'{n}'" for n in NAMES)
 )
 def _(t: Tables):
     n = term_frequency(F.col("text"), NAMES).cast("long")
-    return t.documents.select("doc_id", n.alias("n"))
+    return t.spread("documents").select("doc_id", n.alias("n"))
 
 
 @query(
@@ -39,7 +39,7 @@ def _(t: Tables):
               lambda w: w in ({_NAMES_SQL}))) > 2""",
 )
 def _(t: Tables):
-    return T.keyword_filter(t.documents, "text", NAMES, PHRASES).select("doc_id", "lang")
+    return T.keyword_filter(t.spread("documents"), "text", NAMES, PHRASES).select("doc_id", "lang")
 
 
 def _labelled(t: Tables):
@@ -254,7 +254,7 @@ kept as (select s.* from scores s join (select doc_id, round(avg(cos), 9) as m f
 
 
 def _chunks(t: Tables):
-    return R.chunk_rows(t.documents, "doc_id")
+    return R.chunk_rows(t.documents.select("doc_id", "text").repartition("doc_id"), "doc_id")
 
 
 @query(
@@ -331,8 +331,8 @@ def _(t: Tables):
     from @documents d left join a using (doc_id)""",
 )
 def _(t: Tables):
-    docs = t.documents
-    scores = R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY)
+    docs = t.documents.select("doc_id", "text").repartition("doc_id")
+    scores = R.tfidf_scores(R.chunk_rows(docs, "doc_id"), ["doc_id", "pos"], QUERY)
     out = R.assemble(docs, R.kept_positions(scores, "doc_id"), "doc_id")
     n_kept = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
     return out.select("doc_id", n_kept.alias("n_kept"), F.md5("filtered_text").alias("text_md5"))

@@ -65,3 +65,13 @@ def broadcast_within(df: DataFrame, max_rows: int, name: str) -> DataFrame:
     kept = written(df, name)
     fits = kept.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(kept) if fits else kept
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than the session has cores.
+
+    A file of one row group is one task however many cores wait. At scale a
+    scan has splits enough and comes back unchanged, so nothing moves.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
