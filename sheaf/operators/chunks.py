@@ -127,6 +127,8 @@ def filter_documents(
     text back together all read that one exchange; the other columns, small
     next to the text, join at the end.
     """
+    # The last join drops null keys; dropping them here too keeps one exchange.
+    df = df.where(F.col(key).isNotNull())
     texts = df.select(key, text).repartition(key)
     scored = tfidf_scores(
         chunk_rows(texts, key, text), [key, "pos"], query, max_features=max_features

@@ -234,8 +234,16 @@ def _(t: Tables):
     return E.best_per_key(rows, "paper", "similarity", "pos")
 
 
-def _matched(t: Tables):
+def _matched(t: Tables, found: bool | None = None):
+    """Matched tests; ``found`` keeps papers with (or without) extracted tests.
+
+    The choice is made on the input: a filter on the match itself would be
+    pushed below it and compute every score twice.
+    """
     pairs = E.paired(_annotations(t), _extractions(t)).where("annotation is not null")
+    if found is not None:
+        some = F.size("extracted.tests") > 0
+        pairs = pairs.where(some if found else ~some)
     for side in ("annotation", "extracted"):
         pairs = pairs.withColumn(side, E.coerce_numbers(F.col(side)))
     tests = pairs.select(
@@ -281,7 +289,7 @@ best as (select * from scored qualify row_number() over (partition by k, test or
     f"with {_MATCHED} select c as paper, k as pos, test, round(score, 6) as score from best where extracted_test is not null",
 )
 def _(t: Tables):
-    rows = _matched(t).where("extracted_test is not null")
+    rows = _matched(t, found=True)
     return rows.select("paper", "pos", "test", F.round("score", 6).alias("score"))
 
 
@@ -290,7 +298,7 @@ def _(t: Tables):
     f"with {_MATCHED} select c as paper, k as pos, test, extracted_test from best where extracted_test is not null",
 )
 def _(t: Tables):
-    return _matched(t).where("extracted_test is not null").select("paper", "pos", "test", "extracted_test")
+    return _matched(t, found=True).select("paper", "pos", "test", "extracted_test")
 
 
 @query(
@@ -299,8 +307,7 @@ def _(t: Tables):
     from best, (select unnest([{', '.join(f"'{f}'" for f in TEST_FIELDS)}]) as field) where extracted_test is null""",
 )
 def _(t: Tables):
-    unmatched = _matched(t).where("extracted_test is null")
-    return E.test_outcomes(unmatched, ["paper", "pos"])
+    return E.test_outcomes(_matched(t, found=False), ["paper", "pos"])
 
 
 TEXTS = """

@@ -20,10 +20,9 @@ select l_orderkey * 1000 + l_linenumber as id, l_quantity, l_discount, l_tax, l_
 
 
 def _features(t: Tables):
-    """One split for all models, its vectors written once."""
-    rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",))
-    split = train_test(rows.select("id", "label", "features"), "id")
-    return written(split, "regression-rows")
+    """One split for all models, written before the vectors are built."""
+    split = written(train_test(t.derive(MODEL_ROWS), "id"), "regression-rows")
+    return M.assembled(split, NUMERIC, ("l_returnflag",)).select("label", "features", "is_test")
 
 
 def _fit(t: Tables, name: str):
