@@ -16,8 +16,7 @@ from pyspark.sql.window import Window as W
 
 from sheaf.session import broadcast_within
 
-HASH_DIGITS = 5
-HASH_BUCKETS = 16**HASH_DIGITS
+HASH_DIGITS = 4
 POSITION_BLOCK = 65_536
 SKETCH_ACCURACY = 100_000
 SMALL_SIDE_ROWS = 100_000
@@ -28,47 +27,49 @@ def hash_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
 
 
-def _bucket(key: Column) -> Column:
-    return F.conv(F.substring(key, 1, HASH_DIGITS), 16, 10).cast("int")
+def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    hashed = df.withColumn("_h", hash_key(id_col, seed))
+    return hashed.withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
 
 
 def hash_cut(df: DataFrame, id_col: str, seed: int, wanted: Column) -> DataFrame:
     """Mark the ``wanted`` rows with the smallest hash, exactly that many.
 
-    Bucket counts (at most ``HASH_BUCKETS`` rows) locate the bucket the cut
-    falls in; only that bucket is ranked. Adds the boolean column ``chosen``.
+    Bucket counts (one row per leading hash digits) locate the bucket the cut
+    falls in; only that bucket is ranked, to find the last row still wanted.
+    Marking is then a comparison, so rows do not move. Adds the boolean
+    column ``chosen``; all rows are chosen when more are wanted than exist.
     """
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    keyed = keyed.withColumn("_b", _bucket(F.col("_h")))
+    ids = _keyed(df.select(id_col), id_col, seed)
     upto = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = (
-        keyed.groupBy("_b")
+        ids.groupBy("_b")
         .agg(F.count("*").alias("_n"))
         .withColumn("_end", F.sum("_n").over(upto))
         .withColumn("_wanted", wanted)
     )
-    cut = filled.where("_end >= _wanted and _end - _n < _wanted").agg(
-        F.first(F.struct("_b", (F.col("_wanted") - F.col("_end") + F.col("_n")).alias("left")))
-        .alias("cut")
-    )
-    # No bucket reaches the cut when more rows are wanted than exist, or none.
-    none = filled.agg((F.max("_wanted") <= 0).alias("none"))
-    marked = keyed.withColumn("_cut", cut.scalar())
-    plain = marked.where("_cut is null or _b <> _cut._b").withColumn(
-        "chosen",
-        F.when(F.col("_cut").isNull(), ~F.coalesce(none.scalar(), F.lit(True))).otherwise(
-            F.col("_b") < F.col("_cut._b")
-        ),
+    left = F.col("_wanted") - F.col("_end") + F.col("_n")
+    place = filled.where("_end >= _wanted and _end - _n < _wanted").agg(
+        F.first(F.struct("_b", left.alias("left"))).alias("place")
     )
     rank = F.row_number().over(W.partitionBy("_b").orderBy("_h", id_col))
-    edge = marked.where("_b = _cut._b").withColumn("chosen", rank <= F.col("_cut.left"))
-    return plain.unionByName(edge).drop("_h", "_b", "_cut")
+    last = (
+        ids.withColumn("_cut", place.scalar())
+        .where("_b = _cut._b")
+        .withColumn("_r", rank)
+        .where("_r = _cut.left")
+        .agg(F.first(F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id"))).alias("last"))
+    )
+    own = F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("id"))
+    marked = df.withColumn("_last", last.scalar())
+    return marked.withColumn(
+        "chosen", F.coalesce(own <= F.col("_last"), wanted > 0)
+    ).drop("_last")
 
 
 def hash_rank(df: DataFrame, id_col: str, seed: int, name: str = "rank") -> DataFrame:
     """Number all rows 1..n in hash order without a single-task window."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    keyed = keyed.withColumn("_b", _bucket(F.col("_h")))
+    keyed = _keyed(df, id_col, seed)
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         keyed.groupBy("_b")
@@ -150,14 +151,15 @@ def exact_quantiles(
         F.percentile_approx("_v", lower, SKETCH_ACCURACY).alias("_lo"),
         F.percentile_approx("_v", upper, SKETCH_ACCURACY).alias("_hi"),
     )
-    # One extra rank on both sides keeps the neighbour used by interpolation.
+    # A small group is its own bracket. In a large one the slack spans several
+    # ranks more than the sketch can err, which keeps both interpolated ranks.
+    small = F.col("_n") <= SKETCH_ACCURACY
     spans = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                (F.lit(0.0) if lower[i] == 0.0 else F.lit(lower[i])).alias("p"),
-                (F.col("_min") if lower[i] == 0.0 else F.col("_lo")[i]).alias("a"),
-                (F.col("_max") if upper[i] == 1.0 else F.col("_hi")[i]).alias("b"),
+                F.when(small | F.lit(lower[i] == 0.0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("a"),
+                F.when(small | F.lit(upper[i] == 1.0), F.col("_max")).otherwise(F.col("_hi")[i]).alias("b"),
             )
             for i in range(len(probs))
         ]
