@@ -70,13 +70,18 @@ def numbered_relations(relations: DataFrame, number_first: bool = False) -> Data
 def tests_of_nodes(relations: DataFrame, last_only: bool = False) -> DataFrame:
     """Node to the list of its tests in relation order, or only the last.
 
-    A node sits in few relations, so its list stays small.
+    A test is listed once. Repeats combine before the list is gathered, so a
+    list holds the distinct test names of one node and no more.
     """
-    grouped = relations.groupBy("paper", "node_id")
     if last_only:
-        return grouped.agg(F.max_by("test_name", "rel_pos").alias("test_name"))
-    ordered = F.array_sort(F.collect_list(F.struct("rel_pos", "test_name")))
-    return grouped.agg(F.transform(ordered, lambda r: r["test_name"]).alias("tests"))
+        return relations.groupBy("paper", "node_id").agg(
+            F.max_by("test_name", "rel_pos").alias("test_name")
+        )
+    once = relations.groupBy("paper", "node_id", "test_name").agg(F.min("rel_pos").alias("p"))
+    ordered = F.array_sort(F.collect_list(F.struct("p", "test_name")))
+    return once.groupBy("paper", "node_id").agg(
+        F.transform(ordered, lambda r: r["test_name"]).alias("tests")
+    )
 
 
 def molecules(notes: DataFrame) -> DataFrame:
@@ -184,18 +189,19 @@ def routed_writes(
     follow the relations; everything else lands in the first test.
     """
     tests = tests_of_nodes(numbered_relations(relations, number_first))
-    own = (
+    # One row per paper with everything its annotations need to know, so the
+    # annotations, of which one paper may hold a third, join on it once.
+    papers = (
         champions(notes, tests)
         .select("paper", "node_id")
         .join(tests, ["paper", "node_id"], "left")
         .select("paper", F.col("tests").alias("_own"))
+        .join(molecule_counts(notes), "paper", "left")
     )
-    # Two bounded lists per annotation: its tests and the champion's.
     placed = (
         drop_tags(notes)
         .join(tests, ["paper", "node_id"], "left")
-        .join(own, "paper", "left")
-        .join(molecule_counts(notes), "paper", "left")
+        .join(papers, "paper", "left")
     )
     several = F.coalesce("n_molecules", F.lit(0)) > 1
     related = F.col("tests").isNotNull()

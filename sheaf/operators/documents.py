@@ -30,14 +30,22 @@ def attach_files(
 ) -> DataFrame:
     """Left join of the first ``keep`` existing files among the candidates.
 
-    File names make ``(row, place)`` unique, so a paper gathers at most
-    ``max_files`` texts. A file that parsed to ``""`` still counts.
+    One aggregate per place instead of a gathered list: a paper's state has
+    ``max_files`` texts whatever its number of rows, and combines before the
+    shuffle. A file that parsed to ``""`` still counts.
     """
+    body = F.coalesce(text, F.lit(""))
+    places = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.max(F.when(F.col(place) == i, body)).alias("t"))
+            for i in range(1, max_files + 1)
+        ]
+    )
     gathered = (
         files.where(F.col(place).between(1, max_files))
         .groupBy(row)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("i"), F.col(text).alias("t")))).alias("files"))
-        .withColumn("files", F.slice("files", 1, keep))
+        .agg(places.alias("files"))
+        .withColumn("files", F.slice(F.filter("files", lambda f: f["t"].isNotNull()), 1, keep))
     )
     return papers.join(gathered, row, "left")
 

@@ -18,8 +18,9 @@ from pyspark.sql.window import Window as W
 from sheaf.operators.order_stats import hash_key
 from sheaf.session import written
 
-PIVOTS = 32
-BLOCK_ROWS = 4_096
+PIVOTS = 64
+BLOCK_ROWS = 32_768
+QUERY_ROWS = 8_192
 
 
 def nearest(
@@ -32,6 +33,7 @@ def nearest(
     p: int = 2,
     pivots: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """Rows ``test_id, neighbour, distance`` of the k nearest, ties by id."""
     centres = [
@@ -65,7 +67,7 @@ def nearest(
         for r in located.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()
     }
     n_test = test.count()
-    query_blocks = max(1, -(-n_test // block_rows))
+    query_blocks = max(1, -(-n_test // query_rows))
     train_blocks = {c: max(1, -(-n // block_rows)) for c, (n, _) in cells.items()}
 
     def visit(batches):

@@ -220,6 +220,24 @@ def _(t: Tables):
     return scored.select("o_orderkey", F.round("similarity", 6).alias("similarity"))
 
 
+# Runs of one letter: their ratio is twice the shorter over both lengths.
+RUNS = """
+select o_orderkey as k, case when o_orderkey % 11 = 0 then null else repeat('A', cast(o_orderkey % 6 + 1 as int)) end as a,
+       case when o_custkey % 5 = 0 then null when o_custkey % 7 = 0 then repeat('b', cast(o_custkey % 4 + 1 as int))
+            else repeat('a', cast(o_custkey % 9 + 1 as int)) end as b from @orders
+"""
+
+
+@query(
+    "e12_similarity_of_runs",
+    f"""with r as ({RUNS}) select k, round(case when a is null or b is null or b like 'b%' then 0.0::double
+        else 2.0::double * least(length(a), length(b)) / (length(a) + length(b)) end, 9) as similarity from r""",
+)
+def _(t: Tables):
+    scored = with_text_similarity(t.derive(RUNS), "a", "b")
+    return scored.select("k", F.round("similarity", 9).alias("similarity"))
+
+
 @query(
     "e13_best_annotation",
     """select o_custkey as paper, o_orderkey as pos, (o_orderkey * 7 % 10) / 10.0::double as similarity from @orders
@@ -359,9 +377,8 @@ _TESTNUM = """case when {a} <> 0 and {b} = 0 then 'FN' when {a} = 0 and {b} <> 0
   when abs({a} - {b}) / abs({a}) <= 0.027::double then 'TP' else 'FP' end"""
 
 
-@query(
-    "e19_test_outcomes",
-    f"""with {_MATCHED}, o as (
+_TEST_OUTCOMES = f"""
+o as (
       select k as pos, test, 'stability_type' as field,
              case when extracted_test is null then 'FN' when l_type = e_type then 'TP' else 'FP' end as outcome from best
       union all select k, test, 'temperature', case when extracted_test is null then 'FN'
@@ -376,8 +393,10 @@ _TESTNUM = """case when {a} <> 0 and {b} = 0 then 'FN' when {a} = 0 and {b} <> 0
         else {_TESTNUM.format(a='l_cont', b='e_cont')} end from best
       union all select k, test, 'efficiency_tret', case when extracted_test is null then 'FN'
         else {_TESTNUM.format(a='l_tret', b='e_tret')} end from best)
-    select * from o""",
-)
+"""
+
+
+@query("e19_test_outcomes", f"with {_MATCHED}, {_TEST_OUTCOMES} select * from o")
 def _(t: Tables):
     return E.test_outcomes(_matched(t), ["pos", "test"])
 
@@ -459,7 +478,35 @@ def _(t: Tables):
     return E.score_table(_macro(t), ("A", "N", "R"))
 
 
-@query("e_record_evaluation")
+_BEST = """
+chosen as (select o_orderkey as k, o_custkey as c, o_orderstatus as molecule from @orders
+           join @customer on o_custkey = c_custkey where o_orderkey % 13 <> 0 and o_orderkey % 7 <> 0
+           qualify row_number() over (partition by o_custkey order by
+             o_orderstatus = case when o_custkey % 2 = 0 then 'F' else 'O' end desc, o_orderkey) = 1),
+control as (select *, k % 30 + 0.5::double as l_control, c % 30 + 0.0::double as e_control from chosen),
+tops as (
+  select unnest(['perovskite_composition', 'hole_transport_layer', 'structure_pin_nip']) as field, 'FP' as outcome from chosen
+  union all select 'electron_transport_layer', 'TP' from chosen
+  union all select 'treated_pce', 'FN' from chosen
+  union all select unnest(['control_voc', 'treated_voc']), 'TP' from chosen
+  union all select 'passivating_molecule', case when molecule = case when c % 2 = 0 then 'F' else 'O' end
+                                                then 'TP' else 'FP' end from chosen
+  union all select 'control_pce', case when abs(l_control - e_control) / l_control <= 0.027::double
+                                       then 'TP' else 'FP' end from control),
+outcomes as (select * from tops union all select field, outcome from o where pos in (select k from chosen)),
+tally as (select field, count(*) filter (where outcome = 'TP') as tp, count(*) filter (where outcome = 'FP') as fp,
+                 count(*) filter (where outcome = 'FN') as fn, count(*) filter (where outcome = 'TN') as tn
+          from outcomes group by field),
+rates as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as r from tally)
+"""
+
+
+@query(
+    "e_record_evaluation",
+    f"""with {_MATCHED}, {_TEST_OUTCOMES}, {_BEST}
+    select field, tp as "TP", fp as "FP", fn as "FN", tn as "TN", round(p, 9) as precision, round(r, 9) as recall,
+           round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) as f1 from rates""",
+)
 def _(t: Tables):
     """All steps from records to scores per field."""
     scores = E.evaluate(_annotations(t), _extractions(t))

@@ -107,7 +107,11 @@ def _(t: Tables):
     return out.select("p_partkey", "smiles", "heavy_atoms", "hetero_atoms", "rings")
 
 
-@query("m5_assembled_features")
+@query(
+    "m5_assembled_features",
+    """select cast(3 + count(distinct l_returnflag) + 1 as int) as n_features, count(*) as n,
+              round(avg(l_quantity), 6) as mean_quantity from @lineitem""",
+)
 def _(t: Tables):
     rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",))
     values = vector_to_array("features")

@@ -127,11 +127,17 @@ def _(t: Tables):
     return spans.where("span is not null").select("event_id", X.repair_json(F.col("span")).alias("repaired"))
 
 
-@query("x8_apply_extractor")
+@query(
+    "x8_apply_extractor",
+    """with f as (select doc_id, nullif(regexp_extract(text, '[a-z]{4,}'), '') as w,
+                         nullif(regexp_extract(text, '[0-9]+'), '') as n from @documents)
+    select doc_id, case when w is not null or n is not null then '{"first_word": '
+      || coalesce('"' || w || '"', 'null') || ', "number": ' || coalesce('"' || n || '"', 'null') || '}' end as json_output
+    from f""",
+)
 def _(t: Tables):
-    rules = C.rule_extractor({"first_word": r"\w{4,}", "number": r"\d+"})
-    out = C.apply_extractor(t.spread("documents"), "doc_id", "text", rules)
-    return out.withColumn("n_fields", F.size(F.from_json("json_output", "map<string,string>")))
+    rules = C.rule_extractor({"first_word": r"[a-z]{4,}", "number": r"[0-9]+"})
+    return C.apply_extractor(t.spread("documents"), "doc_id", "text", rules)
 
 
 @query(

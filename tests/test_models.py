@@ -22,7 +22,7 @@ def test_neighbours_match_brute_force(spark, p):
     x = np.concatenate([rng.normal(size=(60, 3)) * 10, rng.normal(size=(60, 3)) * 0.1])
     q = np.concatenate([rng.normal(size=(15, 3)) * 10, x[:5]])
     out = N.nearest(
-        vectors(spark, x), vectors(spark, q, 1000), "id", "id", "v", k=4, p=p, pivots=6, block_rows=16
+        vectors(spark, x), vectors(spark, q, 1000), "id", "id", "v", k=4, p=p, pivots=6, block_rows=16, query_rows=8
     )
     got = {}
     for r in out.collect():
