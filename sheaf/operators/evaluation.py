@@ -1,6 +1,7 @@
 """Score extracted records against annotations, field by field.
 
-Both sides are record structs (see ``schemas.RECORD``) with text leaves.
+Both sides are record structs of one layout (see ``schemas.Layout``) with text
+leaves: the top fields and ``tests``, a map of structs.
 Comparison happens inside a paper's own row or on a long table of
 ``(field, label, value)``; tests of a paper are matched within its row, so no
 pair of tests is ever shuffled.
@@ -22,12 +23,10 @@ from sheaf.schemas import (
     MOLECULE_FIELD,
     PERFORMANCE_FIELDS,
     POORLY_ANNOTATED_PAPERS,
-    TEST_FIELDS,
-    TEST_NUMERIC_FIELDS,
-    TEXT_FIELDS,
-    TOP_FIELDS,
+    SEMI_NESTED,
     WEIGHTED_FIELDS,
     WEIGHTINGS,
+    Layout,
 )
 
 RANGE_FIELDS = ("temperature", "humidity")
@@ -61,12 +60,14 @@ def with_molecule(df: DataFrame, record: str = "record") -> DataFrame:
     return df.where(F.col(record).isNotNull() & F.col(record)[MOLECULE_FIELD].isNotNull())
 
 
-def _rebuilt(record: Column, top: Mapping[str, Column], tests: Column) -> Column:
-    fields = [top.get(f, record[f]).alias(f) for f in TOP_FIELDS]
+def _rebuilt(record: Column, layout: Layout, top: Mapping[str, Column], tests: Column) -> Column:
+    fields = [top.get(f, record[f]).alias(f) for f in layout.top]
     return F.struct(*fields, tests.alias("tests"))
 
 
-def coerce_numbers(record: Column, ranges_stay: bool = True) -> Column:
+def coerce_numbers(
+    record: Column, layout: Layout = SEMI_NESTED, ranges_stay: bool = True
+) -> Column:
     """Numeric fields keep the digits of their first four characters.
 
     Humidity and temperature holding a ``-`` stay text unless told otherwise.
@@ -75,17 +76,17 @@ def coerce_numbers(record: Column, ranges_stay: bool = True) -> Column:
     def coerced(name: str, value: Column) -> Column:
         return leading_digits(value, keep_ranges=ranges_stay and name in RANGE_FIELDS)
 
-    top = {f: coerced(f, record[f]) for f in PERFORMANCE_FIELDS}
+    top = {f: coerced(f, record[f]) for f in layout.top_numeric}
     tests = F.transform_values(
         record["tests"],
         lambda k, t: F.struct(
             *[
-                (coerced(f, t[f]) if f in TEST_NUMERIC_FIELDS else t[f]).alias(f)
-                for f in TEST_FIELDS
+                (coerced(f, t[f]) if f in layout.test_numeric else t[f]).alias(f)
+                for f in layout.tests
             ]
         ),
     )
-    return F.when(record.isNotNull(), _rebuilt(record, top, tests))
+    return F.when(record.isNotNull(), _rebuilt(record, layout, top, tests))
 
 
 def top_numbers(record: Column) -> list[Column]:
@@ -102,7 +103,7 @@ def push_molecule(tests: Column, molecule: Column) -> Column:
     )
 
 
-def efficiency_fractions(tests: Column) -> Column:
+def efficiency_fractions(tests: Column, layout: Layout = SEMI_NESTED) -> Column:
     """Efficiencies of every test as fractions, as text."""
 
     def fraction(value: Column) -> Column:
@@ -113,19 +114,19 @@ def efficiency_fractions(tests: Column) -> Column:
         lambda k, t: F.struct(
             *[
                 (fraction(t[f]) if f.startswith("efficiency") else t[f]).alias(f)
-                for f in TEST_FIELDS
+                for f in layout.tests
             ]
         ),
     )
 
 
-def blanked(record: Column) -> Column:
+def blanked(record: Column, layout: Layout = SEMI_NESTED) -> Column:
     """The same record shape with every leaf null."""
     nothing = F.lit(None).cast("string")
     tests = F.transform_values(
-        record["tests"], lambda k, t: F.struct(*[nothing.alias(f) for f in TEST_FIELDS])
+        record["tests"], lambda k, t: F.struct(*[nothing.alias(f) for f in layout.tests])
     )
-    return _rebuilt(record, {f: nothing for f in TOP_FIELDS}, tests)
+    return _rebuilt(record, layout, {f: nothing for f in layout.top}, tests)
 
 
 def paired(annotations: DataFrame, extractions: DataFrame, paper: str = "paper") -> DataFrame:
@@ -168,14 +169,13 @@ def _numbers(test: Column, fields: Sequence[str]) -> Column:
     return F.array(*[F.when(v.isNull(), F.lit(0.0)).otherwise(number(v)) for v in values])
 
 
-def test_entries(tests: Column, fields: Sequence[str] = TEST_NUMERIC_FIELDS) -> Column:
-    """Tests as an array of name, type, numbers and the test itself."""
+def test_entries(tests: Column, layout: Layout = SEMI_NESTED) -> Column:
+    """Tests as an array of name, numbers and the test itself."""
     return F.transform(
         F.map_entries(tests),
         lambda e: F.struct(
             e["key"].alias("name"),
-            e["value"][TYPE_FIELD].alias("type"),
-            _numbers(e["value"], fields).alias("nums"),
+            _numbers(e["value"], layout.test_numeric).alias("nums"),
             e["value"].alias("test"),
         ),
     )
@@ -204,38 +204,38 @@ def matched_tests(
     keys: Sequence[str],
     label_tests: str,
     extracted_tests: str,
-    fields: Sequence[str] = TEST_NUMERIC_FIELDS,
+    layout: Layout = SEMI_NESTED,
 ) -> DataFrame:
     """Each annotated test with its best extracted test of the same paper.
 
-    Rows ``keys, test, label, extracted_test, value, score``; the last three
-    are null where the paper has no extracted test. The extracted tests stay
-    an array next to the annotated test, so a pair is an array element, never
-    a row.
+    The score is the mean of: types alike or not, the ratio of every other
+    text field, and the cosine of the numbers. Rows ``keys, test, label,
+    extracted_test, value, score``; the last three are null where the paper
+    has no extracted test. The extracted tests stay an array next to the
+    annotated test, so a pair is an array element, never a row.
     """
     rows = df.select(
         *keys,
-        F.explode(test_entries(F.col(label_tests), fields)).alias("l"),
-        test_entries(F.col(extracted_tests), fields).alias("e"),
+        F.explode(test_entries(F.col(label_tests), layout)).alias("l"),
+        test_entries(F.col(extracted_tests), layout).alias("e"),
     ).withColumn("e", F.coalesce("e", F.slice(F.array(F.col("l")), 1, 0)))
-    typed = rows.withColumn(
-        "r", ratios(F.col("l")["type"], F.transform("e", lambda x: x["type"]))
-    )
-    scored = typed.withColumn(
-        "s",
-        F.transform(
-            F.col("e"),
-            lambda x, i: F.struct(
-                (
-                    (
-                        F.when(F.get(F.col("r"), i) > TYPE_MATCH, F.lit(1.0)).otherwise(F.lit(0.0))
-                        + masked_cosine(F.col("l")["nums"], x["nums"])
-                    )
-                    / 2
-                ).alias("score"),
-                (-i).alias("place"),
-            ),
-        ),
+
+    def alike(f: str) -> Column:
+        return ratios(F.col("l")["test"][f], F.transform("e", lambda x: x["test"][f]))
+
+    compared = rows.withColumns({f"_r_{f}": alike(f) for f in layout.test_text})
+
+    def score(x: Column, i: Column) -> Column:
+        total = masked_cosine(F.col("l")["nums"], x["nums"])
+        for f in layout.test_text:
+            own = F.coalesce(F.get(F.col(f"_r_{f}"), i), F.lit(0.0))
+            if f == TYPE_FIELD:
+                own = F.when(own > TYPE_MATCH, F.lit(1.0)).otherwise(F.lit(0.0))
+            total = total + own
+        return total / (len(layout.test_text) + 1)
+
+    scored = compared.withColumn(
+        "s", F.transform("e", lambda x, i: F.struct(score(x, i).alias("score"), (-i).alias("place")))
     ).withColumn("best", F.array_max("s"))
     hit = F.get(F.col("e"), -F.col("best")["place"])
     return scored.select(
@@ -249,11 +249,15 @@ def matched_tests(
 
 
 def test_outcomes(
-    matched: DataFrame, keys: Sequence[str], hallucinated: str = "TN"
+    matched: DataFrame,
+    keys: Sequence[str],
+    layout: Layout = SEMI_NESTED,
+    hallucinated: str = "TN",
+    ranges_stay: bool = True,
 ) -> DataFrame:
     """Outcome of every field of every annotated test: ``keys, field, outcome``.
 
-    A paper without extracted tests counts FN for all six fields.
+    A paper without extracted tests counts FN for all test fields.
     """
     cells = F.array(
         *[
@@ -262,7 +266,7 @@ def test_outcomes(
                 F.col("label")[f].alias("label"),
                 F.col("value")[f].alias("value"),
             )
-            for f in TEST_FIELDS
+            for f in layout.tests
         ]
     )
     long = matched.select(
@@ -277,8 +281,8 @@ def test_outcomes(
     )
     outcome = (
         F.when(F.col("unmatched"), F.lit("FN"))
-        .when(F.col("field") == TYPE_FIELD, text)
-        .when(F.col("field").isin(*RANGE_FIELDS), ranged)
+        .when(F.col("field").isin(*layout.test_text), text)
+        .when(F.col("field").isin(*(RANGE_FIELDS if ranges_stay else ())), ranged)
         .otherwise(plain)
     )
     return long.select(*keys, "field", outcome.alias("outcome"))
@@ -289,6 +293,7 @@ def top_outcomes(
     keys: Sequence[str],
     label: str = "annotation",
     extracted: str = "extracted",
+    layout: Layout = SEMI_NESTED,
     hallucinated: str = "TN",
 ) -> DataFrame:
     """Outcome of every top field: ``keys, field, outcome``."""
@@ -299,7 +304,7 @@ def top_outcomes(
                 F.col(label)[f].alias("label"),
                 F.col(extracted)[f].alias("value"),
             )
-            for f in TOP_FIELDS
+            for f in layout.top
         ]
     )
     long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
@@ -314,7 +319,7 @@ def top_outcomes(
     numeric = O.numeric_outcome(
         number(F.col("label")), number(F.col("value")), hallucinated=hallucinated
     )
-    outcome = F.when(F.col("field").isin(*TEXT_FIELDS), text).otherwise(numeric)
+    outcome = F.when(F.col("field").isin(*layout.top_numeric), numeric).otherwise(text)
     return scored.select(*keys, "field", outcome.alias("outcome"))
 
 
@@ -373,18 +378,30 @@ def score_table(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
-def evaluate(annotations: DataFrame, extractions: DataFrame) -> DataFrame:
+def evaluate(
+    annotations: DataFrame,
+    extractions: DataFrame,
+    layout: Layout = SEMI_NESTED,
+    ranges_stay: bool = True,
+) -> DataFrame:
     """Whole comparison: one row per field with counts, precision, recall, F1.
 
-    Inputs are ``paper, pos, record`` and ``paper, record``.
+    Inputs are ``paper, pos, record`` and ``paper, record``. A layout that
+    keeps the molecule inside the tests has one annotation per paper, so none
+    needs to be chosen.
     """
-    labelled = with_molecule(annotations).withColumn("record", coerce_numbers(F.col("record")))
-    found = extractions.withColumn("record", coerce_numbers(F.col("record")))
-    best = best_annotation(paired(labelled, found))
-    tests = best.select(
+    number_of = lambda side: side.withColumn(
+        "record", coerce_numbers(F.col("record"), layout, ranges_stay)
+    )
+    if MOLECULE_FIELD in layout.top:
+        pairs = best_annotation(paired(number_of(with_molecule(annotations)), number_of(extractions)))
+    else:
+        pairs = paired(number_of(annotations.where("record is not null")), number_of(extractions))
+    tests = pairs.select(
         "paper", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e")
     )
-    outcomes = top_outcomes(best, ["paper"]).unionByName(
-        test_outcomes(matched_tests(tests, ["paper"], "l", "e"), ["paper"])
+    matched = matched_tests(tests, ["paper"], "l", "e", layout)
+    outcomes = top_outcomes(pairs, ["paper"], layout=layout).unionByName(
+        test_outcomes(matched, ["paper"], layout, ranges_stay=ranges_stay)
     )
     return precision_recall(confusion_counts(outcomes))

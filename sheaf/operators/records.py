@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sheaf.functions.measures import conform_unit, first_of_list
 from sheaf.functions.text import brace_span, is_json, repair_json
-from sheaf.schemas import FIELD_ALIASES, TEST, TEST_FIELDS, TOP_FIELDS
+from sheaf.schemas import FIELD_ALIASES, SEMI_NESTED, Layout
 
 NO_NAME = "none"
 UNRESOLVED = "None"
@@ -119,7 +119,7 @@ def _canonical(loose: Column, fields: Sequence[str]) -> list[Column]:
     ]
 
 
-def conformed(df: DataFrame, record: str, fields: Sequence[str] = TOP_FIELDS) -> DataFrame:
+def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataFrame:
     """Fixed record struct ``conformed``: missing keys become null, aliased
     keys take their canonical name, tests are a map of structs, and keys
     outside the schema are kept as text in ``extra``.
@@ -127,12 +127,12 @@ def conformed(df: DataFrame, record: str, fields: Sequence[str] = TOP_FIELDS) ->
     Each text is parsed into columns first: an expression nested in a lambda
     would parse it once per key.
     """
-    known = [name for f in fields for name in spellings(f)]
+    known = [name for f in layout.top for name in spellings(f)]
     is_test = lambda k: k.startswith("test")
-    loose_test = f"struct<{_loose_schema(TEST_FIELDS)}>"
+    loose_test = f"struct<{_loose_schema(layout.tests)}>"
     parsed = df.withColumns(
         {
-            "_top": F.from_json(record, f"struct<{_loose_schema(fields)}>"),
+            "_top": F.from_json(record, f"struct<{_loose_schema(layout.top)}>"),
             "_all": F.from_json(record, "map<string,string>"),
         }
     ).withColumn(
@@ -143,23 +143,56 @@ def conformed(df: DataFrame, record: str, fields: Sequence[str] = TOP_FIELDS) ->
         ),
     )
     tests = F.transform_values(
-        "_tests", lambda k, t: F.struct(*_canonical(t, TEST_FIELDS)).cast(TEST)
+        "_tests", lambda k, t: F.struct(*_canonical(t, layout.tests))
     )
     extra = F.map_filter("_all", lambda k, v: ~k.isin(*known) & ~is_test(k))
     return (
         parsed.withColumn(
-            "conformed", F.struct(*_canonical(F.col("_top"), fields), tests.alias("tests"))
+            "conformed", F.struct(*_canonical(F.col("_top"), layout.top), tests.alias("tests"))
         )
         .withColumn("extra", extra)
         .drop("_top", "_all", "_tests")
     )
 
 
-def null_record(fields: Sequence[str] = TOP_FIELDS) -> Column:
+def conformed_flat(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataFrame:
+    """A record whose single test lies flat among the top fields."""
+    fields = (*layout.top, *[f for f in layout.tests if f not in layout.top])
+    flat = df.withColumn("_top", F.from_json(record, f"struct<{_loose_schema(fields)}>"))
+    loose = F.col("_top")
+    test = F.struct(*_canonical(loose, layout.tests))
+    whole = F.struct(
+        *_canonical(loose, layout.top), F.create_map(F.lit("test_1"), test).alias("tests")
+    )
+    return flat.withColumn("conformed", whole).drop("_top")
+
+
+def conformed_list(
+    df: DataFrame, record: str, tests: str = "stability_tests", layout: Layout = SEMI_NESTED
+) -> DataFrame:
+    """A record whose tests are a list: they are named by their place."""
+    loose_test = f"struct<{_loose_schema(layout.tests)}>"
+    loose = f"struct<{_loose_schema(layout.top)}, `{tests}`: array<{loose_test}>>"
+    parsed = df.withColumn("_top", F.from_json(record, loose))
+    entries = F.transform(
+        F.col("_top")[tests],
+        lambda t, i: F.struct(
+            F.concat(F.lit("test_"), (i + 1).cast("string")).alias("key"),
+            F.struct(*_canonical(t, layout.tests)).alias("value"),
+        ),
+    )
+    whole = F.struct(
+        *_canonical(F.col("_top"), layout.top), F.map_from_entries(entries).alias("tests")
+    )
+    return parsed.withColumn("conformed", whole).drop("_top")
+
+
+def null_record(layout: Layout = SEMI_NESTED) -> Column:
     """Template of a missing record: all fields null, one empty test."""
-    empty = F.struct(*[F.lit(None).cast("string").alias(f) for f in TEST_FIELDS])
+    nothing = F.lit(None).cast("string")
+    empty = F.struct(*[nothing.alias(f) for f in layout.tests])
     return F.struct(
-        *[F.lit(None).cast("string").alias(f) for f in fields],
+        *[nothing.alias(f) for f in layout.top],
         F.create_map(F.lit("test_1"), empty).alias("tests"),
     )
 

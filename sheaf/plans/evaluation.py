@@ -10,6 +10,7 @@ from sheaf.operators import evaluation as E
 from sheaf.operators import records as C
 from sheaf.plans.registry import Tables, query
 from sheaf.schemas import (
+    FULLY_NESTED,
     IRRELEVANT_PAPERS,
     POORLY_ANNOTATED_PAPERS,
     TEST_FIELDS,
@@ -513,6 +514,62 @@ def _(t: Tables):
     return scores.select("field", *E.OUTCOMES, *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+# Fully nested records: molecule and efficiencies sit inside the test.
+NESTED_LABELS = """
+select o_orderkey as paper, o_custkey as cust,
+  '{"structure_pin_nip": "' || o_orderstatus || '", "test_1": {"stability_type": "'
+  || case when o_orderkey % 2 = 0 then 'aaa' else 'bbb' end || '", "passivating_molecule": "'
+  || case when o_orderkey % 3 = 0 then 'xx' else 'yy' end || '", "time": ' || (o_orderkey % 900 + 100)
+  || ', "treated_pce": ' || (o_orderkey % 20 + 10) || ', "control_voc": ' || (o_orderkey % 5) || '}}' as record
+from @orders
+"""
+NESTED_FOUND = """
+select o_orderkey as paper,
+  '{"structure": "' || o_orderstatus || '", "passivating_molecule": "xx", "test_1": {"test_name": "aaa", "time": "'
+  || (o_orderkey % 700 + 100) || ' h", "treated_pec": ' || (o_orderkey % 20 + 10) || ', "control_efficiency": "0.5"},'
+  || ' "test_2": {"test_name": "bbb", "passivating_molecule": "yy", "treated_pce": 15, "treatment_efficiency": "9"}}' as record
+from @orders
+"""
+
+
+def _nested(t: Tables, sql: str):
+    rows = C.conformed(t.derive(sql), "record", FULLY_NESTED)
+    return rows.withColumn("record", F.col("conformed")).drop("conformed", "extra")
+
+
+_NESTED = f"""
+l as (select o_orderkey as k, case when o_orderkey % 2 = 0 then 'aaa' else 'bbb' end as type,
+             case when o_orderkey % 3 = 0 then 'xx' else 'yy' end as mol,
+             [0, o_orderkey % 900 + 100, 0, 0, 0, 0, o_orderkey % 20 + 10, o_orderkey % 5, 0]::double[] as nums from @orders),
+e as (select o_orderkey as k, 0 as place, 'test_1' as test, 'aaa' as type, null as mol,
+             [0, o_orderkey % 700 + 100, 0, 0.5, 0, 0, o_orderkey % 20 + 10, 0, 0]::double[] as nums from @orders
+      union all select o_orderkey, 1, 'test_2', 'bbb', 'yy', [0, 0, 0, 0, 9, 0, 15, 0, 0]::double[] from @orders),
+s as (select l.k, e.test, e.place, (cast(l.type = e.type as int) + coalesce(cast(l.mol = e.mol as int), 0)
+             + coalesce({_COSINE.format(z=_Z)}, 0)) / 3 as score from l join e on l.k = e.k)
+"""
+
+
+@query(
+    "e14_nested_pair_scores",
+    f"""with {_NESTED} select k as paper, test as extracted_test, round(score, 6) as score from s
+        qualify row_number() over (partition by k order by round(score, 9) desc, place) = 1""",
+)
+def _(t: Tables):
+    pairs = E.paired(_nested(t, NESTED_LABELS).withColumn("pos", F.lit(0)), _nested(t, NESTED_FOUND))
+    for side in ("annotation", "extracted"):
+        pairs = pairs.withColumn(side, E.coerce_numbers(F.col(side), FULLY_NESTED))
+    tests = pairs.select("paper", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e"))
+    best = E.matched_tests(tests, ["paper"], "l", "e", FULLY_NESTED)
+    return best.select("paper", "extracted_test", F.round("score", 6).alias("score"))
+
+
+@query("e_nested_evaluation")
+def _(t: Tables):
+    labels = _nested(t, NESTED_LABELS).withColumn("pos", F.lit(0))
+    scores = E.evaluate(labels, _nested(t, NESTED_FOUND), FULLY_NESTED, ranges_stay=False)
+    return scores.select("field", *E.OUTCOMES, F.round("f1", 9).alias("f1"))
+
+
 @query("u1_scalar_function")
 def _(t: Tables):
     """Arrow function over columns: similarity of neighbouring roles and texts."""

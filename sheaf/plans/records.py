@@ -221,6 +221,46 @@ def _(t: Tables):
     return tests.select("event_id", "t.stability_type", "t.time", "t.efficiency_tret")
 
 
+LISTED = """
+select event_id, '{"treated_pce": ' || user_id || ', "stability_tests": [{"test_name": "' || event_type
+  || '", "time": "' || user_id || '"}' || case when event_id % 2 = 0 then ', {"stability_type": "second"}' else '' end
+  || ']}' as record from @events
+"""
+
+
+@query(
+    "c1_listed_tests",
+    """select event_id, 'test_1' as name, event_type as stability_type, cast(user_id as varchar) as time,
+              cast(user_id as varchar) as treated_pce from @events
+       union all select event_id, 'test_2', 'second', null, cast(user_id as varchar) from @events where event_id % 2 = 0""",
+)
+def _(t: Tables):
+    out = C.conformed_list(t.derive(LISTED), "record")
+    tests = out.select("event_id", "conformed.treated_pce", F.explode("conformed.tests").alias("name", "t"))
+    return tests.select("event_id", "name", "t.stability_type", "t.time", "treated_pce")
+
+
+FLAT = """
+select event_id, '{"treated_pec": ' || user_id || ', "test_name": "' || event_type || '", "retained_percentage_cont": '
+  || (event_id % 100) || ', "treated_ff": 1}' as record from @events
+"""
+
+
+@query(
+    "c1_flat_records",
+    """select event_id, cast(user_id as varchar) as treated_pce, event_type as stability_type,
+              cast(event_id % 100 as varchar) as efficiency_cont, cast(null as varchar) as time from @events""",
+)
+def _(t: Tables):
+    out = C.conformed_flat(t.derive(FLAT), "record")
+    test = F.col("conformed.tests")["test_1"]
+    return out.select(
+        "event_id",
+        F.col("conformed.treated_pce").alias("treated_pce"),
+        *[test[f].alias(f) for f in ("stability_type", "efficiency_cont", "time")],
+    )
+
+
 # Raw measurements in several spellings.
 MEASURES = """
 select l_linenumber, cast(floor(l_quantity) as bigint) as q,

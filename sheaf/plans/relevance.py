@@ -267,11 +267,10 @@ def _(t: Tables):
 
 @query(
     "r2_chunk_scores",
-    f"with {_SCORES} select doc_id, cast(pos as int) as pos, round(cos, 6) as cos from scores",
+    f"with {_SCORES} select doc_id, cast(pos as int) as pos, cos from scores",
 )
 def _(t: Tables):
-    scores = R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY)
-    return scores.select("doc_id", "pos", F.round("cos", 6).alias("cos"))
+    return R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY)
 
 
 _QVEC = "q as (select embedding::double[] as q from @embeddings where vec_id = 0)"
@@ -365,12 +364,11 @@ def _(t: Tables):
 @query(
     "r9_chunks_above_percentile",
     f"""with {_SCORES}, b as (select round(quantile_cont(cos, 0.7), 9) as b from scores)
-    select doc_id, cast(pos as int) as pos, round(cos, 6) as cos from scores, b where cos >= b""",
+    select doc_id, cast(pos as int) as pos, cos from scores, b where cos >= b""",
 )
 def _(t: Tables):
     scores = written(R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY), "chunk-scores")
-    kept = R.above_percentile(scores, "cos", 0.7)
-    return kept.select("doc_id", "pos", F.round("cos", 6).alias("cos"))
+    return R.above_percentile(scores, "cos", 0.7)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 # Field names of an extraction record.
@@ -23,10 +25,6 @@ TEST_FIELDS = (
 )
 TOP_FIELDS = (*MATERIAL_FIELDS, MOLECULE_FIELD, *PERFORMANCE_FIELDS)
 
-# Fields by the way they are compared.
-TEXT_FIELDS = (*MATERIAL_FIELDS, MOLECULE_FIELD)
-TEST_NUMERIC_FIELDS = ("temperature", "time", "humidity", "efficiency_cont", "efficiency_tret")
-
 # Spellings of a field and the canonical name.
 FIELD_ALIASES = {
     "retained_proportion_cont": "efficiency_cont",
@@ -38,8 +36,47 @@ FIELD_ALIASES = {
     "treated_pec": "treated_pce",
     "structure": "structure_pin_nip",
     "device_structure": "structure_pin_nip",
+    "control_efficiency": "efficiency_cont",
+    "treatment_efficiency": "efficiency_tret",
 }
 
+
+class Layout(NamedTuple):
+    """Which fields a record holds at the top and inside each test."""
+
+    top: tuple[str, ...]
+    tests: tuple[str, ...]
+
+    @property
+    def top_numeric(self) -> tuple[str, ...]:
+        return tuple(f for f in self.top if f in PERFORMANCE_FIELDS)
+
+    @property
+    def test_text(self) -> tuple[str, ...]:
+        return tuple(f for f in self.tests if f in ("stability_type", MOLECULE_FIELD))
+
+    @property
+    def test_numeric(self) -> tuple[str, ...]:
+        return tuple(f for f in self.tests if f not in self.test_text)
+
+
+# Tests of the fully nested layout, in comparison order.
+NESTED_TEST_FIELDS = (
+    "stability_type",
+    "passivating_molecule",
+    "temperature",
+    "time",
+    "humidity",
+    "efficiency_cont",
+    "efficiency_tret",
+    "control_pce",
+    "treated_pce",
+    "control_voc",
+    "treated_voc",
+)
+SEMI_NESTED = Layout(TOP_FIELDS, TEST_FIELDS)
+FULLY_NESTED = Layout(MATERIAL_FIELDS, NESTED_TEST_FIELDS)
+
 # Annotation tags that carry nothing for the record.
 IGNORED_TAGS = (
     "additive_molecule",
@@ -108,13 +145,6 @@ WEIGHTINGS = {
     "efficiency_retained": (1, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 0, 1, 0, 0),
 }
 
-_TEST = T.StructType([T.StructField(f, T.StringType()) for f in TEST_FIELDS])
-RECORD = T.StructType(
-    [T.StructField(f, T.StringType()) for f in TOP_FIELDS]
-    + [T.StructField("tests", T.MapType(T.StringType(), _TEST))]
-)
-TEST = _TEST
-
 BIOC = T.StructType(
     [
         T.StructField(
