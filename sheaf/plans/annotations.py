@@ -37,14 +37,15 @@ from (select event_id, user_id, event_type, cast(floor(event_id / 400) as bigint
              {_TAG_CASE} as var_name from @events)
 """
 RELATIONS = """
-select user_id as paper, cast(floor(event_id / 400) as bigint) * 4 + event_id % 4 as rel_pos,
-       case event_id % 4 when 0 then 'test_1' when 1 then 'test_2' when 2 then 'test_3'
-            else 'performance_1' end as test_name,
+select user_id as paper, cast(floor(event_id / 400) as bigint) * 6 + event_id % 6 as rel_pos,
+       case event_id % 6 when 0 then 'test_1' when 1 then 'test_2' when 2 then 'test_3' when 3 then 'test_1'
+            else 'performance_' || event_id % 6 end as test_name,
        cast(event_id as string) as node_id
-from @events where event_id % 3 <> 0
+from @events
 union all
-select user_id, 100000000 + cast(floor(event_id / 400) as bigint), 'test_9', cast(event_id as string)
-from @events where event_id % 10 = 1
+select user_id, 100000000 + cast(floor(event_id / 400) as bigint) * 2 + cast(event_id % 10 = 1 as int),
+       case when event_id % 10 = 1 then 'test_9' else 'performance_9' end, cast(event_id as string)
+from @events
 """
 
 _IGNORED = ", ".join(f"'{t}'" for t in IGNORED_TAGS)

@@ -65,11 +65,11 @@ def _answers(t: Tables):
 
 @query(
     "x1_truncate_tokens",
-    """select doc_id, md5(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:50], ' '))
+    """select doc_id, md5(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:2000], ' '))
        as text_md5 from @documents""",
 )
 def _(t: Tables):
-    return t.documents.select("doc_id", F.md5(X.truncate_tokens(F.col("text"), 50)).alias("text_md5"))
+    return t.spread("documents").select("doc_id", F.md5(X.truncate_tokens(F.col("text"), 2000)).alias("text_md5"))
 
 
 @query(
@@ -80,7 +80,7 @@ def _(t: Tables):
        as content_md5 from @documents""",
 )
 def _(t: Tables):
-    prompts = t.documents.select(
+    prompts = t.spread("documents").select(
         "doc_id", F.explode(X.prompt("Extract the record.", F.col("text"))).alias("m")
     )
     return prompts.select("doc_id", F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
