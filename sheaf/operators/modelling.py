@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import chemistry
+from sheaf.operators.neighbours import KnnRegressor
 from sheaf.operators.order_stats import hash_key
 from sheaf.operators.relevance import train_test
 from sheaf.session import written
@@ -125,6 +126,7 @@ def regressors(label: str = "label", seed: int = 42) -> dict[str, object]:
         "Lasso": LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=1.0),
         "Gradient Boosting": GBTRegressor(labelCol=label, maxIter=20, seed=seed),
         "AdaBoost": AdaBoostR2(label=label, seed=seed),
+        "K-Nearest Neighbors": KnnRegressor(label=label),
     }
 
 

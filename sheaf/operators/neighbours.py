@@ -9,9 +9,12 @@ returns at most k rows per query, never its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -35,7 +38,7 @@ def nearest(
     block_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """Rows ``test_id, neighbour, distance`` of the k nearest, ties by id."""
+    """Rows ``test_id, neighbour, distance, place`` of the k nearest, ties by id."""
     centres = [
         r[0] for r in train.orderBy(hash_key(train_id, 0), train_id).select(vector).limit(pivots).collect()
     ]
@@ -123,9 +126,9 @@ def nearest(
     )
     rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "t"))
     return (
-        partial.withColumn("_r", rank)
-        .where(F.col("_r") <= k)
-        .select(F.col("q").alias(test_id), F.col("t").alias("neighbour"), "distance")
+        partial.withColumn("place", rank)
+        .where(F.col("place") <= k)
+        .select(F.col("q").alias(test_id), F.col("t").alias("neighbour"), "distance", "place")
     )
 
 
@@ -150,10 +153,93 @@ def knn_regression(
         F.col(train_id).cast("long").alias("neighbour"), F.col(target).cast("double").alias("_y")
     )
     joined = pairs.join(known, "neighbour")
+    return joined.groupBy(test_id).agg(_vote(k, weights).alias("prediction"))
+
+
+def _vote(k: int, weights: str) -> Column:
+    """Aggregate of ``_y`` over the ``k`` nearest of a query."""
+    y = F.when(F.col("place") <= k, F.col("_y"))
     if weights == "uniform":
-        return joined.groupBy(test_id).agg(F.avg("_y").alias("prediction"))
-    weight = F.try_divide(F.lit(1.0), F.col("distance"))
-    exact = F.avg(F.when(F.col("distance") == 0, F.col("_y")))
-    blended = F.sum(F.col("_y") * weight) / F.sum(weight)
-    return joined.groupBy(test_id).agg(F.coalesce(exact, blended).alias("prediction"))
+        return F.avg(y)
+    weight = F.when(F.col("place") <= k, F.try_divide(F.lit(1.0), F.col("distance")))
+    exact = F.avg(F.when(F.col("distance") == 0, y))
+    return F.coalesce(exact, F.sum(y * weight) / F.sum(weight))
+
+
+class KnnRegressor:
+    """The neighbours with the interface of the other regressors."""
+
+    def __init__(
+        self,
+        id_col: str = "id",
+        label: str = "label",
+        features: str = "features",
+        k: int = 5,
+        p: int = 2,
+        weights: str = "uniform",
+    ) -> None:
+        self.id_col, self.label, self.features = id_col, label, features
+        self.k, self.p, self.weights = k, p, weights
+
+    def fit(self, train: DataFrame) -> KnnRegressorModel:
+        return KnnRegressorModel(self, train)
+
+
+class KnnRegressorModel:
+    def __init__(self, spec: KnnRegressor, train: DataFrame) -> None:
+        self.spec, self.train = spec, train
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        s = self.spec
+        sides = [d.withColumn("_vec", vector_to_array(s.features)) for d in (self.train, df)]
+        predicted = knn_regression(
+            *sides, s.id_col, s.id_col, "_vec", s.label, s.k, s.p, s.weights
+        )
+        return df.join(predicted, s.id_col)
+
+
+def knn_search(
+    rows: DataFrame,
+    id_col: str,
+    vector: str,
+    target: str,
+    ks: Sequence[int] = (3, 5, 7),
+    ps: Sequence[int] = (1, 2),
+    weightings: Sequence[str] = ("uniform", "distance"),
+    folds: int = 5,
+    seed: int = 42,
+) -> DataFrame:
+    """Cross-validated R² of every setting: ``p, k, weights, R2``.
 
+    The neighbours of a fold are found once per metric, for the largest k;
+    all other settings are aggregates over them.
+    """
+    fold = F.pmod(F.conv(F.substring(hash_key(id_col, seed), 1, 7), 16, 10).cast("long"), F.lit(folds))
+    cut = written(rows.withColumn("_fold", fold), "knn-folds")
+    known = cut.select(
+        F.col(id_col).cast("long").alias("neighbour"), F.col(target).cast("double").alias("_y")
+    )
+    actual = cut.select(id_col, F.col(target).cast("double").alias("label"))
+    scores = None
+    for p in ps:
+        for f in range(folds):
+            train, test = cut.where(F.col("_fold") != f), cut.where(F.col("_fold") == f)
+            near = nearest(train, test, id_col, id_col, vector, max(ks), p).join(known, "neighbour")
+            votes = [
+                _vote(k, w).alias(f"{k}|{w}") for k in ks for w in weightings
+            ]
+            voted = near.groupBy(id_col).agg(*votes).join(actual, id_col)
+            long = voted.unpivot(
+                [id_col, "label"], [f"{k}|{w}" for k in ks for w in weightings], "setting", "prediction"
+            ).withColumn("fold", F.lit(f)).withColumn("p", F.lit(p))
+            scores = long if scores is None else scores.unionByName(long)
+    y, yhat = F.col("label"), F.col("prediction")
+    per_fold = scores.groupBy("p", "setting", "fold").agg(
+        (1 - F.try_divide(F.sum((y - yhat) * (y - yhat)), F.var_pop(y) * F.count(y))).alias("r2")
+    )
+    return per_fold.groupBy("p", "setting").agg(F.avg("r2").alias("R2")).select(
+        "p",
+        F.substring_index("setting", "|", 1).cast("int").alias("k"),
+        F.substring_index("setting", "|", -1).alias("weights"),
+        "R2",
+    )

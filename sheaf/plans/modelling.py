@@ -198,6 +198,13 @@ def _(t: Tables):
     return out.select("vec_id", F.round("prediction", 6).alias("prediction"))
 
 
+@query("m12_knn_search")
+def _(t: Tables):
+    rows = t.embeddings.select("vec_id", "embedding", "label")
+    out = N.knn_search(rows, "vec_id", "embedding", "label", ks=(3, 5), ps=(2,), folds=3)
+    return out.withColumn("R2", F.round("R2", 6))
+
+
 @query(
     "m14_regression_metrics",
     """select l_returnflag as model, round(1 - sum((l_extendedprice - p) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) as "R2",

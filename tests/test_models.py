@@ -119,3 +119,22 @@ def test_clusters_are_shared(spark):
     left, right = M.flag_clusters(train, train.limit(8), ("a", "b"), k=4)
     ids = {(r.a, r.b): r.cluster for r in left.collect()}
     assert all(ids[r.a, r.b] == r.cluster for r in right.collect())
+
+
+def test_knn_search_prefers_the_shape_of_the_data(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 2))
+    rows = spark.createDataFrame(
+        [(i, [float(a), float(b)], float(a + b)) for i, (a, b) in enumerate(x)], "id long, v array<double>, y double"
+    )
+    scores = N.knn_search(rows, "id", "v", "y", ks=(1, 5), ps=(2,), folds=2).collect()
+    assert len(scores) == 4
+    by = {(r.k, r.weights): r.R2 for r in scores}
+    assert by[1, "uniform"] == pytest.approx(by[1, "distance"])
+    assert all(0.5 < v <= 1 for v in by.values())
+
+
+def test_knn_model_has_the_shared_interface(spark):
+    data = spark.createDataFrame([(i, Vectors.dense([float(i)]), float(i)) for i in range(10)], ["id", "features", "label"])
+    scored = N.KnnRegressor(k=1).fit(data).transform(data)
+    assert M.regression_metrics(scored).first().R2 == 1.0
