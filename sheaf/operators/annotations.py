@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators.order_stats import POSITION_BLOCK, last_values, running_last
+from sheaf.operators.order_stats import POSITION_BLOCK, block_of, last_values, running_last
 from sheaf.schemas import (
     IGNORED_TAGS,
     MATERIAL_FIELDS,
@@ -247,13 +247,25 @@ def running_records(
         .agg(F.max_by(F.struct("value"), "pos").alias("_w"))
     )
     finals = written(finals, "passage-writes")
-    grid = passages.select("paper", "passage").join(
-        finals.select("paper", "section", "field").distinct(), "paper"
-    )
     keys = ["paper", "section", "field"]
-    state = written(grid.join(finals, [*keys, "passage"], "left"), "passage-grid")
+    fields = finals.select(*keys).distinct()
+    blocks = (
+        passages.select("paper", block_of("passage", block).alias("_blk"))
+        .distinct()
+        .join(fields, "paper")
+    )
+    grid = passages.select("paper", "passage").join(fields, "paper")
+    state = grid.join(finals, [*keys, "passage"], "left")
     both = running_last(
-        state, keys, "passage", F.col("_w"), "_after", before="_before", block=block
+        state,
+        keys,
+        "passage",
+        F.col("_w"),
+        "_after",
+        before="_before",
+        block=block,
+        marks=finals,
+        blocks=blocks,
     )
     return both.select(
         "paper",

@@ -85,6 +85,11 @@ def hash_rank(df: DataFrame, id_col: str, seed: int, name: str = "rank") -> Data
     )
 
 
+def block_of(order: str, block: int = POSITION_BLOCK) -> Column:
+    """The block a position falls in."""
+    return F.floor(F.col(order) / F.lit(block)).cast("long")
+
+
 def running_last(
     df: DataFrame,
     group: Sequence[str],
@@ -93,36 +98,47 @@ def running_last(
     name: str,
     before: str | None = None,
     block: int = POSITION_BLOCK,
+    marks: DataFrame | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` up to each row, as column ``name``.
 
     ``before`` names a second column that leaves the row itself out.
-
     Rows of a group are cut into blocks of ``block`` positions. Each block is
     scanned on its own; a second scan over one row per block carries the
     latest value forward, so no task ever scans a whole hot group.
+
+    Where ``df`` is large and its values few, ``marks`` (the rows with a
+    value) and ``blocks`` (``group`` and ``_blk`` of all rows) spare a second
+    pass over ``df``.
     """
     group = list(group)
-    held = df.withColumn("_v", value).withColumn(
-        "_blk", F.floor(F.col(order) / F.lit(block)).cast("long")
-    )
-    within = W.partitionBy(*group, "_blk").orderBy(order)
+    keys = [*group, "_blk"]
+    held = df.withColumn("_v", value).withColumn("_blk", block_of(order, block))
+    within = W.partitionBy(*keys).orderBy(order)
     latest = F.last("_v", ignorenulls=True)
-    held = held.withColumn(
+    scanned = held.withColumn(
         "_in", latest.over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
     if before:
-        held = held.withColumn("_ex", latest.over(within.rowsBetween(W.unboundedPreceding, -1)))
-    finals = held.groupBy(*group, "_blk").agg(
+        scanned = scanned.withColumn(
+            "_ex", latest.over(within.rowsBetween(W.unboundedPreceding, -1))
+        )
+    if marks is None:
+        source = held
+    else:
+        source = marks.withColumn("_v", value).withColumn("_blk", block_of(order, block))
+    finals = source.groupBy(*keys).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_final")
     )
+    if blocks is not None:
+        finals = blocks.join(finals, keys, "left")
     earlier = W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    # Groups of one block carry nothing, so this side is mostly empty.
     carried = finals.select(
-        *group, "_blk", F.last("_final", ignorenulls=True).over(earlier).alias("_carry")
-    )
-    out = held.join(carried, [*group, "_blk"], "left").withColumn(
-        name, F.coalesce("_in", "_carry")
-    )
+        *keys, F.last("_final", ignorenulls=True).over(earlier).alias("_carry")
+    ).where("_carry is not null")
+    out = scanned.join(carried, keys, "left").withColumn(name, F.coalesce("_in", "_carry"))
     if before:
         out = out.withColumn(before, F.coalesce("_ex", "_carry"))
     return out.drop("_v", "_blk", "_in", "_ex", "_carry")
