@@ -23,7 +23,6 @@ HEADLINE = (
     "c1_conformed_records",
     "d2_concat_texts",
     "d5_one_row_per_doi",
-    "e14_test_pair_scores",
     "e23_macro_f1",
     "e_record_evaluation",
     "k6_records_per_molecule",
@@ -35,7 +34,6 @@ HEADLINE = (
     "p1_expanded_tests",
     "p4_humidity",
     "p13_formula_amounts",
-    "r8_filtered_documents",
     "r9_chunks_above_percentile",
     "t2_keyword_filter",
     "t4_tfidf",
