@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe
+from sheaf.llm import bpe, packing
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,11 @@ def op6_byte_bpe(table) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_mixture_packing")
+def op10_mixture_packing(table) -> DataFrame:
+    pieces = packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.with_checksums(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
