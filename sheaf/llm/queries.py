@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, packing
+from sheaf.llm import bpe, packing, substring
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op10_mixture_packing(table) -> DataFrame:
     return packing.with_checksums(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
