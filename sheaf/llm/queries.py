@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, packing, substring
+from sheaf.llm import bpe, minhash, packing, substring
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op1_substring_dedup(table) -> DataFrame:
     return substring.remove_repeats(docs).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op2_minhash_dedup")
+def op2_minhash_dedup(table) -> DataFrame:
+    return minhash.near_duplicates(table("documents"))
