@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, minhash, packing, substring
+from sheaf.llm import bpe, minhash, packing, substring, topk
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,27 @@ def op1_substring_dedup(table) -> DataFrame:
 @query("op2_minhash_dedup")
 def op2_minhash_dedup(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"))
+
+
+_OP8 = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) e
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score
+    from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op8_exact_topk", _OP8)
+def op8_exact_topk(table) -> DataFrame:
+    rows = topk.quantized(table("embeddings"), "vec_id", "embedding", 1024)
+    found = topk.search(rows.filter("id % 100 = 0"), rows, k=10)
+    return found.withColumnRenamed("id", "vec_id")
