@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, minhash, packing, substring, topk
+from sheaf.llm import bpe, chat, minhash, packing, substring, topk
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op8_exact_topk(table) -> DataFrame:
     rows = topk.quantized(table("embeddings"), "vec_id", "embedding", 1024)
     found = topk.search(rows.filter("id % 100 = 0"), rows, k=10)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op9_chat_format")
+def op9_chat_format(table) -> DataFrame:
+    return chat.repair(table("conversations"))
