@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, minhash, packing, substring, topk
+from sheaf.llm import bpe, chat, language, minhash, packing, quality, sampling, substring, topk
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,36 @@ def op8_exact_topk(table) -> DataFrame:
 @query("op9_chat_format")
 def op9_chat_format(table) -> DataFrame:
     return chat.repair(table("conversations"))
+
+
+@query("op3_language_id")
+def op3_language_id(table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text", "lang")
+    part = sampling.remainder(F.col("doc_id"), 5)
+    training = docs.filter(part != 0).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    found = language.predict(docs.select("doc_id", "text"), language.fit(training))
+    held_out = F.coalesce(sampling.remainder(F.col("row.doc_id"), 5) == 0, F.lit(False))
+    return found.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality")
+def op4_quality(table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text")
+    found = quality.score(docs, quality.fit(labelled_quality(docs, table("labels"))))
+    held_out = F.coalesce(sampling.remainder(F.col("row.doc_id"), 4) == 2, F.lit(False))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, text, label`` of the labelled documents outside the held-out fold."""
+    marks = labels.filter(sampling.remainder(F.col("doc_id"), 4) != 2).select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
+    chosen = sampling.bounded(marks.dropna().filter("label in (0, 1)"), quality.PER_LABEL)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
