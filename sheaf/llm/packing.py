@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +27,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.batches import utf8
+from sheaf.llm.batches import chunks, utf8
 from sheaf.session import written
 
 SEQUENCE, WINDOW = 4096, 32
 # Sources beyond so many, the smallest ones, wait in one queue together.
 MAX_QUEUES = 256
 # Words a task remembers; beyond them it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+
+
+# Words of these characters are folded and split here, as the tokenizer would:
+# they have no other composed form, and their lower case has one character.
+# All others go through the library as they are.
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_LETTERS = r"a-z\u00DF-\u00F6\u00F8-\u017F"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class WordCache:
@@ -40,42 +50,65 @@ class WordCache:
 
     The tokenizer drops white space and never merges across it, so the words
     between ASCII white space are encoded once each and their ids put together.
+    A new word is split into what the merges work on, and the library's model
+    is asked once for each such part.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        printable = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The characters that stand for a character's bytes in the vocabulary.
+        self.visible = {
+            c: printable.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xC0, 0x180), *range(0x21, 0x7F))
+        }
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def word(self, word: str) -> list[int]:
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = []
+        for part in _SPLIT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                seen = part if part.isascii() else part.translate(self.visible)
+                ids = self.parts[part] = [t.id for t in self.model.tokenize(seen)]
+            out += ids
+        return out
+
     def learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids = [self.word(w.decode()) for w in new]
         lengths = np.array([len(x) for x in ids], np.int64)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
 
-    def encode(self, text: bytes, end_id: int) -> np.ndarray:
-        found = text.split()
+    def encode(self, batch: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Ids of each text with ``end_id`` behind them."""
+        found = [text.split() for text in batch]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(found) if w not in self.index]
-        if new:
+        if new := [w for w in dict.fromkeys(itertools.chain.from_iterable(found)) if w not in self.index]:
             self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        out = np.empty(int(ends[-1]) + 1 if len(ends) else 1, "<u4")
-        out[-1] = end_id
-        place = np.arange(len(out) - 1) + np.repeat(self.starts[at] - (ends - lengths), lengths)
-        out[:-1] = self.ids[place]
+        out = []
+        for words in found:
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            lengths = self.lengths[at]
+            ends = np.cumsum(lengths)
+            ids = np.empty(int(ends[-1]) + 1 if len(ends) else 1, "<u4")
+            ids[-1] = end_id
+            place = np.arange(len(ids) - 1) + np.repeat(self.starts[at] - (ends - lengths), lengths)
+            ids[:-1] = self.ids[place]
+            out.append(ids)
         return out
 
 
@@ -89,10 +122,9 @@ def tokenized(
         cache, served, part = WordCache(tokenizer_file), {}, TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            ids = [
-                cache.encode(data[offsets[i] : offsets[i + 1]].tobytes(), end_id)
-                for i in range(batch.num_rows)
-            ]
+            ids = []
+            for a, b in chunks(offsets):
+                ids += cache.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], end_id)
             at = []
             for name, own in zip(batch.column(2).to_pylist(), ids, strict=True):
                 at.append(served.get(name, 0))
@@ -254,6 +286,8 @@ def pack(
     places = inner.join(bases, ["queue", "part"]).select(
         F.col("part").alias("p"), F.col("source").alias("s"), "queue", (F.col("base") + F.col("inner")).alias("base")
     )
+    # Written, so that its size is known and the ids stay in place where it is small.
+    places = written(places, "places")
     placed = stored.join(places, (stored.part == places.p) & stored.source.eqNullSafe(places.s)).select(
         "doc", "ids", "queue", (F.col("base") + F.col("at")).alias("first")
     )

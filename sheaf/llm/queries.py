@@ -21,6 +21,8 @@ def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tune(spark)
+            # Rows are whole texts; a batch of the default size holds too many.
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
             return fn(lambda table: spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
         QUERIES[name] = run

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -98,5 +100,18 @@ def test_checksum(spark):
 @pytest.mark.parametrize("text", ["A<|endoftext|>b", "ΣΑΣ ΑΣ.", "x y z", "'s it's", "́a"])
 def test_words_one_by_one_have_the_ids_of_the_whole(text):
     whole = Tokenizer.from_file(FILE).encode(f"{text} {text}\n{text}", add_special_tokens=False).ids
-    got = packing.WordCache(FILE).encode(f"{text} {text}\n{text}".encode(), 2)
-    assert got.tolist() == whole + [2]
+    got = packing.WordCache(FILE).encode([f"{text} {text}\n{text}".encode()], 2)
+    assert got[0].tolist() == whole + [2]
+
+
+def test_random_words_have_the_ids_of_the_whole():
+    pick = random.Random(4)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), 0x301, 0x3A3, 0x1E9E, 0x4E2D, 0x85, 0xA0, 0x1C)]
+    common = ["'s", "'re", "Étoile", "ſ", "12", "İ", "don't", "x.", "<|endoftext|>"]
+    texts = [
+        " ".join("".join(pick.choice(pick.choice([letters, letters[:94], common])) for _ in range(pick.randint(1, 8))) for _ in range(30))
+        for _ in range(200)
+    ]
+    tokenizer, got = Tokenizer.from_file(FILE), packing.WordCache(FILE).encode([t.encode() for t in texts], 2)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
