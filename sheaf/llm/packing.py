@@ -33,8 +33,8 @@ from sheaf.session import written
 SEQUENCE, WINDOW = 4096, 32
 # Sources beyond so many, the smallest ones, wait in one queue together.
 MAX_QUEUES = 256
-# Words a task remembers; beyond them it starts anew.
-CACHE_WORDS = 600_000
+# Words a process remembers; beyond them it starts anew.
+CACHE_WORDS = 500_000
 
 
 # Words of these characters are folded and split here, as the tokenizer would:
@@ -45,6 +45,18 @@ _LETTERS = r"a-z\u00DF-\u00F6\u00F8-\u017F"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
+class _Index(dict):
+    """Numbers of words; a new word gets the next number and waits to be learnt."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCache:
     """Ids of texts, one lookup per word.
 
@@ -67,7 +79,7 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.parts: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -75,8 +87,10 @@ class WordCache:
     def word(self, word: str) -> list[int]:
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = []
-        for part in _SPLIT.findall(word.lower()):
+        out, word = [], word.lower()
+        # Letters alone are one part; so are they before a single other character.
+        found = (word,) if word.isalpha() else (word[:-1], word[-1]) if word[:-1].isalpha() else _SPLIT.findall(word)
+        for part in found:
             ids = self.parts.get(part)
             if ids is None:
                 seen = part if part.isascii() else part.translate(self.visible)
@@ -84,24 +98,24 @@ class WordCache:
             out += ids
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        ids = [self.word(w.decode()) for w in new]
+    def learn(self) -> None:
+        ids = [self.word(w.decode()) for w in self.index.new]
+        self.index.new = []
         lengths = np.array([len(x) for x in ids], np.int64)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
 
     def encode(self, batch: list[bytes], end_id: int) -> list[np.ndarray]:
         """Ids of each text with ``end_id`` behind them."""
-        found = [text.split() for text in batch]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        if new := [w for w in dict.fromkeys(itertools.chain.from_iterable(found)) if w not in self.index]:
-            self.learn(new)
+        number = self.index.__getitem__
+        found = [np.array(list(map(number, text.split())), np.int64) for text in batch]
+        if self.index.new:
+            self.learn()
         out = []
-        for words in found:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        for at in found:
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
             ids = np.empty(int(ends[-1]) + 1 if len(ends) else 1, "<u4")
@@ -112,6 +126,10 @@ class WordCache:
         return out
 
 
+# Kept for the tasks that follow in the same process.
+_cache = functools.lru_cache(maxsize=1)(WordCache)
+
+
 def tokenized(
     docs: DataFrame, tokenizer_file: str, end_id: int, id_column: str, text: str, source: str
 ) -> DataFrame:
@@ -119,7 +137,7 @@ def tokenized(
     the queue of its source among the documents of one task (``part``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, served, part = WordCache(tokenizer_file), {}, TaskContext.get().partitionId()
+        cache, served, part = _cache(tokenizer_file), {}, TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = []

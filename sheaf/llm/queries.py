@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, language, minhash, packing, quality, sampling, substring, topk
+from sheaf.llm import bpe, chat, htmltext, language, minhash, packing, quality, sampling, substring, topk
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = sampling.bounded(marks.dropna().filter("label in (0, 1)"), quality.PER_LABEL)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
+
+
+@query("op5_main_text")
+def op5_main_text(table) -> DataFrame:
+    pages = table("pages").select("page_id", "url", "html")
+    found = htmltext.main_text(pages, htmltext.fit(pages))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
