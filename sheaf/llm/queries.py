@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, htmltext, language, minhash, packing, quality, sampling, substring, topk
+from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, topk
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op5_main_text(table) -> DataFrame:
     pages = table("pages").select("page_id", "url", "html")
     found = htmltext.main_text(pages, htmltext.fit(pages))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op7_near_vectors")
+def op7_near_vectors(table) -> DataFrame:
+    return neargraph.near_duplicates(table("embeddings"))
