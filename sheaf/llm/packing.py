@@ -126,8 +126,10 @@ class WordCache:
         return out
 
 
-# Kept for the tasks that follow in the same process.
-_cache = functools.lru_cache(maxsize=1)(WordCache)
+@functools.lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """Kept for the tasks that follow in the same process."""
+    return WordCache(path)
 
 
 def tokenized(
@@ -137,7 +139,7 @@ def tokenized(
     the queue of its source among the documents of one task (``part``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, served, part = _cache(tokenizer_file), {}, TaskContext.get().partitionId()
+        cache, served, part = word_cache(tokenizer_file), {}, TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = []

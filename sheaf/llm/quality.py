@@ -77,6 +77,7 @@ class Model:
 
     buckets: np.ndarray
     bias: float
+    trained: bool = True
 
 
 def train(
@@ -163,7 +164,7 @@ def fit(training: DataFrame, per_label: int = PER_LABEL) -> Model:
         (r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float)) for r in found
     ]
     if not examples:
-        return Model(np.zeros(BUCKETS + 1), 0.0)
+        return Model(np.zeros(BUCKETS + 1), 0.0, trained=False)
     return train(examples)
 
 

@@ -15,14 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Settings that the operators' queries count on."""
+    # Rows are whole texts; a batch of the default size holds too many.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return tune(spark)
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query that gets a function from table name to table."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tune(spark)
-            # Rows are whole texts; a batch of the default size holds too many.
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+            prepared(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
         QUERIES[name] = run
