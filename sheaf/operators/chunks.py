@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.similarity import combined_score, cosine, euclidean
-from sheaf.functions.text import is_chunk, lines
+from sheaf.functions.text import TERM_BUCKETS, is_chunk, lines, term_buckets
 from sheaf.operators.order_stats import exact_quantiles
-from sheaf.operators.relevance import MAX_FEATURES, term_counts, vocabulary
 
 # Scores are compared after rounding: equal chunks must equal their mean.
 SCORE_DIGITS = 9
 
 
+# Terms are hashed, so that no term is left out and weights have a fixed size.
+BUCKETS = TERM_BUCKETS
+
+
+def numbered_chunks(text: Column) -> Column:
+    """Structs ``pos, chunk`` of every line worth scoring; none for a null text."""
+    numbered = F.transform(lines(text), lambda line, i: F.struct(i.alias("pos"), line.alias("chunk")))
+    return F.coalesce(F.filter(numbered, lambda c: is_chunk(c["chunk"], c["pos"])), F.filter(F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("").alias("chunk"))), lambda c: F.lit(False)))
+
+
 def chunk_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Rows ``key, pos, chunk`` for every line worth scoring."""
-    # The outer form infers no filter on the text, so that this branch and the
-    # one that re-assembles the text share one exchange.
-    return (
-        df.select(key, F.posexplode_outer(lines(F.col(text))).alias("pos", "chunk"))
-        .where(is_chunk(F.col("chunk"), F.col("pos")))
-    )
+    """Rows ``key, pos, chunk`` for every line worth scoring; nothing is exchanged."""
+    return df.select(key, F.explode(numbered_chunks(F.col(text))).alias("c")).select(key, "c.pos", "c.chunk")
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -33,35 +38,77 @@ def query_terms(query: str) -> dict[str, int]:
     return dict(Counter(found))
 
 
-def tfidf_scores(
-    chunks: DataFrame,
-    keys: Sequence[str],
-    query: str,
-    chunk: str = "chunk",
-    max_features: int = MAX_FEATURES,
-) -> DataFrame:
-    """Cosine of every chunk to the query in TF-IDF space: ``keys, cos``.
+def query_buckets(query: str) -> dict[int, int]:
+    """How many terms of the query fall into each bucket."""
+    out: Counter[int] = Counter()
+    for term, n in query_terms(query).items():
+        out[int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % BUCKETS] += n
+    return dict(out)
+
 
-    Give it chunks partitioned by document: terms are then counted and weighed
-    against the broadcast vocabulary without an exchange.
+def bucket_weights(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row ``idf``: the smoothed idf of every bucket over all chunks.
+
+    A chunk's buckets are made distinct in their row and counts combine before
+    the shuffle, which thus moves one number per task and bucket at most.
     """
-    counts = term_counts(chunks, keys, F.col(chunk))
-    n = chunks.agg(F.count("*").alias("n")).scalar()
-    asked = F.lit(0)
-    for term, tf in query_terms(query).items():
-        asked = F.when(F.col("term") == term, F.lit(tf)).otherwise(asked)
-    vocab = vocabulary(counts, n, max_features).select(
-        "term", "idf", (asked * F.col("idf")).alias("q")
-    )
-    length = vocab.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("l")).scalar()
-    weighed = counts.join(F.broadcast(vocab), "term", "left").withColumn(
-        "w", F.col("tf") * F.col("idf")
+    seen = F.transform(numbered_chunks(F.col(text)), lambda c: F.array_distinct(term_buckets(c["chunk"])))
+    # Bucket -1 counts the chunks themselves.
+    every = F.flatten(F.transform(seen, lambda b: F.concat(F.array(F.lit(-1)), b)))
+    counts = df.select(F.explode(every).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    n = counts.where("bucket = -1").agg(F.coalesce(F.first("df"), F.lit(0)).alias("n")).scalar()
+    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    weighed = every.join(counts, "bucket", "left").select(
+        "bucket", (F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")
     )
-    sums = weighed.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("w")).alias("_ww"), F.sum(F.col("w") * F.col("q")).alias("_wq")
+    gathered = F.array_sort(F.collect_list(F.struct("bucket", "idf")))
+    return weighed.agg(F.transform(gathered, lambda e: e["idf"]).alias("idf"))
+
+
+def chunk_cosine(chunk: Column, idf: Column, query: str) -> Column:
+    """Cosine of a chunk to the query in TF-IDF space, from the chunk alone."""
+    asked = query_buckets(query)
+
+    def weight(bucket: Column) -> Column:
+        return F.get(idf, bucket)
+
+    def query_weight(bucket: Column) -> Column:
+        tf = F.lit(0)
+        for b, n in asked.items():
+            tf = F.when(bucket == b, F.lit(n)).otherwise(tf)
+        return tf * weight(bucket)
+
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("ww"), F.lit(0.0).alias("wq"))
+
+    def add(s: Column, b: Column) -> Column:
+        # Equal buckets come one after another: (run + 1)^2 - run^2 more each time.
+        run = F.when(s["last"] == b, s["run"]).otherwise(0)
+        w = weight(b)
+        return F.struct(
+            b.alias("last"),
+            (run + 1).alias("run"),
+            (s["ww"] + (2 * run + 1) * w * w).alias("ww"),
+            (s["wq"] + w * query_weight(b)).alias("wq"),
+        )
+
+    length = F.sqrt(sum(((F.lit(n) * weight(F.lit(b))) * (F.lit(n) * weight(F.lit(b))) for b, n in asked.items()), F.lit(0.0)))
+    sums = F.aggregate(F.array_sort(term_buckets(chunk)), zero, add)
+    cos = F.transform(F.array(sums), lambda s: F.try_divide(s["wq"], F.sqrt(s["ww"]) * length))[0]
+    return F.round(F.coalesce(cos, F.lit(0.0)), SCORE_DIGITS)
+
+
+def scored_chunks(df: DataFrame, query: str, text: str = "text", name: str = "scored") -> DataFrame:
+    """Add ``name``: structs ``pos, cos`` of every chunk of the row's text.
+
+    Each row is scored by itself against one row of weights, whose size is
+    fixed; texts and keys move nowhere, so null and repeated keys do not matter.
+    """
+    idf = bucket_weights(df, text).scalar()
+    scores = F.transform(
+        numbered_chunks(F.col(text)),
+        lambda c: F.struct(c["pos"].alias("pos"), chunk_cosine(c["chunk"], F.col("_idf"), query).alias("cos")),
     )
-    cos = F.try_divide(F.col("_wq"), F.sqrt("_ww") * length)
-    return sums.select(*keys, F.round(F.coalesce(cos, F.lit(0.0)), SCORE_DIGITS).alias("cos"))
+    return df.withColumn("_idf", idf).withColumn(name, scores).drop("_idf")
 
 
 def vector_scores(df: DataFrame, vector: str, query: Column) -> DataFrame:
@@ -89,52 +136,33 @@ def above_group_mean(df: DataFrame, group: str, score: str) -> DataFrame:
     )
 
 
-def kept_positions(scores: DataFrame, key: str) -> DataFrame:
-    """Per document the ordered positions of chunks at or above its mean.
-
-    The gathered scores of a document never outgrow the text they came from,
-    which already sits in one row.
-    """
-    gathered = scores.groupBy(key).agg(
-        F.collect_list(F.struct("pos", "cos")).alias("s"), F.avg("cos").alias("m")
-    )
-    kept = F.filter("s", lambda c: c["cos"] >= F.round("m", SCORE_DIGITS))
-    return gathered.select(
-        key,
-        F.array_sort(F.transform(kept, lambda c: c["pos"])).alias("kept"),
-        F.size("s").alias("n_chunks"),
+def mean_filter(scored: Column) -> Column:
+    """Positions of the chunks at or above the mean score of their row."""
+    mean = F.try_divide(F.aggregate(scored, F.lit(0.0), lambda a, c: a + c["cos"]), F.size(scored))
+    return F.transform(
+        F.filter(scored, lambda c: c["cos"] >= F.round(mean, SCORE_DIGITS)), lambda c: c["pos"]
     )
 
 
-def assemble(df: DataFrame, kept: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Add ``filtered_text``: kept lines in order; none gives ``""``."""
-    all_lines = F.col("_lines")
-    chosen = F.transform("kept", lambda p: F.element_at(all_lines, p + 1))
-    return (
-        df.withColumn("_lines", lines(F.col(text)))
-        .join(kept, key, "left")
-        .withColumn("filtered_text", F.coalesce(F.array_join(chosen, "\n"), F.lit("")))
-        .drop("_lines")
-    )
+def assemble(text: Column, kept: Column) -> Column:
+    """Kept lines in order; none gives ``""``."""
+    all_lines = F.coalesce(lines(text), F.array(F.lit("")))
+    return F.coalesce(F.array_join(F.transform(kept, lambda p: F.get(all_lines, p)), "\n"), F.lit(""))
 
 
-def filter_documents(
-    df: DataFrame, key: str, text: str, query: str, max_features: int = MAX_FEATURES
-) -> DataFrame:
-    """Chunk, score, keep by document mean and re-assemble.
+def filter_documents(df: DataFrame, text: str, query: str) -> DataFrame:
+    """Chunk, score, keep by the row's mean and re-assemble, row by row.
 
-    Texts move once, partitioned by document. Scoring, keeping and putting the
-    text back together all read that one exchange; the other columns, small
-    next to the text, join at the end.
+    Adds ``kept`` (positions), ``n_chunks`` and ``filtered_text`` and drops the
+    text. Only the counts of terms cross the network.
     """
-    # The last join drops null keys; dropping them here too keeps one exchange.
-    df = df.where(F.col(key).isNotNull())
-    texts = df.select(key, text).repartition(key)
-    scored = tfidf_scores(
-        chunk_rows(texts, key, text), [key, "pos"], query, max_features=max_features
+    scored = scored_chunks(df, query, text, "_scored")
+    kept = scored.withColumn("kept", mean_filter(F.col("_scored")))
+    return (
+        kept.withColumn("n_chunks", F.size("_scored"))
+        .withColumn("filtered_text", assemble(F.col(text), F.col("kept")))
+        .drop("_scored", text)
     )
-    out = assemble(texts, kept_positions(scored, key), key, text)
-    return df.drop(text).join(out, key)
 
 
 def above_percentile(df: DataFrame, score: str, share: float = 0.7) -> DataFrame:

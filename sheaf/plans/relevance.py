@@ -225,36 +225,47 @@ def _(t: Tables):
     )
 
 
-_CHUNKS = """
-raw as (select doc_id, unnest(string_split(text, chr(10))) as chunk,
-               generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from @documents),
+# Documents with null and repeated keys; ``rid`` tells rows apart.
+KEYED = """
+select doc_id as rid, case when doc_id % 50 = 7 then null when doc_id % 50 = 9 then doc_id - 1 else doc_id end as doc_id,
+       lang, case when doc_id % 200 = 11 then null else text end as text
+from @documents
+"""
+_CHUNKS = f"""
+docs as ({KEYED}),
+raw as (select rid, doc_id, unnest(string_split(text, chr(10))) as chunk,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from docs),
 chunks as (select * from raw where pos > 0 and regexp_matches(chunk, '\\S')
            and not starts_with(chunk, chr(9) || chr(9) || chr(9)))
 """
-_ASKED = "case " + " ".join(
-    f"when term = '{w}' then {n}" for w, n in R.query_terms(QUERY).items()
-) + " else 0 end"
+_ASKED = "case " + " ".join(f"when b = {b} then {n}" for b, n in R.query_buckets(QUERY).items()) + " else 0 end"
 _SCORES = f"""
 {_CHUNKS},
-tf as (select doc_id, pos, term, count(*) as tf from (
-         select doc_id, pos, unnest(regexp_extract_all(lower(chunk), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term
-         from chunks) group by all),
-vocab0 as (select term, sum(tf) as total, count(*) as df from tf group by term
-           order by total desc, term limit 4000),
-vocab as (select term, idf, {_ASKED} * idf as q from (
-            select term, ln((1.0::double + (select count(*) from chunks)) / (1 + df)) + 1 as idf from vocab0)),
-sums as (select doc_id, pos, sum(tf * idf * tf * idf) as ww, sum(tf * idf * q) as wq
-         from tf join vocab using (term) group by all),
-scores as (select doc_id, pos, chunk,
+tf as (select rid, pos, b, count(*) as tf from (
+         select rid, pos, cast('0x' || substr(md5(term), 1, 4) as int) % {R.BUCKETS} as b from (
+           select rid, pos, unnest(regexp_extract_all(lower(chunk), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term
+           from chunks)) group by all),
+dfs as (select b, count(*) as df from tf group by b),
+every as (select range as b, coalesce(df, 0) as df from range({R.BUCKETS}) left join dfs on range = b),
+vocab as (select b, idf, {_ASKED} * idf as q from (
+            select b, ln((1.0::double + (select count(*) from chunks)) / (1 + df)) + 1 as idf from every)),
+sums as (select rid, pos, sum(tf * idf * tf * idf) as ww, sum(tf * idf * q) as wq
+         from tf join vocab using (b) group by all),
+scores as (select rid, doc_id, pos, chunk,
              round(coalesce(wq / nullif(sqrt(ww) * (select sqrt(sum(q * q)) from vocab), 0), 0), 9) as cos
-           from chunks left join sums using (doc_id, pos)),
-kept as (select s.* from scores s join (select doc_id, round(avg(cos), 9) as m from scores group by doc_id)
-         using (doc_id) where cos >= m)
+           from chunks left join sums using (rid, pos)),
+kept as (select s.* from scores s join (select rid, round(avg(cos), 9) as m from scores group by rid)
+         using (rid) where cos >= m)
 """
 
 
-def _chunks(t: Tables):
-    return R.chunk_rows(t.documents.select("doc_id", "text").repartition("doc_id"), "doc_id")
+def _keyed(t: Tables):
+    return t.derive(KEYED)
+
+
+def _scores(t: Tables):
+    scored = R.scored_chunks(_keyed(t), QUERY)
+    return scored.select("doc_id", F.explode("scored").alias("c")).select("doc_id", "c.pos", "c.cos")
 
 
 @query(
@@ -262,7 +273,7 @@ def _chunks(t: Tables):
     f"with {_CHUNKS} select doc_id, cast(pos as int) as pos, md5(chunk) as chunk_md5 from chunks",
 )
 def _(t: Tables):
-    return _chunks(t).select("doc_id", "pos", F.md5("chunk").alias("chunk_md5"))
+    return R.chunk_rows(_keyed(t), "doc_id").select("doc_id", "pos", F.md5("chunk").alias("chunk_md5"))
 
 
 @query(
@@ -270,7 +281,7 @@ def _(t: Tables):
     f"with {_SCORES} select doc_id, cast(pos as int) as pos, cos from scores",
 )
 def _(t: Tables):
-    return R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY)
+    return _scores(t)
 
 
 _QVEC = "q as (select embedding::double[] as q from @embeddings where vec_id = 0)"
@@ -324,27 +335,25 @@ def _(t: Tables):
 
 @query(
     "r7_reassembled_text",
-    f"""with {_SCORES}, a as (select doc_id, count(*) as n_kept, string_agg(chunk, chr(10) order by pos) as x
-                              from kept group by doc_id)
+    f"""with {_SCORES}, a as (select rid, count(*) as n_kept, string_agg(chunk, chr(10) order by pos) as x
+                              from kept group by rid)
     select d.doc_id, coalesce(n_kept, 0) as n_kept, md5(coalesce(x, '')) as text_md5
-    from @documents d left join a using (doc_id)""",
+    from docs d left join a using (rid)""",
 )
 def _(t: Tables):
-    docs = t.documents.select("doc_id", "text").repartition("doc_id")
-    scores = R.tfidf_scores(R.chunk_rows(docs, "doc_id"), ["doc_id", "pos"], QUERY)
-    out = R.assemble(docs, R.kept_positions(scores, "doc_id"), "doc_id")
-    n_kept = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
-    return out.select("doc_id", n_kept.alias("n_kept"), F.md5("filtered_text").alias("text_md5"))
+    scored = R.scored_chunks(_keyed(t), QUERY).withColumn("kept", R.mean_filter(F.col("scored")))
+    text = R.assemble(F.col("text"), F.col("kept"))
+    return scored.select("doc_id", F.size("kept").cast("long").alias("n_kept"), F.md5(text).alias("text_md5"))
 
 
 @query(
     "r8_filtered_documents",
-    f"""with {_SCORES}, a as (select doc_id, string_agg(chunk, chr(10) order by pos) as x
-                              from kept group by doc_id)
-    select d.doc_id, lang, coalesce(x, '') as filtered_text from @documents d left join a using (doc_id)""",
+    f"""with {_SCORES}, a as (select rid, string_agg(chunk, chr(10) order by pos) as x
+                              from kept group by rid)
+    select d.doc_id, lang, coalesce(x, '') as filtered_text from docs d left join a using (rid)""",
 )
 def _(t: Tables):
-    out = R.filter_documents(t.documents, "doc_id", "text", QUERY)
+    out = R.filter_documents(_keyed(t), "text", QUERY)
     return out.select("doc_id", "lang", "filtered_text")
 
 
@@ -367,19 +376,19 @@ def _(t: Tables):
     select doc_id, cast(pos as int) as pos, cos from scores, b where cos >= b""",
 )
 def _(t: Tables):
-    scores = written(R.tfidf_scores(_chunks(t), ["doc_id", "pos"], QUERY), "chunk-scores")
+    scores = written(_scores(t), "chunk-scores")
     return R.above_percentile(scores, "cos", 0.7)
 
 
 @query(
     "flagship_relevant_text",
-    f"""with {_SCORES}, a as (select doc_id, count(*) as n_kept, string_agg(chunk, chr(10) order by pos) as x
-                              from kept group by doc_id),
-      n as (select doc_id, count(*) as n_chunks from chunks group by doc_id),
-      f as (select d.doc_id, d.lang, l.quality, coalesce(n_kept, 0) as n_kept,
+    f"""with {_SCORES}, a as (select rid, count(*) as n_kept, string_agg(chunk, chr(10) order by pos) as x
+                              from kept group by rid),
+      n as (select rid, count(*) as n_chunks from chunks group by rid),
+      f as (select d.rid, d.lang, l.quality, coalesce(n_kept, 0) as n_kept,
                    coalesce(n_chunks, 0) as n_chunks, length(coalesce(x, '')) as kept_chars
-            from @documents d left join a using (doc_id) left join n using (doc_id)
-                 left join @labels l using (doc_id))
+            from docs d left join a using (rid) left join n using (rid)
+                 left join @labels l on d.doc_id = l.doc_id)
     select lang, count(*) as n_docs, cast(sum(n_chunks) as bigint) as n_chunks,
            cast(sum(n_kept) as bigint) as n_kept, cast(sum(kept_chars) as bigint) as kept_chars,
            round(100.0::double * count(quality) / count(*), 6) as labelled_pct
@@ -387,7 +396,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Relevant text per language, with the share of labelled documents."""
-    kept = R.filter_documents(t.documents, "doc_id", "text", QUERY)
+    kept = R.filter_documents(_keyed(t), "text", QUERY)
     flat = kept.select(
         "doc_id",
         "lang",
