@@ -130,9 +130,22 @@ def blanked(record: Column, layout: Layout = SEMI_NESTED) -> Column:
 
 
 def paired(annotations: DataFrame, extractions: DataFrame, paper: str = "paper") -> DataFrame:
-    """Inner join on the paper: ``paper, pos, annotation, extracted``."""
-    left = annotations.select(paper, "pos", F.col("record").alias("annotation"))
-    right = extractions.select(paper, F.col("record").alias("extracted"))
+    """Inner join on the paper: ``paper, pos, annotation, extracted``.
+
+    Where a side tells its ``keys``, they come along as ``annotation_keys`` and
+    ``extracted_keys``; null stands for all of them.
+    """
+
+    def keys(side: DataFrame, name: str) -> Column:
+        held = F.col("keys") if "keys" in side.columns else F.lit(None).cast("array<string>")
+        return held.alias(name)
+
+    left = annotations.select(
+        paper, "pos", F.col("record").alias("annotation"), keys(annotations, "annotation_keys")
+    )
+    right = extractions.select(
+        paper, F.col("record").alias("extracted"), keys(extractions, "extracted_keys")
+    )
     return left.join(right, paper)
 
 
@@ -272,7 +285,12 @@ def test_outcomes(
     long = matched.select(
         *keys, F.col("extracted_test").isNull().alias("unmatched"), F.explode(cells).alias("c")
     ).select(*keys, "unmatched", "c.*")
-    long = long.withColumn("similarity", ratio(F.lower("label"), F.lower("value")))
+    # Numbers are never compared as texts.
+    as_text = F.col("field").isin(*layout.test_text, *(RANGE_FIELDS if ranges_stay else ()))
+    both = as_text & F.col("label").isNotNull() & F.col("value").isNotNull()
+    long = long.withColumn(
+        "similarity", ratio(F.when(both, F.lower("label")), F.when(both, F.lower("value")))
+    )
     label, value = F.col("label"), F.col("value")
     text = O.text_outcome(label, value, F.col("similarity"), O.TEST_TEXT_THRESHOLD, hallucinated)
     ranged = O.range_outcome(label, value, F.col("similarity"), hallucinated)
@@ -296,36 +314,63 @@ def top_outcomes(
     layout: Layout = SEMI_NESTED,
     hallucinated: str = "TN",
 ) -> DataFrame:
-    """Outcome of every top field: ``keys, field, outcome``."""
+    """Outcome of every top field: ``keys, field, outcome``.
+
+    With ``<label>_keys`` and ``<extracted>_keys``, the top fields that either
+    text holds: a field the label lacks has no outcome, and one that only the
+    extraction lacks is right where the label is null.
+    """
+    def has(side: str, f: str) -> Column:
+        name = f"{side}_keys"
+        if name not in df.columns:
+            return F.lit(True)
+        return F.coalesce(F.array_contains(name, f), F.lit(True))
+
     cells = F.array(
         *[
             F.struct(
                 F.lit(f).alias("field"),
                 F.col(label)[f].alias("label"),
                 F.col(extracted)[f].alias("value"),
+                has(label, f).alias("asked"),
+                has(extracted, f).alias("answered"),
             )
             for f in layout.top
         ]
     )
-    long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("asked")
     own = F.when(
         F.col("field") == "electron_transport_layer", O.etl_name(F.col("label"))
     ).otherwise(F.col("label"))
     long = long.withColumn("label", own)
-    scored = with_text_similarity(long, "label", "value", "similarity")
+    # Numbers are never compared as texts.
+    as_text = ~F.col("field").isin(*layout.top_numeric) & F.col("answered")
+    long = long.withColumn("_l", F.when(as_text, F.col("label"))).withColumn("_v", F.when(as_text, F.col("value")))
+    scored = with_text_similarity(long, "_l", "_v", "similarity")
     text = O.text_outcome(
         F.col("label"), F.col("value"), F.col("similarity"), hallucinated=hallucinated
     )
     numeric = O.numeric_outcome(
         number(F.col("label")), number(F.col("value")), hallucinated=hallucinated
     )
-    outcome = F.when(F.col("field").isin(*layout.top_numeric), numeric).otherwise(text)
+    outcome = (
+        F.when(~F.col("answered"), O.absent_key_outcome(F.col("label")))
+        .when(F.col("field").isin(*layout.top_numeric), numeric)
+        .otherwise(text)
+    )
     return scored.select(*keys, "field", outcome.alias("outcome"))
 
 
-def confusion_counts(outcomes: DataFrame, by: Sequence[str] = ("field",)) -> DataFrame:
-    """One row per field with the four counts (zero where absent)."""
-    return outcomes.groupBy(*by).agg(
+def confusion_counts(
+    outcomes: DataFrame, by: Sequence[str] = ("field",), fields: Sequence[str] = WEIGHTED_FIELDS
+) -> DataFrame:
+    """One row per field with the four counts, for all ``fields`` of every other group."""
+    others = [c for c in by if c != "field"]
+    groups = outcomes.select(*others).distinct() if others else outcomes.sparkSession.range(1).select()
+    empty = groups.select(
+        *others, F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), F.lit(None).cast("string").alias("outcome")
+    )
+    return outcomes.select(*by, "outcome").unionByName(empty.select(*by, "outcome")).groupBy(*by).agg(
         *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     )
 
@@ -386,7 +431,8 @@ def evaluate(
 ) -> DataFrame:
     """Whole comparison: one row per field with counts, precision, recall, F1.
 
-    Inputs are ``paper, pos, record`` and ``paper, record``. A layout that
+    Inputs are ``paper, pos, record`` and ``paper, record``, both with ``keys``
+    as ``records.conformed`` gives them if fields may be missing. A layout that
     keeps the molecule inside the tests has one annotation per paper, so none
     needs to be chosen.
     """
@@ -404,4 +450,4 @@ def evaluate(
     outcomes = top_outcomes(pairs, ["paper"], layout=layout).unionByName(
         test_outcomes(matched, ["paper"], layout, ranges_stay=ranges_stay)
     )
-    return precision_recall(confusion_counts(outcomes))
+    return precision_recall(confusion_counts(outcomes, fields=(*layout.top, *layout.tests)))

@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sheaf.session import broadcast_within
-
 HASH_DIGITS = 4
 POSITION_BLOCK = 65_536
 SKETCH_ACCURACY = 100_000
-SMALL_SIDE_ROWS = 100_000
+RANGES = 65_536
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -149,8 +147,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: columns ``group, prob, quantile``.
 
-    A mergeable sketch brackets every wanted rank; the second pass counts what
-    lies below each bracket and ranks only the distinct values inside it.
+    A mergeable sketch brackets every wanted rank, by a few ranks more than it
+    can err in a large group; one more distinct value on either side does the
+    same for a small one. What lies below a bracket is counted, and what lies
+    inside is cut into ranges of equal width, each ranked on its own. All
+    sizes of groups go this way.
     """
     group = list(group)
     keys = group or ["_all"]
@@ -161,28 +162,19 @@ def exact_quantiles(
     lower = [max(p - slack, 0.0) for p in probs]
     upper = [min(p + slack, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
         F.percentile_approx("_v", lower, SKETCH_ACCURACY).alias("_lo"),
         F.percentile_approx("_v", upper, SKETCH_ACCURACY).alias("_hi"),
     )
-    # A small group is its own bracket. In a large one the slack spans several
-    # ranks more than the sketch can err, which keeps both interpolated ranks.
-    small = F.col("_n") <= SKETCH_ACCURACY
-    spans = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small | F.lit(lower[i] == 0.0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("a"),
-                F.when(small | F.lit(upper[i] == 1.0), F.col("_max")).otherwise(F.col("_hi")[i]).alias("b"),
-            )
-            for i in range(len(probs))
-        ]
-    )
-    brackets = broadcast_within(
-        sketch.select(*keys, "_n", spans.alias("_spans")), SMALL_SIDE_ROWS, "quantile-brackets"
-    )
+    v = F.col("_v")
+    span = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.coalesce(F.max(F.when(v < F.col("_lo")[i], v)), F.min("_v")).alias("a"),
+            F.coalesce(F.min(F.when(v > F.col("_hi")[i], v)), F.max("_v")).alias("b"),
+        )
+        for i in range(len(probs))
+    ]
+    brackets = rows.join(sketch, keys).groupBy(*keys).agg(F.count("*").alias("_n"), F.array(*span).alias("_spans"))
     placed = rows.join(brackets, keys)
     below = placed.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
@@ -193,6 +185,7 @@ def exact_quantiles(
             ]
         ).alias("_below"),
     )
+    share = F.try_divide(v - F.col("_s.a"), F.col("_s.b") - F.col("_s.a"))
     inside = (
         placed.select(
             *keys,
@@ -201,15 +194,26 @@ def exact_quantiles(
                 F.filter("_spans", lambda s: (F.col("_v") >= s["a"]) & (F.col("_v") <= s["b"]))
             ).alias("_s"),
         )
-        .groupBy(*keys, F.col("_s.i").alias("_i"), "_v")
+        .select(
+            *keys,
+            "_v",
+            F.col("_s.i").alias("_i"),
+            F.coalesce(F.floor(share * RANGES), F.lit(0)).cast("int").alias("_range"),
+        )
+        .groupBy(*keys, "_i", "_range", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    upto = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*keys, "_i").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = inside.groupBy(*keys, "_i", "_range").agg(F.sum("_c").alias("_c")).select(
+        *keys, "_i", "_range", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start")
+    )
+    upto = W.partitionBy(*keys, "_i", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
     ranked = (
         inside.withColumn("_end", F.sum("_c").over(upto))
+        .join(starts, [*keys, "_i", "_range"])
         .join(below, keys)
-        .withColumn("_end", F.col("_end") + F.col("_below")[F.col("_i")])
+        .withColumn("_end", F.col("_end") + F.col("_start") + F.col("_below")[F.col("_i")])
         .withColumn("prob", prob)
         .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
     )

@@ -122,7 +122,8 @@ def _canonical(loose: Column, fields: Sequence[str]) -> list[Column]:
 def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataFrame:
     """Fixed record struct ``conformed``: missing keys become null, aliased
     keys take their canonical name, tests are a map of structs, and keys
-    outside the schema are kept as text in ``extra``.
+    outside the schema are kept as text in ``extra``. ``keys`` names the top
+    fields that the text holds, under any spelling and with any value.
 
     Each text is parsed into columns first: an expression nested in a lambda
     would parse it once per key.
@@ -146,11 +147,18 @@ def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataF
         "_tests", lambda k, t: F.struct(*_canonical(t, layout.tests))
     )
     extra = F.map_filter("_all", lambda k, v: ~k.isin(*known) & ~is_test(k))
+    held = F.array(
+        *[
+            F.when(F.arrays_overlap(F.map_keys("_all"), F.array(*[F.lit(n) for n in spellings(f)])), F.lit(f))
+            for f in layout.top
+        ]
+    )
     return (
         parsed.withColumn(
             "conformed", F.struct(*_canonical(F.col("_top"), layout.top), tests.alias("tests"))
         )
         .withColumn("extra", extra)
+        .withColumn("keys", F.when(F.col("_all").isNotNull(), F.array_compact(held)))
         .drop("_top", "_all", "_tests")
     )
 

@@ -24,6 +24,7 @@ ANNOTATIONS = """
 select o_custkey as paper, o_orderkey as pos,
   case when o_orderkey % 13 = 0 then null else
   '{"perovskite_composition": "' || o_orderpriority || '", "electron_transport_layer": "buckminsterfullerene"'
+  || ', "structure_pin_nip": null' || case when o_orderkey % 4 = 0 then ', "hole_transport_layer": "spiro"' else '' end
   || case when o_orderkey % 7 = 0 then '' else ', "passivating_molecule": "' || o_orderstatus || '"' end
   || ', "control_pce": "' || (o_orderkey % 30) || '.5 %", "treated_pce": ' || (o_orderkey % 30 + 1)
   || ', "test_1": {"stability_type": "' || case when o_orderkey % 2 = 0 then 'aaa' else 'bbb' end
@@ -479,22 +480,25 @@ def _(t: Tables):
     return E.score_table(_macro(t), ("A", "N", "R"))
 
 
-_BEST = """
+_BEST = f"""
 chosen as (select o_orderkey as k, o_custkey as c, o_orderstatus as molecule from @orders
            join @customer on o_custkey = c_custkey where o_orderkey % 13 <> 0 and o_orderkey % 7 <> 0
            qualify row_number() over (partition by o_custkey order by
              o_orderstatus = case when o_custkey % 2 = 0 then 'F' else 'O' end desc, o_orderkey) = 1),
 control as (select *, k % 30 + 0.5::double as l_control, c % 30 + 0.0::double as e_control from chosen),
 tops as (
-  select unnest(['perovskite_composition', 'hole_transport_layer', 'structure_pin_nip']) as field, 'FP' as outcome from chosen
+  select 'perovskite_composition' as field, 'FP' as outcome from chosen
   union all select 'electron_transport_layer', 'TP' from chosen
+  -- keys the extraction lacks: wrong with a label, right without; keys the label lacks count nowhere
   union all select 'treated_pce', 'FN' from chosen
-  union all select unnest(['control_voc', 'treated_voc']), 'TP' from chosen
+  union all select 'hole_transport_layer', 'FN' from chosen where k % 4 = 0
+  union all select 'structure_pin_nip', 'TP' from chosen
   union all select 'passivating_molecule', case when molecule = case when c % 2 = 0 then 'F' else 'O' end
                                                 then 'TP' else 'FP' end from chosen
   union all select 'control_pce', case when abs(l_control - e_control) / l_control <= 0.027::double
                                        then 'TP' else 'FP' end from control),
-outcomes as (select * from tops union all select field, outcome from o where pos in (select k from chosen)),
+outcomes as (select * from tops union all select field, outcome from o where pos in (select k from chosen)
+             union all select unnest([{', '.join(f"'{f}'" for f in WEIGHTED_FIELDS)}]), null),
 tally as (select field, count(*) filter (where outcome = 'TP') as tp, count(*) filter (where outcome = 'FP') as fp,
                  count(*) filter (where outcome = 'FN') as fn, count(*) filter (where outcome = 'TN') as tn
           from outcomes group by field),

@@ -61,7 +61,7 @@ def _answers(t: Tables):
        as text_md5 from @documents""",
 )
 def _(t: Tables):
-    return t.spread("documents").select("doc_id", F.md5(X.truncate_tokens(F.col("text"), 2000)).alias("text_md5"))
+    return t.documents.select("doc_id", F.md5(X.truncate_tokens(F.col("text"), 2000)).alias("text_md5"))
 
 
 @query(
@@ -72,7 +72,7 @@ def _(t: Tables):
        as content_md5 from @documents""",
 )
 def _(t: Tables):
-    prompts = t.spread("documents").select(
+    prompts = t.documents.select(
         "doc_id", F.explode(X.prompt("Extract the record.", F.col("text"))).alias("m")
     )
     return prompts.select("doc_id", F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
@@ -129,7 +129,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rules = C.rule_extractor({"first_word": r"[a-z]{4,}", "number": r"[0-9]+"})
-    return C.apply_extractor(t.spread("documents"), "doc_id", "text", rules)
+    return C.apply_extractor(t.documents, "doc_id", "text", rules)
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.session import spread, tune
+from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,12 +30,9 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
-    def spread(self, name: str) -> DataFrame:
-        return spread(getattr(self, name))
-
     def derive(self, sql: str) -> DataFrame:
         """Run SQL in the dialect both engines share; ``@t`` names a table."""
-        frames = {name: self.spread(name) for name in set(_REF.findall(sql))}
+        frames = {name: getattr(self, name) for name in set(_REF.findall(sql))}
         escaped = sql.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(_REF.sub(r"{\1}", escaped), **frames)
 

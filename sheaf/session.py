@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Filled only for a local master whose session names no shared folder.
 _local_dirs: dict[str, str] = {}
+# Intermediates by application, for release().
+_paths: dict[str, list[str]] = {}
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,7 +47,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the session."""
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+
+    A local session that names none gets a folder of its own, which goes when
+    the process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
@@ -53,39 +60,35 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="sheaf-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sheaf/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sheaf/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the shared folder.
 
     Parquet instead of a block-manager checkpoint: it outlives lost
-    executors, and later readers still prune columns and push filters.
+    executors, and later readers still prune columns and push filters. The
+    files stay until ``release``, since any result may still read them.
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int, name: str) -> DataFrame:
-    """Broadcast ``df`` only after its written size is known to be small.
-
-    A larger side comes back unhinted, so the join shuffles instead.
-    """
-    kept = written(df, name)
-    fits = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if fits else kept
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the session has cores.
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate this session has written; how many there were.
 
-    A file of one row group is one task however many cores wait. At scale a
-    scan has splits enough and comes back unchanged, so nothing moves.
+    Call it when no result that was built so far will be read again.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
