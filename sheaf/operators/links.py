@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 # Hrefs that lead to a full-text file, and hosts to skip.
 FULL_TEXT = r"(?i)((?<!e)\.pdf$|/pdf/|/articlepdf/|/article-pdf/)"
 SKIPPED_HOST = "scholar.google"
-# Page blocks whose links belong to other papers.
-EXCLUDED_BLOCKS = (
-    r"(?is)<div[^>]*\sid=[\"']recommended-articles[\"'][^>]*>.*?</div>",
-    r"(?is)<ol[^>]*\sclass=[\"']references[\"'][^>]*>.*?</ol>",
-)
+# Page blocks whose links belong to other papers, by element,
+# attribute and value.
+EXCLUDED_BLOCKS = (("div", "id", "recommended-articles"), ("ol", "class", "references"))
 _HREF = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"']"
 
 
@@ -23,9 +21,27 @@ def url_base(url: Column) -> Column:
     return F.regexp_replace(url, r"[;?#].*$", "")
 
 
-def without_blocks(html: Column, blocks: Sequence[str] = EXCLUDED_BLOCKS) -> Column:
-    for block in blocks:
-        html = F.regexp_replace(html, block, "")
+def without_block(html: Column, element: str, attribute: str, value: str) -> Column:
+    """Cut out each such element up to its own closing tag, however deep it is nested."""
+    opens, closes = rf"(?is)^<{element}[\s>].*", rf"(?is)^</{element}\s*>"
+    marked = rf"(?is)^<{element}[^>]*\s{attribute}=[\"']{value}[\"'][^>]*>.*"
+    tokens = F.split(html, rf"(?i)(?=<{element}[\s>]|</{element}\s*>)", -1)
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, token: Column) -> Column:
+        inside = state["depth"] > 0
+        change = F.when(token.rlike(opens), 1).when(token.rlike(closes), -1).otherwise(0)
+        depth = F.when(inside, state["depth"] + change).when(token.rlike(marked), 1).otherwise(0)
+        rest = F.regexp_replace(token, closes, "")
+        kept = F.when(~inside & (depth == 0), token).when(inside & (depth == 0), rest).otherwise(F.lit(""))
+        return F.struct(depth.alias("depth"), F.concat(state["kept"], F.array(kept)).alias("kept"))
+
+    return F.aggregate(tokens, start, step, lambda s: F.array_join(s["kept"], ""))
+
+
+def without_blocks(html: Column, blocks: Sequence[tuple[str, str, str]] = EXCLUDED_BLOCKS) -> Column:
+    for element, attribute, value in blocks:
+        html = without_block(html, element, attribute, value)
     return html
 
 

@@ -105,7 +105,7 @@ def _keyed_objects(t: Tables):
 def _(t: Tables):
     path = new_path(t.spark, "keyed")
     _keyed_objects(t).write.text(path)
-    rows = tables.read_keyed_json(t.spark, path, one_per_line=True)
+    rows = tables.read_keyed_json(t.spark, path)
     return tables.records(rows, "event_type string, user_id bigint, value double")
 
 
@@ -121,11 +121,12 @@ def _(t: Tables):
 
 
 TEI = """
-select 'xmls/' || doc_id || '_1.xml' as path,
+select 'xmls/' || doc_id || '_1' || case when doc_id % 3 = 0 then '.grobid.tei.xml' else '.xml' end as path,
   case when doc_id % 10 = 9 then '<TEI><teiHeader>' || doc_id else
-  '<TEI><teiHeader><fileDesc><titleStmt>'
-  || case when doc_id % 4 = 0 then '<title/>' else '<title>Paper &lt;' || source || '&gt;</title>' end
-  || '</titleStmt></fileDesc><profileDesc><abstract><p>Lang ' || lang || '</p></abstract>'
+  '<TEI' || case when doc_id % 2 = 0 then ' xmlns="http://www.tei-c.org/ns/1.0"' else '' end
+  || '><teiHeader><fileDesc><titleStmt>'
+  || case when doc_id % 4 = 0 then '<title level="a" type="main"/>' else '<title>Paper &lt;' || source || '&gt; 20 &#8451;</title>' end
+  || '</titleStmt><sourceDesc><title level="j">A journal</title></sourceDesc></fileDesc><profileDesc><abstract><p>Lang ' || lang || '</p></abstract>'
   || '</profileDesc></teiHeader><text><body><div><p>'
   || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
              chr(10), '</p><p>')
@@ -139,7 +140,7 @@ from @documents
     """
     select doc_id || '_1' as stem, md5(case when doc_id % 10 = 9 then '' else
       'Paper #: ' || doc_id || '_1' || chr(10)
-      || case when doc_id % 4 = 0 then '' else 'Title: Paper <' || source || '>' end || chr(10)
+      || case when doc_id % 4 = 0 then '' else 'Title: Paper <' || source || '> 20 ' || chr(8451) end || chr(10)
       || 'Lang ' || lang || chr(10)
       || trim(regexp_replace(text, '\\n{2,}', chr(10), 'g'), chr(10) || ' ') || chr(10) end)
       as text_md5
@@ -149,21 +150,22 @@ from @documents
 def _(t: Tables):
     files = t.derive(TEI)
     return files.select(
-        landing.file_stem(F.col("path")).alias("stem"),
+        xml.paper_stem(F.col("path")).alias("stem"),
         F.md5(xml.tei_text(F.col("path"), F.col("content"))).alias("text_md5"),
     )
 
 
 BIOC = """
 select conv_id * 100 + turn as paper,
-  '<document><passage><text>Paper number ' || (conv_id * 100 + turn) || '</text></passage>'
+  case when turn % 3 = 0 then '' else '<?xml version="1.0"?><collection><source>s</source><document><id>0</id></document>' end
+  || '<document><passage><text>Paper number ' || (conv_id * 100 + turn) || '</text></passage>'
   || '<passage><text>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</text>'
   || '<annotation id="1"><infon key="type">treated_pce</infon><infon key="identifier"></infon><text>'
   || length(text) || '</text></annotation>'
   || '<annotation id="2"><infon key="type">passivating_molecule</infon><infon key="identifier">mol'
   || turn || '</infon><text>' || role || '</text></annotation></passage>'
   || case when turn % 2 = 0 then '<relation><infon key="type">test_1</infon><node refid="1"/><node refid="2"/></relation>' else '' end
-  || '</document>' as content
+  || '</document>' || case when turn % 3 = 0 then '' else '</collection>' end as content
 from @conversations
 """
 
@@ -172,12 +174,12 @@ from @conversations
     "a7_bioc_annotations",
     """
     with c as (select conv_id * 100 + turn as paper, * from @conversations)
-    select cast(paper as varchar) as paper, 1 as passage, cast(1000000 as bigint) as pos,
+    select cast(paper as varchar) as paper, 1 as passage, cast(4294967296 as bigint) as pos,
            '1' as node_id, 'treated_pce' as var_name, null as identifier,
            cast(length(text) as varchar) as text,
            case when turn % 2 = 0 then 'test_1' end as test_name
     from c union all
-    select cast(paper as varchar), 1, 1000001, '2', 'passivating_molecule', 'mol' || turn, role,
+    select cast(paper as varchar), 1, 4294967297, '2', 'passivating_molecule', 'mol' || turn, role,
            case when turn % 2 = 0 then 'test_1' end
     from c
     """,

@@ -8,10 +8,15 @@ from sheaf.operators import links as L
 from sheaf.plans.registry import Tables, query
 
 # Pages with the blocks and file links of a publisher's site added.
-PAGES = """
+_EXCLUDED = """'<div class="x" id="recommended-articles"><div><a href="/pdf/other' || page_id || '.pdf">o</a></div>'
+  || '<div><div>deep</div></div><a href="/pdf/late' || page_id || '.pdf">l</a></div>'
+  || '<ol class="references"><li><ol><li>x</li></ol><a href="https://a.example.org/pdf/ref">r</a></li></ol>'"""
+
+
+def _with(blocks: str) -> str:
+    return f"""
 select page_id, url, replace(html, '</article>', '</article>'
-  || '<div class="x" id="recommended-articles"><a href="/pdf/other' || page_id || '.pdf">o</a></div>'
-  || '<ol class="references"><li><a href="https://a.example.org/pdf/ref">r</a></li></ol>'
+  || {blocks}
   || '<a href="https://scholar.google.com/pdf/s.pdf">s</a>'
   || case when page_id % 5 = 0 then '' else
      '<a class="d" href="/pdf/p' || page_id || '">1</a>'
@@ -20,15 +25,14 @@ select page_id, url, replace(html, '</article>', '</article>'
   || '<a href="/x/file.pdf">4</a><a href="/x/DATA.PDF">5</a><a href="/x/data.pdf?dl=1">6</a>' end
 ) as html from @pages
 """
-_BLOCKS = (
-    """regexp_replace(regexp_replace(html, '(?is)<div[^>]*\\sid=["'']recommended-articles["''][^>]*>.*?</div>', '', 'g'),"""
-    """ '(?is)<ol[^>]*\\sclass=["'']references["''][^>]*>.*?</ol>', '', 'g')"""
-)
+
+
+PAGES = _with(_EXCLUDED)
 _HREFS = """regexp_extract_all({0}, '(?is)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)"""
 _LINKS = f"""
-pages_plus as ({PAGES}),
-links as (select page_id, url, unnest({_HREFS.format(_BLOCKS)}) as href,
-                 generate_subscripts({_HREFS.format(_BLOCKS)}, 1) - 1 as pos from pages_plus),
+pages_plus as ({_with("''")}),
+links as (select page_id, url, unnest({_HREFS.format('html')}) as href,
+                 generate_subscripts({_HREFS.format('html')}, 1) - 1 as pos from pages_plus),
 wanted as (select * from links where href <> '' and href not like '%scholar.google%'
            and regexp_matches(href, '(?i)((^|[^e])\\.pdf$|/pdf/|/articlepdf/|/article-pdf/)')),
 firsts as (select * from wanted qualify row_number() over

@@ -48,12 +48,14 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_keyed_json(
-    spark: SparkSession, path: str, one_per_line: bool = False
+    spark: SparkSession, path: str, one_per_line: bool = True
 ) -> DataFrame:
-    """Files holding one object of objects: rows ``id, raw``.
+    """Files of objects of objects: rows ``id, raw``.
 
-    The value stays text because it may be a record, a text or null. Split a
-    large export into many files (or lines): one object is one row here.
+    The value stays text because it may be a record, a text or null. Each line
+    is an object, as ``write_keyed_json`` writes them, so a file of any size is
+    split among tasks. An object over many lines, such as a hand-written file,
+    needs ``one_per_line=False`` and is one row of one task.
     """
     lines = spark.read.text(path, wholetext=not one_per_line)
     return keyed_rows(lines, F.col("value"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.schemas import BIOC
-from sheaf.sources.landing import file_stem
 
 _LENIENT = {"mode": "PERMISSIVE"}
 
@@ -19,38 +19,55 @@ def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _plain(markup: Column) -> Column:
-    """Inner text of markup: blocks on lines of their own, entities resolved."""
-    t = F.regexp_replace(markup, r"</(p|head|div)>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+def _text_of(content: Column, path: str) -> Column:
+    """Text of the element at an XPath, blocks on lines of their own.
+
+    The parser resolves entities, named and numeric; names count without their
+    namespace.
+    """
+    steps = "/".join(f'*[local-name()="{step}"]' for step in path.split("/"))
+    t = F.xpath_string(F.regexp_replace(content, r"(</(?:p|head|div)>)", "$1\n"), F.lit(f"//{steps}"))
     return F.trim(F.regexp_replace(t, r"\n{2,}", "\n"), F.lit("\n "))
 
 
-def _element(content: Column, name: str) -> Column:
-    return F.regexp_extract(content, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
+def paper_stem(path: Column) -> Column:
+    """File name up to its first dot."""
+    return F.substring_index(F.substring_index(path, "/", -1), ".", 1)
 
 
 def tei_text(path: Column, content: Column) -> Column:
     """``Paper #``, title, abstract and body lines; ``""`` when unparsable.
 
-    A file counts as parsable when the XML parser accepts it as a whole.
+    The title is the one of the document's own title statement. A file counts
+    as parsable when the XML parser accepts it as a whole.
     """
     parsed = F.from_xml(content, "_corrupt_record string", _LENIENT)
     broken = parsed["_corrupt_record"].isNotNull()
-    title = _plain(_element(content, "title"))
-    head = F.concat(F.lit("Paper #: "), file_stem(path))
+    title = _text_of(content, "titleStmt/title")
+    head = F.concat(F.lit("Paper #: "), paper_stem(path))
     shown = F.when(title == "", F.lit("")).otherwise(F.concat(F.lit("Title: "), title))
-    body = F.concat_ws(
-        "\n", head, shown, _plain(_element(content, "abstract")), _plain(_element(content, "body"))
-    )
+    body = F.concat_ws("\n", head, shown, _text_of(content, "abstract"), _text_of(content, "body"))
     return F.when(content.isNull() | broken, F.lit("")).otherwise(F.concat(body, F.lit("\n")))
 
 
 def parse_bioc(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add the parsed document ``doc`` (one row per file stays one row)."""
-    return df.withColumn("doc", F.from_xml(content, BIOC, _LENIENT))
+    """Add the parsed document ``doc``: one row per document of a file.
+
+    The root is a ``collection`` of documents or a single ``document``. A file
+    without one keeps a row whose ``doc`` is null; see ``unparsed``.
+    """
+    whole = T.StructType([T.StructField("document", T.ArrayType(BIOC))])
+    many = F.from_xml(content, whole, _LENIENT)["document"]
+    alone = F.array(F.from_xml(content, BIOC, _LENIENT))
+    rooted = F.regexp_extract(content, r"<([A-Za-z_][\w.-]*)[\s/>]", 1)
+    docs = F.when(rooted == "document", alone).otherwise(many)
+    found = F.filter(docs, lambda d: d.isNotNull() & (d["passage"].isNotNull() | d["relation"].isNotNull()))
+    return df.withColumn("doc", F.explode_outer(found))
+
+
+def unparsed(parsed: DataFrame) -> DataFrame:
+    """Files that held no document."""
+    return parsed.where("doc is null").drop("doc")
 
 
 def _infon(infons: Column, key: str) -> Column:
@@ -84,7 +101,7 @@ def bioc_annotations(parsed: DataFrame) -> DataFrame:
         .select(
             "paper",
             F.col("passage").cast("long").alias("passage"),
-            (F.col("passage").cast("long") * 1_000_000 + F.col("place")).alias("pos"),
+            (F.shiftleft(F.col("passage").cast("long"), 32) + F.col("place")).alias("pos"),
             F.col("a._id").alias("node_id"),
             _infon(F.col("a.infon"), "type").alias("var_name"),
             _infon(F.col("a.infon"), "identifier").alias("identifier"),

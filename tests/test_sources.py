@@ -16,7 +16,7 @@ def test_csv_keeps_newlines_quotes_and_blanks(spark, tmp_path):
 
 def test_keyed_json_scan(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"1": {"x": 2},\n "2": "raw text", "3": null}')
-    got = {r.id: r.raw for r in tables.read_keyed_json(spark, str(tmp_path / "a.json")).collect()}
+    got = {r.id: r.raw for r in tables.read_keyed_json(spark, str(tmp_path / "a.json"), one_per_line=False).collect()}
     assert got == {"1": '{"x":2}', "2": "raw text", "3": None}
 
 
@@ -30,7 +30,7 @@ def test_tei(spark):
         "path string, content string",
     )
     got = [r[0] for r in rows.select(xml.tei_text(F.col("path"), F.col("content"))).collect()]
-    assert got[0] == "Paper #: 7_1.tei\nTitle: A & B\nAbs\nH\nSee 1.\n"
+    assert got[0] == "Paper #: 7_1\nTitle: A & B\nAbs\nH\nSee 1.\n"
     assert got[1] == ""
     assert got[2].split("\n")[1] == ""
 
@@ -42,10 +42,17 @@ def test_bioc_with_single_and_repeated_children(spark):
         '</passage><relation><infon key="type">test_1</infon><node refid="a"/></relation></document></collection>'
     )
     inner = doc.removeprefix("<collection>").removesuffix("</collection>")
-    parsed = xml.parse_bioc(spark.createDataFrame([(inner,)], "content string"))
-    assert xml.bioc_annotations(parsed).collect() == [("12", 1, 1000000, "a", "time", None, "5 h")]
-    assert xml.bioc_relations(parsed).collect() == [("12", 0, "test_1", "a")]
-    assert [r.text for r in xml.bioc_passages(parsed).collect()] == ["Paper 12", "t"]
+    for content in (doc, inner, '<?xml version="1.0"?>\n' + doc):
+        parsed = xml.parse_bioc(spark.createDataFrame([(content,)], "content string"))
+        assert xml.bioc_annotations(parsed).collect() == [("12", 1, 1 << 32, "a", "time", None, "5 h")]
+        assert xml.bioc_relations(parsed).collect() == [("12", 0, "test_1", "a")]
+        assert [r.text for r in xml.bioc_passages(parsed).collect()] == ["Paper 12", "t"]
+        assert xml.unparsed(parsed).count() == 0
+    two = doc.replace("</collection>", inner.replace("12", "13") + "</collection>")
+    files = spark.createDataFrame([(two,), ("<collection/>",), ("no xml",), (None,)], "content string")
+    parsed = xml.parse_bioc(files)
+    assert [r.paper for r in xml.bioc_annotations(parsed).collect()] == ["12", "13"]
+    assert xml.unparsed(parsed).count() == 3
 
 
 def test_harvest_stops_at_the_first_empty_page(spark):
