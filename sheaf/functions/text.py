@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.schemas import EFFICIENCY_PHRASES, RELEVANCE_STEMS
+
 # Maximal runs of two or more word characters, in any script.
 TERM = r"([\p{L}\p{N}_]{2,})"
 TABLE_ROW = "\t\t\t"
 TERM_BUCKETS = 16_384
 
-# The parts of a training example.
-INTRO = (
-    "Below is a chunk of a research paper with the record extracted so far. "
-    "Update the record with what the chunk says."
-)
-INSTRUCTION_KEY = "### Instruction:"
-RESPONSE_KEY = "### Response:"
-END_KEY = "### End"
+
+class ExampleTemplate(NamedTuple):
+    """The parts of a training example; ``asked`` holds {chunk} and {memory}."""
+
+    intro: str = (
+        "Below is a chunk of a research paper with the record extracted so far. "
+        "Update the record with what the chunk says."
+    )
+    asked: str = "### Instruction:\nchunk: {chunk}\nmemory: {memory}"
+    response_key: str = "### Output:"
+    end_key: str = "### End"
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def term_frequency(text: Column, names: Sequence[str]) -> Column:
+def term_frequency(text: Column, names: Sequence[str] = RELEVANCE_STEMS) -> Column:
     """How many whitespace tokens equal one of ``names`` (lower-cased)."""
     return F.size(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.isin(*names)))
 
 
 def keyword_rule(
-    text: Column, names: Sequence[str], phrases: Sequence[str], more_than: int = 2
+    text: Column,
+    names: Sequence[str] = RELEVANCE_STEMS,
+    phrases: Sequence[str] = EFFICIENCY_PHRASES,
+    more_than: int = 2,
 ) -> Column:
     """A name and a phrase occur, and the names occur often enough as tokens."""
     low = F.lower(text)
@@ -79,10 +89,15 @@ def prompt(system: str, user: Column, limit: int = 16_000) -> Column:
     )
 
 
-def training_example(chunk: Column, memory: Column, output: Column) -> Column:
-    asked = F.concat(F.lit(INSTRUCTION_KEY + "\nchunk: "), chunk, F.lit("\nmemory: "), memory)
-    answer = F.concat(F.lit(RESPONSE_KEY + "\n"), output)
-    return F.concat_ws("\n\n", F.lit("\n" + INTRO), asked, answer, F.lit(END_KEY))
+def training_example(
+    chunk: Column, memory: Column, output: Column, template: ExampleTemplate = ExampleTemplate()
+) -> Column:
+    """Intro, request, answer and end mark, a blank line between them."""
+    given = {"chunk": chunk, "memory": memory}
+    parts = re.split(r"\{(chunk|memory)\}", template.asked)
+    asked = F.concat(*[given[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    answer = F.concat(F.lit(template.response_key + "\n"), output)
+    return F.concat_ws("\n\n", F.lit("\n" + template.intro), asked, answer, F.lit(template.end_key))
 
 
 def brace_span(text: Column) -> Column:

@@ -22,7 +22,8 @@ def expand_tests(
     """Tests as rows, and the unparsable cells.
 
     A cell holds one dictionary or a list of them, written with single or
-    double quotes. Papers without tests vanish from the first frame.
+    double quotes. Papers without tests vanish from the first frame. Keys that
+    are no known field stay as text in the map ``extra``.
     """
     kept = [c for c in df.columns if c not in columns]
     cells = F.array(*[F.struct(F.lit(c).alias("test"), F.col(c).alias("cell")) for c in columns])
@@ -30,21 +31,32 @@ def expand_tests(
     long = long.where("cell is not null")
     inner = ", ".join(f"`{f}`: string" for f in fields)
     text = F.regexp_replace("cell", r"\bNone\b", "null")
-    parsed = long.withColumn("_p", F.from_json(text, f"array<struct<{inner}>>"))
-    rejected = parsed.where("_p is null").drop("_p")
-    rows = parsed.where("_p is not null").select(*kept, "test", F.explode("_p").alias("_t"))
-    return rows.select(*kept, "test", "_t.*"), rejected
+    parsed = long.withColumn("_p", F.from_json(text, f"array<struct<{inner}>>")).withColumn(
+        "_all",
+        F.coalesce(
+            F.from_json(text, "array<map<string,string>>"), F.array(F.from_json(text, "map<string,string>"))
+        ),
+    )
+    rejected = parsed.where("_p is null").drop("_p", "_all")
+    rows = parsed.where("_p is not null").select(
+        *kept, "test", F.explode(F.arrays_zip("_p", "_all")).alias("_t")
+    )
+    extra = F.map_filter("_t._all", lambda k, v: ~k.isin(*fields))
+    return rows.select(*kept, "test", "_t._p.*", extra.alias("extra")), rejected
 
 
 def expand_keeping_empty(df: DataFrame, tests: str, fields: Sequence[str] = TEST_FIELDS) -> DataFrame:
     """One row per test of a map column; papers without tests keep one row.
 
-    A test's own value wins over the top field of the same name.
+    A test's own value wins over the top field of the same name, also a null.
     """
     kept = [c for c in df.columns if c != tests]
     rows = df.select(*kept, F.explode_outer(tests).alias("test", "_t"))
     own = {f: F.col("_t")[f] for f in fields}
-    merged = [F.coalesce(own[c], F.col(c)).alias(c) if c in own else F.col(c) for c in kept]
+    merged = [
+        F.when(F.col("_t").isNotNull(), own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c)
+        for c in kept
+    ]
     added = [own[f].alias(f) for f in fields if f not in kept]
     return rows.select(*merged, "test", *added)
 

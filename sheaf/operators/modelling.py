@@ -25,28 +25,23 @@ from sheaf.operators.order_stats import hash_key
 from sheaf.operators.relevance import train_test
 from sheaf.session import written
 
-MAX_CATEGORIES = 1_000
-
-
-def categories(train: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
-    """Values of a categorical column; an error when it is not categorical."""
-    found = train.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1)
-    values = sorted(row[0] for row in found.collect())
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return values
-
-
-def one_hot(train: DataFrame, test: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Indicator columns of the train categories on both sides.
-
-    A category the train side lacks is 0 everywhere.
+def one_hot(
+    train: DataFrame, test: DataFrame, column: str
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Indicator vector ``<column>_hot`` of the train categories on both sides.
+
+    The categories come third, in the order of the vector, which is sparse: a
+    column of many values costs no more columns. A category the train side
+    lacks, and null, is 0 everywhere.
     """
-    added = {
-        f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int")
-        for v in categories(train, column)
-    }
-    return tuple(side.withColumns(added).drop(column) for side in (train, test))
+    index = StringIndexer(
+        inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc"
+    ).fit(train.where(F.col(column).isNotNull()))
+    # The last index, that of unknown values, is the one left out of the vector.
+    every = train.sparkSession.range(len(index.labels) + 1).select(F.col("id").cast("double").alias("_index"))
+    hot = OneHotEncoder(inputCol="_index", outputCol=f"{column}_hot", dropLast=True).fit(every)
+    sides = (hot.transform(index.transform(side)).drop("_index", column) for side in (train, test))
+    return (*sides, index.labels)
 
 
 def structure_flags(df: DataFrame, smiles: str) -> DataFrame:
@@ -91,9 +86,17 @@ def molecule_features(df: DataFrame, smiles: str) -> DataFrame:
 
 
 def assembled(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), out: str = "features"
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    out: str = "features",
+    train: Column | None = None,
 ) -> DataFrame:
-    """Feature vector; rows with a null feature are dropped."""
+    """Feature vector; rows with a null feature are dropped.
+
+    Categories are learnt from the rows where ``train`` holds (all by default);
+    others share one place.
+    """
     whole = df.dropna(subset=[*numeric, *categorical])
     stages = []
     for c in categorical:
@@ -101,7 +104,7 @@ def assembled(
         stages.append(OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_v", dropLast=False))
     inputs = [*numeric, *[f"_{c}_v" for c in categorical]]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=out))
-    model = Pipeline(stages=stages).fit(whole)
+    model = Pipeline(stages=stages).fit(whole if train is None else whole.where(train))
     extra = [x for c in categorical for x in (f"_{c}_i", f"_{c}_v")]
     return model.transform(whole).drop(*extra)
 
@@ -118,20 +121,32 @@ def seeds(spark: SparkSession, n: int = 100, upto: int = 1_000, seed: int = 42)
     return [row[0] for row in chosen.collect()]
 
 
-def regressors(label: str = "label", seed: int = 42) -> dict[str, object]:
+def ridge_scale(train: DataFrame, label: str = "label") -> float:
+    """What a ridge penalty on the sum of squares is multiplied by for Spark.
+
+    Spark's loss is a mean, and its penalty is taken on the label in units of
+    its standard deviation.
+    """
+    n, spread = train.agg(F.count(label), F.stddev_pop(label)).first()
+    return (spread or 1.0) / max(n, 1)
+
+
+def regressors(label: str = "label", seed: int = 42, scale: float = 1.0) -> dict[str, object]:
+    """The estimators; ``scale`` is ``ridge_scale`` of the rows they will be fitted on."""
+    plain = {"labelCol": label, "standardization": False}
     return {
         "Random Forest": RandomForestRegressor(labelCol=label, numTrees=100, seed=seed),
-        "Linear Regression": LinearRegression(labelCol=label),
-        "Ridge": LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=0.0),
-        "Lasso": LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=1.0),
-        "Gradient Boosting": GBTRegressor(labelCol=label, maxIter=20, seed=seed),
+        "Linear Regression": LinearRegression(**plain),
+        "Ridge": LinearRegression(**plain, regParam=scale, elasticNetParam=0.0),
+        "Lasso": LinearRegression(**plain, regParam=1.0, elasticNetParam=1.0),
+        "Gradient Boosting": GBTRegressor(labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
         "AdaBoost": AdaBoostR2(label=label, seed=seed),
         "K-Nearest Neighbors": KnnRegressor(label=label),
     }
 
 
-def regressor_grids(label: str = "label") -> dict[str, tuple[object, list]]:
-    models = regressors(label)
+def regressor_grids(label: str = "label", scale: float = 1.0) -> dict[str, tuple[object, list]]:
+    models = regressors(label, scale=scale)
     rf, gbt = models["Random Forest"], models["Gradient Boosting"]
     ridge, lasso = models["Ridge"], models["Lasso"]
     penalties = [0.01, 0.1, 1.0, 10.0]
@@ -144,7 +159,7 @@ def regressor_grids(label: str = "label") -> dict[str, tuple[object, list]]:
             gbt,
             ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.stepSize, [0.05, 0.1]).build(),
         ),
-        "Ridge": (ridge, ParamGridBuilder().addGrid(ridge.regParam, penalties).build()),
+        "Ridge": (ridge, ParamGridBuilder().addGrid(ridge.regParam, [p * scale for p in penalties]).build()),
         "Lasso": (lasso, ParamGridBuilder().addGrid(lasso.regParam, penalties).build()),
     }
 
@@ -170,7 +185,7 @@ class AdaBoostR2:
     """
 
     def __init__(
-        self, label: str = "label", features: str = "features", rounds: int = 10, depth: int = 3, seed: int = 42
+        self, label: str = "label", features: str = "features", rounds: int = 50, depth: int = 3, seed: int = 42
     ) -> None:
         self.label, self.features = label, features
         self.rounds, self.depth, self.seed = rounds, depth, seed

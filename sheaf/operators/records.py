@@ -83,24 +83,14 @@ def apply_extractor(
     return df.select(key, text).mapInPandas(run, schema)
 
 
-def rule_extractor(fields: Mapping[str, str]) -> Extractor:
-    """Deterministic default: the first match of a pattern per field."""
-    patterns = dict(fields)
+def rule_records(text: Column, fields: Mapping[str, str]) -> Column:
+    """Deterministic default: JSON of the first match of a pattern per field.
 
-    def extract(texts: Sequence[str]) -> list[str | None]:
-        import json
-        import re
-
-        out: list[str | None] = []
-        for text in texts:
-            found = {}
-            for name, pattern in patterns.items():
-                hit = re.search(pattern, text or "")
-                found[name] = hit.group(0) if hit else None
-            out.append(json.dumps(found) if any(v is not None for v in found.values()) else None)
-        return out
-
-    return extract
+    Null where no field matches. Patterns are those of the SQL engine.
+    """
+    found = {name: F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit("")) for name, pattern in fields.items()}
+    record = F.to_json(F.struct(*[c.alias(n) for n, c in found.items()]), {"ignoreNullFields": "false"})
+    return F.when(F.coalesce(*found.values()).isNotNull(), record)
 
 
 def spellings(field: str, aliases: Mapping[str, str] = FIELD_ALIASES) -> list[str]:
@@ -221,8 +211,8 @@ def key_batches(df: DataFrame, key: str, size: int = 50, seed: int = 0) -> DataF
 
 
 def upsert_batch(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """Formatted values replace, unformatted ones stay."""
-    fresh = new.select(key, F.col(value).alias("_new"))
+    """Formatted values replace, unformatted ones stay; of several for one key the least."""
+    fresh = new.groupBy(key).agg(F.min(value).alias("_new"))
     joined = old.join(fresh, key, "left")
     return joined.withColumn(value, F.coalesce("_new", value)).drop("_new")
 
@@ -237,14 +227,20 @@ def names_to_convert(df: DataFrame, name: str, known: DataFrame, known_name: str
     )
 
 
+def one_each(dictionary: DataFrame, name: str = "name", converted: str = "converted") -> DataFrame:
+    """One entry per name: the least conversion, null only where there is no other."""
+    return dictionary.groupBy(name).agg(F.min(converted).alias(converted))
+
+
 def resolve_names(names: DataFrame, passes: Sequence[DataFrame]) -> DataFrame:
     """Try one lookup after the other; each sees what is still unresolved.
 
-    A later pass overwrites the answer of a retried name, also with null.
+    A later pass overwrites the answer of a retried name, also with null. Of
+    several answers of one pass the least counts, null last.
     """
     out = names.select("name", F.lit(None).cast("string").alias("converted"), F.lit(True).alias("_open"))
     for lookup in passes:
-        answers = lookup.select("name", F.col("converted").alias("_new"), F.lit(True).alias("_hit"))
+        answers = one_each(lookup).select("name", F.col("converted").alias("_new"), F.lit(True).alias("_hit"))
         out = out.join(answers, "name", "left")
         retried = F.col("_open") & F.coalesce("_hit", F.lit(False))
         out = out.withColumn("converted", F.when(retried, F.col("_new")).otherwise(F.col("converted")))
@@ -269,7 +265,7 @@ def replace_names(df: DataFrame, column: str, dictionary: DataFrame) -> DataFram
     The dictionary's size is left to the optimizer: it is broadcast only when
     its statistics allow.
     """
-    known = dictionary.select(
+    known = one_each(dictionary).select(
         F.col("name").alias(column), F.col("converted").alias("_to"), F.lit(True).alias("_hit")
     )
     joined = df.join(known, column, "left")
@@ -278,6 +274,6 @@ def replace_names(df: DataFrame, column: str, dictionary: DataFrame) -> DataFram
 
 
 def lookup_structures(df: DataFrame, column: str, lookup: DataFrame, out: str = "smiles") -> DataFrame:
-    """Name to line notation or null, from a landed lookup table."""
-    known = lookup.select(F.col("name").alias(column), F.col("smiles").alias(out))
-    return df.join(known.dropDuplicates([column]), column, "left")
+    """Name to line notation or null, from a landed lookup table; of several the least."""
+    known = lookup.groupBy(F.col("name").alias(column)).agg(F.min("smiles").alias(out))
+    return df.join(known, column, "left")

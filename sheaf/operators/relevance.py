@@ -24,7 +24,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import keyword_rule, terms
@@ -138,9 +138,12 @@ class TfidfFeatures:
         return PipelineModel(stages=[base.stages[0], base.stages[1], scale, unit])
 
 
-def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Balanced weights n / (2 * n_class)."""
-    sizes = df.agg(
+def class_weights(
+    df: DataFrame, label: str, name: str = "weight", train: Column | None = None
+) -> DataFrame:
+    """Balanced weights n / (2 * n_class), counted where ``train`` holds (everywhere by default)."""
+    counted = df if train is None else df.where(train)
+    sizes = counted.agg(
         F.struct(
             F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n1")
         ).alias("s")
@@ -153,11 +156,15 @@ def classifiers(n_train: int, label: str = "label") -> dict[str, object]:
     """The five estimators; C becomes 1/(C n) in Spark's regularisation."""
     ridge = 1.0 / max(n_train, 1)
     return {
-        "Logistic Regression": LogisticRegression(labelCol=label, regParam=ridge, maxIter=50),
+        "Logistic Regression": LogisticRegression(
+            labelCol=label, regParam=ridge, maxIter=100, standardization=False
+        ),
         "Naive Bayes": NaiveBayes(labelCol=label, modelType="multinomial", smoothing=1.0),
-        "SVM": LinearSVC(labelCol=label, weightCol="weight", regParam=ridge, maxIter=20, tol=1e-4),
+        "SVM": LinearSVC(
+            labelCol=label, weightCol="weight", regParam=ridge, maxIter=20, tol=1e-4, standardization=False
+        ),
         "Random Forest": RandomForestClassifier(labelCol=label, numTrees=100, seed=42),
-        "Gradient Boosting": GBTClassifier(labelCol=label, maxIter=20, seed=42),
+        "Gradient Boosting": GBTClassifier(labelCol=label, maxIter=100, maxDepth=3, seed=42),
     }
 
 

@@ -14,7 +14,8 @@ WIDE = """
 select o_orderkey as paper, o_orderpriority as material,
   case o_orderkey % 5 when 0 then null when 1 then 'not a test'
     else '{' || chr(39) || 'time' || chr(39) || ': ' || chr(39) || (o_orderkey % 100) || ' h' || chr(39) || ', '
-         || chr(39) || 'humidity' || chr(39) || ': None}' end as test_1,
+         || chr(39) || 'humidity' || chr(39) || ': None, ' || chr(39) || 'molecule' || chr(39) || ': ' || chr(39)
+         || o_orderstatus || chr(39) || '}' end as test_1,
   case o_orderkey % 3 when 0 then '[{"time": "1 h", "stability_type": "' || o_orderstatus || '"}, {"time": null}]'
     else null end as test_2
 from @orders
@@ -22,17 +23,18 @@ from @orders
 _EXPANDED = f"""
 w as ({WIDE}),
 e as (
-  select paper, material, 'test_1' as test, (paper % 100) || ' h' as time, null as stability_type from w
+  select paper, material, 'test_1' as test, (paper % 100) || ' h' as time, null as stability_type,
+         '{{"molecule":"' || regexp_extract(test_1, '([A-Z])''\\}}', 1) || '"}}' as extra from w
     where paper % 5 > 1
-  union all select paper, material, 'test_2', '1 h', regexp_extract(test_2, 'type": "([A-Z])', 1) from w where paper % 3 = 0
-  union all select paper, material, 'test_2', null, null from w where paper % 3 = 0)
+  union all select paper, material, 'test_2', '1 h', regexp_extract(test_2, 'type": "([A-Z])', 1), '{{}}' from w where paper % 3 = 0
+  union all select paper, material, 'test_2', null, null, '{{}}' from w where paper % 3 = 0)
 """
 
 
-@query("p1_expanded_tests", f"with {_EXPANDED} select paper, material, test, time, stability_type from e")
+@query("p1_expanded_tests", f"with {_EXPANDED} select paper, material, test, time, stability_type, extra from e")
 def _(t: Tables):
     rows, _ = P.expand_tests(t.derive(WIDE), ("test_1", "test_2"))
-    return rows.select("paper", "material", "test", "time", "stability_type")
+    return rows.select("paper", "material", "test", "time", "stability_type", F.to_json("extra").alias("extra"))
 
 
 @query("p1_rejected_cells", f"with w as ({WIDE}) select paper, 'test_1' as test, test_1 as cell from w where paper % 5 = 1")
@@ -161,7 +163,7 @@ def _(t: Tables):
     select o_orderkey as paper, o_orderstatus as material, null as test, '9 h' as time, null as humidity
       from @orders where o_orderkey % 4 = 0
     union all select o_orderkey, o_orderstatus, 'test_1', o_orderkey || ' h', null from @orders where o_orderkey % 4 > 0
-    union all select o_orderkey, o_orderstatus, 'test_2', '9 h', o_orderpriority from @orders where o_orderkey % 4 > 1
+    union all select o_orderkey, o_orderstatus, 'test_2', null, o_orderpriority from @orders where o_orderkey % 4 > 1
     """,
 )
 def _(t: Tables):

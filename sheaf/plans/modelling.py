@@ -22,12 +22,14 @@ select l_orderkey * 1000 + l_linenumber as id, l_quantity, l_discount, l_tax, l_
 def _features(t: Tables):
     """One split for all models, written before the vectors are built."""
     split = written(train_test(t.derive(MODEL_ROWS), "id"), "regression-rows")
-    return M.assembled(split, NUMERIC, ("l_returnflag",)).select("label", "features", "is_test")
+    rows = M.assembled(split, NUMERIC, ("l_returnflag",), train=F.expr("not is_test"))
+    return rows.select("label", "features", "is_test")
 
 
 def _fit(t: Tables, name: str):
     rows = _features(t)
-    model = M.regressors()[name].fit(rows.where("not is_test"))
+    train = rows.where("not is_test")
+    model = M.regressors(scale=M.ridge_scale(train))[name].fit(train)
     return M.regression_metrics(model.transform(rows.where("is_test"))).withColumn("model", F.lit(name))
 
 
@@ -47,12 +49,11 @@ def _(t: Tables):
     key = F.col("o_orderkey")
     cat = F.when(key % 97 == 5, "RARE").otherwise(F.col("o_orderpriority"))
     split = train_test(t.orders.select(key.alias("id"), cat.alias("cat")), "id")
-    _, test = M.one_hot(split.where("not is_test"), split.where("is_test"), "cat")
-    flags = [c for c in test.columns if c.startswith("cat_")]
-    sums = test.agg(*[F.sum(f"`{c}`").alias(c) for c in flags])
-    return sums.unpivot([], [F.col(f"`{c}`") for c in flags], "category", "n").withColumn(
-        "category", F.substring("category", 5, 100)
-    )
+    _, test, names = M.one_hot(split.where("not is_test"), split.where("is_test"), "cat")
+    places = test.select(F.posexplode(vector_to_array("cat_hot")).alias("place", "hit"))
+    sums = places.groupBy("place").agg(F.sum("hit").cast("bigint").alias("n"))
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1)
+    return sums.select(named.alias("category"), "n")
 
 
 SMILES = """
@@ -85,7 +86,7 @@ def _(t: Tables):
     flags = M.structure_flags(t.derive(SMILES), "smiles").where("smiles is not null")
     split = train_test(flags, "p_partkey")
     train, test = M.flag_clusters(
-        split.where("not is_test"), split.where("is_test"), ("organic", "functional_group_rich"), k=3
+        split.where("not is_test"), split.where("is_test"), ("organic", "functional_group_rich")
     )
     both = train.unionByName(test)
     return both.groupBy("organic", "functional_group_rich", "is_test", "cluster").agg(
@@ -120,13 +121,15 @@ def _(t: Tables):
     )
 
 
-_REPEATED = ("Linear Regression", "Ridge")
+_REPEATED = ("Linear Regression", "Ridge", "Lasso")
 
 
 def _repeated(t: Tables):
     rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",)).select("id", "label", "features")
-    models = {n: m for n, m in M.regressors().items() if n in _REPEATED}
-    return M.repeated_splits(written(rows, "model-rows"), "id", models, M.seeds(t.spark, 3))
+    rows = written(rows, "model-rows")
+    scale = M.ridge_scale(rows) / 0.8  # each split trains on four fifths
+    models = {n: m for n, m in M.regressors(scale=scale).items() if n in _REPEATED}
+    return M.repeated_splits(rows, "id", models, M.seeds(t.spark, 3))
 
 
 @query("m6_repeated_splits")
@@ -156,8 +159,9 @@ for _id, _name in (
 @query("m12_grid_search")
 def _(t: Tables):
     rows = _features(t)
-    estimator, grid = M.regressor_grids()["Ridge"]
-    best = M.search(rows.where("not is_test"), estimator, grid, folds=3).bestModel
+    train = rows.where("not is_test")
+    estimator, grid = M.regressor_grids(scale=M.ridge_scale(train))["Ridge"]
+    best = M.search(train, estimator, grid).bestModel
     scored = best.transform(rows.where("is_test"))
     return M.regression_metrics(scored).withColumn("reg_param", F.lit(best.getRegParam()))
 

@@ -78,14 +78,17 @@ def _(t: Tables):
     return prompts.select("doc_id", F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
 
 
+_TEMPLATE = X.ExampleTemplate(asked="Text: {chunk}\nKnown: {memory}.")
+
+
 @query(
     "x3_training_example",
-    f"""select conv_id, turn, md5(chr(10) || '{X.INTRO}' || chr(10) || chr(10) || '{X.INSTRUCTION_KEY}' || chr(10)
-       || 'chunk: ' || text || chr(10) || 'memory: ' || role || chr(10) || chr(10) || '{X.RESPONSE_KEY}' || chr(10)
-       || turn || chr(10) || chr(10) || '{X.END_KEY}') as example_md5 from @conversations""",
+    f"""select conv_id, turn, md5(chr(10) || '{_TEMPLATE.intro}' || chr(10) || chr(10) || 'Text: ' || text || chr(10)
+       || 'Known: ' || role || '.' || chr(10) || chr(10) || '{_TEMPLATE.response_key}' || chr(10)
+       || turn || chr(10) || chr(10) || '{_TEMPLATE.end_key}') as example_md5 from @conversations""",
 )
 def _(t: Tables):
-    example = X.training_example(F.col("text"), F.col("role"), F.col("turn").cast("string"))
+    example = X.training_example(F.col("text"), F.col("role"), F.col("turn").cast("string"), _TEMPLATE)
     return t.conversations.select("conv_id", "turn", F.md5(example).alias("example_md5"))
 
 
@@ -123,13 +126,13 @@ def _(t: Tables):
     "x8_apply_extractor",
     """with f as (select doc_id, nullif(regexp_extract(text, '[a-z]{4,}'), '') as w,
                          nullif(regexp_extract(text, '[0-9]+'), '') as n from @documents)
-    select doc_id, case when w is not null or n is not null then '{"first_word": '
-      || coalesce('"' || w || '"', 'null') || ', "number": ' || coalesce('"' || n || '"', 'null') || '}' end as json_output
+    select doc_id, case when w is not null or n is not null then '{"first_word":'
+      || coalesce('"' || w || '"', 'null') || ',"number":' || coalesce('"' || n || '"', 'null') || '}' end as json_output
     from f""",
 )
 def _(t: Tables):
-    rules = C.rule_extractor({"first_word": r"[a-z]{4,}", "number": r"[0-9]+"})
-    return C.apply_extractor(t.documents, "doc_id", "text", rules)
+    rules = {"first_word": r"[a-z]{4,}", "number": r"[0-9]+"}
+    return t.documents.select("doc_id", C.rule_records(F.col("text"), rules).alias("json_output"))
 
 
 @query(
@@ -397,7 +400,7 @@ def _(t: Tables):
 
 @query(
     "c12_structure_lookup",
-    f"""with n as ({NAMES}), d as (select name, any_value(converted) as smiles from ({_PASS2}) group by name)
+    f"""with n as ({NAMES}), d as (select name, min(converted) as smiles from ({_PASS2}) group by name)
     select p_partkey, n.name, d.smiles from n left join d on n.name = d.name""",
 )
 def _(t: Tables):

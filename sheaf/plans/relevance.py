@@ -110,7 +110,7 @@ def _features(t: Tables):
     split = written(split, "labelled-split")
     model = T.TfidfFeatures("text").fit(split.where(~F.col("is_test")))
     vectors = model.transform(split).select("doc_id", "lang", "label", "is_test", "features")
-    vectors = written(T.class_weights(vectors, "label"), "labelled-features")
+    vectors = written(T.class_weights(vectors, "label", train=F.expr("not is_test")), "labelled-features")
     return vectors.where(~F.col("is_test")), vectors.where("is_test")
 
 
@@ -131,13 +131,20 @@ for _id, _name in (
     query(_id)(lambda t, name=_name: _fit_and_predict(t, name))
 
 
-@query("t11_grid_search")
-def _(t: Tables):
+def _searched(t: Tables, name: str):
     train, test = _features(t)
-    estimator, grid = T.classifier_grids(train.count())["Naive Bayes"]
+    estimator, grid = T.classifier_grids(train.count())[name]
     best = T.grid_search(train, estimator, grid).bestModel
     scored = best.transform(test).select("label", F.col("prediction").cast("int").alias("p"))
-    return T.confusion(scored, "label", "p").withColumn("smoothing", F.lit(best.getSmoothing()))
+    return T.confusion(scored, "label", "p").withColumn("model", F.lit(name))
+
+
+for _id, _name in (
+    ("t11_grid_search", "Naive Bayes"),
+    ("t11_grid_search_logistic", "Logistic Regression"),
+    ("t11_grid_search_svm", "SVM"),
+):
+    query(_id)(lambda t, name=_name: _searched(t, name))
 
 
 _PAIRS = "pairs as (select lang, quality as y, toxic as p from @documents join @labels using (doc_id))"

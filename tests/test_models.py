@@ -94,13 +94,35 @@ def test_weighted_median(spark):
     assert model.transform(spark.range(1)).first().prediction == 9.0
 
 
-def test_one_hot_ignores_unknown_and_refuses_wide_columns(spark):
-    train = spark.createDataFrame([("a",), ("b",)], "c string")
+def test_one_hot_ignores_unknown_values(spark):
+    train = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     test = spark.createDataFrame([("b",), ("z",), (None,)], "c string")
-    _, out = M.one_hot(train, test, "c")
-    assert sorted(map(tuple, out.collect())) == [(0, 0), (0, 0), (0, 1)]
-    with pytest.raises(ValueError):
-        M.categories(spark.range(20).select(F.col("id").cast("string").alias("c")), "c", most=10)
+    _, out, names = M.one_hot(train, test, "c")
+    assert names == ["a", "b"]
+    assert sorted(tuple(r.c_hot.toArray()) for r in out.collect()) == [(0, 0), (0, 0), (0, 1)]
+    wide = spark.range(1500).select(F.col("id").cast("string").alias("c"))
+    assert len(M.one_hot(wide, wide, "c")[2]) == 1500
+
+
+def test_ridge_is_the_closed_form(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 2)) * [1, 30]
+    y = x @ [3, 0.1] + 5 + rng.normal(size=200)
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    for alpha in (1.0, 100.0):
+        want = np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ yc)
+        ridge = M.regressors(scale=alpha * M.ridge_scale(rows))["Ridge"].fit(rows)
+        assert ridge.coefficients.toArray() == pytest.approx(want, rel=1e-6)
+
+
+def test_categories_and_weights_come_from_the_train_side(spark):
+    rows = spark.createDataFrame([(1.0, "a", True), (2.0, "b", True), (3.0, "z", False)], "x double, c string, train boolean")
+    vectors = M.assembled(rows, ["x"], ["c"], train=F.col("train")).collect()
+    assert {len(r.features) for r in vectors} == {4}
+    labels = spark.createDataFrame([(1, True), (0, True), (0, True), (0, True), (1, False)], "y int, train boolean")
+    weights = T.class_weights(labels, "y", train=F.col("train")).where("y = 1").first().weight
+    assert weights == 2.0
 
 
 def test_confusion_with_an_empty_class(spark):

@@ -111,7 +111,12 @@ def test_dictionary_upsert_keeps_null_of_new(spark):
 
 def test_extractor_runs_by_batch(spark):
     rows = spark.createDataFrame([(i, f"value {i * 10} %") for i in range(20)], "id long, text string")
-    out = C.apply_extractor(rows, "id", "text", C.rule_extractor({"n": r"\d+"}))
-    assert {r.id: json.loads(r.json_output)["n"] for r in out.collect()} == {
-        i: str(i * 10) for i in range(20)
-    }
+    out = C.apply_extractor(rows, "id", "text", lambda texts: [t.upper() for t in texts])
+    assert {r.id: r.json_output for r in out.collect()} == {i: f"VALUE {i * 10} %" for i in range(20)}
+
+
+def test_rule_records(column):
+    rules = C.rule_records(F.col("v"), {"n": r"\d+", "w": "[a-z]{3}"})
+    assert column(["a 12 bcd", "x", None, "7"], rules) == ['{"n":"12","w":"bcd"}', None, None, '{"n":"7","w":null}']
+
+
