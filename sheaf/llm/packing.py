@@ -34,7 +34,9 @@ SEQUENCE, WINDOW = 4096, 32
 # Sources beyond so many, the smallest ones, wait in one queue together.
 MAX_QUEUES = 256
 # Words a process remembers; beyond them it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
+# Texts of about so many bytes are looked up together.
+CHUNK_BYTES = 1 << 22
 
 
 # Words of these characters are folded and split here, as the tokenizer would:
@@ -143,7 +145,7 @@ def tokenized(
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK_BYTES):
                 ids += cache.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], end_id)
             at = []
             for name, own in zip(batch.column(2).to_pylist(), ids, strict=True):
