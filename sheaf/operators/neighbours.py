@@ -100,13 +100,29 @@ def nearest(
                 {"q": "int64", "t": "int64", "distance": "float64"}
             )
         base = np.stack([np.asarray(v, dtype="float64") for v in right["v"]])
-        ids = right["id"].to_numpy()
-        found = []
-        for qid, v in zip(left["id"], left["v"]):
-            gaps = _gap(base, np.asarray(v, dtype="float64"), p)
-            best = np.lexsort((ids, gaps))[:k]
-            found.append(pd.DataFrame({"q": qid, "t": ids[best], "distance": gaps[best]}))
-        return pd.concat(found, ignore_index=True)
+        asked = np.stack([np.asarray(v, dtype="float64") for v in left["v"]])
+        ids, names = right["id"].to_numpy(), left["id"].to_numpy()
+        most = min(k, len(ids))
+        norms = (base * base).sum(axis=1)
+        out = []
+        # Some queries at a time, so that a block of distances stays small.
+        step = max(1, 4_000_000 // len(ids))
+        for first in range(0, len(asked), step):
+            some = asked[first : first + step]
+            if p == 1:
+                near = np.stack([_gap(base, x, 1) for x in some])
+            else:
+                near = np.maximum(0, norms[None, :] - 2 * some @ base.T + (some * some).sum(axis=1)[:, None])
+            bound = np.partition(near, most - 1, axis=1)[:, most - 1]
+            # The matrix rounds: whatever may belong to the nearest is measured again.
+            bound = bound + 1e-9 * (bound + norms.max() + 1)
+            for i, x in enumerate(some):
+                may = np.flatnonzero(near[i] <= bound[i])
+                gaps = _gap(base[may], x, p)
+                best = np.lexsort((ids[may], gaps))[:most]
+                out.append((np.full(len(best), names[first + i]), ids[may][best], gaps[best]))
+        q, t, distance = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"q": q, "t": t, "distance": distance})
 
     queries = test.select(F.col(test_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     visits = queries.mapInPandas(visit, "id long, v array<double>, cell int, part int").withColumn(
@@ -115,13 +131,16 @@ def nearest(
     blocks = F.lit(1)
     for cell, n in train_blocks.items():
         blocks = F.when(F.col("cell") == cell, F.lit(n)).otherwise(blocks)
-    base = located.withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
-        "qpart", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    # A train row goes to the query blocks that visit its cell, and to no others.
+    visits = written(visits, "knn-visits")
+    wanted = visits.select(F.col("cell").alias("wcell"), F.col("qpart").alias("wpart")).distinct()
+    base = located.withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(
+        wanted, F.col("cell") == F.col("wcell")
     )
     keys = ["cell", "part", "qpart"]
     partial = (
         visits.groupBy(*keys)
-        .cogroup(base.select("id", "v", *keys).groupBy(*keys))
+        .cogroup(base.select("id", "v", "wcell", "part", "wpart").groupBy("wcell", "part", "wpart"))
         .applyInPandas(search, "q long, t long, distance double")
     )
     rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "t"))

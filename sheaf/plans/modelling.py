@@ -205,7 +205,7 @@ def _(t: Tables):
 @query("m12_knn_search")
 def _(t: Tables):
     rows = t.embeddings.select("vec_id", "embedding", "label")
-    out = N.knn_search(rows, "vec_id", "embedding", "label", ks=(3, 5), ps=(2,), folds=3)
+    out = N.knn_search(rows, "vec_id", "embedding", "label", ks=(3, 5, 10, 20))
     return out.withColumn("R2", F.round("R2", 6))
 
 
