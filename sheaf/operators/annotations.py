@@ -20,8 +20,10 @@ from sheaf.schemas import (
     MATERIAL_FIELDS,
     MOLECULE_FIELD,
     PERFORMANCE_FIELDS,
+    SEMI_NESTED,
     TEST_FIELDS,
     TOP_FIELDS,
+    Layout,
 )
 from sheaf.session import written
 
@@ -178,6 +180,33 @@ def records_per_molecule(notes: DataFrame, relations: DataFrame) -> DataFrame:
     return cells.unionByName(without)
 
 
+def nested_records(cells: DataFrame, layout: Layout = SEMI_NESTED) -> DataFrame:
+    """Rows ``paper, molecule, record`` of long cells: what ``evaluate`` compares.
+
+    Every field of the layout is there, null where nothing was written; a
+    section without a known field is a test of nulls. A paper without a
+    molecule keeps one row with a null record. First the sections, then the
+    records combine, so one record's cells never meet as a whole before they
+    are one row.
+    """
+    keys = ["paper", "molecule"]
+    by_section = cells.groupBy(*keys, "section").agg(
+        *[
+            F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
+            for f in dict.fromkeys((*layout.top, *layout.tests))
+        ]
+    )
+    at_top = F.col("section") == TOP
+    test = F.struct("section", F.struct(*[F.col(f) for f in layout.tests]).alias("t"))
+    gathered = by_section.groupBy(*keys).agg(
+        *[F.max(F.when(at_top, F.col(f))).alias(f) for f in layout.top],
+        F.collect_list(F.when(F.col("section").isNotNull() & ~at_top, test)).alias("_tests"),
+        F.bool_or(F.col("section").isNotNull()).alias("_any"),
+    )
+    record = F.struct(*layout.top, F.map_from_entries(F.array_sort("_tests")).alias("tests"))
+    return gathered.select(*keys, F.when(F.col("_any"), record).alias("record"))
+
+
 def routed_writes(
     notes: DataFrame, relations: DataFrame, number_first: bool = True
 ) -> DataFrame:
@@ -277,26 +306,57 @@ def running_records(
     )
 
 
-def record_text(section: Column, field: Column, value: Column) -> Column:
-    """Canonical text of the non-null cells of one record (an aggregate)."""
-    cell = F.when(value.isNotNull(), F.concat(section, F.lit("."), field, F.lit("="), value))
-    return F.array_join(F.array_sort(F.collect_list(cell)), ";")
+def _section_json(side: str, fields: Sequence[str]) -> Column:
+    known = F.struct(*[F.max(F.when(F.col("field") == f, F.col(side))).alias(f) for f in fields])
+    return F.to_json(known, {"ignoreNullFields": "false"})
+
+
+def _other_json(side: str, fields: Sequence[str]) -> Column:
+    """Members of fields outside the schema, in the order of their names."""
+    member = F.when(
+        ~F.col("field").isin(*fields) & F.col(side).isNotNull(),
+        F.struct("field", F.to_json(F.create_map("field", side)).alias("json")),
+    )
+    members = F.transform(F.array_sort(F.collect_list(member)), lambda m: F.substr(m["json"], F.lit(2), F.length(m["json"]) - 2))
+    return F.array_join(F.transform(members, lambda m: F.concat(F.lit(","), m)), "")
 
 
 def chunk_examples(states: DataFrame, passages: DataFrame) -> DataFrame:
-    """Training rows ``id, text, memory, output`` with records as text."""
-    section, field = F.col("section"), F.col("field")
-    flat = states.groupBy("paper", "passage").agg(
-        record_text(section, field, F.col("memory")).alias("memory"),
-        record_text(section, field, F.col("output")).alias("output"),
-    )
-    joined = passages.join(flat, ["paper", "passage"], "left")
-    return joined.select(
-        F.concat_ws("_", "paper", "passage").alias("id"),
-        "text",
-        F.coalesce("memory", F.lit("")).alias("memory"),
-        F.coalesce("output", F.lit("")).alias("output"),
+    """Training rows ``id, text, memory, output`` with records as JSON.
+
+    A record holds every known field, null where nothing is written, and a
+    member for each test that has a value by then. The first memory of a paper
+    is the empty record: all fields null, and one empty test.
+    """
+    template = passages.select(
+        "paper",
+        "passage",
+        F.explode(F.array(F.lit(TOP), F.lit(DEFAULT_TEST))).alias("section"),
+        *[F.lit(None).cast("string").alias(c) for c in ("field", "memory", "output")],
     )
+    cells = states.select(*template.columns).unionByName(template)
+    at_top = F.col("section") == TOP
+    sides = ("memory", "output")
+
+    def whole(side: str) -> Column:
+        top, test = _section_json(side, TOP_FIELDS), _section_json(side, TEST_FIELDS)
+        other = _other_json(side, TEST_FIELDS)
+        closed = F.concat(F.substr(test, F.lit(1), F.length(test) - 1), other, F.lit("}"))
+        return F.when(at_top, top).when((F.count(side) > 0) | (F.col("section") == DEFAULT_TEST), closed).alias(side)
+
+    by_section = cells.groupBy("paper", "passage", "section").agg(*[whole(side) for side in sides])
+
+    def record(side: str) -> Column:
+        top = F.max(F.when(at_top, F.col(side)))
+        tests = F.collect_list(F.when(~at_top & F.col(side).isNotNull(), F.struct("section", side)))
+        members = F.transform(
+            F.array_sort(tests), lambda t: F.concat(F.lit(',"'), t["section"], F.lit('":'), t[side])
+        )
+        return F.concat(F.substr(top, F.lit(1), F.length(top) - 1), F.array_join(members, ""), F.lit("}")).alias(side)
+
+    records = by_section.groupBy("paper", "passage").agg(*[record(side) for side in sides])
+    joined = passages.join(records, ["paper", "passage"])
+    return joined.select(F.concat_ws("_", "paper", "passage").alias("id"), "text", *sides)
 
 
 def split_chunk_id(chunk_id: Column) -> Column:

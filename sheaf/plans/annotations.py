@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.operators import annotations as K
+from sheaf.operators import evaluation as E
 from sheaf.plans.registry import Tables, query
 from sheaf.schemas import IGNORED_TAGS, MATERIAL_FIELDS, PERFORMANCE_FIELDS, TEST_FIELDS, TOP_FIELDS
 
@@ -127,10 +128,8 @@ def _(t: Tables):
     return listed.join(last, ["paper", "node_id"])
 
 
-@query(
-    "k6_records_per_molecule",
-    f"""with {_BASE},
-    top as (select paper, 'top' as section, var_name as field, arg_max(value, pos) as value
+_CELLS = f"""
+top as (select paper, 'top' as section, var_name as field, arg_max(value, pos) as value
             from notes where var_name in ({_TOP}) group by paper, var_name),
     cells as (select n.paper, r.test_name as section, n.var_name as field, arg_max(n.value, n.pos) as value
               from notes n join rel r on n.paper = r.paper and n.node_id = r.node_id
@@ -140,7 +139,8 @@ def _(t: Tables):
                  from mols m join reln r on m.paper = r.paper and m.node_id = r.node_id group by all),
     own as (select distinct l.paper, l.molecule, r.test_name from lastnode l
             join rel r on l.paper = r.paper and l.node_id = r.node_id),
-    everyone as (select distinct paper, molecule, n_molecules from mols join nmol using (paper))
+    everyone as (select distinct paper, molecule, n_molecules from mols join nmol using (paper)),
+cells_of as (
     select paper, molecule, section, field, value from everyone join top using (paper)
     union all select e.paper, e.molecule, section, field, value from everyone e join cells using (paper)
       where n_molecules <= 1
@@ -148,12 +148,56 @@ def _(t: Tables):
       join own o on o.paper = e.paper and o.molecule = e.molecule
       join cells c on c.paper = e.paper and c.section = o.test_name where n_molecules > 1
     union all select distinct paper, null, null, null, null from notes
-      where paper not in (select paper from mols)""",
+      where paper not in (select paper from mols))
+"""
+
+
+@query(
+    "k6_records_per_molecule",
+    f"with {_BASE}, {_CELLS} select * from cells_of",
 )
 def _(t: Tables):
     return K.records_per_molecule(_notes(t), K.numbered_relations(_relations(t)))
 
 
+@query(
+    "k6_nested_records",
+    f"""with {_BASE}, {_CELLS},
+    sections as (select paper, molecule, section,
+                        {', '.join(f"max(value) filter (where field = '{f}') as {f}" for f in TEST_FIELDS)}
+                 from cells_of where section <> 'top' group by all),
+    tests as (select paper, molecule, string_agg('"' || section || '":' || to_json({{
+                     {', '.join(f"'{f}': {f}" for f in TEST_FIELDS)} }}), ',' order by section) as body
+              from sections group by all),
+    tops as (select paper, molecule, to_json({{ {', '.join(f"'{f}': max(value) filter (where section = 'top' and field = '{f}')" for f in TOP_FIELDS)} }}) as body
+             from cells_of where molecule is not null group by all)
+    select p.paper, p.molecule, left(p.body, length(p.body) - 1) || ',"tests":{{' || coalesce(t.body, '') || '}}}}' as record
+    from tops p left join tests t on p.paper = t.paper and p.molecule = t.molecule
+    union all select paper, null, null from cells_of where molecule is null""",
+)
+def _(t: Tables):
+    cells = K.records_per_molecule(_notes(t), K.numbered_relations(_relations(t)))
+    record = F.to_json("record", {"ignoreNullFields": "false"})
+    return K.nested_records(cells).select("paper", "molecule", record.alias("record"))
+
+
+@query("k_annotations_to_macro_f1")
+def _(t: Tables):
+    """From annotation graphs to one score: surface texts of the champion against all values."""
+    relations = K.numbered_relations(_relations(t))
+    labels = K.nested_records(K.records_per_molecule(_notes(t), relations)).where("molecule is not null")
+    order = F.conv(F.substring(F.md5("molecule"), 1, 8), 16, 10).cast("long")
+    texts = K.with_value(t.derive(NOTES), text_only=True)
+    found = K.nested_records(K.records_per_molecule(texts, relations))
+    champion = K.champions(texts, K.tests_of_nodes(relations)).select("paper", "molecule")
+    scores = E.evaluate(
+        labels.select("paper", order.alias("pos"), "record"),
+        found.join(champion, ["paper", "molecule"]).select("paper", "record"),
+    )
+    macro = E.macro_f1(scores.withColumn("model", F.lit("surface text")))
+    return macro.withColumn("macro_f1", F.round("macro_f1", 9))
+
+
 @query("k7_molecule_counts", f"with {_BASE} select * from nmol")
 def _(t: Tables):
     return K.molecule_counts(_notes(t))
@@ -213,14 +257,27 @@ state as (select g.*, last_value(w ignore nulls) over (partition by paper, secti
 """
 
 
+def _object(fields, value: str) -> str:
+    """A JSON object of the fields, each the only value written under its name."""
+    return "to_json({" + ", ".join(f"'{f}': max({value}) filter (where field = '{f}')" for f in fields) + "})"
+
+
 @query(
     "k9_running_records",
     f"""with {_BASE}, {_ROUTED}, {_STATE},
-    cells as (select paper, passage, section || '.' || field as k, a.v as o, b.v as m from state)
-    select paper || '_' || passage as id,
-           coalesce(string_agg(k || '=' || m, ';' order by k || '=' || m) filter (where m is not null), '') as memory,
-           coalesce(string_agg(k || '=' || o, ';' order by k || '=' || o) filter (where o is not null), '') as output
-    from passages left join cells using (paper, passage) group by paper, passage""",
+    cells as (select paper, passage, section, field, a.v as o, b.v as m from state
+              union all select paper, passage, unnest(['top', 'test_1']), null, null, null from passages),
+    tests as (select paper, passage, section, {_object(TEST_FIELDS, 'm')} as m, {_object(TEST_FIELDS, 'o')} as o,
+                     count(m) > 0 or section = 'test_1' as has_m, count(o) > 0 or section = 'test_1' as has_o
+              from cells where section <> 'top' group by paper, passage, section),
+    listed as (select paper, passage, coalesce(string_agg(',"' || section || '":' || m, '' order by section) filter (where has_m), '') as m,
+                      coalesce(string_agg(',"' || section || '":' || o, '' order by section) filter (where has_o), '') as o
+               from tests group by all),
+    tops as (select paper, passage, {_object(TOP_FIELDS, 'm')} as m, {_object(TOP_FIELDS, 'o')} as o
+             from cells where section = 'top' group by all)
+    select paper || '_' || passage as id, left(t.m, length(t.m) - 1) || l.m || '}}' as memory,
+           left(t.o, length(t.o) - 1) || l.o || '}}' as output
+    from tops t join listed l using (paper, passage)""",
 )
 def _(t: Tables):
     notes = _notes(t)

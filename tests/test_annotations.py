@@ -1,6 +1,9 @@
+import json
+
 import pytest
 
 from sheaf.operators import annotations as K
+from sheaf.schemas import TOP_FIELDS
 
 NOTES = "paper int, passage long, pos long, node_id string, var_name string, identifier string, text string"
 RELATIONS = "paper int, rel_pos long, test_name string, node_id string"
@@ -68,10 +71,22 @@ def test_memory_is_the_output_of_the_passage_before(notes, relations, block):
     passages = notes.select("paper", "passage", "passage").toDF("paper", "passage", "text").distinct()
     states = K.running_records(K.routed_writes(notes, relations), passages, block=block)
     got = {r.id: (r.memory, r.output) for r in K.chunk_examples(states, passages).collect()}
-    assert got["1_0"][0] == ""
+    assert set(json.loads(got["1_0"][0])) == {*TOP_FIELDS, "test_1"}
+    assert not any(v for k, v in json.loads(got["1_0"][0]).items() if k != "test_1")
     assert got["1_1"][0] == got["1_0"][1]
     assert got["1_2"][0] == got["1_1"][1]
-    assert "test_1_2.time=200 h" in got["1_2"][1]
+    assert json.loads(got["1_2"][1])["test_1_2"]["time"] == "200 h"
+
+
+def test_nested_records_hold_every_field(spark):
+    cells = spark.createDataFrame(
+        [(1, "A", "top", "treated_pce", "20"), (1, "A", "test_1", "time", "5 h"), (2, None, None, None, None)],
+        "paper long, molecule string, section string, field string, value string",
+    )
+    got = {r.paper: r.record for r in K.nested_records(cells).collect()}
+    assert got[2] is None
+    assert got[1].treated_pce == "20" and got[1].control_pce is None
+    assert got[1].tests["test_1"].time == "5 h" and got[1].tests["test_1"].humidity is None
 
 
 def test_current_molecule_is_the_one_introduced_last(spark):
