@@ -75,7 +75,7 @@ def sides(spark):
             (1, 0, '{"passivating_molecule": "PEAI", "treated_pce": 20, "test_1": {"stability_type": "ISOSL", '
                    '"time": "1000 h", "temperature": "85+-5"}, "test_2": {"stability_type": "ISOSD", "time": 10}}'),
             (1, 1, '{"passivating_molecule": "BABr", "treated_pce": 1}'),
-            (2, 2, '{"passivating_molecule": "X", "test_1": {"stability_type": "ISOSL"}}'),
+            (2, 2, '{"passivating_molecule": "X", "structure_pin_nip": null, "control_voc": 1.1, "test_1": {"stability_type": "ISOSL"}}'),
             (3, 3, '{"control_pce": 4}'),
         ],
         "paper int, pos int, raw string",
@@ -108,7 +108,12 @@ def test_whole_evaluation(sides):
     assert len(scores) == 15
     # PEAI/PEAl reads 0.75 alike, which is not above 0.8; X matches.
     assert (scores["passivating_molecule"].TP, scores["passivating_molecule"].FP) == (1, 1)
-    assert (scores["treated_pce"].TP, scores["treated_pce"].FP) == (2, 0)
+    # A field the label lacks counts nowhere; one that only the extraction lacks
+    # is right without a label and missed with one.
+    assert [scores["treated_pce"][o] for o in E.OUTCOMES] == [1, 0, 0, 0]
+    assert [scores["structure_pin_nip"][o] for o in E.OUTCOMES] == [1, 0, 0, 0]
+    assert [scores["control_voc"][o] for o in E.OUTCOMES] == [0, 0, 1, 0]
+    assert [scores["hole_transport_layer"][o] for o in E.OUTCOMES] == [0, 0, 0, 0]
     assert (scores["temperature"].TP, scores["temperature"].FN) == (1, 1)
     assert (scores["stability_type"].TP, scores["stability_type"].FN) == (2, 1)
     assert scores["time"].recall == pytest.approx(2 / 3)
