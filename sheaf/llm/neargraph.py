@@ -114,7 +114,9 @@ def pruned_lists(units: np.ndarray, degree: int, pool: int, alpha: float) -> lis
     near = (units @ units.T).astype(np.float32)
     np.fill_diagonal(near, -2)
     pool = min(pool, n - 1)
-    candidates = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
+    candidates = np.concatenate(
+        [np.argpartition(-near[r : r + 256], pool - 1, axis=1)[:, :pool] for r in range(0, n, 256)]
+    )
     rows = np.arange(n)
     order = np.argsort(-near[rows[:, None], candidates], axis=1, kind="stable")
     candidates = candidates[rows[:, None], order]
