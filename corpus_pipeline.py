@@ -52,7 +52,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     prepared(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     training = labelled_quality(docs.select("doc_id", "text"), labels)
-    model = quality.fit(training)
+    model = quality.fit(training, per_label=None)
     if not model.trained:
         return docs
     return quality.score(docs, model).filter(F.col("score") >= QUALITY_SCORE).select("row.*")

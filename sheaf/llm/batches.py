@@ -143,3 +143,15 @@ def unpack_planes(packed: bytes, width: int) -> np.ndarray:
     steps = np.zeros((planes.shape[1], 8), np.uint8)
     steps[:, :width] = planes.T
     return np.cumsum(steps.view(U64).ravel(), dtype=U64)
+
+
+class WordNumbers(dict):
+    """Numbers of words; a new word gets the next number and waits to be learnt."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number

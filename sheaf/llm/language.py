@@ -22,7 +22,7 @@ from sheaf.llm.sampling import bounded
 BINS, ORDERS = 1 << 15, (1, 2, 3)
 # Documents of each language that the weights are fitted on, in the order of
 # the hashes of their ids. Statistics and predictions know no such bound.
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 20
 
@@ -83,8 +83,12 @@ class Model:
 
     def features(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(found)
-        values = (1 + np.log(found[at])) * self.idf[at]
-        return at, values / max(1e-12, np.sqrt((values**2).sum()))
+        return at, self.weighted(at, found[at])
+
+    def weighted(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """TF-IDF weights of the bins ``at``, of unit length."""
+        values = (1 + np.log(found)) * self.idf[at]
+        return values / max(1e-12, np.sqrt((values**2).sum()))
 
     def predict(self, text: str) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -153,12 +157,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [counts(t) for t in texts(batch.column(1))]
+        found = [counts(t) for t in texts(batch.column(2))]
         at = [np.flatnonzero(f) for f in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()),
-             pa.array([f[a].astype("<i4").tobytes() for f, a in zip(found, at, strict=True)], pa.binary())],
-            names=["label", "bins", "counts"],
+            [batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
+             pa.array([f[a].astype("<f4").tobytes() for f, a in zip(found, at, strict=True)], pa.binary())],
+            names=["id", "label", "bins", "counts"],
         )
 
 
@@ -178,16 +182,17 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             df[bin_] = n
     idf = np.log((1 + documents) / (1 + df)) + 1
     chosen = bounded(rows, per_language)
-    sample = rows.join(F.broadcast(chosen), ["id", "label"]).select("label", "text")
-    found = sample.mapInArrow(_described, "label string, bins binary, counts binary").collect()
-    found.sort(key=lambda r: (r["label"], bytes(r["bins"]), bytes(r["counts"])))
+    sample = rows.join(F.broadcast(chosen), ["id", "label"]).select(F.col("id").cast("string").alias("id"), "label", "text")
+    found = sample.mapInArrow(_described, "id string, label string, bins binary, counts binary").collect()
+    found.sort(key=lambda r: (r["label"], r["id"], len(r["bins"])))
     languages = sorted({r["label"] for r in found})
     model = Model(languages, np.zeros((len(languages), BINS)), idf)
     examples = []
     for r in found:
-        full = np.zeros(BINS, np.int64)
-        full[np.frombuffer(r["bins"], "<i4")] = np.frombuffer(r["counts"], "<i4")
-        examples.append((languages.index(r["label"]), *model.features(full)))
+        at = np.frombuffer(r["bins"], "<u2").astype(np.int32)
+        values = model.weighted(at, np.frombuffer(r["counts"], "<f4"))
+        examples.append((languages.index(r["label"]), at, values.astype(np.float32)))
+    del found
     if not languages:
         return model
     held = [e for i, e in enumerate(examples) if i % 5 == 0]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.batches import chunks, utf8
+from sheaf.llm.batches import WordNumbers, chunks, utf8
 from sheaf.session import written
 
 SEQUENCE, WINDOW = 4096, 32
@@ -47,18 +47,6 @@ _LETTERS = r"a-z\u00DF-\u00F6\u00F8-\u017F"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
-class _Index(dict):
-    """Numbers of words; a new word gets the next number and waits to be learnt."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class WordCache:
     """Ids of texts, one lookup per word.
 
@@ -81,7 +69,7 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
+        self.index = WordNumbers()
         self.parts: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.batches import U64, mix, utf8
+from sheaf.llm.batches import U64, WordNumbers, chunks, mix, utf8
 from sheaf.llm.sampling import bounded
 
 BUCKETS, DIM = 1 << 17, 12
@@ -26,15 +26,18 @@ GRAMS = (2, 3, 4)
 SAME = BUCKETS
 # Labelled documents of each label that the vectors are trained on, in the
 # order of the hashes of their ids.
-PER_LABEL = 3000
-CACHE_WORDS = 400_000
+PER_LABEL = 1500
+# Words a process remembers; beyond them it starts anew.
+CACHE_WORDS = 800_000
+# Texts of about so many bytes are looked up together.
+CHUNK_BYTES = 1 << 22
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of the character n-grams of ``<word>``, and their bounds."""
-    points = [np.frombuffer(f"<{w.decode()}>".encode("utf-32-le"), np.uint32) for w in words]
-    lengths = np.array([len(p) for p in points], np.int64)
-    every = np.concatenate([*points, np.zeros(0, np.uint32)]).astype(U64)
+    marked = [f"<{w.decode()}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    every = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(U64)
     owner = np.repeat(np.arange(len(words)), lengths)
     owners, buckets = [], []
     rolling = np.zeros(len(every), U64)
@@ -79,6 +82,12 @@ class Model:
     bias: float
     trained: bool = True
 
+    def scorer(self) -> Scorer:
+        """One for each process, which thus remembers words from task to task."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = Scorer(self)
+        return self._scorer
+
 
 def train(
     rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 1
@@ -113,56 +122,60 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = WordNumbers()
         self.sums, self.sizes = np.zeros(0), np.zeros(0, np.int64)
 
-    def learn(self, new: list[bytes]) -> None:
-        buckets, bounds = subwords(new)
+    def learn(self) -> None:
+        buckets, bounds = subwords(self.index.new)
+        self.index.new = []
         total = np.concatenate([[0.0], np.cumsum(self.model.buckets[buckets])])
-        self.index.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
         self.sums = np.append(self.sums, total[bounds[1:]] - total[bounds[:-1]])
         self.sizes = np.append(self.sizes, np.diff(bounds))
 
-    def score(self, text: bytes) -> float:
-        words = text.split()
+    def scores(self, batch: list[bytes]) -> list[float]:
+        """Probability of label 1 for each text."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in self.index]:
-            self.learn(new)
-        logit = self.model.bias
-        if words:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            same = self.sizes[at[1:][at[1:] == at[:-1]]].sum()
-            logit += (self.sums[at].sum() + same * self.model.buckets[SAME]) / (self.sizes[at].sum() + same)
-        return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+        number = self.index.__getitem__
+        found = [np.array(list(map(number, text.split())), np.int64) for text in batch]
+        if self.index.new:
+            self.learn()
+        out = []
+        for at in found:
+            logit = self.model.bias
+            if len(at):
+                same = self.sizes[at[1:][at[1:] == at[:-1]]].sum()
+                logit += (self.sums[at].sum() + same * self.model.buckets[SAME]) / (self.sizes[at].sum() + same)
+            out.append(float(1 / (1 + np.exp(-np.clip(logit, -50, 50)))))
+        return out
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         found = [features(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()),
+            [batch.column(0), batch.column(1), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()),
              pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())],
-            names=["label", "buckets", "shares"],
+            names=["id", "label", "buckets", "shares"],
         )
 
 
-def fit(training: DataFrame, per_label: int = PER_LABEL) -> Model:
+def fit(training: DataFrame, per_label: int | None = PER_LABEL) -> Model:
     """Fit on ``id, text, label`` (0 or 1); rows with a null among them teach nothing.
 
     The driver gets the features of ``per_label`` documents of each label at
-    most. Without rows every score is one half.
+    most; None if the rows given are bounded already. Without rows every score
+    is one half.
     """
     rows = training.dropna(subset=["id", "text", "label"]).filter("label in (0, 1)")
-    sample = rows.join(F.broadcast(bounded(rows, per_label)), ["id", "label"]).select(
-        F.col("label").cast("int").alias("label"), "text"
-    )
-    found = sample.mapInArrow(_described, "label int, buckets binary, shares binary").collect()
-    found.sort(key=lambda r: (r["label"], bytes(r["buckets"]), bytes(r["shares"])))
-    examples = [
-        (r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float)) for r in found
-    ]
+    if per_label is not None:
+        rows = rows.join(F.broadcast(bounded(rows, per_label)), ["id", "label"])
+    sample = rows.select(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "text")
+    found = sample.mapInArrow(_described, "id string, label int, buckets binary, shares binary").collect()
+    found.sort(key=lambda r: (r["label"], r["id"], len(r["buckets"])))
+    examples = [(r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found]
+    del found
     if not examples:
         return Model(np.zeros(BUCKETS + 1), 0.0, trained=False)
     return train(examples)
@@ -178,10 +191,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            found = [scorer.score(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
+            found = []
+            for first, last in chunks(offsets, CHUNK_BYTES):
+                found += scorer.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["row", "score"])
 
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].cast("string").alias("text"))

@@ -39,7 +39,7 @@ def test_scores_are_those_of_the_whole_embedding(model):
     for _, text, _ in rows(3, 20):
         at, share = quality.features(text.encode())
         logit = share @ model.buckets[at] + model.bias
-        assert quality.Scorer(model).score(text.encode()) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
+        assert quality.Scorer(model).scores([text.encode()])[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
 
 
 def test_nulls_empty_repeats_and_clashes(spark, model):
