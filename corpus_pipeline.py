@@ -22,8 +22,9 @@ from sheaf.llm import language, minhash, packing, quality, sampling, substring
 from sheaf.llm.queries import labelled_quality, prepared
 from sheaf.session import written
 
-# A document is rejected if no language is likelier than this, ...
-LANGUAGE_SCORE = 0.5
+# A document is rejected if no language is likelier than this, that is if the
+# classifier has next to nothing to go by; short clean texts stay. ...
+LANGUAGE_SCORE = 0.3
 # ... or if its quality score is below this.
 QUALITY_SCORE = 0.7
 

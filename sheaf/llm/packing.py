@@ -33,8 +33,8 @@ from sheaf.session import written
 SEQUENCE, WINDOW = 4096, 32
 # Sources beyond so many, the smallest ones, wait in one queue together.
 MAX_QUEUES = 256
-# Words a process remembers; beyond them it starts anew.
-CACHE_WORDS = 1_200_000
+# Words and parts of words a process remembers; beyond them it starts anew.
+CACHE_WORDS, CACHE_PARTS = 600_000, 200_000
 # Texts of about so many bytes are looked up together.
 CHUNK_BYTES = 1 << 22
 
@@ -70,27 +70,37 @@ class WordCache:
 
     def clear(self) -> None:
         self.index = WordNumbers()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def part(self, part: str) -> tuple[int, ...]:
+        ids = self.parts.get(part)
+        if ids is None:
+            seen = part if part.isascii() else part.translate(self.visible)
+            ids = self.parts[part] = tuple([t.id for t in self.model.tokenize(seen)])
+        return ids
+
     def word(self, word: str) -> list[int]:
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out, word = [], word.lower()
-        # Letters alone are one part; so are they before a single other character.
-        found = (word,) if word.isalpha() else (word[:-1], word[-1]) if word[:-1].isalpha() else _SPLIT.findall(word)
-        for part in found:
-            ids = self.parts.get(part)
-            if ids is None:
-                seen = part if part.isascii() else part.translate(self.visible)
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(seen)]
-            out += ids
-        return out
+        return [i for part in _SPLIT.findall(word.lower()) for i in self.part(part)]
 
     def learn(self) -> None:
-        ids = [self.word(w.decode()) for w in self.index.new]
+        ids, known = [], self.parts.get
+        for w in self.index.new:
+            # ASCII letters alone are one part; so are they before one other character.
+            if w.isalpha():
+                part = w.lower().decode()
+                ids.append(known(part) or self.part(part))
+            elif w[:-1].isalpha() and 32 < w[-1] < 127:
+                part = w[:-1].lower().decode()
+                ids.append((known(part) or self.part(part)) + self.part(chr(w[-1])))
+            else:
+                ids.append(self.word(w.decode()))
         self.index.new = []
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
         lengths = np.array([len(x) for x in ids], np.int64)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])

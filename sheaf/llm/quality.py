@@ -28,7 +28,7 @@ SAME = BUCKETS
 # order of the hashes of their ids.
 PER_LABEL = 1500
 # Words a process remembers; beyond them it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 # Texts of about so many bytes are looked up together.
 CHUNK_BYTES = 1 << 22
 
