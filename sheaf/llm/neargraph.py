@@ -8,7 +8,7 @@ from all its shards are united. A search starts from the shard's medoids and
 from the query's own node, walks greedily with a beam, and then widens through
 every node within range until none is left. What it finds is verified in double
 precision. Recall is audited against brute force, and the overlap grows until
-the audit passes.
+the audit passes; if it never does, all nodes are compared with all, in blocks.
 
 Equal vectors are one node. A shard of more than ``cap`` nodes is dealt into
 several parts, each searched by all nodes of the shard; so nothing is capped.
@@ -36,7 +36,11 @@ OVERLAP, MOST_OVERLAP = 2, 5
 DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 16, 48, 1.2, 16, 32
 # The widening goes on through nodes a little out of range.
 SLACK = 0.05
-AUDITED, RECALL = 256, 0.98
+AUDITED, RECALL = 2048, 0.98
+# Nodes with so many links at most are audited by themselves too.
+FEW = 8
+# Nodes on either side of a cell of the exact comparison.
+BLOCK = 4096
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -204,7 +208,7 @@ def search(
 
 
 def linked(placed: DataFrame, dims: int, limit: float, cap: int) -> tuple[DataFrame, DataFrame]:
-    """``node, links`` counts, and ``u, v`` links that join what is linked, of all shards."""
+    """``node, links, near`` counts (of vectors and of nodes), and ``u, v`` links that join what is linked."""
     members = placed.select("*", F.explode("shards").alias("shard"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / cap).alias("parts"))
     members = written(
@@ -227,7 +231,7 @@ def linked(placed: DataFrame, dims: int, limit: float, cap: int) -> tuple[DataFr
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("node")
-        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        none = pa.table({c: pa.array([], pa.int64()) for c in ("u", "v", "links", "near")})
         if not left.num_rows or not right.num_rows:
             return none
         node, weight = left["node"].to_numpy(), left["n"].to_numpy()
@@ -242,7 +246,7 @@ def linked(placed: DataFrame, dims: int, limit: float, cap: int) -> tuple[DataFr
         asked, asking = right["q_node"].to_numpy(), right["q_shards"].to_pylist()
         own = np.array([place.get(int(v), -1) for v in asked])
         found = search(units, lists, medoids(units, MEDOIDS), matrix(right["q_unit"], dims), own, limit, BEAM)
-        counts, root, joined = np.zeros(len(asked), np.int64), {}, []
+        counts, nodes, root, joined = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), {}, []
 
         def top(x: int) -> int:
             while root.setdefault(x, x) != x:
@@ -260,6 +264,7 @@ def linked(placed: DataFrame, dims: int, limit: float, cap: int) -> tuple[DataFr
                 # A pair that meets in several shards counts in the first of them.
                 if shard == min(mine.intersection(theirs[h])):
                     counts[i] += weight[h]
+                    nodes[i] += 1
                 a, b = top(u), top(v)
                 if a != b:
                     root[a] = b
@@ -271,36 +276,112 @@ def linked(placed: DataFrame, dims: int, limit: float, cap: int) -> tuple[DataFr
                 "u": np.concatenate([asked[some], edges[:, 0]]),
                 "v": np.concatenate([asked[some], edges[:, 1]]),
                 "links": np.concatenate([counts[some], np.zeros(len(edges), np.int64)]),
+                "near": np.concatenate([nodes[some], np.zeros(len(edges), np.int64)]),
             }
         )
 
     index = graph.select("shard", "part", "node", "n", "unit", "shards", "near").groupBy("shard", "part")
     asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "part", "node", "unit", "shards")))
     asked = asked.groupBy("q_shard", "q_part")
-    found = written(index.cogroup(asked).applyInArrow(walk, "u bigint, v bigint, links bigint"), "found")
-    counts = found.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    return _counted(index.cogroup(asked).applyInArrow(walk, FOUND))
+
+
+FOUND = "u bigint, v bigint, links bigint, near bigint"
+
+
+def _counted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts are the rows where ``u`` is ``v``, links the others."""
+    found = written(found, "found")
+    counts = found.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
     return counts, found.filter("u <> v").select("u", "v")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, dims: int, limit: float, size: int = AUDITED) -> float:
-    """Share of the links of a bounded sample of nodes, by brute force over all nodes, that were found."""
+def spanning(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links that join each component of a table of hits: a row to columns, and a row to rows."""
+    rows, columns = hits.any(axis=1), hits.any(axis=0)
+    to_column, to_row = [], []
+    for r in np.flatnonzero(rows):
+        if not rows[r]:
+            continue
+        rows[r] = False
+        front = np.array([r])
+        while len(front):
+            near = np.flatnonzero(hits[front].any(axis=0) & columns)
+            columns[near] = False
+            to_column.append((np.full(len(near), r), near))
+            front = np.flatnonzero(hits[:, near].any(axis=1) & rows)
+            rows[front] = False
+            to_row.append((np.full(len(front), r), front))
+    none = [(np.zeros(0, np.int64),) * 2]
+    return tuple(np.concatenate(x) for pairs in (to_column or none, to_row or none) for x in zip(*pairs, strict=True))
+
+
+def compared(nodes: DataFrame, size: int, dims: int, limit: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What ``linked`` returns, exactly: all nodes meet all nodes, in cells of two blocks."""
+    blocks = max(1, -(-size // block))
+    dealt = nodes.select("node", "n", "unit", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("own"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.lit(blocks - 1).cast("bigint"))))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, v = a["node"].to_numpy(), b["node"].to_numpy()
+        here, there = a["n"].to_numpy(), b["n"].to_numpy()
+        hits = np.zeros((len(u), len(v)), bool)
+        if len(u) and len(v):
+            mine, theirs = matrix(a["unit"], dims), matrix(b["unit"], dims)
+            for r in range(0, len(u), 512):
+                hits[r : r + 512] = mine[r : r + 512] @ theirs.T >= limit
+                hits[r : r + 512] &= u[r : r + 512, None] != v
+        same = len(u) and len(v) and a["own"][0].as_py() == b["own"][0].as_py()
+        counts = [(u, np.array([there[x].sum() for x in hits], np.int64), hits.sum(axis=1))]
+        if not same:
+            counts.append((v, np.array([here[x].sum() for x in hits.T], np.int64), hits.sum(axis=0)))
+        node, links, near = (np.concatenate(x).astype(np.int64) for x in zip(*counts, strict=True))
+        some = near > 0
+        r, c, p, q = spanning(hits)
+        ends = [(node[some], node[some]), (u[r], v[c]), (u[p], u[q])]
+        zeros = np.zeros(len(r) + len(p), np.int64)
+        return pa.table(
+            {
+                "u": np.concatenate([e[0] for e in ends]).astype(np.int64),
+                "v": np.concatenate([e[1] for e in ends]).astype(np.int64),
+                "links": np.concatenate([links[some], zeros]),
+                "near": np.concatenate([near[some], zeros]),
+            }
+        )
+
+    return _counted(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, FOUND))
+
+
+def audit(nodes: DataFrame, counts: DataFrame, dims: int, limit: float, size: int = AUDITED, few: int = FEW) -> float:
+    """Recall by node of a bounded sample of nodes, by brute force over all nodes.
+
+    A node's recall is the share of its linked nodes that were found. Returned
+    is the mean over the nodes that have links, or that over the ones with
+    ``few`` links at most, whichever is lower; so a large group cannot hide
+    what is missing among small ones. Copies count once.
+    """
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(size)
-    rows = sample.join(counts, "node", "left").select("node", "unit", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    rows = sample.join(counts, "node", "left").select("node", "unit", F.coalesce("near", F.lit(0)).alias("near")).collect()
     if not rows:
         return 1.0
     asked = np.array([r["node"] for r in rows])
     units = matrix(pa.array([bytes(r["unit"]) for r in rows]), dims)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = np.zeros(len(asked), np.int64)
         for batch in batches:
-            hit = matrix(batch.column(2), dims) @ units.T >= limit
+            hit = matrix(batch.column(1), dims) @ units.T >= limit
             hit &= batch.column(0).to_numpy()[:, None] != asked[None, :]
-            total += int((hit * batch.column(1).to_numpy()[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["links"])
+            total += hit.sum(axis=0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[some]), pa.array(total[some])], names=["node", "near"])
 
-    true = nodes.select("node", "n", "unit").mapInArrow(count, "links bigint").agg(F.sum("links")).first()[0]
-    return 1.0 if not true else sum(r["links"] for r in rows) / true
+    true = nodes.select("node", "unit").mapInArrow(count, "node bigint, near bigint").groupBy("node").agg(F.sum("near"))
+    true = dict(map(tuple, true.collect()))
+    recalls = [(true[r["node"]], min(1.0, r["near"] / true[r["node"]])) for r in rows if r["node"] in true]
+    kinds = [[x for _, x in recalls], [x for n, x in recalls if n <= few]]
+    return min((float(np.mean(x)) for x in kinds if x), default=1.0)
 
 
 def near_duplicates(
@@ -324,7 +405,8 @@ def near_duplicates(
 
     No pair below the limit is linked. Links may be missed; the audit compares
     a bounded sample of nodes with all others and the overlap of shards grows
-    until ``recall`` of their links is found.
+    until ``recall`` of a node's links is found on average. If that fails at
+    the largest overlap, all nodes are compared with all and none is missed.
     """
     rows = vectors.select(vectors[id_column].cast("bigint").alias("id"), vectors[vector].alias("vector"))
     base = written(keyed(rows), "vectors")
@@ -344,8 +426,11 @@ def near_duplicates(
         k = max(1, min(CENTROIDS, len(units), -(-size * overlap // shard)))
         placed = assigned(nodes, spherical_means(units, k), overlap)
         counts, edges = linked(placed, dims, limit, cap)
-        if audit(nodes, counts, dims, limit) >= recall or overlap >= k:
+        passed = audit(nodes, counts, dims, limit) >= recall
+        if passed or overlap >= k:
             break
+    if not passed:
+        counts, edges = compared(nodes, size, dims, limit)
     groups = components(edges, "groups")
     known = nodes.join(counts, "node", "left").join(groups, "node", "left").select(
         "key", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")

@@ -67,3 +67,25 @@ def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     lists = neargraph.pruned_lists(line, degree=2, pool=4, alpha=1.2)
     assert 1 in lists[0] and 2 not in lists[0]
     assert all(len(x) for x in lists)
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    pick = np.random.default_rng(4)
+    units = [u / np.linalg.norm(u) for u in pick.normal(size=(60, 30))]
+    units += [u + pick.normal(size=30) * 1e-4 for u in units[:40]] + [units[59] + pick.normal(size=30) * 1e-4 for _ in range(200)]
+    rows = [(i, 1, (u / np.linalg.norm(u)).tobytes()) for i, u in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "node long, n long, unit binary")
+    # The links of the group are found, those of the 40 pairs are not.
+    counts = spark.createDataFrame([(i, 200, 200) for i in (59, *range(100, 300))], "node long, links long, near long")
+    assert neargraph.audit(nodes, counts, 30, 0.95) < 0.98
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_what_no_overlap_finds_is_compared_exactly(spark, monkeypatch, block):
+    none = (spark.createDataFrame([], "node long, links long, near long"), spark.createDataFrame([], "u long, v long"))
+    exact = neargraph.compared
+    monkeypatch.setattr(neargraph, "linked", lambda *_: none)
+    monkeypatch.setattr(neargraph, "compared", lambda *a: exact(*a, block=block))
+    rows = vectors(7)
+    got = {tuple(r) for r in neargraph.near_duplicates(spark.createDataFrame(rows, KIND).repartition(3)).collect()}
+    assert got == set(brute(rows))
