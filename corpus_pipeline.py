@@ -22,9 +22,10 @@ from sheaf.llm import language, minhash, packing, quality, sampling, substring
 from sheaf.llm.queries import labelled_quality, prepared
 from sheaf.session import written
 
-# A document is rejected if no language is likelier than this, that is if the
-# classifier has next to nothing to go by; short clean texts stay. ...
-LANGUAGE_SCORE = 0.3
+# A document is rejected if it is less likely than this to be in the language
+# found, against texts in no learned language, however many are learned. Short
+# clean texts tell little either way and stay. ...
+KNOWN_SCORE = 0.1
 # ... or if its quality score is below this.
 QUALITY_SCORE = 0.7
 
@@ -32,15 +33,15 @@ QUALITY_SCORE = 0.7
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known.
 
-    Rejected: null texts, texts without letters, and texts whose likeliest
-    language has a calibrated score below ``LANGUAGE_SCORE``. The classifier
+    Rejected: null texts, texts without letters, and texts whose probability of
+    being in their likeliest language is below ``KNOWN_SCORE``. The classifier
     learns from the documents' own ``lang``, outside the held-out fold.
     """
     prepared(spark)
     part = sampling.remainder(F.col("doc_id"), 5)
     training = docs.filter(part != 0).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     found = language.predict(docs, language.fit(training))
-    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)
+    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("known") >= KNOWN_SCORE)
     return found.filter(sure).select("row.*")
 
 

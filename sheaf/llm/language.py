@@ -4,10 +4,17 @@ Features are TF-IDF weights of hashed character n-grams. Document frequencies
 are counted over all training texts; the weights are fitted on a bounded sample
 by follow-the-regularised-leader with L1 and L2 penalties, and a temperature
 fitted on sample rows held back from that makes the scores probabilities.
+
+These scores share 1 among the learned languages, so they cannot tell that a
+text is in none of them. That is told by how likely its n-grams are in the
+language found, against the rows held back: those of that language on one side,
+the same texts with their letters shuffled and those of the other languages on
+the other. No other language's score enters, however many there are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +32,10 @@ BINS, ORDERS = 1 << 15, (1, 2, 3)
 PER_LANGUAGE = 500
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 20
+# Sample rows of which one also teaches with its letters shuffled.
+SHUFFLED = 4
+# An occurrence shares characters with so many others, so these count as one.
+OVERLAPPING = sum(ORDERS)
 
 
 def _letters() -> np.ndarray:
@@ -80,6 +91,7 @@ class Model:
     weights: np.ndarray
     idf: np.ndarray
     temperature: float = 1.0
+    known: Known | None = None
 
     def features(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(found)
@@ -90,13 +102,89 @@ class Model:
         values = (1 + np.log(found)) * self.idf[at]
         return values / max(1e-12, np.sqrt((values**2).sum()))
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def predict(self, text: str) -> tuple[str, float, float]:
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        at, values = self.features(counts(text))
+            return UNKNOWN, 0.0, 0.0
+        found = counts(text)
+        at, values = self.features(found)
         p = softmax(self.weights[:, at] @ values / self.temperature)
-        best = int(np.argmax(p))
-        return self.languages[best], float(p[best])
+        best, *others = np.argsort(-p, kind="stable")[:2].tolist()
+        return self.languages[best], float(p[best]), self.known.best(best, others, at, found[at]) if self.known else 1.0
+
+
+@dataclass
+class Known:
+    """Whether a text is in a language at all, by the mean log ratio of its n-grams to even chance."""
+
+    ratios: np.ndarray
+    inside: np.ndarray
+    outside: np.ndarray
+    between: np.ndarray  # variance of the means of long texts
+    within: np.ndarray  # variance of one n-gram
+    mixed: tuple[float, float] = (0.0, 0.0)  # inside and outside of two languages in equal parts
+
+    def best(self, language: int, others: list[int], at: np.ndarray, found: np.ndarray) -> float:
+        """``score`` of the language, or of it mixed with the next likeliest one if that is higher."""
+        score = self.score(language, self.ratios[language, at], found, self.inside[language], self.outside[language])
+        for other in others if score < 0.5 else []:
+            score = max(score, self.score(language, self.mix(language, other, at), found, *self.mixed))
+        return score
+
+    def mix(self, a: int, b: int, at: np.ndarray) -> np.ndarray:
+        return np.logaddexp(self.ratios[a, at], self.ratios[b, at]) - np.log(2)
+
+    def score(self, language: int, ratios: np.ndarray, found: np.ndarray, high: float, low: float) -> float:
+        """Probability of the language against texts in none, both as likely beforehand.
+
+        The shorter the text, the nearer to one half.
+        """
+        mean = found @ ratios / found.sum()
+        spread = self.between[language] + OVERLAPPING * self.within[language] / found.sum()
+        odds = (high - low) * (mean - (high + low) / 2) / max(1e-9, spread) if high > low else 0.0
+        return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+
+
+def fit_known(
+    rows: list[tuple[int, np.ndarray, np.ndarray]], held: list[tuple[int, np.ndarray, np.ndarray]],
+    noise: list[tuple[int, np.ndarray, np.ndarray]], classes: int,
+) -> Known:
+    """From ``label, bins, counts``: ratios from ``rows``, the bounds from ``held`` and ``noise``."""
+    totals = np.zeros((classes, BINS))
+    for label, at, found in rows:
+        totals[label, at] += found
+    totals += 0.5
+    ratios = np.log(totals / totals.sum(axis=1, keepdims=True) * BINS).astype(np.float32)
+    inside, outside, between, within = (np.zeros(classes) for _ in range(4))
+    for k in range(classes):
+
+        def means(some: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+            return np.array([found @ ratios[k, at] / found.sum() for _, at, found in some])  # noqa: B023
+
+        own = [r for r in held if r[0] == k] or [r for r in rows if r[0] == k]
+        if not own:
+            continue
+        mean = means(own)
+        inside[k] = np.median(mean)
+        between[k] = (1.4826 * np.median(np.abs(mean - inside[k]))) ** 2
+        within[k] = np.median([found @ (ratios[k, at] - m) ** 2 / found.sum() for (_, at, found), m in zip(own, mean, strict=True)])
+        others = [[r for r in noise if r[0] == k] or noise, *([r for r in held if r[0] == o] for o in range(classes) if o != k)]
+        outside[k] = max((np.median(means(x)) for x in others if x), default=inside[k])
+    known = Known(ratios, inside, outside, between, within)
+    if classes > 1:
+        # Halves in two languages; and texts in a language as if it were not learned, and shuffled ones.
+        halves, foreign = [], []
+        for (a, at, own), (b, at_b, own_b) in zip(held, held[len(held) // 2 :] + held[: len(held) // 2], strict=True):
+            if a != b:
+                mean = [f @ known.mix(a, b, x) / f.sum() for x, f in ((at, own), (at_b, own_b))]
+                halves.append(sum(mean) / 2)
+        for label, at, own in [*(held if classes > 2 else []), *((-1, *r[1:]) for r in noise)]:
+            means_ = ratios[:, at] @ own / own.sum()
+            a, b = [int(k) for k in np.argsort(-means_, kind="stable") if k != label][:2]
+            foreign.append((label < 0, own @ known.mix(a, b, at) / own.sum()))
+        kinds = [[m for n, m in foreign if n is kind] for kind in (True, False)]
+        if halves and foreign:
+            known.mixed = (float(np.median(halves)), max(float(np.median(x)) for x in kinds if x))
+    return known
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -155,14 +243,27 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def shuffled(text: str, seed: int) -> str:
+    """The same letters and spaces in another order."""
+    points = np.random.default_rng(seed).permutation(code_points(text))
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [counts(t) for t in texts(batch.column(2))]
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True))
+        rows = [(i, label, False, t) for i, label, t in rows] + [
+            (i, label, True, shuffled(t, seed))
+            for i, label, t in rows
+            if (seed := zlib.crc32(i.encode())) % SHUFFLED == 0
+        ]
+        found = [counts(r[3]) for r in rows]
         at = [np.flatnonzero(f) for f in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
+            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]),
+             pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
              pa.array([f[a].astype("<f4").tobytes() for f, a in zip(found, at, strict=True)], pa.binary())],
-            names=["id", "label", "bins", "counts"],
+            names=["id", "label", "noise", "bins", "counts"],
         )
 
 
@@ -183,30 +284,34 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     idf = np.log((1 + documents) / (1 + df)) + 1
     chosen = bounded(rows, per_language)
     sample = rows.join(F.broadcast(chosen), ["id", "label"]).select(F.col("id").cast("string").alias("id"), "label", "text")
-    found = sample.mapInArrow(_described, "id string, label string, bins binary, counts binary").collect()
+    found = sample.mapInArrow(_described, "id string, label string, noise boolean, bins binary, counts binary").collect()
     found.sort(key=lambda r: (r["label"], r["id"], len(r["bins"])))
     languages = sorted({r["label"] for r in found})
     model = Model(languages, np.zeros((len(languages), BINS)), idf)
-    examples = []
+    place = {label: k for k, label in enumerate(languages)}
+    plain, noise = [], []
     for r in found:
         at = np.frombuffer(r["bins"], "<u2").astype(np.int32)
-        values = model.weighted(at, np.frombuffer(r["counts"], "<f4"))
-        examples.append((languages.index(r["label"]), at, values.astype(np.float32)))
+        (noise if r["noise"] else plain).append((place[r["label"]], at, np.frombuffer(r["counts"], "<f4")))
     del found
     if not languages:
         return model
+    examples = [(label, at, model.weighted(at, own).astype(np.float32)) for label, at, own in plain]
     held = [e for i, e in enumerate(examples) if i % 5 == 0]
     model.weights = fit_ftrl([e for i, e in enumerate(examples) if i % 5], len(languages))
     logits = np.array([model.weights[:, at] @ values for _, at, values in held])
     model.temperature = fit_temperature(logits, np.array([e[0] for e in held]))
+    model.known = fit_known([e for i, e in enumerate(plain) if i % 5], plain[::5], noise, len(languages))
     return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) to every row, from the whole text alone.
+    """Add ``lang_pred``, ``score`` and ``known`` (0 to 1) to every row, from the whole text alone.
 
-    A null text, one without letters, and every text where there is no learned
-    language, is ``und`` with score 0. Columns of ``docs`` come back in the
+    ``score`` is that of the language among those learned, ``known`` tells
+    whether the text is in that language at all. A null text, one without
+    letters, and every text where there is no learned language, is ``und`` with
+    score and known 0. Columns of ``docs`` come back in the
     struct ``row``, whatever they are called; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -216,9 +321,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             found = [own.predict(t) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=["row", "lang_pred", "score"],
+                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                 pa.array([f[2] for f in found], pa.float64())],
+                names=["row", "lang_pred", "score", "known"],
             )
 
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, known double")

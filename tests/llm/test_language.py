@@ -72,3 +72,24 @@ def test_elastic_net_leaves_rare_weights_at_zero():
     rows_ = [(i % 2, np.array([i % 2, 2]), np.array([1.0, 0.01])) for i in range(200)]
     w = language.fit_ftrl(rows_, 2)
     assert w[0, 0] > 0 > w[0, 1] and not w[:, 3:].any()
+
+
+def other(pick, n):
+    """Words of letters that no learned language puts together so."""
+    return " ".join("".join(pick.choice("bcdghilmnorstuz") for _ in range(pick.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("labels", [["aa"], ["aa", "bb"], ["aa", "bb", "cc"]])
+def test_known_tells_texts_in_no_language_however_many_are_learned(spark, labels):
+    own = language.fit(spark.createDataFrame([r for r in rows(1, 240) if r[2] in labels], KIND))
+    pick = random.Random(6)
+    junk = [own.predict(other(pick, n))[2] for n in (20, 40, 80) for _ in range(10)]
+    foreign = [own.predict(" ".join(pick.choice(["kwoy", "xiv", "yaq", "jux"]) for _ in range(30)))[2] for _ in range(10)]
+    clean = [own.predict(text(pick, label, n))[2] for label in labels for n in (1, 2, 5, 40) for _ in range(10)]
+    assert max(junk) < 0.1 and max(foreign) < 0.1
+    assert np.mean(np.array(clean) >= 0.1) > 0.98
+
+
+def test_a_text_in_two_learned_languages_is_known(model):
+    pick = random.Random(9)
+    assert all(model.predict(text(pick, "aa", 40) + " " + text(pick, "bb", 40))[2] > 0.5 for _ in range(10))

@@ -121,3 +121,13 @@ def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame(rows, KIND).withColumn("kept", F.lit(1))
     got = pipeline.near_duplicate_stage(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+
+
+def test_language_stage_rejects_letters_in_no_language_and_keeps_short_texts(spark):
+    pick = random.Random(3)
+    rows, _ = planted()
+    junk = [(900 + k, " ".join("".join(pick.choice("xqjvwyhdf") for _ in range(7)) for _ in range(40)), None, "s", 0, 0) for k in range(20)]
+    short = [(950, "balo mira", "aa", "s", 0, 0), (951, "Schtz ung.", "bb", "s", 0, 0)]
+    kept = set(ids(pipeline.language_stage(spark, spark.createDataFrame(rows + junk + short, KIND), "")))
+    assert not kept & set(range(900, 920))
+    assert {950, 951} <= kept and set(range(240)) <= kept
