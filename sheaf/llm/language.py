@@ -29,7 +29,7 @@ from sheaf.llm.sampling import bounded
 BINS, ORDERS = 1 << 15, (1, 2, 3)
 # Documents of each language that the weights are fitted on, in the order of
 # the hashes of their ids. Statistics and predictions know no such bound.
-PER_LANGUAGE = 500
+PER_LANGUAGE = 800
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 20
 # Sample rows of which one also teaches with its letters shuffled.

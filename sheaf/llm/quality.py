@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.batches import U64, WordNumbers, chunks, mix, utf8
-from sheaf.llm.sampling import bounded
+from sheaf.llm.sampling import weighted
 
 BUCKETS, DIM = 1 << 17, 12
 GRAMS = (2, 3, 4)
 SAME = BUCKETS
 # Labelled documents of each label that the vectors are trained on, in the
-# order of the hashes of their ids.
-PER_LABEL = 1500
+# order of the hashes of their ids. Each stands for as many as its label has for
+# one of the sample, so the ratio of the labels does not depend on the bound.
+PER_LABEL = 3000
 # Words a process remembers; beyond them it starts anew.
 CACHE_WORDS = 300_000
 # Texts of about so many bytes are looked up together.
@@ -90,9 +91,10 @@ class Model:
 
 
 def train(
-    rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 1
-) -> Model:
-    """Vectors and softmax layer of ``label, buckets, shares`` rows."""
+    rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 1,
+    weights: tuple[float, float] = (1.0, 1.0),
+) -> Model:
+    """Vectors and softmax layer of ``label, buckets, shares`` rows; ``weights`` are those of a row's loss by label."""
     pick = np.random.default_rng(seed)
     vectors = pick.uniform(-1, 1, (BUCKETS + 1, DIM)) / DIM
     layer, bias = pick.uniform(-1, 1, (2, DIM)) / DIM, np.zeros(2)
@@ -108,6 +110,7 @@ def train(
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[label] -= 1
+            p *= weights[label]
             back = p @ layer
             layer -= step * np.outer(p, mean)
             bias -= step * 0.1 * p
@@ -155,9 +158,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(2))
         found = [features(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()),
+            [batch.column(0), batch.column(1), batch.column(3), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()),
              pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())],
-            names=["id", "label", "buckets", "shares"],
+            names=["id", "label", "weight", "buckets", "shares"],
         )
 
 
@@ -165,20 +168,26 @@ def fit(training: DataFrame, per_label: int | None = PER_LABEL) -> Model:
     """Fit on ``id, text, label`` (0 or 1); rows with a null among them teach nothing.
 
     The driver gets the features of ``per_label`` documents of each label at
-    most; None if the rows given are bounded already. Without rows every score
-    is one half.
+    most; None if the rows given are bounded already, and then with a column
+    ``weight``, how many each stands for. Without rows every score is one half.
     """
     rows = training.dropna(subset=["id", "text", "label"]).filter("label in (0, 1)")
     if per_label is not None:
-        rows = rows.join(F.broadcast(bounded(rows, per_label)), ["id", "label"])
-    sample = rows.select(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "text")
-    found = sample.mapInArrow(_described, "id string, label int, buckets binary, shares binary").collect()
+        rows = rows.join(F.broadcast(weighted(rows, per_label)), ["id", "label"])
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    sample = rows.select(
+        F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "text", weight.alias("weight")
+    )
+    found = sample.mapInArrow(_described, "id string, label int, weight double, buckets binary, shares binary").collect()
     found.sort(key=lambda r: (r["label"], r["id"], len(r["buckets"])))
     examples = [(r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found]
+    stands = dict((r["label"], r["weight"]) for r in found)
+    whole = sum(r["weight"] for r in found)
     del found
     if not examples:
         return Model(np.zeros(BUCKETS + 1), 0.0, trained=False)
-    return train(examples)
+    # The weights average 1, so the steps keep their size.
+    return train(examples, weights=tuple(stands.get(k, 0.0) * len(examples) / whole for k in (0, 1)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -149,13 +149,13 @@ def op4_quality(table) -> DataFrame:
 
 
 def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, text, label`` of a bounded sample of the labelled documents outside the held-out fold."""
+    """``id, text, label, weight`` of a bounded sample of the labelled documents outside the held-out fold."""
     marks = labels.filter(sampling.remainder(F.col("doc_id"), 4) != 2).select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label")
     )
-    chosen = sampling.bounded(marks.dropna().filter("label in (0, 1)"), quality.PER_LABEL)
+    chosen = sampling.weighted(marks.dropna().filter("label in (0, 1)"), quality.PER_LABEL)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "weight")
 
 
 @query("op5_main_text")

@@ -20,3 +20,10 @@ def bounded(labelled: DataFrame, per_label: int) -> DataFrame:
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     ranked = labelled.select("id", "label").distinct().withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= per_label).select("id", "label")
+
+
+def weighted(labelled: DataFrame, per_label: int) -> DataFrame:
+    """``bounded`` with ``weight``, how many ids of its label each row stands for."""
+    sizes = labelled.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    stands = F.greatest(F.lit(1.0), F.col("n") / per_label)
+    return bounded(labelled, per_label).join(F.broadcast(sizes), "label").select("id", "label", stands.alias("weight"))

@@ -63,3 +63,16 @@ def test_subwords_of_a_word_do_not_depend_on_its_neighbours():
     for i, w in enumerate(words):
         alone, _ = quality.subwords([w])
         assert sorted(alone) == sorted(buckets[bounds[i] : bounds[i + 1]])
+
+
+def test_the_ratio_of_labels_does_not_depend_on_the_bound(spark):
+    # Nine in ten are good; a text without a word scores by the bias alone.
+    table = spark.createDataFrame([(i, t, int(i % 10 > 0)) for i, t, _ in rows(5, 1200)], KIND)
+    whole, bound = (quality.fit(table, per_label=n) for n in (2000, 120))
+    assert whole.bias > 0.2 and bound.bias > whole.bias / 2
+
+
+def test_sample_weights_give_the_counts_of_the_labels(spark):
+    table = spark.createDataFrame([(i, "", int(i % 10 > 0)) for i in range(1000)] * 2, KIND)
+    got = quality.weighted(table, 150).groupBy("label").agg(F.count("*"), F.sum("weight")).collect()
+    assert sorted(map(tuple, got)) == [(0, 100, 100.0), (1, 150, 900.0)]
