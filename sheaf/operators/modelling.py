@@ -146,21 +146,34 @@ def regressors(label: str = "label", seed: int = 42, scale: float = 1.0) -> dict
 
 
 def regressor_grids(label: str = "label", scale: float = 1.0) -> dict[str, tuple[object, list]]:
+    """Estimator and parameter grid by model name; a depth without limit is 30, the most a tree can have here."""
     models = regressors(label, scale=scale)
     rf, gbt = models["Random Forest"], models["Gradient Boosting"]
     ridge, lasso = models["Ridge"], models["Lasso"]
-    penalties = [0.01, 0.1, 1.0, 10.0]
+    penalties, trees = [0.1, 1.0, 10.0, 100.0], [100, 200, 500]
     return {
         "Random Forest": (
             rf,
-            ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [5, 10]).build(),
+            ParamGridBuilder()
+            .addGrid(rf.numTrees, trees)
+            .addGrid(rf.maxDepth, [10, 20, 30])
+            .addGrid(rf.minInstancesPerNode, [1, 2, 4])
+            .addGrid(rf.bootstrap, [True, False])
+            .build(),
         ),
         "Gradient Boosting": (
             gbt,
-            ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.stepSize, [0.05, 0.1]).build(),
+            ParamGridBuilder()
+            .addGrid(gbt.maxIter, trees)
+            .addGrid(gbt.maxDepth, [3, 5, 10])
+            .addGrid(gbt.stepSize, [0.01, 0.1, 0.2])
+            .build(),
         ),
         "Ridge": (ridge, ParamGridBuilder().addGrid(ridge.regParam, [p * scale for p in penalties]).build()),
-        "Lasso": (lasso, ParamGridBuilder().addGrid(lasso.regParam, penalties).build()),
+        "Lasso": (
+            lasso,
+            ParamGridBuilder().addGrid(lasso.regParam, penalties).addGrid(lasso.maxIter, [1000, 5000]).build(),
+        ),
     }
 
 

@@ -169,16 +169,24 @@ def classifiers(n_train: int, label: str = "label") -> dict[str, object]:
 
 
 def classifier_grids(n_train: int, label: str = "label") -> dict[str, tuple[object, list]]:
-    """Estimator and parameter grid by model name."""
+    """Estimator and parameter grid by model name; a depth without limit is 30, the most a tree can have here."""
     models = classifiers(n_train, label)
     lr, nb, svm, rf, gbt = models.values()
-    ridges = [1.0 / (c * max(n_train, 1)) for c in (0.1, 1.0, 10.0)]
+    ridges = [1.0 / (c * max(n_train, 1)) for c in (0.01, 0.1, 1.0, 10.0, 100.0)]
     grids = (
-        ParamGridBuilder().addGrid(lr.regParam, ridges).build(),
-        ParamGridBuilder().addGrid(nb.smoothing, [0.1, 0.5, 1.0]).build(),
-        ParamGridBuilder().addGrid(svm.regParam, ridges).build(),
-        ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [5, 10]).build(),
-        ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.maxIter, [10, 20]).build(),
+        ParamGridBuilder().addGrid(lr.regParam, ridges).addGrid(lr.maxIter, [50, 100, 200]).build(),
+        ParamGridBuilder().addGrid(nb.smoothing, [0.001, 0.01, 0.1, 0.5, 1.0]).build(),
+        ParamGridBuilder().addGrid(svm.regParam, ridges).addGrid(svm.maxIter, [1, 10, 50, 100, 250, 500]).build(),
+        ParamGridBuilder()
+        .addGrid(rf.numTrees, [100, 200, 250])
+        .addGrid(rf.maxDepth, [10, 20, 30])
+        .addGrid(rf.minInstancesPerNode, [1, 2, 4])
+        .build(),
+        ParamGridBuilder()
+        .addGrid(gbt.maxIter, [50, 100, 200])
+        .addGrid(gbt.maxDepth, [2, 3, 6])
+        .addGrid(gbt.stepSize, [0.01, 0.1, 0.2])
+        .build(),
     )
     return {name: (model, grid) for (name, model), grid in zip(models.items(), grids)}
 

@@ -230,7 +230,7 @@ def _(t: Tables):
 @query("m15_feature_importance")
 def _(t: Tables):
     rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",))
-    model = M.regressors()["Gradient Boosting"].setMaxIter(5).fit(rows)
+    model = M.regressors()["Gradient Boosting"].fit(rows)
     return M.importances(model, rows, derived=("l_tax",), names={"l_quantity": "Quantity"})
 
 

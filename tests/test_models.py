@@ -160,3 +160,37 @@ def test_knn_model_has_the_shared_interface(spark):
     data = spark.createDataFrame([(i, Vectors.dense([float(i)]), float(i)) for i in range(10)], ["id", "features", "label"])
     scored = N.KnnRegressor(k=1).fit(data).transform(data)
     assert M.regression_metrics(scored).first().R2 == 1.0
+
+
+def test_grids_hold_the_reference_values():
+    from sheaf.operators import modelling, relevance
+
+    def sizes(grids):
+        return {name: len(grid) for name, (_, grid) in grids.items()}
+
+    def values(grids, model, param):
+        estimator, grid = grids[model]
+        return sorted({g[getattr(estimator, param)] for g in grid})
+
+    c, r = relevance.classifier_grids(1), modelling.regressor_grids()
+    assert sizes(c) == {"Logistic Regression": 15, "Naive Bayes": 5, "SVM": 30, "Random Forest": 27, "Gradient Boosting": 27}
+    assert sizes(r) == {"Random Forest": 54, "Gradient Boosting": 27, "Ridge": 4, "Lasso": 8}
+    assert values(c, "SVM", "regParam") == pytest.approx([0.01, 0.1, 1, 10, 100])
+    assert values(c, "Gradient Boosting", "maxIter") == [50, 100, 200]
+    assert values(r, "Ridge", "regParam") == [0.1, 1, 10, 100]
+
+
+def test_importances_are_those_of_the_whole_model(spark, monkeypatch):
+    from sheaf.plans import modelling
+
+    class Whole:
+        def fit(self, rows):
+            return self
+
+    whole = Whole()
+    monkeypatch.setattr(modelling.M, "assembled", lambda *_: None)
+    monkeypatch.setattr(modelling.M, "regressors", lambda: {"Gradient Boosting": whole})
+    monkeypatch.setattr(modelling.M, "importances", lambda model, *_, **__: model)
+    from sheaf.plans.registry import QUERIES
+
+    assert QUERIES["m15_feature_importance"](spark, "/root/testdata/sf0.001") is whole
