@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import outcomes as O
-from sheaf.functions.similarity import ratio, with_text_similarity
+from sheaf.functions.similarity import with_text_similarity
 from sheaf.operators import evaluation as E
 from sheaf.operators import records as C
 from sheaf.plans.registry import Tables, query
@@ -576,6 +576,8 @@ def _(t: Tables):
 
 @query("u1_scalar_function")
 def _(t: Tables):
-    """Arrow function over columns: similarity of neighbouring roles and texts."""
-    rows = t.conversations.select("conv_id", "turn", "role", F.substring_index("text", " ", 1).alias("word"))
-    return rows.select("conv_id", "turn", F.round(ratio(F.lower("role"), F.lower("word")), 6).alias("ratio"))
+    """Similarity of each turn's role and whole text, once per distinct pair."""
+    rows = t.conversations.select("conv_id", "turn", "role", "text")
+    scored = with_text_similarity(rows, "role", "text", "ratio")
+    both = F.col("role").isNotNull() & F.col("text").isNotNull()
+    return scored.select("conv_id", "turn", F.when(both, F.round("ratio", 6)).alias("ratio"))

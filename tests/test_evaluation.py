@@ -135,3 +135,15 @@ def test_push_molecule_and_blank(spark):
     tests = F.create_map(F.lit("test_1"), F.create_map(F.lit("time"), F.lit("1")))
     row = spark.range(1).select(E.push_molecule(tests, F.lit("M")).alias("t")).first()
     assert row.t == {"test_1": {"time": "1", "passivating_molecule": "M"}}
+
+
+def test_similarity_query_reads_the_whole_text(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from sheaf.plans.registry import QUERIES
+
+    rows = [(1, 0, "user", "User asked the user"), (1, 1, "assistant", None), (2, 0, None, "x"), (2, 1, "user", "User asked the user")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.ratio for r in QUERIES["u1_scalar_function"](spark, str(tmp_path)).collect()}
+    want = round(SequenceMatcher(None, "user", "user asked the user").ratio(), 6)
+    assert got == {(1, 0): want, (1, 1): None, (2, 0): None, (2, 1): want}
