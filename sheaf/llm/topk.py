@@ -56,17 +56,16 @@ def search(
     two longs, a term at most once a row). A candidate with the query's id is
     left out. Returns ``query_id, rank, id, score``; ties go to the smaller id,
     and a query with fewer than k candidates gets them all. Rows without
-    entries score 0. A row with a null id or null entries takes no part; of
-    rows with one id, the one with the smallest entries counts. The number of
-    blocks follows from the counts of rows; a cell's memory is bounded by the
+    entries score 0. A row with a null id or null entries takes no part. Every
+    other row is a candidate, so repeated ids are found once per row; of queries
+    with one id, the one with the smallest entries counts. The number of blocks follows from the counts of rows; a cell's memory is bounded by the
     block sizes times the entries of a row.
     """
 
     def clean(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("id").cast("bigint").alias("id"), "entries")
-        return rows.dropna().groupBy("id").agg(F.min("entries").alias("entries"))
+        return rows.select(F.col("id").cast("bigint").alias("id"), "entries").dropna()
 
-    queries, candidates = clean(queries), clean(candidates)
+    queries, candidates = clean(queries).groupBy("id").agg(F.min("entries").alias("entries")), clean(candidates)
     lots = max(1, -(-queries.count() // n_queries))
     blocks = max(1, -(-candidates.count() // n_candidates))
 

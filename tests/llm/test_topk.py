@@ -53,3 +53,11 @@ def test_sparse_rows(spark):
     candidates = spark.createDataFrame([(2, [(9, 5)]), (3, [(8, 100)]), (4, [(7, -1)])], kind)
     got = topk.search(queries, candidates, 3).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == [(2, 5), (3, 0), (4, -2)]
+
+
+@pytest.mark.parametrize("blocks", [(16_384, 16_384), (3, 1)])
+def test_repeated_candidates_are_all_found(spark, blocks):
+    rows = [(0, [1.0]), (1, [0.5]), (1, [3.0]), (1, [3.0]), (2, [2.0])]
+    own = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 1024)
+    got = topk.search(own.filter("id = 0"), own, 3, *blocks).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 3 << 20), (0, 2, 1, 3 << 20), (0, 3, 2, 2 << 20)]
