@@ -31,8 +31,10 @@ from sheaf.llm.batches import WordNumbers, chunks, utf8
 from sheaf.session import written
 
 SEQUENCE, WINDOW = 4096, 32
-# Sources beyond so many, the smallest ones, wait in one queue together.
+# Sources beyond so many, the smallest ones, take turns in one queue.
 MAX_QUEUES = 256
+# That queue is put in order by stretches of about so many tokens, of so many at most.
+STRETCH, MOST_STRETCHES = 1 << 22, 1 << 20
 # Words and parts of words a process remembers; beyond them it starts anew.
 CACHE_WORDS, CACHE_PARTS = 600_000, 200_000
 # Texts of about so many bytes are looked up together.
@@ -238,6 +240,41 @@ class Schedule:
             window += 1
 
 
+def turns(stored: DataFrame, parts: DataFrame, shares: dict[str | None, int], total: int, stretch: int = STRETCH) -> DataFrame:
+    """``doc, ids, first`` of the sources of ``parts``, whose documents take turns in one queue.
+
+    A document is due when its source has been served up to a place in it, by
+    the source's share: its own tokens, or what ``shares`` gives. So a source is
+    ahead of its share or behind it by one document at most. The place differs
+    between documents by their hash, so sources of one document spread out too.
+    Due times cut the queue into stretches, whose sums tell where each begins.
+    """
+    spark = stored.sparkSession
+    own = Window.partitionBy("source").orderBy("part")
+    given = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "named string, given double")
+    sizes = parts.groupBy("source").agg(F.sum("n").alias("size"))
+    sizes = sizes.join(F.broadcast(given), sizes.source.eqNullSafe(given.named), "left").select(
+        F.col("source").alias("z"), "size", F.coalesce("given", F.col("size").cast("double")).alias("share")
+    )
+    before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = parts.select("source", F.col("part").alias("p"), before.alias("base"))
+    bases = bases.join(sizes, bases.source.eqNullSafe(sizes.z)).select(F.col("source").alias("s"), "p", "base", "size", "share")
+    bases = written(bases, "turns")
+    end = bases.agg(F.max(F.col("size") / F.col("share"))).first()[0]
+    stretches = max(1, min(MOST_STRETCHES, total // stretch))
+    place = F.pmod(F.xxhash64("source", "part", "at"), F.lit(1 << 20)) / float(1 << 20)
+    due = (F.col("base") + F.col("at") + place * F.col("n")) / F.col("share")
+    rows = stored.join(bases, (stored.part == bases.p) & stored.source.eqNullSafe(bases.s)).withColumn("due", due)
+    rows = rows.withColumn("stretch", F.least(F.lit(stretches - 1), F.floor(F.col("due") / end * stretches).cast("int")))
+    sums = rows.groupBy("stretch").agg(F.sum("n").alias("sum"))
+    ahead = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("stretch").alias("of"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
+    order = Window.partitionBy("stretch").orderBy("due", F.asc_nulls_first("source"), "part", "at")
+    inner = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    queued = rows.withColumn("inner", inner).join(F.broadcast(starts), F.col("stretch") == F.col("of"))
+    return queued.select("doc", "ids", (F.col("start") + F.col("inner")).alias("first"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer_file: str,
@@ -254,7 +291,9 @@ def pack(
 
     ``weights`` are the target shares by source; without them a source's share
     is that of its tokens, so that all queues run dry together. A source
-    without a weight has its own share of tokens as weight.
+    without a weight has its own share of tokens as weight. The sources that
+    share the last queue bring it the sum of their weights; inside that queue
+    they take turns by document, each in step with its own share (``turns``).
 
     Returns one row per piece: ``doc, start, length, ids, doc_tokens,
     sequence_id, offset``. Every window holds ``window * size`` tokens but for
@@ -277,12 +316,19 @@ def pack(
     names = [r["source"] for r in top]
     if rest := total - sum(totals):
         totals.append(rest)
-    shares = list(totals)
+    shares, tail = list(totals), {}
     if weights is not None:
         scale = total / max(1e-300, sum(weights.values()))
         for q, name in enumerate(names):
             if name in weights:
                 shares[q] = max(1, round(weights[name] * scale))
+        if rest and (small := set(weights) - set(names)):
+            wanted = F.col("source").isin([n for n in small if n is not None])
+            if None in small:
+                wanted = F.coalesce(wanted, F.lit(True))
+            given = sources.filter(wanted).collect()
+            tail = {r["source"]: max(1, round(weights[r["source"]] * scale)) for r in given}
+            shares[-1] = max(1, rest + sum(tail[r["source"]] - r["n"] for r in given))
     schedule = Schedule(totals, shares, window * size)
 
     named = spark.createDataFrame(
@@ -311,6 +357,10 @@ def pack(
     placed = stored.join(places, (stored.part == places.p) & stored.source.eqNullSafe(places.s)).select(
         "doc", "ids", "queue", (F.col("base") + F.col("at")).alias("first")
     )
+    if rest:
+        placed = placed.filter(F.col("queue") < len(names)).unionByName(
+            turns(stored, parts.filter(F.col("queue") == len(names)), tail, rest).withColumn("queue", F.lit(len(names)))
+        )
     kind = stored.schema["doc"].dataType.simpleString()
     named_kind = pa.schema(
         [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -115,3 +116,32 @@ def test_random_words_have_the_ids_of_the_whole():
     tokenizer, got = Tokenizer.from_file(FILE), packing.WordCache(FILE).encode([t.encode() for t in texts], 2)
     for text, ids in zip(texts, got, strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
+@pytest.mark.parametrize("stretch", [1 << 22, 200])
+def test_small_sources_keep_their_shares(spark, monkeypatch, stretch):
+    own = packing.turns
+    monkeypatch.setattr(packing, "turns", lambda *a: own(*a, stretch=stretch))
+    # Sorted by source, so that each would be served after the other.
+    docs = rows(400, lambda i: "big" if i < 250 else ("a" if i < 300 else "b"), lambda i: 5)
+    seqs, source = checked(spark, docs, size=64, max_queues=2), {r[0]: r[2] for r in docs}
+    windows = {}
+    for s, pieces in seqs.items():
+        for p in pieces:
+            mix = windows.setdefault(s // 2, dict.fromkeys(("a", "b", "big"), 0))
+            mix[source[p.doc_id]] += p.length
+    sums, seen = {k: sum(m[k] for m in windows.values()) for k in ("a", "b", "big")}, dict.fromkeys(("a", "b", "big"), 0)
+    for w in sorted(windows):
+        seen = {k: n + windows[w][k] for k, n in seen.items()}
+        served = (seen["a"] + seen["b"]) / (sums["a"] + sums["b"])
+        assert all(abs(seen[k] - served * sums[k]) <= 2 * 12 for k in "ab")
+
+
+def test_weights_of_small_sources_count(spark):
+    docs = rows(300, lambda i: "big" if i < 240 else ("a" if i < 270 else None), lambda i: 5)
+    seqs, source = checked(spark, docs, size=64, max_queues=2, weights={"big": 1, "a": 2, None: 1}), {r[0]: r[2] for r in docs}
+    first = Counter()
+    for s, pieces in seqs.items():
+        for p in pieces if s < 4 else []:
+            first[source[p.doc_id]] += p.length
+    assert abs(first["a"] - 128) <= 24 and abs(first[None] - 64) <= 24 and abs(first["big"] - 64) <= 4
