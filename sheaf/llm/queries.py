@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sheaf
-from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, topk
+from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, topk, whitening
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,9 @@ def op5_main_text(table) -> DataFrame:
 @query("op7_near_vectors")
 def op7_near_vectors(table) -> DataFrame:
     return neargraph.near_duplicates(table("embeddings"))
+
+
+@query("op11_whitening")
+def op11_whitening(table) -> DataFrame:
+    found = whitening.whiten(table("embeddings").select("vec_id", "embedding"))
+    return found.select("row.vec_id", *(c for c in found.columns if c != "row"))
