@@ -231,10 +231,10 @@ def whiten(
     model = fit(groups, components)
     if not len(model.eigenvalues):
         shape = T.StructType([T.StructField("row", rows.schema, False)])
-        for name, kind in (("component", "int"), ("n", "bigint"), ("deviation", "bigint")):
+        for name, kind in (("component", T.IntegerType()), ("n", T.LongType()), ("deviation", T.LongType())):
             shape = shape.add(name, kind)
         for name in ("whitened", "explained", "identity_error"):
-            shape = shape.add(name, "double")
+            shape = shape.add(name, T.DoubleType())
         return rows.sparkSession.createDataFrame([], shape)
     white = written(transformed(groups, model), "whitened")
     error = identity_error(white, model)
