@@ -56,7 +56,7 @@ def matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
     """Rows of a list column; shorter ones end in zeros."""
     values, lengths = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
     if (lengths == width).all():
-        return values.reshape(-1, width).astype(kind, copy=False)
+        return values.reshape(len(lengths), width).astype(kind, copy=False)
     out = np.zeros((len(lengths), width), kind)
     out[np.arange(width) < lengths[:, None]] = values
     return out
