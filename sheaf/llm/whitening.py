@@ -64,7 +64,7 @@ def matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
 
 def exact_sums(x: np.ndarray, weight: np.ndarray) -> list[int]:
     """Weighted sums of each column, in whole numbers of any size."""
-    if not len(x):
+    if not x.size:
         return [0] * x.shape[1]
     most = max(abs(int(x.max())), abs(int(x.min()))) * int(weight.max()) * len(x)
     if most < LONG:
@@ -153,8 +153,8 @@ def fit(groups: DataFrame, components: int) -> Whitening:
 
 def deviations(x: np.ndarray, n: int, sums: tuple[int, ...]) -> list[int | None]:
     """Exact sums of ``(n * x - sums) ** 2`` over each row; None beyond a long."""
-    if not len(x):
-        return []
+    if not x.size:
+        return [0] * len(x)
     most = n * max(abs(int(x.max())), abs(int(x.min()))) + max(map(abs, sums))
     if most * most * len(sums) < LONG:
         return ((n * x - np.array(sums, np.int64)) ** 2).sum(axis=1).tolist()
