@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sheaf
-from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, topk, whitening
+from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, tokenfiles, topk, whitening
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,9 @@ def op7_near_vectors(table) -> DataFrame:
 def op11_whitening(table) -> DataFrame:
     found = whitening.whiten(table("embeddings").select("vec_id", "embedding"))
     return found.select("row.vec_id", *(c for c in found.columns if c != "row"))
+
+
+@query("op12_token_files")
+def op12_token_files(table) -> DataFrame:
+    files = tokenfiles.write(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return files.documents().withColumnRenamed("doc", "doc_id")
