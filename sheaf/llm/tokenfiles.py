@@ -133,10 +133,10 @@ class Sequences:
         """Ids and mask of one sequence."""
         number, row = divmod(sequence, self.rows)
         cut = slice(row * self.size, (row + 1) * self.size)
-        try:
-            ids, mask = self.column(number, "ids")[cut], self.column(number, "mask")[cut]
-        except (EOFError, pa.ArrowInvalid) as behind_the_end:
-            raise IndexError(sequence) from behind_the_end
+        # Behind the last batch the stream has an end mark of 8 bytes.
+        if sequence < 0 or self.first + number * self.step > self.source.size() - 16:
+            raise IndexError(sequence)
+        ids, mask = self.column(number, "ids")[cut], self.column(number, "mask")[cut]
         if not len(ids):
             raise IndexError(sequence)
         return ids, mask
