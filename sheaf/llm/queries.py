@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import zipfile
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sheaf
-from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, tokenfiles, topk, whitening
+from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, tokenfiles, topk, turnrepair, whitening
 from sheaf.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,93 @@ def op11_whitening(table) -> DataFrame:
 def op12_token_files(table) -> DataFrame:
     files = tokenfiles.write(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
     return files.documents().withColumnRenamed("doc", "doc_id")
+
+
+# The least cost and audit of every state, row by row; equal costs go by the audit.
+_OP13 = r"""
+with recursive crc_table as (
+    select list_transform(range(256), lambda b: list_reduce(range(8),
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) t
+), keyed as (
+    select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') x,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k
+    from conversations
+), marked as (
+    select *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ord(k[i])::bigint),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 p
+    from keyed, crc_table
+), damaged as (
+    select conv_id, turn, case when p = 4 then 'user' else r end r,
+        case p when 1 then '' when 2 then translate(x, '.!?', '') else x end x,
+        unnest(range(case when p = 3 then 2 else 1 end)) copy
+    from marked where p <> 0
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, r, x) i,
+        rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) bare
+    from damaged
+), turns as (
+    select conv_id, turn, r, x, i, left(r, 1) c,
+        case when bare = '' then 2
+            when row_number() over (partition by conv_id, r, x order by i) > 1 then 3
+            when right(bare, 1) not in ('.', '!', '?') then 1 else 0 end f,
+        lag(left(r, 1)) over (partition by conv_id order by i) c0
+    from numbered
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+        count(*) filter (f = 2) blank, count(*) filter (f = 3) duplicate, count(*) filter (f = 1) truncated,
+        count(*) filter (c0 is not null and c0 || c not in ('su', 'ua', 'au')) illegal, max(i) n
+    from turns group by conv_id
+), puts as (
+    select * from (values
+        (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+        (0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+        (1, 2, 'I', chr(10) || 'user:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+        (2, 3, 'I', chr(10) || 'assistant:'), (3, 2, 'I', chr(10) || 'user:')) v(s, t, letters, more)
+), edits as (
+    select * from (values
+        ('D', 0, null, 0), ('D', 1, null, 1), ('D', 2, null, 2), ('D', 3, null, 3),
+        ('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2),
+        ('K', 0, '', 0), ('K', 1, '', 1), ('K', 2, '', 2), ('K', 3, '', 3),
+        ('R', 0, null, 2), ('R', 1, null, 2), ('R', 2, null, 3), ('R', 3, null, 2)) v(letter, s, c, t)
+), walk as (
+    select conv_id, 0::bigint i, 0 state, 0::bigint cost, '' audit, '' made from counts
+    union all
+    select conv_id, i, state, best.cost, best.audit, made from (
+        select w.conv_id, t.i, e.t state,
+            min({'cost': w.cost + 5 * length(p.letters)
+                + case e.letter when 'D' then 2 else (case when t.f = 1 then 5 else 0 end) + (case when e.letter = 'R' then 1 else 0 end) end,
+                'audit': w.audit || p.letters || e.letter}) best,
+            arg_min(w.made || p.more || case e.letter when 'D' then ''
+                    when 'K' then chr(10) || t.r || ':' || t.x
+                    else chr(10) || (case e.t when 2 then 'user' else 'assistant' end) || ':' || t.x end,
+                {'cost': w.cost + 5 * length(p.letters)
+                + case e.letter when 'D' then 2 else (case when t.f = 1 then 5 else 0 end) + (case when e.letter = 'R' then 1 else 0 end) end,
+                'audit': w.audit || p.letters || e.letter}) made
+        from walk w join puts p on p.s = w.state
+            join turns t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1
+            join edits e on e.s = p.t and (e.letter = 'D' or t.f < 2) and (e.letter <> 'K' or e.c = t.c)
+        group by w.conv_id, t.i, e.t
+    )
+), ended as (
+    select w.conv_id, min({'cost': w.cost + 5 * length(p.letters), 'audit': w.audit || p.letters}) best,
+        arg_min(w.made || p.more, {'cost': w.cost + 5 * length(p.letters), 'audit': w.audit || p.letters}) made
+    from walk w join counts c on c.conv_id is not distinct from w.conv_id and c.n = w.i
+        join puts p on p.s = w.state and p.t in (0, 3) and not (w.state = 0 and p.t = 3)
+    group by w.conv_id
+)
+select o.conv_id, coalesce(c.gaps, 0)::bigint gaps, coalesce(c.blank, 0) blank, coalesce(c.duplicate, 0) duplicate,
+    coalesce(c.truncated, 0) truncated, coalesce(c.illegal, 0) illegal, coalesce(e.best.cost, 0)::bigint cost,
+    coalesce(e.best.audit, '') audit, sha256(coalesce(e.made[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) o
+    left join counts c on c.conv_id is not distinct from o.conv_id
+    left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op13_structure_repair", _OP13)
+def op13_structure_repair(table) -> DataFrame:
+    turns = table("conversations")
+    found = turnrepair.repair(turnrepair.damaged(turns)).summary()
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    empty = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.fillna({**empty, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
