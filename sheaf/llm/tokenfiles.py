@@ -1,15 +1,16 @@
 """Token ids in Arrow stream files of fixed-size lists.
 
 A file holds one stream of record batches, with two columns of fixed-size
-lists: the ids of a sequence, and a mask that is 1 where there is an id and 0
-where the last sequence of the file is filled up. Every batch but the last has
+lists: the ids of a sequence, in two bytes each where the vocabulary fits them,
+and a mask, in bits, that is set where there is an id and not where the last
+sequence of the file is filled up. Every batch but the last has
 the same number of sequences, so all of them take the same number of bytes and
 the place of any sequence follows from its number. A mapped file is read
 without a copy. A second stream lists the documents of the file: their ids,
 first tokens and lengths.
 
-Documents are dealt by ranges of their ids; each task writes its range as files
-of whole documents and reports them. Only the files that committed tasks have
+Texts are dealt by ranges of their ids; each task encodes its range, writes it
+as files of whole documents and reports them. Only the files that committed tasks have
 reported make up the result, so a task that is run again leaves files that
 nobody reads.
 """
@@ -29,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.packing import tokenized
+from sheaf.llm.batches import chunks, utf8
+from sheaf.llm.packing import word_cache
 from sheaf.session import new_path, written
 
 SEQUENCE = 2048
 # Sequences of a batch, and of a file before it is closed behind a document.
 BATCH, FILE = 256, 8192
-# Tokens of a task, in as many tasks at most.
-TASK_TOKENS, MOST_TASKS = 1 << 22, 20_000
+# Bytes of text of a task, in as many tasks at most; texts of about so many are encoded together.
+TASK_BYTES, MOST_TASKS = 1 << 24, 20_000
+ENCODED_BYTES = 1 << 21
 FILL = 0
 
 
@@ -49,23 +52,32 @@ def storage(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
-def layout(size: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), size)), ("mask", pa.list_(pa.uint8(), size))])
+def layout(size: int, wide: bool) -> pa.Schema:
+    number = pa.uint32() if wide else pa.uint16()
+    return pa.schema([("ids", pa.list_(number, size)), ("mask", pa.list_(pa.bool_(), size))])
+
+
+def is_wide(tokenizer_file: str, end_id: int) -> bool:
+    """Whether the ids of a tokenizer need four bytes."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True)
+    return max(end_id, *vocabulary.values()) > np.iinfo(np.uint16).max
 
 
 class Writer:
     """One pair of streams: the sequences and the documents in them."""
 
-    def __init__(self, stem: str, size: int, batch: int, doc: pa.DataType) -> None:
+    def __init__(self, stem: str, size: int, batch: int, wide: bool, doc: pa.DataType) -> None:
         where, path = storage(stem)
         where.create_dir(posixpath.dirname(path), recursive=True)
-        self.size, self.batch = size, batch
+        self.size, self.batch, self.schema = size, batch, layout(size, wide)
         self.tokens = self.documents = self.sequences = 0
         self.held: list[np.ndarray] = []
         self.waiting = 0
         self.index = pa.schema([("doc", doc), ("start", pa.int64()), ("length", pa.int64())])
         self.sinks = [where.open_output_stream(path + end) for end in (".arrow", ".documents.arrow")]
-        self.streams = [pa.ipc.new_stream(s, k) for s, k in zip(self.sinks, (layout(size), self.index), strict=True)]
+        self.streams = [pa.ipc.new_stream(s, k) for s, k in zip(self.sinks, (self.schema, self.index), strict=True)]
 
     def add(self, docs: pa.Array, ids: list[np.ndarray]) -> None:
         lengths = np.array([len(x) for x in ids], np.int64)
@@ -80,15 +92,15 @@ class Writer:
 
     def flush(self, sequences: int) -> None:
         """Write so many sequences, the last one filled up where ids are wanting."""
-        flat = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        flat = np.concatenate(self.held)
         whole = sequences * self.size
-        ids, mask = np.full(whole, FILL, np.uint32), np.zeros(whole, np.uint8)
+        ids, mask = np.full(whole, FILL, self.schema.field("ids").type.value_type.to_pandas_dtype()), np.zeros(whole, bool)
         n = min(whole, len(flat))
-        ids[:n], mask[:n] = flat[:n], 1
+        ids[:n], mask[:n] = flat[:n], True
         for first in range(0, sequences, self.batch):
             cut = slice(first * self.size, min(sequences, first + self.batch) * self.size)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(a[cut]), self.size) for a in (ids, mask)]
-            self.streams[0].write_batch(pa.RecordBatch.from_arrays(lists, schema=layout(self.size)))
+            self.streams[0].write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.sequences += sequences
         self.held, self.waiting = [flat[n:]], len(flat) - n
 
@@ -125,28 +137,27 @@ class Sequences:
             self.held = number, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
         return self.held[1]
 
-    def column(self, number: int, name: str) -> np.ndarray:
-        """All values of a batch, as a view."""
-        return self.batch(number).column(name).flatten().to_numpy(zero_copy_only=True)
+    def ids(self, number: int) -> np.ndarray:
+        """All ids of a batch, as a view."""
+        return self.batch(number).column("ids").flatten().to_numpy(zero_copy_only=True)
 
-    def __getitem__(self, sequence: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence."""
+    def __getitem__(self, sequence: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence, as views."""
         number, row = divmod(sequence, self.rows)
-        cut = slice(row * self.size, (row + 1) * self.size)
         # Behind the last batch the stream has an end mark of 8 bytes.
         if sequence < 0 or self.first + number * self.step > self.source.size() - 16:
             raise IndexError(sequence)
-        ids, mask = self.column(number, "ids")[cut], self.column(number, "mask")[cut]
-        if not len(ids):
+        batch = self.batch(number)
+        if row >= batch.num_rows:
             raise IndexError(sequence)
-        return ids, mask
+        return self.ids(number)[row * self.size : (row + 1) * self.size], batch.column("mask")[row].values
 
     def run(self, start: int, length: int) -> Iterator[np.ndarray]:
         """The ids of tokens ``start`` to ``start + length``, batch by batch."""
         per = self.rows * self.size
         while length:
             number, place = divmod(start, per)
-            part = self.column(number, "ids")[place : place + length]
+            part = self.ids(number)[place : place + length]
             if not len(part):
                 raise IndexError(start)
             yield part
@@ -221,13 +232,13 @@ class TokenFiles:
                             n = made.num_rows
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()),
-                                 made.column(0).cast(pa.list_(pa.int64())), made.column(1).cast(pa.list_(pa.int8()))],
+                                 made.column(0).cast(pa.list_(pa.int64())), made.column(1).cast(pa.list_(pa.bool_()))],
                                 names=["part", "file", "sequence", "ids", "mask"],
                             )
                             done += n
 
         return self.dealt().mapInArrow(
-            read, "part int, file int, sequence bigint, ids array<bigint>, mask array<tinyint>"
+            read, "part int, file int, sequence bigint, ids array<bigint>, mask array<boolean>"
         )
 
 
@@ -238,7 +249,7 @@ def write(
     size: int = SEQUENCE,
     batch: int = BATCH,
     file: int = FILE,
-    task_tokens: int = TASK_TOKENS,
+    task_bytes: int = TASK_BYTES,
     id_column: str = "doc_id",
     text: str = "text",
 ) -> TokenFiles:
@@ -249,13 +260,13 @@ def write(
     only. A document of any length lies in one file. Other columns are not
     read. An empty table gives no file.
     """
-    spark = docs.sparkSession
-    chosen = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text}`"].alias("text"), F.lit(None).cast("string").alias("source"))
-    tokens = written(tokenized(chosen, tokenizer_file, end_id, "doc", "text", "source").drop("source"), "ids", "zstd")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    order = [F.asc_nulls_first("doc"), F.asc("part"), F.asc("at")]
-    ranges = max(1, min(MOST_TASKS, -(-total // task_tokens)))
-    dealt = tokens.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc", "ids")
+    spark, wide = docs.sparkSession, is_wide(tokenizer_file, end_id)
+    chosen = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text}`"].cast("string").alias("text"))
+    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(1, min(MOST_TASKS, -(-total // task_bytes)))
+    order = [F.asc_nulls_first("doc"), F.asc("place")]
+    placed = chosen.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc", "text")
     folder = new_path(spark, "sequences")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,23 +281,25 @@ def write(
                                   ("sequences", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())]),
             )
 
+        cache = word_cache(tokenizer_file)
         for rows in batches:
-            ids = [np.frombuffer(b.as_buffer(), "<u4") for b in rows.column(1)]
-            ends = np.cumsum([len(x) for x in ids])
-            first = 0
-            while first < len(ids):
-                if own is None:
-                    stem = f"{folder}/part-{part:06d}-{number:05d}-{uuid.uuid4().hex}"
-                    own = Writer(stem, size, batch, rows.column(0).type)
-                # Documents up to the one that fills the file.
-                before = int(ends[first - 1]) if first else 0
-                last = int(np.searchsorted(ends, before + file * size - own.tokens)) + 1
-                last = min(len(ids), last)
-                own.add(rows.column(0).slice(first, last - first), ids[first:last])
-                first = last
-                if own.tokens >= file * size:
-                    yield report()
-                    own, number = None, number + 1
+            data, offsets = utf8(rows.column(1))
+            for a, b in chunks(offsets, ENCODED_BYTES):
+                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
+                ids = [x.astype(np.uint32 if wide else np.uint16) for x in cache.encode(texts, end_id)]
+                docs_of, ends, first = rows.column(0).slice(a, b - a), np.cumsum([len(x) for x in ids]), 0
+                while first < len(ids):
+                    if own is None:
+                        stem = f"{folder}/part-{part:06d}-{number:05d}-{uuid.uuid4().hex}"
+                        own = Writer(stem, size, batch, wide, rows.column(0).type)
+                    # Documents up to the one that fills the file.
+                    before = int(ends[first - 1]) if first else 0
+                    last = min(len(ids), int(np.searchsorted(ends, before + file * size - own.tokens)) + 1)
+                    own.add(docs_of.slice(first, last - first), ids[first:last])
+                    first = last
+                    if own.tokens >= file * size:
+                        yield report()
+                        own, number = None, number + 1
         if own is not None:
             yield report()
 
@@ -297,7 +310,7 @@ def write(
     parts = files.groupBy(F.col("part").alias("of")).agg(F.sum("tokens").alias("sum"))
     bases = parts.select("of", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("inner", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
-    placed = placed.join(F.broadcast(bases), F.col("part") == F.col("of"))
-    placed = placed.select(*files.columns, (F.col("base") + F.col("inner")).alias("first"))
-    return TokenFiles(written(placed, "files"), tokens.schema["doc"].dataType.simpleString())
+    numbered = files.withColumn("inner", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
+    numbered = numbered.join(F.broadcast(bases), F.col("part") == F.col("of"))
+    numbered = numbered.select(*files.columns, (F.col("base") + F.col("inner")).alias("first"))
+    return TokenFiles(written(numbered, "files"), chosen.schema["doc"].dataType.simpleString())

@@ -37,7 +37,7 @@ def texts(n):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"size": 16, "batch": 4, "file": 8, "task_tokens": 700}, {"size": 1, "batch": 1, "file": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"size": 16, "batch": 4, "file": 8, "task_bytes": 2000}, {"size": 1, "batch": 1, "file": 1}])
 def test_read_back_as_encoded(spark, tokenizer, sizes):
     rows = texts(60 if sizes.get("size") != 1 else 5)
     files = tokenfiles.write(spark.createDataFrame(rows, KIND).repartition(5), FILE, **sizes)
@@ -47,7 +47,7 @@ def test_read_back_as_encoded(spark, tokenizer, sizes):
 
 def test_ids_and_masks(spark, tokenizer):
     rows = [(i, t) for i, t in texts(40) if i is not None]
-    files = tokenfiles.write(spark.createDataFrame(rows, KIND), FILE, size=32, batch=4, file=16, task_tokens=400)
+    files = tokenfiles.write(spark.createDataFrame(rows, KIND), FILE, size=32, batch=4, file=16, task_bytes=1000)
     whole = [i for _, t in sorted(rows, key=lambda r: r[0]) for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
     seen = files.sequences().orderBy("part", "file", "sequence").collect()
     assert {len(r["ids"]) for r in seen} == {len(r["mask"]) for r in seen} == {32}
@@ -61,7 +61,7 @@ def test_ids_and_masks(spark, tokenizer):
 
 def test_random_access_without_copies(spark):
     rows = [(i, "some words here " * 500) for i in range(40)]
-    files = tokenfiles.write(spark.createDataFrame(rows, KIND).coalesce(1), FILE, size=64, batch=8, task_tokens=1 << 30)
+    files = tokenfiles.write(spark.createDataFrame(rows, KIND).coalesce(1), FILE, size=64, batch=8, task_bytes=1 << 30)
     (path, count), = files.files.select("path", "sequences").collect()
     opened = tokenfiles.Sequences(path)
     in_order = [r["ids"] for r in files.sequences().orderBy("sequence").collect()]
@@ -71,6 +71,8 @@ def test_random_access_without_copies(spark):
     views = [opened[p] for p in places]
     assert pa.total_allocated_bytes() - before < 4 * 64
     assert all(not ids.flags.owndata and not ids.flags.writeable for ids, _ in views)
+    assert {ids.dtype for ids, _ in views} == {np.dtype("uint16")} and {str(mask.type) for _, mask in views} == {"bool"}
+    assert all(mask.to_pylist() == [True] * 64 for _, mask in views[1:]) and not views[0][1].to_pylist()[-1]
     assert [ids.tolist() for ids, _ in views] == [in_order[p] for p in places]
     for wrong in (count, count + 8, 10 * count, -1):
         with pytest.raises(IndexError):
@@ -82,3 +84,12 @@ def test_empty_table_and_clashing_names(spark, tokenizer):
     rows = spark.createDataFrame([("b", "x y", 1, 2), ("a", None, 3, 4)], "doc_id string, text string, ids int, part int")
     got = tokenfiles.write(rows, FILE).documents().orderBy("start").collect()
     assert [(r["doc"], r["start"], r["n_tokens"]) for r in got] == [("a", 0, 1), ("b", 1, 3)]
+
+
+def test_wide_ids(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "is_wide", lambda *_: True)
+    rows = [(1, "one two"), (0, "three")]
+    files = tokenfiles.write(spark.createDataFrame(rows, KIND), FILE)
+    assert sorted((tuple(r) for r in files.documents().collect()), key=lambda r: r[1]) == brute(rows, tokenizer)
+    assert tokenfiles.Sequences(files.files.first()["path"])[0][0].dtype == np.uint32
+    assert tokenfiles.storage("file:///a/b")[1] == tokenfiles.storage("file:/a/b")[1] == "/a/b"
