@@ -7,7 +7,10 @@ shuffled once for each sub-hash of the first collection and carries the second
 one along; the pairs are formed where rows with the first half in common meet.
 
 A table proposes: members of a bucket hang on its pivot and on their neighbour
-if their signatures agree roughly. What is proposed in this way is a cluster,
+if their signatures agree roughly. Of these links a batch sends on a star for
+each set of members that they join: every member and the smallest. A first half
+that very many rows have in common is dealt in parts, each of which gets the
+pivots of the buckets it shares. What is proposed in this way is a cluster,
 never a result: inside the clusters every pair of full shingle sets is compared
 by matrix products in blocks, so no link between candidates is missed and none
 below the threshold is kept. Blocks that turn out to be one component already
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.batches import U64, chunks, lowered, mix, random_table, utf8, window_hashes
@@ -38,6 +41,9 @@ AGREE = 50
 # A block of a cluster: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 COLUMNS = 2048
+# Rows that may share a first half before they are dealt in parts: so many, or
+# this share of all, so that there are fewer such halves than ``HOT_SHARE``.
+HOT_ROWS, HOT_SHARE = 1 << 18, 10_000
 
 
 def shingle_sets(text: TextWords, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +119,49 @@ def _agree(sig: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.nd
     return 100 * (sig[a] == sig[b]).sum(axis=1) >= percent * sig.shape[1]
 
 
-def proposals(classes: DataFrame, tables: int, rows: int, percent: int) -> DataFrame:
-    """``u, v``: classes that share a table key and whose signatures agree."""
+def stars(edges: np.ndarray) -> np.ndarray:
+    """What joins the same nodes as ``edges``, with one edge for each node but the smallest of each set."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        for side in (a, b):
+            np.minimum.at(root, root[side], least)
+        while (root != root[root]).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[rest], nodes[root[rest]]], axis=1)
+
+
+def parted(halves: DataFrame, tables: int, rows: int, hot: int) -> DataFrame:
+    """``half, num, sig`` with the halves of more than ``hot`` rows dealt in parts.
+
+    The smallest member of a bucket, its pivot, is added to every part that has
+    a member of the bucket, so all of them meet the pivot as they would undealt.
+    """
+    counts = written(halves.groupBy("half").count(), "halves")
+    most = max(hot, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_SHARE)
+    large = counts.filter(F.col("count") > most).select(F.col("half").alias("of"), F.ceil(F.col("count") / most).alias("parts"))
+    if large.isEmpty():
+        return halves
+    marked = halves.join(F.broadcast(large), halves.half == F.col("of"), "left").drop("of")
+    part = F.pmod(F.xxhash64("num", F.lit(2)), F.col("parts"))
+    dealt = marked.filter("parts is not null").select("half", part.alias("part"), "num", "sig")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda j: F.struct(j.alias("j"), F.substring("sig", j * rows + 1, F.lit(rows)).alias("key")))
+    buckets = dealt.select("half", "part", F.explode(keys).alias("t"), F.struct("num", "sig").alias("row"))
+    own = buckets.groupBy("half", "part", "t").agg(F.min("row").alias("own"))
+    over = own.withColumn("pivot", F.min("own").over(Window.partitionBy("half", "t")))
+    pivots = over.filter("own.num <> pivot.num").select("half", "part", "pivot.num", "pivot.sig").distinct()
+    named = F.xxhash64("half", "part").alias("half")
+    return (
+        marked.filter("parts is null").select("half", "num", "sig")
+        .unionByName(dealt.unionByName(pivots).select(named, "num", "sig"))
+    )
+
+
+def proposals(classes: DataFrame, tables: int, rows: int, percent: int, hot: int = HOT_ROWS) -> DataFrame:
+    """``u, v``: stars of classes that share a table key and whose signatures agree."""
 
     def link(run: np.ndarray, num: np.ndarray, sig: np.ndarray) -> np.ndarray:
         """Edges within runs of equal first halves, as rows of two class numbers."""
@@ -133,7 +180,7 @@ def proposals(classes: DataFrame, tables: int, rows: int, percent: int) -> DataF
             for other in (pivot[rest], order[rest - 1]):
                 ok = _agree(sig, order[rest], other, percent)
                 out.append(np.stack([num[order[rest]][ok], num[other][ok]], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
+        return stars(np.concatenate(out))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted; the pivots of a run that goes on in the next batch go with it.
@@ -155,7 +202,7 @@ def proposals(classes: DataFrame, tables: int, rows: int, percent: int) -> DataF
     halves = classes.select("num", "sig", F.posexplode("keys").alias("i", "key")).select(
         F.xxhash64("i", "key").alias("half"), "num", "sig"
     )
-    dealt = halves.repartition("half").sortWithinPartitions("half", "num")
+    dealt = parted(halves, tables, rows, hot).repartition("half").sortWithinPartitions("half", "num")
     return dealt.mapInArrow(propose, "u bigint, v bigint").distinct()
 
 
@@ -292,7 +339,7 @@ def verified(members: DataFrame, texts: DataFrame, size: int, percent: int, docs
     return first.unionByName(second)
 
 
-def near_duplicates(
+def classified(
     docs: DataFrame,
     id_column: str = "doc_id",
     text: str = "text",
@@ -302,22 +349,15 @@ def near_duplicates(
     rows: int = ROWS,
     block_docs: int = BLOCK_DOCS,
     block_shingles: int = BLOCK_SHINGLES,
+    hot: int = HOT_ROWS,
 ) -> DataFrame:
-    """Components of documents whose shingle sets are similar.
-
-    A-Z count as a-z; words are ``[^\\x20\\x09-\\x0D]+``; the set holds the
-    distinct runs of ``size`` words, or the whole sequence of a shorter text.
-    Two documents are linked if 100 * |intersection| >= percent * |union|.
+    """``doc, tkey, n, component, component_id`` of every row of ``docs``.
 
-    Returns one row per document: ``<id>, n_shingles, component_id`` (the
-    smallest id reachable) and ``kept`` (the id is the component's). Texts
-    without words or null are linked with nothing. Rows with the same set are
-    one class from the start, however many they are. A null id counts only
-    where a component has no other; it is kept then. Other columns are not read.
+    ``tkey`` is the MD5 of the text (null: of the empty one), ``component`` a
+    number that rows share if links lead from one to the other; a row without
+    words has none.
     """
-    source = docs.select(
-        docs[id_column].alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")
-    ).withColumn("tkey", F.unhex(F.md5("text")))
+    source = docs.select(docs[id_column].alias("doc"), whole(docs[text]).alias("text")).withColumn("tkey", text_key("text"))
     base = written(described(source, size, tables, rows), "described")
     full = base.filter("n > 0")
     classes = full.groupBy("cid").agg(
@@ -325,7 +365,7 @@ def near_duplicates(
         F.first("keys").alias("keys"), F.first("sig").alias("sig"),
     )
     classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
-    clusters = components(proposals(classes, tables, rows, AGREE), "clusters")
+    clusters = components(proposals(classes, tables, rows, AGREE, hot), "clusters")
     members = classes.join(clusters, classes.num == clusters.node).select(
         "num", F.col("component").alias("cluster"), "tkey", "n"
     )
@@ -336,10 +376,53 @@ def near_duplicates(
         "cid", "least", F.coalesce("component", "num").alias("component")
     )
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select("cid", "component_id")
-    lone = base.filter("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
-    linked = full.join(named, "cid").select("doc", "n", "component_id")
-    return linked.unionByName(lone).select(
+    named = placed.join(least, "component").select("cid", "component", "component_id")
+    lone = base.filter("n = 0").select("doc", "tkey", "n", F.lit(None).cast("bigint").alias("component"), F.col("doc").alias("component_id"))
+    linked = full.join(named, "cid").select("doc", "tkey", "n", "component", "component_id")
+    return linked.unionByName(lone)
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def text_key(text: str | Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Components of documents whose shingle sets are similar.
+
+    A-Z count as a-z; words are ``[^\\x20\\x09-\\x0D]+``; the set holds the
+    distinct runs of ``size`` words, or the whole sequence of a shorter text.
+    Two documents are linked if 100 * |intersection| >= percent * |union|.
+    ``options`` are those of ``classified``.
+
+    Returns one row per document: ``<id>, n_shingles, component_id`` (the
+    smallest id reachable) and ``kept`` (the id is the component's). Texts
+    without words or null are linked with nothing. Rows with the same set are
+    one class from the start, however many they are. A null id counts only
+    where a component has no other; it is kept then. Other columns are not read.
+    """
+    return classified(docs, id_column, text, **options).select(
         F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
         F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each component, all columns.
+
+    The row with the smallest id stays, a null id only where there is no other;
+    of one id with several texts the one whose MD5 is least, of equal texts
+    under one id any one. Rows without words all stay.
+    """
+    keys = classified(docs, id_column, text, **options).filter("component is not null")
+    order = F.struct(F.col("doc").isNull().alias("missing"), "doc", "tkey")
+    chosen = keys.groupBy("component").agg(F.min(order).alias("chosen")).select("chosen.doc", "chosen.tkey")
+    marked = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[id_column].alias("own"), whole(docs[text]).alias("text"))
+    marked = marked.withColumn("key", text_key("text"))
+    match = (F.col("key") == F.col("tkey")) & F.col("own").eqNullSafe(F.col("doc"))
+    one = marked.join(chosen, match, "left_semi").dropDuplicates(["own", "key"])
+    lone = marked.filter(~F.col("text").rlike("[^ \\t-\\r]"))
+    return one.unionByName(lone).select("row.*")

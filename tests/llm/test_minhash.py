@@ -49,14 +49,54 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 7), (3, 3)])
-def test_same_as_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,hot", [(1, 1024, 1 << 18), (2, 7, 4), (3, 3, 1)])
+def test_same_as_brute_force(spark, seed, block, hot):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = minhash.near_duplicates(docs, block_docs=block).collect()
+    got = minhash.near_duplicates(docs, block_docs=block, hot=hot).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_a_family_sends_about_one_edge_for_each_member(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in range(0, 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").selectExpr("doc", "text", "unhex(md5(text)) tkey")
+    classes = minhash.described(docs, 5, 16, 3).withColumnRenamed("doc", "num")
+    for hot in (1 << 18, 10):
+        edges = minhash.proposals(classes, 16, 3, 50, hot).collect()
+        assert len(edges) <= 4 * len(texts)
+        assert {r["component"] for r in graph.components(spark.createDataFrame(edges)).collect()} == {0}
+
+
+def test_stars_join_the_same_nodes():
+    pick = random.Random(5)
+    for _ in range(50):
+        edges = np.array([[pick.randrange(40), pick.randrange(40)] for _ in range(pick.randrange(0, 45))], np.int64).reshape(-1, 2)
+        component = list(range(40))
+        for a, b in edges.tolist() * 40:
+            component[a] = component[b] = min(component[a], component[b])
+        want = sorted([i, c] for i, c in enumerate(component) if c != i)
+        assert sorted(minhash.stars(edges).tolist()) == want
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 9973}x{i}" for i in range(300_000)]
+    rows = [(3, " ".join(words)), (1, " ".join([*words[:-200], "other"])), (2, "x" * 2_000_000), (4, "word " * 200_000)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == [(299_797, 1), (1, 2), (299_996, 1), (1, 4)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(5, "a b c d e f", "p", 1), (5, "a b c d e f", "q", 2), (5, "A B c d e f", "r", 3), (6, "a b c d e f", "s", 4),
+            (None, "a b c d e f", "t", 5), (None, "x y", "u", 6), (7, None, "v", 7), (7, None, "v", 7), (5, "something else", "w", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, tkey int")
+    got = minhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert kept[0] == (0, "x y") and kept[-2:] == [(7, ""), (7, "")] and len(kept) == 5
+    assert (5, "something else") in kept and sum(t.lower() == "a b c d e f" for _, t in kept) == 1
+
+
 def test_nulls_repeats_clashes_and_hot_copies(spark):
     rows = [(5, "a b c d e f", 1, 1)] * 30 + [(None, "a b c d e f", 1, 1), (None, "x y", 1, 1), (4, None, 1, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, n int")
