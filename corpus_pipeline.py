@@ -63,13 +63,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, the one with the smallest id.
 
-    Repeated rows are one document. Documents without an id cannot be named in
-    a result; they stay.
+    Groups are told apart by row, so of two texts under one id each is judged by
+    itself; repeated rows are one document. Documents without words stay.
     """
     prepared(spark)
-    kept = minhash.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates()
-    return one_each.unionByName(docs.filter("doc_id is null"))
+    return minhash.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
