@@ -191,6 +191,48 @@ def _(t: Tables):
     return notes.join(related, ["paper", "node_id"], "left")
 
 
+# One collection of many documents per file; what is annotated stands in
+# sentences, passages and the documents themselves.
+COLLECTIONS = """
+select k, paper, value from (
+  select conv_id % 4 as k, conv_id * 100 + turn as paper,
+    '<document><id>' || conv_id || '</id><passage><text>Paper number ' || (conv_id * 100 + turn) || '</text></passage>'
+    || '<passage><sentence><text>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</text>'
+    || '<annotation id="1"><infon key="type">time</infon><text>' || length(text) || '</text></annotation>'
+    || '<relation><infon key="type">in_sentence</infon><node refid="1"/></relation></sentence>'
+    || '<annotation id="2"><infon key="type">humidity</infon><text>' || turn || '</text></annotation>'
+    || '<relation><infon key="type">in_passage</infon><node refid="2"/></relation></passage>'
+    || '<annotation id="3"><infon key="type">role</infon><text>' || role || '</text></annotation>'
+    || '<relation><infon key="type">in_document</infon><node refid="1"/><node refid="3"/></relation></document>' as value
+  from @conversations
+  union all select distinct conv_id % 4, cast(-1 as bigint), '<?xml version="1.0"?><collection><source>s</source>' from @conversations
+  union all select distinct conv_id % 4, cast(1000000000000 as bigint), '</collection>' from @conversations)
+"""
+
+
+@query(
+    "a7_split_collections",
+    """
+    with c as (select cast(conv_id * 100 + turn as varchar) as paper, * from @conversations),
+    a as (
+      select paper, 1 as passage, cast(4294967297 as bigint) as pos, '1' as node_id, 'time' as var_name,
+        cast(length(text) as varchar) as value from c
+      union all select paper, 1, 4294967296, '2', 'humidity', cast(turn as varchar) from c
+      union all select paper, null, 8589934592, '3', 'role', role from c),
+    r(rel_pos, test_name, node_id) as (
+      values (0, 'in_passage', '2'), (1, 'in_sentence', '1'), (2, 'in_document', '1'), (2, 'in_document', '3'))
+    select a.*, cast(r.rel_pos as bigint) as rel_pos, r.test_name from a join r using (node_id)
+    """,
+)
+def _(t: Tables):
+    path = new_path(t.spark, "bioc")
+    rows = t.derive(COLLECTIONS).repartition("k").sortWithinPartitions("k", "paper")
+    rows.select("value", "k").write.partitionBy("k").text(path)
+    parsed = xml.read_bioc(t.spark, path)
+    notes = xml.bioc_annotations(parsed).withColumnRenamed("text", "value").withColumn("passage", F.col("passage").cast("int"))
+    return notes.drop("identifier").join(xml.bioc_relations(parsed), ["paper", "node_id"])
+
+
 @query(
     "a8_text_files",
     "select cast(sum(length(text) + 1) as bigint) as n_chars from @documents",

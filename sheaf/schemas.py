@@ -145,63 +145,10 @@ WEIGHTINGS = {
     "efficiency_retained": (1, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 0, 1, 0, 0),
 }
 
-BIOC = T.StructType(
-    [
-        T.StructField(
-            "passage",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("text", T.StringType()),
-                        T.StructField(
-                            "annotation",
-                            T.ArrayType(
-                                T.StructType(
-                                    [
-                                        T.StructField("_id", T.StringType()),
-                                        T.StructField(
-                                            "infon",
-                                            T.ArrayType(
-                                                T.StructType(
-                                                    [
-                                                        T.StructField("_key", T.StringType()),
-                                                        T.StructField("_VALUE", T.StringType()),
-                                                    ]
-                                                )
-                                            ),
-                                        ),
-                                        T.StructField("text", T.StringType()),
-                                    ]
-                                )
-                            ),
-                        ),
-                    ]
-                )
-            ),
-        ),
-        T.StructField(
-            "relation",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField(
-                            "infon",
-                            T.ArrayType(
-                                T.StructType(
-                                    [
-                                        T.StructField("_key", T.StringType()),
-                                        T.StructField("_VALUE", T.StringType()),
-                                    ]
-                                )
-                            ),
-                        ),
-                        T.StructField(
-                            "node",
-                            T.ArrayType(T.StructType([T.StructField("_refid", T.StringType())])),
-                        ),
-                    ]
-                )
-            ),
-        ),
-    ]
+# Annotations and relations may stand in a sentence, a passage or the document.
+_INFON = "infon:array<struct<_key:string,_VALUE:string>>"
+_GRAPH = (
+    f"annotation:array<struct<_id:string,{_INFON},text:string>>,"
+    f"relation:array<struct<{_INFON},node:array<struct<_refid:string>>>>"
 )
+BIOC = f"struct<passage:array<struct<text:string,sentence:array<struct<text:string,{_GRAPH}>>,{_GRAPH}>>,{_GRAPH}>"

@@ -55,6 +55,55 @@ def test_bioc_with_single_and_repeated_children(spark):
     assert xml.unparsed(parsed).count() == 3
 
 
+def test_tei_markup_that_is_none(spark):
+    body = (
+        'a &lt; b &#60; &#x3C; c &amp;lt; <![CDATA[<p> & ]]> <ref target="x>y">1</ref> <!-- no > --> &#8451;'
+        "</p><p>next</p>  <p>third"
+    )
+    tei = f'<t:TEI xmlns:t="u"><t:text><t:body><t:div><t:p>{body}</t:p></t:div></t:body></t:text></t:TEI>'
+    tei = tei.replace("</p>", "</t:p>").replace("<p>next", "<t:p>next").replace("<p>third", "<t:p>third")
+    rows = spark.createDataFrame([("x.xml", tei), ("y.xml", tei.replace("</t:TEI>", "")), ("z.xml", None)], "path string, content string")
+    got = [r[0] for r in rows.select(xml.tei_text(F.col("path"), F.col("content"))).collect()]
+    assert got[0].split("\n", 3)[3].split("\n")[0] == "a < b < < c &lt; <p> &  1  \u2103"
+    assert [line.strip() for line in got[0].strip().split("\n")[-2:]] == ["next", "third"]
+    assert got[1:] == ["", ""]
+
+
+def test_bioc_collections_are_cut_at_documents(spark, tmp_path):
+    def document(i):
+        return (
+            f"<document><id>{i}</id>\n<passage><sentence><text>No {i}</text><annotation id='s'><infon key='type'>time</infon><text>{i}</text></annotation>"
+            "<relation><infon key='type'>r1</infon><node refid='s'/></relation></sentence></passage><passage><text>\u00e9</text>"
+            "<relation><infon key='type'>r2</infon><node refid='d'/></relation></passage>"
+            "<annotation id='d'><infon key='type'>top</infon><text>x</text></annotation></document>"
+        )
+
+    (tmp_path / "many.xml").write_text("<?xml version='1.0'?>\n<collection>" + "\n".join(map(document, range(200))) + "\n</collection>\n")
+    (tmp_path / "one.xml").write_text(document(1000))
+    (tmp_path / "bad.xml").write_text("<collection>" + document(2000) + "<document><passage></document></collection>")
+    (tmp_path / "none.xml").write_text("<collection><source>s</source></collection>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        parsed = xml.read_bioc(spark, str(tmp_path))
+        assert parsed.rdd.getNumPartitions() > 10
+        notes = xml.bioc_annotations(parsed).collect()
+        links = xml.bioc_relations(parsed).collect()
+        texts = xml.bioc_passages(parsed).collect()
+        unread = [r.path.rsplit("/", 1)[-1] for r in xml.unparsed(parsed).collect()]
+        without = sorted(r.path.rsplit("/", 1)[-1] for r in xml.without_records(spark, str(tmp_path), parsed).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    papers = sorted(str(i) for i in [*range(200), 1000, 2000])
+    assert sorted(r.paper for r in notes if r.node_id == "s" and r.passage == 0 and r.pos == 0 and r.text == r.paper) == papers
+    assert sorted(r.paper for r in notes if r.node_id == "d" and r.passage is None and r.pos == 2 << 32) == papers
+    assert sorted((r.paper, r.rel_pos, r.test_name, r.node_id) for r in links) == sorted(
+        x for p in papers for x in ((p, 0, "r1", "s"), (p, 1, "r2", "d"))
+    )
+    assert len(texts) == 2 * len(papers) and {r.text for r in texts if r.passage == 1} == {"\u00e9"}
+    assert unread == ["bad.xml"] and without == ["none.xml"]
+
+
 def test_harvest_stops_at_the_first_empty_page(spark):
     page = '{"message": {"items": [%s]}}'
     item = '{"DOI": "10/%s"}'
