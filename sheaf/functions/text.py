@@ -60,13 +60,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), 1)
 
 
-def term_buckets(text: Column) -> Column:
-    """A number below ``TERM_BUCKETS`` for every term, from the first four hex digits of its MD5."""
-    return F.transform(
-        terms(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % TERM_BUCKETS
-    )
-
-
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.similarity import combined_score, cosine, euclidean
-from sheaf.functions.text import TERM_BUCKETS, is_chunk, lines, term_buckets
+from sheaf.functions.terms import ChunkTerms, bucket_of, find_terms
+from sheaf.functions.text import TERM_BUCKETS, is_chunk, lines
 from sheaf.operators.order_stats import exact_quantiles
 
 # Scores are compared after rounding: equal chunks must equal their mean.
@@ -33,82 +35,68 @@ def chunk_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(numbered_chunks(F.col(text))).alias("c")).select(key, "c.pos", "c.chunk")
 
 
-def query_terms(query: str) -> dict[str, int]:
-    found = re.findall(r"\w{2,}", query.lower())
-    return dict(Counter(found))
-
-
 def query_buckets(query: str) -> dict[int, int]:
     """How many terms of the query fall into each bucket."""
-    out: Counter[int] = Counter()
-    for term, n in query_terms(query).items():
-        out[int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % BUCKETS] += n
-    return dict(out)
+    return dict(Counter(map(bucket_of.__getitem__, find_terms(query.lower()))))
 
 
-def bucket_weights(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row ``idf``: the smoothed idf of every bucket over all chunks.
+def bucket_weights(df: DataFrame, text: str = "text") -> np.ndarray:
+    """The smoothed idf of every bucket over all chunks.
 
-    A chunk's buckets are made distinct in their row and counts combine before
-    the shuffle, which thus moves one number per task and bucket at most.
+    Tasks count the buckets of their own texts, so a task sends one number for
+    each bucket at most, and as many come back.
     """
-    seen = F.transform(numbered_chunks(F.col(text)), lambda c: F.array_distinct(term_buckets(c["chunk"])))
-    # Bucket -1 counts the chunks themselves.
-    every = F.flatten(F.transform(seen, lambda b: F.concat(F.array(F.lit(-1)), b)))
-    counts = df.select(F.explode(every).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
-    n = counts.where("bucket = -1").agg(F.coalesce(F.first("df"), F.lit(0)).alias("n")).scalar()
-    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    weighed = every.join(counts, "bucket", "left").select(
-        "bucket", (F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")
-    )
-    gathered = F.array_sort(F.collect_list(F.struct("bucket", "idf")))
-    return weighed.agg(F.transform(gathered, lambda e: e["idf"]).alias("idf"))
-
-
-def chunk_cosine(chunk: Column, idf: Column, query: str) -> Column:
-    """Cosine of a chunk to the query in TF-IDF space, from the chunk alone."""
-    asked = query_buckets(query)
 
-    def weight(bucket: Column) -> Column:
-        return F.get(idf, bucket)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last place counts the chunks themselves.
+        seen = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            found = ChunkTerms(batch.column(0).to_pylist())
+            seen[:-1] += np.bincount(found.bucket, minlength=BUCKETS)
+            seen[-1] += len(found.pos)
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(held, pa.int32()), "df": pa.array(seen[held])})
 
-    def query_weight(bucket: Column) -> Column:
-        tf = F.lit(0)
-        for b, n in asked.items():
-            tf = F.when(bucket == b, F.lit(n)).otherwise(tf)
-        return tf * weight(bucket)
+    counts = df.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, df bigint")
+    seen = np.zeros(BUCKETS + 1)
+    for bucket, n in counts.groupBy("bucket").agg(F.sum("df")).collect():
+        seen[bucket] = n
+    return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
 
-    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("ww"), F.lit(0.0).alias("wq"))
 
-    def add(s: Column, b: Column) -> Column:
-        # Equal buckets come one after another: (run + 1)^2 - run^2 more each time.
-        run = F.when(s["last"] == b, s["run"]).otherwise(0)
-        w = weight(b)
-        return F.struct(
-            b.alias("last"),
-            (run + 1).alias("run"),
-            (s["ww"] + (2 * run + 1) * w * w).alias("ww"),
-            (s["wq"] + w * query_weight(b)).alias("wq"),
-        )
-
-    length = F.sqrt(sum(((F.lit(n) * weight(F.lit(b))) * (F.lit(n) * weight(F.lit(b))) for b, n in asked.items()), F.lit(0.0)))
-    sums = F.aggregate(F.array_sort(term_buckets(chunk)), zero, add)
-    cos = F.transform(F.array(sums), lambda s: F.try_divide(s["wq"], F.sqrt(s["ww"]) * length))[0]
-    return F.round(F.coalesce(cos, F.lit(0.0)), SCORE_DIGITS)
+def chunk_cosines(found: ChunkTerms, idf: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Cosine of every chunk to the weighted query in TF-IDF space; 0 without terms."""
+    weight, n = found.tf * idf[found.bucket], len(found.pos)
+    own = np.sqrt(np.bincount(found.chunk, weight * weight, n))
+    dot = np.bincount(found.chunk, weight * asked[found.bucket], n)
+    length = own * np.sqrt(asked @ asked)
+    return np.divide(dot, length, out=np.zeros(n), where=length > 0)
 
 
 def scored_chunks(df: DataFrame, query: str, text: str = "text", name: str = "scored") -> DataFrame:
     """Add ``name``: structs ``pos, cos`` of every chunk of the row's text.
 
-    Each row is scored by itself against one row of weights, whose size is
-    fixed; texts and keys move nowhere, so null and repeated keys do not matter.
+    Each row is scored by itself against weights whose number is fixed; texts
+    and keys move nowhere, so null and repeated keys do not matter.
     """
-    idf = bucket_weights(df, text).scalar()
-    scores = F.transform(
-        numbered_chunks(F.col(text)),
-        lambda c: F.struct(c["pos"].alias("pos"), chunk_cosine(c["chunk"], F.col("_idf"), query).alias("cos")),
+    idf = bucket_weights(df, text)
+    asked = np.zeros(BUCKETS)
+    for bucket, n in query_buckets(query).items():
+        asked[bucket] = n * idf[bucket]
+
+    @F.arrow_udf("array<struct<pos:int,cos:double>>")
+    def score(texts: pa.Array) -> pa.Array:
+        found = ChunkTerms(texts.to_pylist())
+        cos = chunk_cosines(found, idf, asked)
+        chunks = pa.StructArray.from_arrays([pa.array(found.pos), pa.array(cos)], ["pos", "cos"])
+        ends = np.concatenate([[0], np.cumsum(found.rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), chunks)
+
+    rounded = F.transform(
+        score(F.col(text).cast("string")),
+        lambda c: F.struct(c["pos"].alias("pos"), F.round(c["cos"], SCORE_DIGITS).alias("cos")),
     )
-    return df.withColumn("_idf", idf).withColumn(name, scores).drop("_idf")
+    return df.withColumn(name, rounded)
 
 
 def vector_scores(df: DataFrame, vector: str, query: Column) -> DataFrame:
@@ -136,18 +124,22 @@ def above_group_mean(df: DataFrame, group: str, score: str) -> DataFrame:
     )
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for the row, not for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def mean_filter(scored: Column) -> Column:
     """Positions of the chunks at or above the mean score of their row."""
     mean = F.try_divide(F.aggregate(scored, F.lit(0.0), lambda a, c: a + c["cos"]), F.size(scored))
-    return F.transform(
-        F.filter(scored, lambda c: c["cos"] >= F.round(mean, SCORE_DIGITS)), lambda c: c["pos"]
-    )
+    kept = _with(F.round(mean, SCORE_DIGITS), lambda m: F.filter(scored, lambda c: c["cos"] >= m))
+    return F.transform(kept, lambda c: c["pos"])
 
 
 def assemble(text: Column, kept: Column) -> Column:
     """Kept lines in order; none gives ``""``."""
-    all_lines = F.coalesce(lines(text), F.array(F.lit("")))
-    return F.coalesce(F.array_join(F.transform(kept, lambda p: F.get(all_lines, p)), "\n"), F.lit(""))
+    picked = _with(lines(text), lambda every: F.transform(kept, lambda p: F.get(every, p)))
+    return F.coalesce(F.array_join(picked, "\n"), F.lit(""))
 
 
 def filter_documents(df: DataFrame, text: str, query: str) -> DataFrame:

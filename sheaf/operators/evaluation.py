@@ -132,19 +132,20 @@ def blanked(record: Column, layout: Layout = SEMI_NESTED) -> Column:
 def paired(annotations: DataFrame, extractions: DataFrame, paper: str = "paper") -> DataFrame:
     """Inner join on the paper: ``paper, pos, annotation, extracted``.
 
-    Where a side tells its ``keys``, they come along as ``annotation_keys`` and
-    ``extracted_keys``; null stands for all of them.
+    Where a side tells its ``keys`` and ``test_keys``, they come along as
+    ``annotation_keys``, ``extracted_keys`` and ``annotation_test_keys``; null
+    stands for all of them.
     """
 
-    def keys(side: DataFrame, name: str) -> Column:
-        held = F.col("keys") if "keys" in side.columns else F.lit(None).cast("array<string>")
-        return held.alias(name)
+    def keys(side: DataFrame, held: str, name: str, kind: str = "array<string>") -> Column:
+        return (F.col(held) if held in side.columns else F.lit(None).cast(kind)).alias(name)
 
     left = annotations.select(
-        paper, "pos", F.col("record").alias("annotation"), keys(annotations, "annotation_keys")
-    )
+        paper, "pos", F.col("record").alias("annotation"), keys(annotations, "keys", "annotation_keys"),
+        keys(annotations, "test_keys", "annotation_test_keys", "map<string,array<string>>"),
+    )
     right = extractions.select(
-        paper, F.col("record").alias("extracted"), keys(extractions, "extracted_keys")
+        paper, F.col("record").alias("extracted"), keys(extractions, "keys", "extracted_keys")
     )
     return left.join(right, paper)
 
@@ -218,19 +219,22 @@ def matched_tests(
     label_tests: str,
     extracted_tests: str,
     layout: Layout = SEMI_NESTED,
+    label_keys: str | None = None,
 ) -> DataFrame:
     """Each annotated test with its best extracted test of the same paper.
 
     The score is the mean of: types alike or not, the ratio of every other
     text field, and the cosine of the numbers. Rows ``keys, test, label,
-    extracted_test, value, score``; the last three are null where the paper
-    has no extracted test. The extracted tests stay an array next to the
+    label_keys, extracted_test, value, score``; the last three are null where
+    the paper has no extracted test. ``label_keys`` names a column that maps a
+    test to the fields it holds; null stands for all of them. The extracted tests stay an array next to the
     annotated test, so a pair is an array element, never a row.
     """
     rows = df.select(
         *keys,
         F.explode(test_entries(F.col(label_tests), layout)).alias("l"),
         test_entries(F.col(extracted_tests), layout).alias("e"),
+        (F.col(label_keys) if label_keys else F.lit(None).cast("map<string,array<string>>")).alias("_held"),
     ).withColumn("e", F.coalesce("e", F.slice(F.array(F.col("l")), 1, 0)))
 
     def alike(f: str) -> Column:
@@ -255,6 +259,7 @@ def matched_tests(
         *keys,
         F.col("l")["name"].alias("test"),
         F.col("l")["test"].alias("label"),
+        F.try_element_at("_held", F.col("l")["name"]).alias("label_keys"),
         hit["name"].alias("extracted_test"),
         hit["test"].alias("value"),
         F.col("best")["score"].alias("score"),
@@ -270,7 +275,8 @@ def test_outcomes(
 ) -> DataFrame:
     """Outcome of every field of every annotated test: ``keys, field, outcome``.
 
-    A paper without extracted tests counts FN for all test fields.
+    A paper without extracted tests counts FN for all test fields. Otherwise a
+    field that the annotated test lacks, by ``label_keys``, has no outcome.
     """
     cells = F.array(
         *[
@@ -278,13 +284,14 @@ def test_outcomes(
                 F.lit(f).alias("field"),
                 F.col("label")[f].alias("label"),
                 F.col("value")[f].alias("value"),
+                F.coalesce(F.array_contains("label_keys", f), F.lit(True)).alias("asked"),
             )
             for f in layout.tests
         ]
     )
     long = matched.select(
         *keys, F.col("extracted_test").isNull().alias("unmatched"), F.explode(cells).alias("c")
-    ).select(*keys, "unmatched", "c.*")
+    ).select(*keys, "unmatched", "c.*").where("asked or unmatched")
     # Numbers are never compared as texts.
     as_text = F.col("field").isin(*layout.test_text, *(RANGE_FIELDS if ranges_stay else ()))
     both = as_text & F.col("label").isNotNull() & F.col("value").isNotNull()
@@ -431,8 +438,8 @@ def evaluate(
 ) -> DataFrame:
     """Whole comparison: one row per field with counts, precision, recall, F1.
 
-    Inputs are ``paper, pos, record`` and ``paper, record``, both with ``keys``
-    as ``records.conformed`` gives them if fields may be missing. A layout that
+    Inputs are ``paper, pos, record`` and ``paper, record``, with ``keys`` and
+    ``test_keys`` as ``records.conformed`` gives them if fields may be missing. A layout that
     keeps the molecule inside the tests has one annotation per paper, so none
     needs to be chosen.
     """
@@ -444,9 +451,9 @@ def evaluate(
     else:
         pairs = paired(number_of(annotations.where("record is not null")), number_of(extractions))
     tests = pairs.select(
-        "paper", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e")
+        "paper", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e"), "annotation_test_keys"
     )
-    matched = matched_tests(tests, ["paper"], "l", "e", layout)
+    matched = matched_tests(tests, ["paper"], "l", "e", layout, "annotation_test_keys")
     outcomes = top_outcomes(pairs, ["paper"], layout=layout).unionByName(
         test_outcomes(matched, ["paper"], layout, ranges_stay=ranges_stay)
     )

@@ -3,21 +3,25 @@
 Windows over a whole table, or over a key that may hold a third of the rows,
 send that many rows to a single task. The helpers here split such work: by
 hash bucket for rank cuts, by position block for running values, and by a
-value bracket for exact quantiles.
+digit for exact quantiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
+
+from sheaf.session import written
 
 HASH_DIGITS = 4
 POSITION_BLOCK = 65_536
-SKETCH_ACCURACY = 100_000
-RANGES = 65_536
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -142,94 +146,65 @@ def running_last(
     return out.drop("_v", "_blk", "_in", "_ex", "_carry")
 
 
+@F.arrow_udf(T.LongType())
+def _ordered(values: pa.Array) -> pa.Array:
+    """A whole number for every double, in the same order; its upper 16 bits begin at 0."""
+    bits = (values.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array(bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF)) ^ np.int64(-(1 << 63)))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = ()
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: columns ``group, prob, quantile``.
 
-    A mergeable sketch brackets every wanted rank, by a few ranks more than it
-    can err in a large group; one more distinct value on either side does the
-    same for a small one. What lies below a bracket is counted, and what lies
-    inside is cut into ranges of equal width, each ranked on its own. All
-    sizes of groups go this way.
+    Radix selection: doubles become 64-bit numbers of the same order, whose
+    digits of 16 bits are settled one after another. A round counts, for every
+    prefix that a wanted rank has reached, the rows by their next digit: 65,536
+    counters at most, which combine before the shuffle. Groups of all sizes go
+    this way. Null values do not count; a null group is a group; NaN is the
+    largest value.
     """
-    group = list(group)
-    keys = group or ["_all"]
-    rows = df.select(*group, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    if not group:
-        rows = rows.withColumn("_all", F.lit(0))
-    slack = 4.0 / SKETCH_ACCURACY
-    lower = [max(p - slack, 0.0) for p in probs]
-    upper = [min(p + slack, 1.0) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", lower, SKETCH_ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", upper, SKETCH_ACCURACY).alias("_hi"),
-    )
-    v = F.col("_v")
-    span = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.coalesce(F.max(F.when(v < F.col("_lo")[i], v)), F.min("_v")).alias("a"),
-            F.coalesce(F.min(F.when(v > F.col("_hi")[i], v)), F.max("_v")).alias("b"),
-        )
-        for i in range(len(probs))
-    ]
-    brackets = rows.join(sketch, keys).groupBy(*keys).agg(F.count("*").alias("_n"), F.array(*span).alias("_spans"))
-    placed = rows.join(brackets, keys)
-    below = placed.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        F.array(
-            *[
-                F.count(F.when(F.col("_v") < F.col("_spans")[i]["a"], 1))
-                for i in range(len(probs))
-            ]
-        ).alias("_below"),
-    )
-    share = F.try_divide(v - F.col("_s.a"), F.col("_s.b") - F.col("_s.a"))
-    inside = (
-        placed.select(
-            *keys,
-            "_v",
-            F.explode(
-                F.filter("_spans", lambda s: (F.col("_v") >= s["a"]) & (F.col("_v") <= s["b"]))
-            ).alias("_s"),
-        )
-        .select(
-            *keys,
-            "_v",
-            F.col("_s.i").alias("_i"),
-            F.coalesce(F.floor(share * RANGES), F.lit(0)).cast("int").alias("_range"),
+    keys = list(group)
+    value = F.col(value).cast("double")
+    rows = df.select(*keys, value.alias("_v")).where("_v is not null")
+    rows = written(rows.withColumn("_k", _ordered("_v")), "selection")
+    counts = rows.groupBy(*keys, F.shiftrightunsigned("_k", 48).alias("_p")).agg(F.count("*").alias("_c"), F.max("_v").alias("_v"))
+    whole = W.partitionBy(*keys)
+    first = counts.withColumn("_n", F.sum("_c").over(whole))
+    ranks = [
+        F.struct(F.lit(float(p)).alias("prob"), (p * (F.col("_n") - 1)).alias("pos"), edge(p * (F.col("_n") - 1)).cast("long").alias("rank"))
+        for p in probs
+        for edge in (F.floor, F.ceil)
+    ]
+    found = _settled(first.withColumn("_wanted", F.array(*ranks)), keys, whole)
+    for shift in (32, 16, 0):
+        reached = written(found.groupBy(*keys, "_p").agg(F.collect_list("_t").alias("_wanted")), "prefixes")
+        own = reached.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), F.col("_p").alias("_prefix"), "_wanted")
+        same = F.shiftrightunsigned("_k", shift + 16) == F.col("_prefix")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        # A prefix holds one list of ranks: two for each probability.
+        counts = (
+            rows.join(own, same)
+            .groupBy(*keys, "_prefix", F.shiftrightunsigned("_k", shift).alias("_p"))
+            .agg(F.count("*").alias("_c"), F.max("_v").alias("_v"), F.any_value("_wanted").alias("_wanted"))
         )
-        .groupBy(*keys, "_i", "_range", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    earlier = W.partitionBy(*keys, "_i").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = inside.groupBy(*keys, "_i", "_range").agg(F.sum("_c").alias("_c")).select(
-        *keys, "_i", "_range", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start")
-    )
-    upto = W.partitionBy(*keys, "_i", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    ranked = (
-        inside.withColumn("_end", F.sum("_c").over(upto))
-        .join(starts, [*keys, "_i", "_range"])
-        .join(below, keys)
-        .withColumn("_end", F.col("_end") + F.col("_start") + F.col("_below")[F.col("_i")])
-        .withColumn("prob", prob)
-        .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
+        found = _settled(counts, keys, W.partitionBy(*keys, "_prefix"))
+    out = found.groupBy(*keys, F.col("_t.prob").alias("prob"), F.col("_t.pos").alias("_pos")).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    share = F.col("_pos") - F.floor("_pos")
+    return out.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("quantile"))
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
 
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    out = ranked.groupBy(*keys, "prob", "_pos").agg(at(low).alias("_lov"), at(high).alias("_hiv"))
-    share = F.col("_pos") - F.floor("_pos")
-    return out.select(
-        *group,
-        "prob",
-        (F.col("_lov") + (F.col("_hiv") - F.col("_lov")) * share).alias("quantile"),
-    )
+def _settled(counts: DataFrame, keys: Sequence[str], whole: WindowSpec) -> DataFrame:
+    """``keys, _p, _v, _t``: each wanted rank with the prefix that holds it, counted from that prefix's first row."""
+    before = F.sum("_c").over(whole.orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c")
+    placed = counts.withColumn("_before", before)
+    held = F.filter("_wanted", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_c")))
+    moved = F.transform(held, lambda t: t.withField("rank", t["rank"] - F.col("_before")))
+    return placed.select(*keys, "_p", "_v", F.explode(moved).alias("_t"))
 
 
 def first_values(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:

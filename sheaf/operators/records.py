@@ -113,7 +113,8 @@ def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataF
     """Fixed record struct ``conformed``: missing keys become null, aliased
     keys take their canonical name, tests are a map of structs, and keys
     outside the schema are kept as text in ``extra``. ``keys`` names the top
-    fields that the text holds, under any spelling and with any value.
+    fields that the text holds, under any spelling and with any value, and
+    ``test_keys`` the fields that each of its tests holds.
 
     Each text is parsed into columns first: an expression nested in a lambda
     would parse it once per key.
@@ -137,19 +138,24 @@ def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataF
         "_tests", lambda k, t: F.struct(*_canonical(t, layout.tests))
     )
     extra = F.map_filter("_all", lambda k, v: ~k.isin(*known) & ~is_test(k))
-    held = F.array(
-        *[
-            F.when(F.arrays_overlap(F.map_keys("_all"), F.array(*[F.lit(n) for n in spellings(f)])), F.lit(f))
-            for f in layout.top
-        ]
+
+    def held(keys: Column, fields: Sequence[str]) -> Column:
+        every = [F.when(F.arrays_overlap(keys, F.array(*[F.lit(n) for n in spellings(f)])), F.lit(f)) for f in fields]
+        return F.when(keys.isNotNull(), F.array_compact(F.array(*every)))
+
+    test_keys = F.transform_values(
+        F.map_filter("_all", lambda k, v: is_test(k) & v.isNotNull()),
+        lambda k, v: F.map_keys(F.from_json(v, "map<string,string>")),
     )
     return (
         parsed.withColumn(
             "conformed", F.struct(*_canonical(F.col("_top"), layout.top), tests.alias("tests"))
         )
         .withColumn("extra", extra)
-        .withColumn("keys", F.when(F.col("_all").isNotNull(), F.array_compact(held)))
-        .drop("_top", "_all", "_tests")
+        .withColumn("keys", held(F.map_keys("_all"), layout.top))
+        .withColumn("_names", test_keys)
+        .withColumn("test_keys", F.transform_values("_names", lambda k, n: held(n, layout.tests)))
+        .drop("_top", "_all", "_tests", "_names")
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -16,7 +20,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     CountVectorizer,
-    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     Normalizer,
@@ -27,10 +30,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import keyword_rule, terms
+from sheaf.functions.terms import find_terms
+from sheaf.functions.text import keyword_rule
 from sheaf.operators.order_stats import hash_cut
 
 MAX_FEATURES = 4_000
+# Different terms a task counts before it sends its counts on.
+COUNTED_TERMS = 500_000
 
 
 def keyword_filter(df: DataFrame, text: str, names, phrases, more_than: int = 2) -> DataFrame:
@@ -66,17 +72,30 @@ def train_test(
 def vocabulary(df: DataFrame, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """The ``max_features`` most frequent terms with total and document frequency.
 
-    Terms are counted where their texts are; only counts cross the network.
+    Terms are counted in the tasks that hold their texts; only counts cross
+    the network.
     """
-    found = terms(F.col(text))
-    total = F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(
-        F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = Counter(), Counter()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = find_terms((value or "").lower())
+                total.update(found)
+                seen.update(set(found))
+            if len(total) > COUNTED_TERMS:
+                yield counted(total, seen)
+                total, seen = Counter(), Counter()
+        yield counted(total, seen)
+
+    def counted(total: Counter, seen: Counter) -> pa.RecordBatch:
+        columns = [pa.array(total, pa.string()), pa.array(total.values(), pa.int64()), pa.array([seen[t] for t in total], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "tf", "df"])
+
+    counts = df.select(F.col(text).cast("string")).mapInArrow(count, "term string, tf bigint, df bigint")
     return (
-        df.select(F.explode(F.concat(total, once)).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
+        counts.groupBy("term")
+        .agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
         .orderBy(F.desc("total"), "term")
         .limit(max_features)
     )
@@ -91,27 +110,28 @@ def tfidf(
     which holds ``max_features`` terms at most; no text is shuffled.
     """
     n = df.count()
-    vocab = vocabulary(df, text, max_features).collect()
-    if not vocab:
-        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).where("false")
-    split = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
-    count = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], "_tokens", "_tf")
-    idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in vocab]
-    bounded = df.sparkSession.createDataFrame([([r["term"] for r in vocab], idf)], "terms array<string>, idf array<double>")
-    texts = df.select(key, F.coalesce(text, F.lit("")).alias("_text"))
-    counted = count.transform(split.transform(texts)).select(key, F.unwrap_udt("_tf").alias("_v"))
-    weights = F.zip_with(
-        "_v.indices", "_v.values", lambda i, tf: F.struct(i.alias("i"), (tf * F.get(F.col("_idf"), i)).alias("w"))
-    )
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return (
-        counted.withColumn("_idf", bounded.select("idf").scalar())
-        .withColumn("_terms", bounded.select("terms").scalar())
-        .withColumn("_w", weights)
-        .withColumn("_norm", norm)
-        .select(key, "_terms", "_norm", F.explode("_w").alias("_e"))
-        .select(key, F.get("_terms", "_e.i").alias("term"), (F.col("_e.w") / F.col("_norm")).alias("tfidf"))
-    )
+    rows = vocabulary(df, text, max_features).collect()
+    places = {r["term"]: i for i, r in enumerate(rows)}
+    idf = np.array([math.log((1 + n) / (1 + r["df"])) + 1 for r in rows])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place = pa.array(places, pa.string()), places.get
+        for batch in batches:
+            found = [[i for i in map(place, find_terms((v or "").lower())) if i is not None] for v in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, len(owner))
+            both, tf = np.unique(owner * max(1, len(places)) + flat, return_counts=True)
+            owner, term = np.divmod(both, max(1, len(places)))
+            weight = tf * idf[term]
+            norm = np.sqrt(np.bincount(owner, weight * weight, len(found)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), names.take(pa.array(term)), pa.array(weight / norm[owner])],
+                names=["key", "term", "tfidf"],
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return texts.mapInArrow(weigh, f"key {kind}, term string, tfidf double").withColumnRenamed("key", key)
 
 
 class TfidfFeatures:

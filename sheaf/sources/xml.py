@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ _TEI = (
 )
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _escaped(content: Column) -> Column:
     """The content with every "<" that is no markup replaced by a character of its own."""
-    marked = F.regexp_replace(content, "&(?:lt|#0*60|#[xX]0*3[cC]);", _ESCAPED)
 
     def literal(part: Column) -> Column:
         inside = F.substring_index(part, "]]>", 1)
@@ -43,9 +49,12 @@ def _escaped(content: Column) -> Column:
         safe = F.replace(F.replace(inside, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit(_ESCAPED))
         return F.concat(safe, behind)
 
-    parts = F.split(marked, r"<!\[CDATA\[")
-    plain = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(literal(p))), "")
-    return F.when(F.contains(marked, F.lit("<![CDATA[")), plain).otherwise(marked)
+    def outside(marked: Column) -> Column:
+        parts = F.split(marked, r"<!\[CDATA\[")
+        plain = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(literal(p))), "")
+        return F.when(F.contains(marked, F.lit("<![CDATA[")), plain).otherwise(marked)
+
+    return _with(F.regexp_replace(content, "&(?:lt|#0*60|#[xX]0*3[cC]);", _ESCAPED), outside)
 
 
 def _text_of(inner: Column) -> Column:
@@ -64,19 +73,20 @@ def tei_text(path: Column, content: Column) -> Column:
     the abstract and the body, entities resolved.
     """
     options = {**_LENIENT, "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
-    tei = F.from_xml(_escaped(content), _TEI, options)
-    header = tei["teiHeader"]
 
     def first(*places: Column) -> Column:
         return F.coalesce(_text_of(F.coalesce(*(F.get(p, 0) for p in places))), F.lit(""))
 
-    title = first(header["fileDesc"]["titleStmt"]["title"], header["titleStmt"]["title"])
-    abstract = first(header["profileDesc"]["abstract"], header["abstract"])
-    head = F.concat(F.lit("Paper #: "), paper_stem(path))
-    shown = F.when(title == "", F.lit("")).otherwise(F.concat(F.lit("Title: "), title))
-    body = F.concat_ws("\n", head, shown, abstract, first(tei["text"]["body"]))
-    broken = content.isNull() | tei["_corrupt_record"].isNotNull()
-    return F.when(broken, F.lit("")).otherwise(F.concat(body, F.lit("\n")))
+    def shown(tei: Column) -> Column:
+        header = tei["teiHeader"]
+        title = first(header["fileDesc"]["titleStmt"]["title"], header["titleStmt"]["title"])
+        abstract = first(header["profileDesc"]["abstract"], header["abstract"])
+        lead = F.concat(F.lit("Paper #: "), paper_stem(path), F.lit("\n"))
+        named = _with(title, lambda t: F.when(t == "", t).otherwise(F.concat(F.lit("Title: "), t)))
+        body = F.concat_ws("\n", named, abstract, first(tei["text"]["body"]))
+        return F.when(tei.isNotNull() & tei["_corrupt_record"].isNull(), F.concat(lead, body, F.lit("\n")))
+
+    return F.coalesce(_with(F.from_xml(_escaped(content), _TEI, options), shown), F.lit(""))
 
 
 _END = "</document>"

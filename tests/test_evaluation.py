@@ -119,6 +119,25 @@ def test_whole_evaluation(sides):
     assert scores["time"].recall == pytest.approx(2 / 3)
 
 
+def test_a_field_that_the_annotated_test_lacks_has_no_outcome(spark):
+    held = '{"passivating_molecule": "M", "test_1": {"time": 10, "efficiency_tret": null, "test_name": "ISOSL"}}'
+    found = '{"passivating_molecule": "M", "test_1": {"time": 10, "humidity": 40, "temperature": 85}}'
+
+    def outcomes(label, value):
+        sides = records(spark, [(1, 0, label)], "paper int, pos int, raw string"), records(spark, [(1, value)], "paper int, raw string")
+        return {r.field: [r[o] for o in E.OUTCOMES] for r in E.evaluate(*sides).collect() if sum(r[o] for o in E.OUTCOMES)}
+
+    own = outcomes(held, found)
+    # Held by the annotated test under any spelling: time right, type missed, nothing against nothing.
+    assert own == {"passivating_molecule": [1, 0, 0, 0], "time": [1, 0, 0, 0], "stability_type": [0, 0, 1, 0], "efficiency_tret": [0, 0, 0, 1]}
+    # The other way round the extra fields are missed.
+    assert outcomes(found, held) == {
+        "passivating_molecule": [1, 0, 0, 0], "time": [1, 0, 0, 0], "humidity": [0, 0, 1, 0], "temperature": [0, 0, 1, 0],
+    }
+    # Without any extracted test every field is missed.
+    assert outcomes(held, '{"passivating_molecule": "M"}')["efficiency_cont"] == [0, 0, 1, 0]
+
+
 def test_best_per_key_takes_the_first_on_ties(spark):
     rows = spark.createDataFrame([("k", 2, 0.5), ("k", 1, 0.5), ("k", 3, 0.4)], "k string, pos int, s double")
     assert E.best_per_key(rows, "k", "s", "pos").collect() == [("k", 1, 0.5)]

@@ -60,24 +60,33 @@ def test_running_last_spans_empty_blocks(spark):
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
-@pytest.mark.parametrize("accuracy", [100, 500, o.SKETCH_ACCURACY])
-def test_quantiles_match_numpy(spark, monkeypatch, partitions, accuracy):
-    monkeypatch.setattr(o, "SKETCH_ACCURACY", accuracy)
+def test_quantiles_match_numpy(spark, partitions):
     rng = np.random.default_rng(5)
-    # A third of the values are one value, a few are far out.
-    values = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), [1e9, -1e9]])
+    # A third of the values are one value, some differ in their last digits, a few are far out.
+    near = 1.0 + np.arange(500) * 2.0**-52
+    values = np.concatenate([rng.normal(size=3000), near, np.full(1500, 0.25), [1e300, -1e300, 5e-324, -5e-324, 0.0, -0.0, np.inf]])
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(partitions)
-    probs = [0.0, 0.1, 0.5, 0.7, 0.999, 1.0]
+    probs = [0.0, 0.1, 0.5, 0.7, 0.85, 0.999, 0.9995]
     got = {r.prob: r.quantile for r in o.exact_quantiles(df, "x", probs).collect()}
     for p in probs:
-        assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
+        assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-15, abs=0)
+    plan = o.exact_quantiles(df, "x", probs)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_numbers_in_the_order_of_doubles(spark):
+    values = sorted([0.0, -0.0, 1.0, -1.0, 1e-320, -1e-320, 1e308, -1e308, np.inf, -np.inf, np.pi])
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").coalesce(1)
+    got = [r[0] & ((1 << 64) - 1) for r in rows.select(o._ordered("x")).collect()]
+    assert got == sorted(got) and len(set(got)) == len(values) - 1
 
 
 def test_grouped_quantiles(spark):
-    rows = [("a", float(i)) for i in range(10)] + [("b", 5.0)] + [("c", None)]
+    rows = [("a", float(i)) for i in range(10)] + [("b", 5.0)] + [("c", None), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, x double")
     got = {(r.g, r.prob): r.quantile for r in o.exact_quantiles(df, "x", [0.7], ["g"]).collect()}
-    assert got == {("a", 0.7): pytest.approx(6.3), ("b", 0.7): 5.0}
+    assert got == {("a", 0.7): pytest.approx(6.3), ("b", 0.7): 5.0, (None, 0.7): pytest.approx(1.7)}
+    assert o.exact_quantiles(df.where("false"), "x", [0.5]).collect() == []
 
 
 def test_first_and_last_values_skip_nulls(spark):
