@@ -42,6 +42,8 @@ TASK_BYTES, MOST_TASKS = 1 << 24, 20_000
 ENCODED_BYTES = 1 << 21
 # Words a process remembers between its tasks.
 CACHE_WORDS = 250_000
+# Reports of so many tasks are written together.
+REPORTS = 1024
 FILL = 0
 
 
@@ -308,7 +310,8 @@ def write(
             yield report()
 
     kind = "part int, file int, path string, sequences bigint, tokens bigint, documents bigint"
-    files = written(dealt.mapInArrow(store, kind), "files")
+    # A row for each file, put together to as few tables as they fill.
+    files = written(dealt.mapInArrow(store, kind).repartition(-(-tasks // REPORTS)), "files")
     # Sums by part are at most MOST_TASKS rows; files are counted on within their part.
     ahead = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy(F.col("part").alias("of")).agg(F.sum("tokens").alias("sum"))
@@ -317,4 +320,4 @@ def write(
     numbered = files.withColumn("inner", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
     numbered = numbered.join(F.broadcast(bases), F.col("part") == F.col("of"))
     numbered = numbered.select(*files.columns, (F.col("base") + F.col("inner")).alias("first"))
-    return TokenFiles(written(numbered, "files"), chosen.schema["doc"].dataType.simpleString())
+    return TokenFiles(numbered, chosen.schema["doc"].dataType.simpleString())
