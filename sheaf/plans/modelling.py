@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sheaf.functions import chemistry
+from sheaf.operators import linear
 from sheaf.operators import modelling as M
 from sheaf.operators import neighbours as N
 from sheaf.operators.relevance import train_test
@@ -121,20 +122,84 @@ def _(t: Tables):
     )
 
 
-_REPEATED = ("Linear Regression", "Ridge", "Lasso")
+# Linear models in SQL: sums of the train rows by seed, then elimination for
+# least squares and ridge, and coordinate descent for the lasso.
+_X = ("l_quantity", "l_discount", "l_tax", "l_returnflag = 'A'", "l_returnflag = 'N'", "l_returnflag = 'R'")
+
+
+def _linear_sql(seeds: str) -> str:
+    p = len(_X)
+    xs = [f"x{i}" for i in range(1, p + 1)]
+    centred = ", ".join(f"cast({c} as double) - avg(cast({c} as double)) over () as {x}" for c, x in zip(_X, xs))
+    sums = ", ".join(f"sum({x}) as s_{x}" for x in xs)
+    grams = ", ".join(f"sum({a} * {b}) - sum({a}) * sum({b}) / count(*) as g_{a}{b}" for i, a in enumerate(xs) for b in xs[i:])
+    cross = ", ".join(f"sum({x} * y) - sum({x}) * sum(y) / count(*) as c_{x}" for x in xs)
+
+    def matrix(of, alpha: float) -> str:
+        rows = [
+            ", ".join(f"g_{min(a, b)}{max(a, b)}" + (f" + {alpha}" if a == b else "") for b in of) + f", c_{a}" for a in of
+        ]
+        return "[" + ", ".join(f"[{r}]" for r in rows) + "]::double[][]"
+
+    # The last mark follows from the others, so least squares goes without it.
+    starts = [("Linear Regression", xs[:-1], 0.0), ("Ridge", xs, 1.0)]
+    eliminate = " union all ".join(f"select '{n}' as model, seed, 1 as k, {len(of)} as p, {matrix(of, a)} as m from t" for n, of, a in starts)
+    return f"""
+    with recursive d as (select id, {centred}, label - avg(label) over () as y from ({MODEL_ROWS})),
+    seeds as ({seeds}),
+    h as (select seed, d.*, md5(id || '-' || seed) as h from d, seeds),
+    cut as (select seed, h as last from h qualify row_number() over (partition by seed order by h, id)
+                 = ceil((select count(*) from d) * 0.2::double)),
+    -- rows of one id stay on one side
+    r as (select h.* exclude (h), h <= last as is_test from h join cut using (seed)),
+    t as (select seed, count(*) as n, sum(y) as s_y, {sums}, {grams}, {cross} from r where not is_test group by seed),
+    solved as ({eliminate} union all
+      select model, seed, k + 1, p, list_transform(range(1, p + 1), lambda i: list_transform(range(1, p + 2), lambda j:
+        case when i = k then m[k][j] / m[k][k] else m[i][j] - m[i][k] / m[k][k] * m[k][j] end)) from solved where k <= p),
+    descent as (select seed, 0 as step, list_transform(range({p}), lambda i: 0.0::double) as w, n, {matrix(xs, 0.0)} as m from t
+      union all
+      select seed, step + 1, list_transform(range(1, {p + 1}), lambda i: case when i <> step % {p} + 1 then w[i] else
+        (with_sign.rho / abs(with_sign.rho)) * greatest(abs(with_sign.rho) - n, 0) / m[i][i] end), n, m
+      from (select *, m[step % {p} + 1][{p + 1}] - list_sum(list_transform(range(1, {p + 1}), lambda k:
+              case when k = step % {p} + 1 then 0 else m[step % {p} + 1][k] * w[k] end)) as rho from descent) with_sign
+      where step < {p * 60}),
+    fits as (select model, seed, list_transform(range(1, {p + 1}), lambda i: coalesce(m[i][p + 1], 0)) as w from solved where k = p + 1
+             union all select 'Lasso', seed, w from descent where step = {p * 60}),
+    e as (select model, seed, y, y - (s_y / n + {" + ".join(f"w[{i}] * ({x} - s_{x} / n)" for i, x in enumerate(xs, 1))}) as missed
+          from r join fits using (seed) join t using (seed) where is_test),
+    scores as (select model, seed, 1 - sum(missed * missed) / (var_pop(y) * count(*)) as r2,
+                      avg(abs(missed)) as mae, avg(missed * missed) as mse from e group by all)
+    """
+
+
+def _rounded(metrics):
+    return metrics.select("Model", "Seed", *[F.round(c, 6).alias(c) for c in ("R2", "MAE", "MSE")])
+
+
+def _linear_rows(t: Tables):
+    rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",))
+    return rows.select("id", "label", "features")
 
 
-def _repeated(t: Tables):
-    rows = M.assembled(t.derive(MODEL_ROWS), NUMERIC, ("l_returnflag",)).select("id", "label", "features")
-    rows = written(rows, "model-rows")
-    scale = M.ridge_scale(rows) / 0.8  # each split trains on four fifths
-    models = {n: m for n, m in M.regressors(scale=scale).items() if n in _REPEATED}
-    return M.repeated_splits(rows, "id", models, M.seeds(t.spark, 3))
+_SCORES = 'round(r2, 6) as "R2", round(mae, 6) as "MAE", round(mse, 6) as "MSE"'
 
 
-@query("m6_repeated_splits")
+@query(
+    "m6_repeated_splits",
+    _linear_sql("select cast(range as int) as seed from range(1000) order by md5(range || '-42'), range limit 100")
+    + f' select model as "Model", seed as "Seed", {_SCORES} from scores',
+)
 def _(t: Tables):
-    return _repeated(t)
+    """100 splits for each of the three linear models."""
+    return _rounded(linear.repeated_fits(_linear_rows(t), "id", M.seeds(t.spark, 100))[0])
+
+
+for _id, _name in (("m9_linear", "Linear Regression"), ("m9_ridge", "Ridge"), ("m9_lasso", "Lasso")):
+    query(_id, _linear_sql("select 42 as seed") + f" select model, {_SCORES} from scores where model = '{_name}'")(
+        lambda t, name=_name: _rounded(
+            linear.repeated_fits(_linear_rows(t), "id", [42], {name: linear.SOLVERS[name]})[0]
+        ).select(F.col("Model").alias("model"), "R2", "MAE", "MSE")
+    )
 
 
 @query(
@@ -147,9 +212,6 @@ def _(t: Tables):
 
 for _id, _name in (
     ("m8_random_forest", "Random Forest"),
-    ("m9_linear", "Linear Regression"),
-    ("m9_ridge", "Ridge"),
-    ("m9_lasso", "Lasso"),
     ("m10_gradient_boosting", "Gradient Boosting"),
     ("m11_adaboost", "AdaBoost"),
 ):

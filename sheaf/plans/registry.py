@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.session import tune
+from sheaf.session import ship, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,7 @@ class Tables:
     """The given tables by name, plus rows derived from them by plain SQL."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = tune(spark)
+        self.spark = tune(ship(spark))
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
