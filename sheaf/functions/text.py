@@ -104,9 +104,12 @@ def strip_fence(text: Column, marker: str = "```json") -> Column:
     return F.when(text.contains(marker), F.coalesce(brace_span(inner), inner)).otherwise(text)
 
 
-# A double quote that is no delimiter: not after "{" or a blank, not before
-# ":" or "}", and not before a comma that opens the next quoted part.
-_INNER_QUOTE = r'(?<![{ ])"(?!:|\}|,Z|, "(?!:)|,\{"|,":)'
+# A double quote inside a text. One that delimits follows "{" or a blank, or
+# precedes ":" or "}" or a comma that opens the next quoted part.
+_OPENS_NEXT = r', "(?!:)|,\{"|,":'
+_INNER_QUOTE = rf'(?<![{{ ])"(?!:|\}}|{_OPENS_NEXT})'
+# Fixed value: a quoted value behind its key, with any white space between them.
+_SPACED_VALUE = r'":\s*"([^"]*?)"'
 
 
 def _drop_quoted_colons(line: Column) -> Column:
@@ -128,11 +131,17 @@ def repair_json(text: Column) -> Column:
     t = strip_fence(text)
     t = F.replace(t, F.lit("None"), F.lit("null"))
     t = F.replace(t, F.lit("'"), F.lit('"'))
-    t = F.regexp_replace(t, r'":\s*"([^"]*?)"', '": "$1"')
+    t = F.regexp_replace(t, _SPACED_VALUE, '": "$1"')
     t = F.regexp_replace(t, _INNER_QUOTE, "'")
     t = F.array_join(F.transform(F.split(t, "\n", -1), _drop_quoted_colons), "\n")
     return F.replace(t, F.lit("treated_pec"), F.lit("treated_pce"))
 
 
+def quoted(text: Column) -> Column:
+    """A text as JSON string; null is ``"null"``, as a key that is none."""
+    listed = F.to_json(F.array(F.coalesce(text, F.lit("null"))))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()

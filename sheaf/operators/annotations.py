@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import quoted
 from sheaf.operators.order_stats import POSITION_BLOCK, block_of, last_values, running_last
 from sheaf.schemas import (
     IGNORED_TAGS,
@@ -350,7 +351,7 @@ def chunk_examples(states: DataFrame, passages: DataFrame) -> DataFrame:
         top = F.max(F.when(at_top, F.col(side)))
         tests = F.collect_list(F.when(~at_top & F.col(side).isNotNull(), F.struct("section", side)))
         members = F.transform(
-            F.array_sort(tests), lambda t: F.concat(F.lit(',"'), t["section"], F.lit('":'), t[side])
+            F.array_sort(tests), lambda t: F.concat(F.lit(","), quoted(t["section"]), F.lit(":"), t[side])
         )
         return F.concat(F.substr(top, F.lit(1), F.length(top) - 1), F.array_join(members, ""), F.lit("}")).alias(side)
 

@@ -29,20 +29,17 @@ def expand_tests(
     cells = F.array(*[F.struct(F.lit(c).alias("test"), F.col(c).alias("cell")) for c in columns])
     long = df.select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.test", "_c.cell")
     long = long.where("cell is not null")
-    inner = ", ".join(f"`{f}`: string" for f in fields)
     text = F.regexp_replace("cell", r"\bNone\b", "null")
-    parsed = long.withColumn("_p", F.from_json(text, f"array<struct<{inner}>>")).withColumn(
-        "_all",
-        F.coalesce(
-            F.from_json(text, "array<map<string,string>>"), F.array(F.from_json(text, "map<string,string>"))
-        ),
-    )
-    rejected = parsed.where("_p is null").drop("_p", "_all")
-    rows = parsed.where("_p is not null").select(
-        *kept, "test", F.explode(F.arrays_zip("_p", "_all")).alias("_t")
-    )
-    extra = F.map_filter("_t._all", lambda k, v: ~k.isin(*fields))
-    return rows.select(*kept, "test", "_t._p.*", extra.alias("extra")), rejected
+    found = F.array(F.from_json(text, "map<string,string>"))
+    alone = F.get(F.transform(found, lambda m: F.when(m.isNotNull(), F.array(m))), 0)
+    listed = F.from_json(text, "array<map<string,string>>")
+    one = F.ltrim(text).startswith("{")
+    # Each cell is parsed once, as one dictionary or as a list of them.
+    parsed = long.withColumn("_p", F.when(one, alone).otherwise(listed))
+    rejected = parsed.where("_p is null").drop("_p")
+    rows = parsed.select(*kept, "test", F.explode("_p").alias("_t"))
+    extra = F.map_filter("_t", lambda k, v: ~k.isin(*fields))
+    return rows.select(*kept, "test", *[F.col("_t")[f].alias(f) for f in fields], extra.alias("extra")), rejected
 
 
 def expand_keeping_empty(df: DataFrame, tests: str, fields: Sequence[str] = TEST_FIELDS) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Hrefs that lead to a full-text file, and hosts to skip.
 FULL_TEXT = r"(?i)((?<!e)\.pdf$|/pdf/|/articlepdf/|/article-pdf/)"
@@ -21,28 +24,38 @@ def url_base(url: Column) -> Column:
     return F.regexp_replace(url, r"[;?#].*$", "")
 
 
-def without_block(html: Column, element: str, attribute: str, value: str) -> Column:
-    """Cut out each such element up to its own closing tag, however deep it is nested."""
-    opens, closes = rf"(?is)^<{element}[\s>].*", rf"(?is)^</{element}\s*>"
-    marked = rf"(?is)^<{element}[^>]*\s{attribute}=[\"']{value}[\"'][^>]*>.*"
-    tokens = F.split(html, rf"(?i)(?=<{element}[\s>]|</{element}\s*>)", -1)
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+def cut_blocks(html: str, element: str, attribute: str, value: str) -> str:
+    """Cut out each such element up to its own closing tag, however deep it is nested.
 
-    def step(state: Column, token: Column) -> Column:
-        inside = state["depth"] > 0
-        change = F.when(token.rlike(opens), 1).when(token.rlike(closes), -1).otherwise(0)
-        depth = F.when(inside, state["depth"] + change).when(token.rlike(marked), 1).otherwise(0)
-        rest = F.regexp_replace(token, closes, "")
-        kept = F.when(~inside & (depth == 0), token).when(inside & (depth == 0), rest).otherwise(F.lit(""))
-        return F.struct(depth.alias("depth"), F.concat(state["kept"], F.array(kept)).alias("kept"))
-
-    return F.aggregate(tokens, start, step, lambda s: F.array_join(s["kept"], ""))
+    One walk over the element's tags keeps the depth; what stays is copied once.
+    An element that is never closed reaches to the end of the page.
+    """
+    tags = re.compile(rf"<{element}(?=[\s>])[^>]*>?|</{element}\s*>", re.IGNORECASE)
+    marked = re.compile(rf"[^>]*\s{attribute}=[\"']{value}[\"'][^>]*>", re.IGNORECASE)
+    kept, start, depth = [], 0, 0
+    for tag in tags.finditer(html):
+        opens = html[tag.start() + 1] != "/"
+        if depth:
+            depth += 1 if opens else -1
+            if not depth:
+                start = tag.end()
+        elif opens and marked.match(tag[0]):
+            kept.append(html[start : tag.start()])
+            depth = 1
+    return "".join(kept) + ("" if depth else html[start:])
 
 
 def without_blocks(html: Column, blocks: Sequence[tuple[str, str, str]] = EXCLUDED_BLOCKS) -> Column:
-    for element, attribute, value in blocks:
-        html = without_block(html, element, attribute, value)
-    return html
+    @F.arrow_udf(T.StringType())
+    def cut(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages.to_pylist():
+            for block in blocks if page else ():
+                page = cut_blocks(page, *block)
+            out.append(page)
+        return pa.array(out, pa.string())
+
+    return cut(html)
 
 
 def anchors(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions.measures import conform_unit, first_of_list
-from sheaf.functions.text import brace_span, is_json, repair_json
+from sheaf.functions.text import brace_span, is_json, quoted, repair_json
 from sheaf.schemas import FIELD_ALIASES, SEMI_NESTED, Layout
 
 NO_NAME = "none"
@@ -47,15 +47,14 @@ def lenient_records(df: DataFrame, column: str, repair: bool = False) -> DataFra
 
 def export_value(record: Column, raw: Column) -> Column:
     """JSON value of the keyed export: record, quoted text or null."""
-    quoted = F.to_json(F.array(raw))
-    return F.coalesce(record, F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("null"))
+    return F.coalesce(record, F.when(raw.isNotNull(), quoted(raw)), F.lit("null"))
 
 
 def keyed_export(df: DataFrame, key: str) -> DataFrame:
     """One line ``{"<id>": value}`` per row of :func:`parse_outcome`."""
     value = export_value(F.col("record"), F.col("raw"))
     raw_given = F.when(F.col("status") == "null", F.lit("null")).otherwise(value)
-    return df.select(F.concat(F.lit('{"'), F.col(key).cast("string"), F.lit('": '), raw_given, F.lit("}")).alias("value"))
+    return df.select(F.concat(F.lit("{"), quoted(F.col(key).cast("string")), F.lit(": "), raw_given, F.lit("}")).alias("value"))
 
 
 # An extractor gets the texts of one Arrow batch and returns their answers.

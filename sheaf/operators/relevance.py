@@ -6,6 +6,7 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sheaf.functions.terms import find_terms
 from sheaf.functions.text import keyword_rule
 from sheaf.operators.order_stats import hash_cut
+from sheaf.session import written
 
 MAX_FEATURES = 4_000
 # Different terms a task counts before it sends its counts on.
@@ -101,6 +104,43 @@ def vocabulary(df: DataFrame, text: str, max_features: int = MAX_FEATURES) -> Da
     )
 
 
+@dataclass(frozen=True)
+class TermWeights:
+    """A vocabulary with the smoothed idf of each term; ``rows`` weighs any texts by it."""
+
+    terms: tuple[str, ...]
+    idf: tuple[float, ...]
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, max_features: int = MAX_FEATURES) -> TermWeights:
+        n = df.count()
+        found = vocabulary(df, text, max_features).collect()
+        return cls(tuple(r["term"] for r in found), tuple(math.log((1 + n) / (1 + r["df"])) + 1 for r in found))
+
+    def rows(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """L2-normalised ``key, term, tfidf`` of every text, in its own task."""
+        places, idf = {t: i for i, t in enumerate(self.terms)}, np.array(self.idf)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, place = pa.array(places, pa.string()), places.get
+            for batch in batches:
+                found = [[i for i in map(place, find_terms((v or "").lower())) if i is not None] for v in batch.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, len(owner))
+                both, tf = np.unique(owner * max(1, len(places)) + flat, return_counts=True)
+                owner, term = np.divmod(both, max(1, len(places)))
+                weight = tf * idf[term]
+                norm = np.sqrt(np.bincount(owner, weight * weight, len(found)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner)), names.take(pa.array(term)), pa.array(weight / norm[owner])],
+                    names=["key", "term", "tfidf"],
+                )
+
+        kind = df.schema[key].dataType.simpleString()
+        texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+        return texts.mapInArrow(weigh, f"key {kind}, term string, tfidf double").withColumnRenamed("key", key)
+
+
 def tfidf(
     df: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES
 ) -> DataFrame:
@@ -109,29 +149,73 @@ def tfidf(
     Each text is counted and weighed in its own row against the vocabulary,
     which holds ``max_features`` terms at most; no text is shuffled.
     """
-    n = df.count()
-    rows = vocabulary(df, text, max_features).collect()
-    places = {r["term"]: i for i, r in enumerate(rows)}
-    idf = np.array([math.log((1 + n) / (1 + r["df"])) + 1 for r in rows])
+    return TermWeights.fit(df, text, max_features).rows(df, key, text)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, place = pa.array(places, pa.string()), places.get
-        for batch in batches:
-            found = [[i for i in map(place, find_terms((v or "").lower())) if i is not None] for v in batch.column(1).to_pylist()]
-            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, len(owner))
-            both, tf = np.unique(owner * max(1, len(places)) + flat, return_counts=True)
-            owner, term = np.divmod(both, max(1, len(places)))
-            weight = tf * idf[term]
-            norm = np.sqrt(np.bincount(owner, weight * weight, len(found)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), names.take(pa.array(term)), pa.array(weight / norm[owner])],
-                names=["key", "term", "tfidf"],
-            )
-
-    kind = df.schema[key].dataType.simpleString()
-    texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return texts.mapInArrow(weigh, f"key {kind}, term string, tfidf double").withColumnRenamed("key", key)
+
+class TermBayes:
+    """Multinomial naive Bayes over TF-IDF, as two small tables.
+
+    ``terms`` holds ``label, term, log_probability`` for every label and term of
+    the vocabulary, ``priors`` holds ``label, log_prior``. They come from sums
+    by label and term, which combine before the shuffle, and are broadcast: the
+    vocabulary bounds the one, the number of labels the other.
+    """
+
+    def __init__(self, weights: TermWeights, terms: DataFrame, priors: DataFrame) -> None:
+        self.weights, self.terms, self.priors = weights, terms, priors
+
+    @classmethod
+    def fit(
+        cls, train: DataFrame, key: str, text: str, label: str, alpha: float = 1.0, max_features: int = MAX_FEATURES
+    ) -> TermBayes:
+        """``key`` tells the rows of ``train`` apart; rows without a label do not count."""
+        train = train.where(F.col(label).isNotNull())
+        weights = TermWeights.fit(train, text, max_features)
+        named = train.select(key, text, F.col(label).alias("label"))
+        counts = written(named.groupBy("label").count(), "labels")
+        n = counts.agg(F.sum("count")).scalar()
+        priors = counts.select("label", F.log(F.col("count") / n).alias("log_prior"))
+        sums = weights.rows(named, key, text).join(named.select(key, "label"), key).groupBy("label", "term").agg(F.sum("tfidf").alias("s"))
+        every = counts.select("label", F.explode(F.array(*[F.lit(t) for t in weights.terms]).cast("array<string>")).alias("term"))
+        filled = every.join(sums, ["label", "term"], "left").select("label", "term", F.coalesce("s", F.lit(0.0)).alias("s"))
+        whole = F.sum("s").over(W.partitionBy("label")) + F.lit(alpha * len(weights.terms))
+        terms = filled.select("label", "term", F.log((F.col("s") + alpha) / whole).alias("log_probability"))
+        return cls(weights, written(terms, "term-table"), written(priors, "priors"))
+
+    def transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``key, label, score, probability`` of every row and label.
+
+        A text without a known term has the scores of the priors.
+        """
+        found = self.weights.rows(df, key, text).join(F.broadcast(self.terms), "term")
+        sums = found.groupBy(key, "label").agg(F.sum(F.col("tfidf") * F.col("log_probability")).alias("s"))
+        labels = self.priors.agg(F.collect_list(F.struct("label", "log_prior"))).scalar()
+        every = df.select(key, F.explode(labels).alias("p")).select(key, "p.*")
+        scored = every.join(sums, [key, "label"], "left").select(
+            key, "label", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score")
+        )
+        # As many rows as labels for each key.
+        mine = W.partitionBy(key)
+        share = F.exp(F.col("score") - F.max("score").over(mine))
+        return scored.withColumn("_share", share).select(key, "label", "score", (F.col("_share") / F.sum("_share").over(mine)).alias("probability"))
+
+    def predict(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``key, prediction``: the label of highest score, the smaller one on ties."""
+        scored = self.transform(df, key, text)
+        return scored.groupBy(key).agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("prediction"))
+
+    def save(self, path: str) -> None:
+        places = self.terms.sparkSession.createDataFrame(
+            list(zip(range(len(self.weights.terms)), self.weights.terms, self.weights.idf, strict=True)), "place int, term string, idf double"
+        )
+        for name, table in (("weights", places), ("terms", self.terms), ("priors", self.priors)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TermBayes:
+        weights, terms, priors = (spark.read.parquet(f"{path}/{name}") for name in ("weights", "terms", "priors"))
+        held = weights.orderBy("place").collect()
+        return cls(TermWeights(tuple(r["term"] for r in held), tuple(r["idf"] for r in held)), terms, priors)
 
 
 class TfidfFeatures:

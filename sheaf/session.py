@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,14 +12,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Filled only for a local master whose session names no shared folder.
-_local_dirs: dict[str, str] = {}
 # Intermediates by application, for release().
 _paths: dict[str, list[str]] = {}
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benches; clusters bring their own."""
+    """A local session for tests and benches, with a folder of its own; clusters bring their own."""
+    folder = tempfile.mkdtemp(prefix="sheaf-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sheaf")
@@ -27,6 +28,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -72,23 +74,17 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session that names none gets a folder of its own, which goes when
-    the process ends.
+    A session that names none has the warehouse, which all executors share too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="sheaf-")
-        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
-    return _local_dirs[app]
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/sheaf/{name}-{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        # Nobody else clears the folder of a session that runs in this process alone.
+        atexit.register(shutil.rmtree, re.sub("^file:/+", "/", path), ignore_errors=True)
     _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 

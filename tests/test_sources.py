@@ -168,3 +168,21 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         spark.range(upper - 10, upper).write.mode("append").parquet(source)
         ingest.append_new_files(spark, source, schema, target)
         assert spark.read.parquet(target).count() == upper
+
+
+def test_blocks_are_cut_in_one_walk(spark):
+    import time
+
+    from sheaf.operators.links import cut_blocks
+
+    nested = '<p>a</p><DIV class="x" ID="r"><div><div >deep</div></div>in</div >b<divan>c</divan><div id="r">open'
+    assert cut_blocks(nested, "div", "id", "r") == "<p>a</p>b<divan>c</divan>"
+    assert cut_blocks("no tags", "div", "id", "r") == "no tags"
+    deep = "<div>" * 50_000 + "x" + "</div>" * 50_000
+    page = deep + '<div id="r">' + deep + "</div>" + deep
+    started = time.perf_counter()
+    assert cut_blocks(page, "div", "id", "r") == deep + deep
+    assert time.perf_counter() - started < 5
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, nested)], "i int, html string")
+    got = [r[0] for r in rows.orderBy("i").select(L.without_blocks(F.col("html"), (("div", "id", "r"),))).collect()]
+    assert got == [None, "", "<p>a</p>b<divan>c</divan>"]

@@ -120,3 +120,11 @@ def test_rule_records(column):
     assert column(["a 12 bcd", "x", None, "7"], rules) == ['{"n":"12","w":"bcd"}', None, None, '{"n":"7","w":null}']
 
 
+
+
+def test_keyed_export_escapes_its_keys(spark):
+    import json
+
+    rows = spark.createDataFrame([('a"b\\', '{"k":1}', "record", None), (None, None, "null", None)], "id string, record string, status string, raw string")
+    got = [json.loads(r.value) for r in C.keyed_export(rows, "id").collect()]
+    assert got == [{'a"b\\': {"k": 1}}, {"null": None}]
