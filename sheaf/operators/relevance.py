@@ -267,13 +267,14 @@ def classifiers(n_train: int, label: str = "label") -> dict[str, object]:
         "SVM": LinearSVC(
             labelCol=label, weightCol="weight", regParam=ridge, maxIter=20, tol=1e-4, standardization=False
         ),
-        "Random Forest": RandomForestClassifier(labelCol=label, numTrees=100, seed=42),
-        "Gradient Boosting": GBTClassifier(labelCol=label, maxIter=100, maxDepth=3, seed=42),
+        # Trees without a depth limit: 30 is the most a tree can have here.
+        "Random Forest": RandomForestClassifier(labelCol=label, numTrees=100, maxDepth=30, seed=42),
+        "Gradient Boosting": GBTClassifier(labelCol=label, maxIter=100, maxDepth=6, stepSize=0.3, seed=42),
     }
 
 
 def classifier_grids(n_train: int, label: str = "label") -> dict[str, tuple[object, list]]:
-    """Estimator and parameter grid by model name; a depth without limit is 30, the most a tree can have here."""
+    """Estimator and parameter grid by model name, fixed values that must match; a depth without limit is 30, the most a tree can have here."""
     models = classifiers(n_train, label)
     lr, nb, svm, rf, gbt = models.values()
     ridges = [1.0 / (c * max(n_train, 1)) for c in (0.01, 0.1, 1.0, 10.0, 100.0)]

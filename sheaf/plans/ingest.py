@@ -109,6 +109,39 @@ def _(t: Tables):
     return tables.records(rows, "event_type string, user_id bigint, value double")
 
 
+# Objects over many lines, as written by hand: braces and quotes in texts, lists, and members that are no record.
+OBJECTS = """
+select k, pos, value from (
+  select event_id % 3 as k, event_id as pos,
+    '  "' || event_id || '": {"event_type": "' || event_type || '",\n    "user_id": ' || user_id || ', "note": "a } or {\\\\" ['
+    || event_type || '", "list": [{"n": ' || user_id || '}, "]"]}' || ',\n' || case when event_id % 7 = 0 then '"t' || event_id || '": "}' || event_type || '",' else '' end as value
+  from @events
+  union all select distinct event_id % 3, cast(-1 as bigint), '{' from @events
+  union all select distinct event_id % 3, cast(1000000000000 as bigint), '"end": null}' from @events)
+"""
+
+
+@query(
+    "a4_split_objects",
+    """select cast(event_id as varchar) as id, event_type, user_id, 'a } or {" [' || event_type as note, user_id as first_of_list, null as raw
+       from @events union all
+       select 't' || event_id, null, null, null, null, '}' || event_type from @events where event_id % 7 = 0 union all
+       select 'end', null, null, null, null, null from (select distinct event_id % 3 from @events)""",
+)
+def _(t: Tables):
+    path = new_path(t.spark, "objects")
+    rows = t.derive(OBJECTS).repartition("k").sortWithinPartitions("k", "pos")
+    rows.select("value", "k").write.partitionBy("k").text(path)
+    found = tables.read_keyed_json(t.spark, path, one_per_line=False)
+    record = F.from_json("raw", "event_type string, user_id bigint, note string, list array<string>")
+    is_record = F.col("raw").startswith("{")
+    return found.withColumn("r", F.when(is_record, record)).select(
+        "id", "r.event_type", "r.user_id", "r.note",
+        F.get_json_object(F.col("r.list")[0], "$.n").cast("bigint").alias("first_of_list"),
+        F.when(~is_record, F.col("raw")).alias("raw"),
+    )
+
+
 @query(
     "a5_keyed_json_sink",
     """select '{"' || event_id || '":{"event_type":"' || event_type || '","user_id":' || user_id

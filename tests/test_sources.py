@@ -20,6 +20,48 @@ def test_keyed_json_scan(spark, tmp_path):
     assert got == {"1": '{"x":2}', "2": "raw text", "3": None}
 
 
+def test_large_objects_are_cut_between_members(spark, tmp_path):
+    import json
+    import random
+
+    pick = random.Random(4)
+    odd = ["}", "{", '"', "\\\\", ",", "[", "]", "\\n", "x", ":", "é", "}}", '"}']
+
+    def value(depth):
+        kind = pick.randrange(6 if depth else 4)
+        if kind < 2:
+            return "".join(pick.choices(odd, k=pick.randrange(6)))
+        if kind < 4:
+            return None if kind == 2 else pick.randrange(99)
+        if kind == 4:
+            return [value(depth - 1) for _ in range(pick.randrange(3))]
+        return {f"k{i}": value(depth - 1) for i in range(pick.randrange(4))}
+
+    want = {}
+    for f in range(4):
+        data = {f"{f}-{i}": value(3) if pick.random() < 0.4 else {"s": value(2), "t": value(1)} for i in range(120)}
+        want |= data
+        (tmp_path / f"{f}.json").write_text(json.dumps(data, indent=pick.choice([None, 2]), ensure_ascii=False) + pick.choice(["", "\n"]))
+    (tmp_path / "lines.json").write_text('{"l1": {"a": 1}}\n{"l2": {"b": "}"}, "l3": 5}\n{}\n')
+    want |= {"l1": {"a": 1}, "l2": {"b": "}"}, "l3": 5}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = tables.read_keyed_json(spark, str(tmp_path), one_per_line=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(want)
+
+    def read(raw):
+        try:
+            return json.loads(raw)
+        except (TypeError, ValueError):
+            return raw
+
+    plain = {k: v if not isinstance(v, str) else read(v) for k, v in want.items()}
+    assert {r.id: read(r.raw) for r in got} == plain
+
+
 def test_tei(spark):
     good = (
         "<TEI><teiHeader><titleStmt><title>A &amp; B</title></titleStmt><abstract><p>Abs</p></abstract></teiHeader>"
