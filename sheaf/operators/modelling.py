@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
@@ -54,14 +54,51 @@ def structure_flags(df: DataFrame, smiles: str) -> DataFrame:
     )
 
 
+def weighted_centres(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Centres of weighted k-means over distinct points, in ascending order.
+
+    At most ``k`` points are their own centres. Otherwise the heaviest point
+    starts, each next one is the point that costs most, and means are taken
+    until nothing moves.
+    """
+    order = np.lexsort(points.T[::-1])
+    points, weights = points[order], weights[order]
+    if len(points) <= k:
+        return points
+    centres = points[[int(np.argmax(weights))]]
+    while len(centres) < k:
+        far = ((points[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+        centres = np.vstack([centres, points[int(np.argmax(far * weights))]])
+    for _ in range(rounds):
+        own = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([
+            np.average(points[own == c], axis=0, weights=weights[own == c]) if (own == c).any() else centres[c] for c in range(k)
+        ])
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres[np.lexsort(centres.T[::-1])]
+
+
 def flag_clusters(
-    train: DataFrame, test: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42
+    train: DataFrame, test: DataFrame, columns: Sequence[str], k: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """k-means fitted on train; both sides get ids of the same clusters."""
-    gather = VectorAssembler(inputCols=list(columns), outputCol="_flags")
-    cluster = KMeans(k=k, seed=seed, featuresCol="_flags", predictionCol="cluster")
-    model = Pipeline(stages=[gather, cluster]).fit(train)
-    return tuple(model.transform(side).drop("_flags") for side in (train, test))
+    """k-means fitted on train; both sides get ids of the same clusters.
+
+    ``columns`` are flags, so there are few distinct points: they are counted,
+    and the fit works on the points and their counts. A row belongs to the
+    nearest centre, of equally near ones to the first. A null flag counts as 0.
+    """
+    flags = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    counted = train.groupBy(*[f.alias(c) for f, c in zip(flags, columns, strict=True)]).count().collect()
+    points = np.array([r[:-1] for r in counted], np.float64).reshape(len(counted), len(columns))
+    centres = weighted_centres(points, np.array([r["count"] for r in counted], np.float64), k)
+    far = [
+        F.struct(sum(((f - float(v)) * (f - float(v)) for f, v in zip(flags, c, strict=True)), F.lit(0.0)).alias("far"), F.lit(i).alias("i"))
+        for i, c in enumerate(centres)
+    ]
+    cluster = F.array_min(F.array(*far))["i"] if far else F.lit(None).cast("int")
+    return tuple(side.withColumn("cluster", cluster) for side in (train, test))
 
 
 def molecule_features(df: DataFrame, smiles: str) -> DataFrame:

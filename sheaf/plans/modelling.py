@@ -82,7 +82,20 @@ def _(t: Tables):
     )
 
 
-@query("m3_flag_clusters")
+@query(
+    "m3_flag_clusters",
+    f"""with s as ({SMILES}), f as (select p_partkey,
+      cast(coalesce(contains(smiles, 'C') and not regexp_matches(smiles, '\\[.*?\\]'), false) as int) as organic,
+      cast(coalesce(regexp_matches(smiles, 'N|C\\(=O\\)O|OH|C=O'), false) as int) as rich from s where smiles is not null),
+    r as (select *, row_number() over (order by md5(p_partkey || '-42'), p_partkey)
+                 <= ceil((select count(*) from f) * 0.2::double) as is_test from f),
+    -- two flags give four points at most, each of them a centre
+    centres as (select organic as c_organic, rich as c_rich, cast(row_number() over (order by organic, rich) - 1 as int) as cluster
+                from (select distinct organic, rich from r where not is_test)),
+    placed as (select organic, rich, is_test, (select arg_min(cluster, {{'d': (c_organic - organic) ** 2 + (c_rich - rich) ** 2, 'i': cluster}})
+               from centres) as cluster from r)
+    select organic, rich as functional_group_rich, is_test, cluster, count(*) as n from placed group by all""",
+)
 def _(t: Tables):
     flags = M.structure_flags(t.derive(SMILES), "smiles").where("smiles is not null")
     split = train_test(flags, "p_partkey")

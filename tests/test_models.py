@@ -194,3 +194,19 @@ def test_importances_are_those_of_the_whole_model(spark, monkeypatch):
     from sheaf.plans.registry import QUERIES
 
     assert QUERIES["m15_feature_importance"](spark, "/root/testdata/sf0.001") is whole
+
+
+def test_weighted_centres_of_distinct_points():
+    points = np.array([[0.0, 0], [0, 1], [1, 0], [1, 1], [10, 10], [10, 11]])
+    weights = np.array([5.0, 1, 1, 1, 2, 2])
+    assert M.weighted_centres(points, weights, 6).tolist() == sorted(points.tolist())
+    assert M.weighted_centres(points, weights, 2) == pytest.approx(np.array([[0.25, 0.25], [10, 10.5]]))
+
+
+def test_flags_cluster_alike_on_both_sides(spark):
+    train = spark.createDataFrame([(0, 1), (1, 1), (0, 1), (1, 0)], "a int, b int")
+    test = spark.createDataFrame([(0, 0), (1, 1), (None, 1)], "a int, b int")
+    own, other = M.flag_clusters(train, test, ("a", "b"))
+    assert [r.cluster for r in own.collect()] == [0, 2, 0, 1]
+    assert [r.cluster for r in other.collect()] == [0, 2, 0]
+    assert [r.cluster for r in M.flag_clusters(train.where("false"), test, ("a", "b"))[1].collect()] == [None] * 3
