@@ -2,47 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import sheaf
 from sheaf.llm import bpe, chat, htmltext, language, minhash, neargraph, packing, quality, sampling, substring, tokenfiles, topk, turnrepair, whitening
-from sheaf.session import tune
+from sheaf.session import ship, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-_shipped: set[str] = set()
-
-
-def shipped(spark: SparkSession) -> None:
-    """Send this package to the executors, so that they need no copy of it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    root = Path(sheaf.__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="sheaf-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/sheaf.zip", "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(f"{folder}/sheaf.zip")
-
-
 def prepared(spark: SparkSession) -> SparkSession:
     """What the operators' queries count on: settings, and this package on the executors."""
-    shipped(spark)
+    ship(spark)
     # Rows are whole texts; a batch of the default size holds too many.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return tune(spark)
