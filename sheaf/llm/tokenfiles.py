@@ -40,8 +40,6 @@ BATCH, FILE = 256, 8192
 # Bytes of text of a task, in as many tasks at most; texts of about so many are encoded together.
 TASK_BYTES, MOST_TASKS = 1 << 24, 20_000
 ENCODED_BYTES = 1 << 21
-# Words a process remembers between its tasks.
-CACHE_WORDS = 250_000
 # Reports of so many tasks are written together.
 REPORTS = 1024
 FILL = 0
@@ -291,8 +289,6 @@ def write(
             for a, b in chunks(offsets, ENCODED_BYTES):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
                 ids = [x.astype(np.uint32 if wide else np.uint16) for x in cache.encode(texts, end_id)]
-                if len(cache.index) > CACHE_WORDS:
-                    cache.clear()
                 docs_of, ends, first = rows.column(0).slice(a, b - a), np.cumsum([len(x) for x in ids]), 0
                 while first < len(ids):
                     if own is None:
