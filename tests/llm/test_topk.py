@@ -61,3 +61,24 @@ def test_repeated_candidates_are_all_found(spark, blocks):
     own = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 1024)
     got = topk.search(own.filter("id = 0"), own, 3, *blocks).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 3 << 20), (0, 2, 1, 3 << 20), (0, 3, 2, 2 << 20)]
+
+
+@pytest.mark.parametrize("blocks", [(16_384, 16_384), (2, 1)])
+def test_by_row_only_the_own_row_is_left_out(spark, blocks):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [4.0]), (1, [0.5]), (None, [3.0]), (None, None), (2, [-1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    own = topk.quantized(table, "vec_id", "embedding", 1024)
+    got = topk.search(own.filter("id = 0"), own, 3, *blocks, by_row=True).collect()
+    small = [(0, 1, 0, 4 << 20), (0, 2, None, 3 << 20), (0, 3, 0, 1 << 20)]
+    large = [(0, 1, None, 12 << 20), (0, 2, 0, 4 << 20), (0, 3, 0, 4 << 20)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, small * 2 + large))
+
+
+def test_query_takes_every_row(spark, tmp_path):
+    from sheaf.llm.queries import QUERIES
+
+    rows = [(100, [1.0]), (100, [1.0]), (None, [3.0]), (7, [2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op8_exact_topk"](spark, str(tmp_path)).collect()
+    one = [(100, 1, None, 3 << 20), (100, 2, 7, 2 << 20), (100, 3, 100, 1 << 20)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, one * 2))
