@@ -64,10 +64,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one document of each group of near duplicates, the one with the smallest id.
 
     Groups are told apart by row, so of two texts under one id each is judged by
-    itself; repeated rows are one document. Documents without words stay.
+    itself; repeated rows are one document. Documents without words stay, and so
+    do those without an id.
     """
     prepared(spark)
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs.filter("doc_id is not null")).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.batches import U64, mix, texts
-from sheaf.llm.sampling import bounded
+from sheaf.llm.sampling import bounded, fetched
 
 BINS, ORDERS = 1 << 15, (1, 2, 3)
 # Documents of each language that the weights are fitted on, in the order of
@@ -284,7 +284,7 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     idf = np.log((1 + documents) / (1 + df)) + 1
     chosen = bounded(rows, per_language)
     sample = rows.join(F.broadcast(chosen), ["id", "label"]).select(F.col("id").cast("string").alias("id"), "label", "text")
-    found = sample.mapInArrow(_described, "id string, label string, noise boolean, bins binary, counts binary").collect()
+    found = fetched(sample.mapInArrow(_described, "id string, label string, noise boolean, bins binary, counts binary"))
     found.sort(key=lambda r: (r["label"], r["id"], len(r["bins"])))
     languages = sorted({r["label"] for r in found})
     model = Model(languages, np.zeros((len(languages), BINS)), idf)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.batches import U64, WordNumbers, chunks, mix, utf8
-from sheaf.llm.sampling import weighted
+from sheaf.llm.sampling import fetched, weighted
 
 BUCKETS, DIM = 1 << 17, 12
 GRAMS = (2, 3, 4)
@@ -178,7 +178,7 @@ def fit(training: DataFrame, per_label: int | None = PER_LABEL) -> Model:
     sample = rows.select(
         F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "text", weight.alias("weight")
     )
-    found = sample.mapInArrow(_described, "id string, label int, weight double, buckets binary, shares binary").collect()
+    found = fetched(sample.mapInArrow(_described, "id string, label int, weight double, buckets binary, shares binary"))
     found.sort(key=lambda r: (r["label"], r["id"], len(r["buckets"])))
     examples = [(r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found]
     stands = dict((r["label"], r["weight"]) for r in found)

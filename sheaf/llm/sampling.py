@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import written
+
 
 def remainder(column, divisor: int):
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
@@ -27,3 +29,8 @@ def weighted(labelled: DataFrame, per_label: int) -> DataFrame:
     sizes = labelled.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     stands = F.greatest(F.lit(1.0), F.col("n") / per_label)
     return bounded(labelled, per_label).join(F.broadcast(sizes), "label").select("id", "label", stands.alias("weight"))
+
+
+def fetched(sample: DataFrame) -> list[Row]:
+    """The rows of a bounded sample, part by part, so that the driver's JVM never holds them all."""
+    return list(written(sample, "sample").toLocalIterator())
