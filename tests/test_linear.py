@@ -1,8 +1,12 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from sheaf.functions.hashes import md5_heads
 from sheaf.operators import linear
 from sheaf.operators.relevance import train_test
 
@@ -68,3 +72,40 @@ def test_empty_table_and_null_labels(spark):
     some = df.withColumn("label", F.when(F.col("id") > 3, F.col("label")))
     metrics, _ = linear.repeated_fits(some, "id", [1])
     assert metrics.count() == 3
+
+
+def test_even_hashes_need_no_second_count(spark, monkeypatch):
+    seeds, df = [3, 42, 77], spark.range(20_000)
+    want = {s: {r.id for r in train_test(df, "id", seed=s).where("is_test").collect()} for s in seeds}
+    monkeypatch.setattr(linear, "_ranked_cuts", None)
+    marked = linear.split_marks(df, "id", seeds).collect()
+    assert {s: {r.id for r in marked if r.is_test[k]} for k, s in enumerate(seeds)} == want
+
+
+def test_cuts_outside_the_stretch_are_found_by_rank(spark):
+    # One id holds a third of the rows, so its side moves the cut far away.
+    seeds = list(range(12))
+    df = spark.range(900).unionByName(spark.range(450).select(F.lit(5).cast("long").alias("id"))).repartition(5)
+    marked = linear.split_marks(df, "id", seeds).groupBy("id").agg(F.first("is_test").alias("is_test"), F.count("*").alias("n")).collect()
+    for k, s in enumerate(seeds):
+        rows = sorted((hashlib.md5(f"{r.id}-{s}".encode()).hexdigest(), r.id, r.n, r.is_test[k]) for r in marked)
+        before = 0
+        for _, _, n, is_test in rows:
+            assert is_test == (before < 270)
+            before += n
+
+
+def test_rows_without_an_id_have_no_mark(spark):
+    seeds, n = [1, 2, 3], 40
+    df = spark.range(n).select(F.when(F.col("id") > 2, F.col("id")).alias("id")).repartition(3)
+    rows = linear.split_marks(df, "id", seeds).collect()
+    assert [r.is_test for r in rows if r.id is None] == [[None] * 3] * 3
+    # Nulls come first among the eight that a cut takes.
+    assert [sum(r.is_test[k] for r in rows if r.id is not None) for k in range(3)] == [5] * 3
+
+
+def test_heads_are_those_of_md5():
+    names = ["", "7", "x" * 51, "x" * 52, "é" * 40, *map(str, range(0, 900, 7))]
+    tails = ["-1", "-42", "-100000"]
+    got = md5_heads(pa.array(names), tails)
+    assert got.tolist() == [[int(hashlib.md5((n + t).encode()).hexdigest()[:8], 16) for t in tails] for n in names]
