@@ -210,3 +210,39 @@ def test_flags_cluster_alike_on_both_sides(spark):
     assert [r.cluster for r in own.collect()] == [0, 2, 0, 1]
     assert [r.cluster for r in other.collect()] == [0, 2, 0]
     assert [r.cluster for r in M.flag_clusters(train.where("false"), test, ("a", "b"))[1].collect()] == [None] * 3
+
+
+def test_grids_fit_once_what_has_converged(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    rows = [(Vectors.dense(a), float(a[0] + a[1] / 2 > 0.1), 1.0) for a in x]
+    df = spark.createDataFrame(rows, ["features", "label", "weight"]).coalesce(1)
+    for name in ("Logistic Regression", "SVM"):
+        estimator, grid = T.classifier_grids(60)[name]
+        steps = [10, 100, 500]
+        grid = [{estimator.regParam: 0.5, estimator.maxIter: n} for n in steps]
+        fits, plain = [], type(estimator)._fit
+        monkeypatch.setattr(type(estimator), "_fit", lambda self, d, plain=plain, fits=fits: fits.append(1) or plain(self, d))
+        models = dict(estimator.fitMultiple(df, grid))
+        assert sorted(models) == [0, 1, 2] and len(fits) < 3
+        assert models[2].coefficients == plain(estimator.copy(grid[2]), df).coefficients
+
+
+def test_pooled_boosting_is_boosting_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (300, 2)).astype(float)
+    rows = [(Vectors.dense(a), float(3 * a[0] - a[1] ** 2 + e)) for a, e in zip(x, rng.normal(size=300))]
+    df = spark.createDataFrame(rows, ["features", "label"]).repartition(3)
+    estimator = M.GBTRegressor(maxIter=4, maxDepth=3, stepSize=0.1, seed=42)
+    pooled, whole = M.fit_pooled(estimator, df), estimator.fit(df)
+    assert np.allclose(pooled.featureImportances.toArray(), whole.featureImportances.toArray())
+    for a in x[:20]:
+        assert abs(pooled.predict(Vectors.dense(a)) - whole.predict(Vectors.dense(a))) < 1e-9
+
+
+def test_visits_are_sent_on_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    train, test = vectors(spark, rng.normal(size=(80, 3)).tolist()), vectors(spark, rng.normal(size=(30, 3)).tolist(), 1000)
+    want = sorted(map(tuple, N.nearest(train, test, "id", "id", "v", k=4, block_rows=2).collect()))
+    monkeypatch.setattr(N, "VISIT_ROWS", 7)
+    assert sorted(map(tuple, N.nearest(train, test, "id", "id", "v", k=4, block_rows=2).collect())) == want
