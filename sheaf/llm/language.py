@@ -257,12 +257,16 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, label, t in rows
             if (seed := zlib.crc32(i.encode())) % SHUFFLED == 0
         ]
-        found = [counts(r[3]) for r in rows]
-        at = [np.flatnonzero(f) for f in found]
+        bins, found = [], []
+        for r in rows:
+            # All bins of one text at a time: those of a batch would take 500 MB.
+            every = counts(r[3])
+            at = np.flatnonzero(every)
+            bins.append(at.astype("<u2").tobytes())
+            found.append(every[at].astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]),
-             pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
-             pa.array([f[a].astype("<f4").tobytes() for f, a in zip(found, at, strict=True)], pa.binary())],
+             pa.array(bins, pa.binary()), pa.array(found, pa.binary())],
             names=["id", "label", "noise", "bins", "counts"],
         )
 

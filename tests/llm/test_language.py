@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,18 @@ def test_known_tells_texts_in_no_language_however_many_are_learned(spark, labels
 def test_a_text_in_two_learned_languages_is_known(model):
     pick = random.Random(9)
     assert all(model.predict(text(pick, "aa", 40) + " " + text(pick, "bb", 40))[2] > 0.5 for _ in range(10))
+
+
+def test_described_holds_the_bins_of_one_text_at_a_time():
+    pick = random.Random(5)
+    n = 400
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([str(i) for i in range(n)]), pa.array(["aa"] * n), pa.array([text(pick, "aa") for _ in range(n)])],
+        names=["id", "label", "text"],
+    )
+    list(language._described(iter([batch.slice(0, 2)])))
+    tracemalloc.start()
+    [out] = language._described(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows >= n and peak < 30 << 20  # all bins of 400 texts take 200 MB
