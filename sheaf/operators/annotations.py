@@ -4,15 +4,17 @@ Annotations are rows ``paper, passage, pos, node_id, var_name, identifier,
 text`` (``pos`` orders a paper); relations are rows ``paper, rel_pos,
 test_name, node_id``. A value written several times keeps its last write, so
 every state is a ``max_by`` that combines before the shuffle; nothing folds a
-paper in one task.
+paper in one task. Records around passages are walked block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sheaf.functions.text import quoted
 from sheaf.operators.order_stats import POSITION_BLOCK, block_of, last_values, running_last
@@ -30,6 +32,8 @@ from sheaf.session import written
 
 TOP = "top"
 DEFAULT_TEST = "test_1"
+# Steps of running records whose results a task holds at a time.
+WALKED_ROWS = 1_000
 
 
 def with_value(
@@ -266,98 +270,135 @@ def routed_writes(
 def running_records(
     writes: DataFrame, passages: DataFrame, block: int = POSITION_BLOCK
 ) -> DataFrame:
-    """State before and after every passage, one row per known field.
-
-    Rows ``paper, passage, section, field, memory, output``. The grid of
-    passages and fields is the size of the result itself: every passage
-    carries the whole record. Values travel forward block by block.
-    """
-    finals = (
-        writes.groupBy("paper", "section", "field", "passage")
-        .agg(F.max_by(F.struct("value"), "pos").alias("_w"))
-    )
-    finals = written(finals, "passage-writes")
-    keys = ["paper", "section", "field"]
-    fields = finals.select(*keys).distinct()
-    blocks = (
-        passages.select("paper", block_of("passage", block).alias("_blk"))
-        .distinct()
-        .join(fields, "paper")
-    )
-    grid = passages.select("paper", "passage").join(fields, "paper")
-    state = grid.join(finals, [*keys, "passage"], "left")
-    both = running_last(
-        state,
-        keys,
-        "passage",
-        F.col("_w"),
-        "_after",
-        before="_before",
-        block=block,
-        marks=finals,
-        blocks=blocks,
-    )
-    return both.select(
-        "paper",
-        "passage",
-        "section",
-        "field",
-        F.col("_before.value").alias("memory"),
-        F.col("_after.value").alias("output"),
-    )
-
-
-def _section_json(side: str, fields: Sequence[str]) -> Column:
-    known = F.struct(*[F.max(F.when(F.col("field") == f, F.col(side))).alias(f) for f in fields])
-    return F.to_json(known, {"ignoreNullFields": "false"})
-
-
-def _other_json(side: str, fields: Sequence[str]) -> Column:
-    """Members of fields outside the schema, in the order of their names."""
-    member = F.when(
-        ~F.col("field").isin(*fields) & F.col(side).isNotNull(),
-        F.struct("field", F.to_json(F.create_map("field", side)).alias("json")),
-    )
-    members = F.transform(F.array_sort(F.collect_list(member)), lambda m: F.substr(m["json"], F.lit(2), F.length(m["json"]) - 2))
-    return F.array_join(F.transform(members, lambda m: F.concat(F.lit(","), m)), "")
-
-
-def chunk_examples(states: DataFrame, passages: DataFrame) -> DataFrame:
-    """Training rows ``id, text, memory, output`` with records as JSON.
+    """Rows of ``passages`` with the record before and after each as JSON: ``memory, output``.
 
     A record holds every known field, null where nothing is written, and a
     member for each test that has a value by then. The first memory of a paper
     is the empty record: all fields null, and one empty test.
+
+    Only what was written moves. The passages of a paper are cut into blocks of
+    ``block`` positions; a task walks a block in order, from the state that the
+    blocks before it leave, and writes a section anew where it has changed.
     """
-    template = passages.select(
-        "paper",
+    keys = ["paper", "section", "field"]
+    known = writes.dropna(subset=[*keys, "passage"])
+    finals = known.groupBy(*keys, "passage").agg(F.max_by(F.struct("value"), "pos").alias("_w"))
+    listed = F.to_json(F.array("_w.value"))
+    finals = finals.where("_w is not null").select(
+        *keys,
         "passage",
-        F.explode(F.array(F.lit(TOP), F.lit(DEFAULT_TEST))).alias("section"),
-        *[F.lit(None).cast("string").alias(c) for c in ("field", "memory", "output")],
+        block_of("passage", block).alias("_blk"),
+        F.when(F.col("_w.value").isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2)).alias("json"),
     )
-    cells = states.select(*template.columns).unionByName(template)
-    at_top = F.col("section") == TOP
-    sides = ("memory", "output")
-
-    def whole(side: str) -> Column:
-        top, test = _section_json(side, TOP_FIELDS), _section_json(side, TEST_FIELDS)
-        other = _other_json(side, TEST_FIELDS)
-        closed = F.concat(F.substr(test, F.lit(1), F.length(test) - 1), other, F.lit("}"))
-        return F.when(at_top, top).when((F.count(side) > 0) | (F.col("section") == DEFAULT_TEST), closed).alias(side)
-
-    by_section = cells.groupBy("paper", "passage", "section").agg(*[whole(side) for side in sides])
-
-    def record(side: str) -> Column:
-        top = F.max(F.when(at_top, F.col(side)))
-        tests = F.collect_list(F.when(~at_top & F.col(side).isNotNull(), F.struct("section", side)))
-        members = F.transform(
-            F.array_sort(tests), lambda t: F.concat(F.lit(","), quoted(t["section"]), F.lit(":"), t[side])
-        )
-        return F.concat(F.substr(top, F.lit(1), F.length(top) - 1), F.array_join(members, ""), F.lit("}")).alias(side)
-
-    records = by_section.groupBy("paper", "passage").agg(*[record(side) for side in sides])
-    joined = passages.join(records, ["paper", "passage"])
-    return joined.select(F.concat_ws("_", "paper", "passage").alias("id"), "text", *sides)
+    finals = written(finals, "passage-writes")
+    placed = passages.dropna(subset=["paper", "passage"])
+    carried = _carried_cells(finals, placed.select("paper", block_of("passage", block).alias("_blk")).distinct())
+    cell = [F.col(c) for c in ("section", "field", "json")] + [quoted(F.col(c)).alias(f"{c}_json") for c in ("section", "field")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("section", "field", "json", "section_json", "field_json")]
+    row = F.struct(*[placed[c] for c in placed.columns])
+    rows = placed.select("paper", block_of("passage", block).alias("_blk"), "passage", F.lit(2).alias("kind"), *none, row.alias("row"))
+    changes = finals.select("paper", "_blk", "passage", F.lit(1).alias("kind"), *cell)
+    starts = carried.select("paper", "_blk", F.lit(None).cast(finals.schema["passage"].dataType).alias("passage"), F.lit(0).alias("kind"), *cell)
+    steps = rows.unionByName(changes.unionByName(starts), allowMissingColumns=True)
+    ordered = steps.repartition("paper", "_blk").sortWithinPartitions("paper", "_blk", "passage", "kind")
+    kind = rows.schema["row"].dataType.simpleString()
+    walked = ordered.mapInArrow(_walked, f"row {kind}, memory string, output string")
+    return walked.select("row.*", "memory", "output")
+
+
+def _carried_cells(finals: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``paper, _blk, section, field, json``: the cells with a value where a block begins."""
+    keys = ["paper", "section", "field"]
+    later = blocks.join(
+        blocks.groupBy("paper").agg(F.min("_blk").alias("_least"), F.max("_blk").alias("_most")).where("_most > _least"), "paper"
+    )
+    last = finals.groupBy(*keys, "_blk").agg(F.max_by(F.struct("json"), "passage").alias("_final"))
+    every = later.select("paper", "_blk").join(finals.select(*keys).distinct(), "paper")
+    earlier = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        every.join(last, [*keys, "_blk"], "left")
+        .select(*keys, "_blk", F.last("_final", ignorenulls=True).over(earlier).getField("json").alias("json"))
+        .where("json is not null")
+    )
+
+
+class _Record:
+    """The cells written so far, and the record as JSON."""
+
+    def __init__(self) -> None:
+        self.top: dict[str, str] = {}
+        self.tests: dict[str, dict[str, tuple[str, str]]] = {DEFAULT_TEST: {}}
+        self.members: dict[str, str] = {}
+        self.names = {DEFAULT_TEST: f'"{DEFAULT_TEST}"'}
+        self.changed, self.text = {DEFAULT_TEST}, None
+
+    def write(self, section: str, field: str, json: str | None, name: str, member: str) -> None:
+        """A null is a value like any other: it takes away what was there."""
+        if section == TOP:
+            cells, value = self.top, json
+        else:
+            cells, value = self.tests.setdefault(section, {}), (member, json)
+            self.names[section] = name
+            self.changed.add(section)
+        if json is None:
+            cells.pop(field, None)
+        else:
+            cells[field] = value
+        self.text = None
+
+    def json(self) -> str:
+        if self.text is None:
+            for section in self.changed:
+                cells = self.tests[section]
+                if not cells and section != DEFAULT_TEST:
+                    self.members.pop(section, None)
+                    continue
+                body = [f'"{f}":{cells[f][1] if f in cells else "null"}' for f in TEST_FIELDS]
+                body += [":".join(cells[f]) for f in sorted(cells) if f not in TEST_FIELDS]
+                self.members[section] = f"{self.names[section]}:{{{','.join(body)}}}"
+            self.changed = set()
+            whole = [f'"{f}":{self.top.get(f, "null")}' for f in TOP_FIELDS]
+            self.text = f"{{{','.join([*whole, *(self.members[s] for s in sorted(self.members))])}}}"
+        return self.text
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Carried cells, writes and passages, in the order of their blocks, to the records around each passage."""
+    own = at = before = None
+    record = _Record()
+    for whole in batches:
+        for first in range(0, whole.num_rows, WALKED_ROWS):
+            batch = whole.slice(first, WALKED_ROWS)
+            steps = zip(*(batch.column(c).to_pylist() for c in _STEP), strict=True)
+            rows, memories, outputs = [], [], []
+            for i, (paper, blk, passage, kind, *cell) in enumerate(steps):
+                if own != (paper, blk):
+                    own, at, record = (paper, blk), None, _Record()
+                if kind and at != passage:
+                    at, before = passage, record.json()
+                if kind < 2:
+                    record.write(*cell)
+                else:
+                    rows.append(i)
+                    memories.append(before)
+                    outputs.append(record.json())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(rows, pa.int64())), pa.array(memories, pa.string()), pa.array(outputs, pa.string())],
+                names=["row", "memory", "output"],
+            )
+
+
+_STEP = ("paper", "_blk", "passage", "kind", "section", "field", "json", "section_json", "field_json")
+
+
+def chunk_examples(states: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """Training rows ``id, text, memory, output`` of ``running_records``.
+
+    ``passages`` gives the texts where the states do not hold them themselves.
+    """
+    if passages is not None:
+        states = passages.join(states.select("paper", "passage", "memory", "output").distinct(), ["paper", "passage"])
+    return states.select(F.concat_ws("_", "paper", "passage").alias("id"), "text", "memory", "output")
 
 
 def split_chunk_id(chunk_id: Column) -> Column:

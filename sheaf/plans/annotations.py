@@ -282,8 +282,7 @@ def _object(fields, value: str) -> str:
 def _(t: Tables):
     notes = _notes(t)
     passages = notes.select("paper", "passage").distinct().withColumn("text", F.lit(""))
-    states = K.running_records(_writes(t), passages, block=8)
-    return K.chunk_examples(states, passages).select("id", "memory", "output")
+    return K.chunk_examples(K.running_records(_writes(t), passages)).select("id", "memory", "output")
 
 
 @query(

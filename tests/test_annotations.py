@@ -3,7 +3,7 @@ import json
 import pytest
 
 from sheaf.operators import annotations as K
-from sheaf.schemas import TOP_FIELDS
+from sheaf.schemas import TEST_FIELDS, TOP_FIELDS
 
 NOTES = "paper int, passage long, pos long, node_id string, var_name string, identifier string, text string"
 RELATIONS = "paper int, rel_pos long, test_name string, node_id string"
@@ -78,6 +78,40 @@ def test_memory_is_the_output_of_the_passage_before(notes, relations, block):
     assert json.loads(got["1_2"][1])["test_1_2"]["time"] == "200 h"
 
 
+@pytest.mark.parametrize("block", [1, 3, 65_536])
+def test_running_records_are_those_of_a_fold_and_one_row_for_each_passage(spark, block):
+    sections = {"top": ("time", *TOP_FIELDS[:2]), "test_1": ("time", "odd", 'q"'), 'a"b': ("humidity", "odd")}
+    rows = [
+        (p, k, p + 10 * k + i, s, f, None if (p + k + i) % 3 == 0 else f'v"{k}')
+        for p in range(3)
+        for k in range(p, 9, 2)
+        for i, (s, f) in enumerate((s, f) for s, fields in sections.items() for f in fields)
+        if (p + 2 * k + i) % 4 == 0
+    ]
+    writes = spark.createDataFrame(rows, "paper long, passage long, pos long, section string, field string, value string")
+    places = [(p, k, f"text {p} {k}") for p in range(4) for k in range(10)]
+    lost = [(None, 1, "x"), (1, None, "x")]
+    passages = spark.createDataFrame(places + lost, "paper long, passage long, text string")
+    states = K.running_records(writes, passages, block=block)
+    got = [(r.id, r.text, json.loads(r.memory), json.loads(r.output)) for r in K.chunk_examples(states).collect()]
+
+    def record(paper, upto):
+        cells = {}
+        for p, k, _, s, f, v in sorted(rows, key=lambda r: r[2]):
+            if p == paper and k <= upto:
+                cells[s, f] = v
+        out = {f: cells.get(("top", f)) for f in TOP_FIELDS}
+        for s in ("test_1", 'a"b'):
+            own = {f: v for (t, f), v in cells.items() if t == s and v is not None}
+            if own or s == "test_1":
+                out[s] = dict.fromkeys(TEST_FIELDS) | own
+        return out
+
+    want = [(f"{p}_{k}", t, record(p, k - 1), record(p, k)) for p, k, t in places]
+    assert sorted(got, key=lambda r: r[0]) == want
+    assert states.count() == len(places)
+
+
 def test_nested_records_hold_every_field(spark):
     cells = spark.createDataFrame(
         [(1, "A", "top", "treated_pce", "20"), (1, "A", "test_1", "time", "5 h"), (2, None, None, None, None)],
