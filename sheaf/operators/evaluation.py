@@ -134,7 +134,7 @@ def paired(annotations: DataFrame, extractions: DataFrame, paper: str = "paper")
 
     Where a side tells its ``keys`` and ``test_keys``, they come along as
     ``annotation_keys``, ``extracted_keys`` and ``annotation_test_keys``; null
-    stands for all of them.
+    stands for all of them. ``entries`` of the extractions come along as they are.
     """
 
     def keys(side: DataFrame, held: str, name: str, kind: str = "array<string>") -> Column:
@@ -145,8 +145,9 @@ def paired(annotations: DataFrame, extractions: DataFrame, paper: str = "paper")
         keys(annotations, "test_keys", "annotation_test_keys", "map<string,array<string>>"),
     )
     right = extractions.select(
-        paper, F.col("record").alias("extracted"), keys(extractions, "keys", "extracted_keys")
-    )
+        paper, F.col("record").alias("extracted"), keys(extractions, "keys", "extracted_keys"),
+        *[c for c in ("entries",) if c in extractions.columns],
+    )
     return left.join(right, paper)
 
 
@@ -220,6 +221,7 @@ def matched_tests(
     extracted_tests: str,
     layout: Layout = SEMI_NESTED,
     label_keys: str | None = None,
+    entries: str | None = None,
 ) -> DataFrame:
     """Each annotated test with its best extracted test of the same paper.
 
@@ -227,13 +229,14 @@ def matched_tests(
     text field, and the cosine of the numbers. Rows ``keys, test, label,
     label_keys, extracted_test, value, score``; the last three are null where
     the paper has no extracted test. ``label_keys`` names a column that maps a
-    test to the fields it holds; null stands for all of them. The extracted tests stay an array next to the
-    annotated test, so a pair is an array element, never a row.
+    test to the fields it holds; null stands for all of them, and ``entries`` one with the
+    ``test_entries`` of the extracted tests, if those of a paper were read once for all its rows. The
+    extracted tests stay an array next to the annotated test, so a pair is an array element, never a row.
     """
     rows = df.select(
         *keys,
         F.explode(test_entries(F.col(label_tests), layout)).alias("l"),
-        test_entries(F.col(extracted_tests), layout).alias("e"),
+        (F.col(entries) if entries else test_entries(F.col(extracted_tests), layout)).alias("e"),
         (F.col(label_keys) if label_keys else F.lit(None).cast("map<string,array<string>>")).alias("_held"),
     ).withColumn("e", F.coalesce("e", F.slice(F.array(F.col("l")), 1, 0)))
 
@@ -277,7 +280,13 @@ def test_outcomes(
 
     A paper without extracted tests counts FN for all test fields. Otherwise a
     field that the annotated test lacks, by ``label_keys``, has no outcome.
+    Texts are compared while a test is one row; numbers are never compared as texts.
     """
+    texts = [f for f in layout.tests if f in (*layout.test_text, *(RANGE_FIELDS if ranges_stay else ()))]
+    both = {f: F.col("label")[f].isNotNull() & F.col("value")[f].isNotNull() for f in texts}
+    matched = matched.withColumns(
+        {f"_s_{f}": ratio(*(F.when(both[f], F.lower(F.col(side)[f])) for side in ("label", "value"))) for f in texts}
+    )
     cells = F.array(
         *[
             F.struct(
@@ -285,6 +294,7 @@ def test_outcomes(
                 F.col("label")[f].alias("label"),
                 F.col("value")[f].alias("value"),
                 F.coalesce(F.array_contains("label_keys", f), F.lit(True)).alias("asked"),
+                (F.col(f"_s_{f}") if f in texts else F.lit(None).cast("double")).alias("similarity"),
             )
             for f in layout.tests
         ]
@@ -292,12 +302,6 @@ def test_outcomes(
     long = matched.select(
         *keys, F.col("extracted_test").isNull().alias("unmatched"), F.explode(cells).alias("c")
     ).select(*keys, "unmatched", "c.*").where("asked or unmatched")
-    # Numbers are never compared as texts.
-    as_text = F.col("field").isin(*layout.test_text, *(RANGE_FIELDS if ranges_stay else ()))
-    both = as_text & F.col("label").isNotNull() & F.col("value").isNotNull()
-    long = long.withColumn(
-        "similarity", ratio(F.when(both, F.lower("label")), F.when(both, F.lower("value")))
-    )
     label, value = F.col("label"), F.col("value")
     text = O.text_outcome(label, value, F.col("similarity"), O.TEST_TEXT_THRESHOLD, hallucinated)
     ranged = O.range_outcome(label, value, F.col("similarity"), hallucinated)
@@ -447,7 +451,9 @@ def evaluate(
         "record", coerce_numbers(F.col("record"), layout, ranges_stay)
     )
     if MOLECULE_FIELD in layout.top:
-        pairs = best_annotation(paired(number_of(with_molecule(annotations)), number_of(extractions)))
+        # The molecule is a text: numbers are read in the annotation that is chosen alone.
+        pairs = best_annotation(paired(with_molecule(annotations), number_of(extractions)))
+        pairs = pairs.withColumn("annotation", coerce_numbers(F.col("annotation"), layout, ranges_stay))
     else:
         pairs = paired(number_of(annotations.where("record is not null")), number_of(extractions))
     tests = pairs.select(

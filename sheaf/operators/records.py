@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,7 +140,9 @@ def conformed(df: DataFrame, record: str, layout: Layout = SEMI_NESTED) -> DataF
     extra = F.map_filter("_all", lambda k, v: ~k.isin(*known) & ~is_test(k))
 
     def held(keys: Column, fields: Sequence[str]) -> Column:
-        every = [F.when(F.arrays_overlap(keys, F.array(*[F.lit(n) for n in spellings(f)])), F.lit(f)) for f in fields]
+        # A look for each spelling costs far less than a set of the keys for each field.
+        named = {f: [F.array_contains(keys, n) for n in spellings(f)] for f in fields}
+        every = [F.when(reduce(Column.__or__, some), F.lit(f)) for f, some in named.items()]
         return F.when(keys.isNotNull(), F.array_compact(F.array(*every)))
 
     test_keys = F.transform_values(

@@ -260,16 +260,19 @@ def _matched(t: Tables, found: bool | None = None):
     The choice is made on the input: a filter on the match itself would be
     pushed below it and compute every score twice.
     """
-    pairs = E.paired(_annotations(t), _extractions(t)).where("annotation is not null")
+    annotations, extractions = _annotations(t).where("record is not null"), _extractions(t)
     if found is not None:
-        some = F.size("extracted.tests") > 0
-        pairs = pairs.where(some if found else ~some)
-    for side in ("annotation", "extracted"):
-        pairs = pairs.withColumn(side, E.coerce_numbers(F.col(side)))
+        some = F.size("record.tests") > 0
+        extractions = extractions.where(some if found else ~some)
+    extractions = extractions.withColumn("record", E.coerce_numbers(F.col("record")))
+    # Numbers of an extraction are read once, not for each annotation of its paper.
+    extractions = extractions.withColumn("entries", E.test_entries(F.col("record.tests")))
+    pairs = E.paired(annotations, extractions)
+    pairs = pairs.withColumn("annotation", E.coerce_numbers(F.col("annotation")))
     tests = pairs.select(
-        "paper", "pos", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e"), "annotation_test_keys"
+        "paper", "pos", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e"), "annotation_test_keys", "entries"
     )
-    return E.matched_tests(tests, ["paper", "pos"], "l", "e", label_keys="annotation_test_keys")
+    return E.matched_tests(tests, ["paper", "pos"], "l", "e", label_keys="annotation_test_keys", entries="entries")
 
 
 # Number fields of a test; a null entry is a text, a missing value is 0.

@@ -7,6 +7,7 @@ from sheaf.functions import outcomes as O
 from sheaf.functions.similarity import ratio, with_text_similarity
 from sheaf.operators import evaluation as E
 from sheaf.operators import records as C
+from sheaf.schemas import TEST_FIELDS
 
 
 def test_ratio_is_the_matching_block_ratio(spark):
@@ -166,3 +167,27 @@ def test_similarity_query_reads_the_whole_text(spark, tmp_path):
     got = {(r.conv_id, r.turn): r.ratio for r in QUERIES["u1_scalar_function"](spark, str(tmp_path)).collect()}
     want = round(SequenceMatcher(None, "user", "user asked the user").ratio(), 6)
     assert got == {(1, 0): want, (1, 1): None, (2, 0): None, (2, 1): want}
+
+
+def test_texts_of_a_test_are_compared_before_its_fields_become_rows(spark):
+    fields = ", ".join(f"{f}: string" for f in TEST_FIELDS)
+    matched = spark.createDataFrame(
+        [(1, "test_1", ("aaa", "50-60", "20", "7", None, None), None, "test_2", ("aab", "50-61", "20", "8", None, None), 0.9)],
+        f"paper int, test string, label struct<{fields}>, label_keys array<string>, extracted_test string, value struct<{fields}>, score double",
+    )
+    outcomes = E.test_outcomes(matched, ["paper"])
+    plan = outcomes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
+    assert {r.field for r in outcomes.collect()} == set(TEST_FIELDS)
+
+
+def test_entries_read_before_the_join_match_the_same_tests(sides):
+    annotations, extractions = sides
+    plain = E.paired(E.with_molecule(annotations), extractions)
+    ready = E.paired(E.with_molecule(annotations), extractions.withColumn("entries", E.test_entries(F.col("record.tests"))))
+
+    def rows(pairs, *extra, **entries):
+        tests = pairs.select("paper", "pos", F.col("annotation.tests").alias("l"), F.col("extracted.tests").alias("e"), *extra)
+        return sorted(map(str, E.matched_tests(tests, ["paper", "pos"], "l", "e", **entries).collect()))
+
+    assert rows(ready, "entries", entries="entries") == rows(plain)
