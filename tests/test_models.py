@@ -234,3 +234,29 @@ def test_visits_are_sent_on_in_parts(spark, monkeypatch):
     want = sorted(map(tuple, N.nearest(train, test, "id", "id", "v", k=4, block_rows=2).collect()))
     monkeypatch.setattr(N, "VISIT_ROWS", 7)
     assert sorted(map(tuple, N.nearest(train, test, "id", "id", "v", k=4, block_rows=2).collect())) == want
+
+
+def test_a_query_is_sent_once_to_cells_that_share_a_block(spark, monkeypatch):
+    tables, real = {}, N.written
+
+    def kept(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(N, "written", kept)
+    x = np.random.default_rng(6).normal(size=(200, 8))
+    out = N.nearest(vectors(spark, x[:160]), vectors(spark, x[160:], 1000), "id", "id", "v", k=4, pivots=16)
+    assert out.count() == 160
+    assert tables["knn-visits"].count() == 40
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e35, 1e100])
+def test_neighbours_are_exact_whatever_rough_distances_lose(spark, scale):
+    x = (np.random.default_rng(7).normal(size=(90, 5)) * 1e-4 + 1000) * scale
+    train, test = vectors(spark, x[:80]), vectors(spark, x[80:], 1000)
+    for p in (1, 2):
+        near = N.nearest(train, test, "id", "id", "v", k=3, p=p, pivots=4, block_rows=30).collect()
+        got = {(r["id"], r["place"]): r["neighbour"] for r in near}
+        for i, v in enumerate(x[80:]):
+            gaps = np.abs(x[:80] - v).sum(axis=1) if p == 1 else np.sqrt(((x[:80] - v) ** 2).sum(axis=1))
+            assert [got[1000 + i, place] for place in (1, 2, 3)] == np.lexsort((np.arange(80), gaps))[:3].tolist()
