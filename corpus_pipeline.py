@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import language, minhash, packing, quality, sampling, substring
 from sheaf.llm.queries import labelled_quality, prepared
-from sheaf.session import written
+from sheaf.session import collect_garbage, written
 
 # A document is rejected if it is less likely than this to be in the language
 # found, against texts in no learned language, however many are learned. Short
@@ -30,6 +30,12 @@ KNOWN_SCORE = 0.1
 QUALITY_SCORE = 0.7
 
 
+def begun(spark: SparkSession) -> SparkSession:
+    """``prepared``, without what earlier stages left on the driver."""
+    collect_garbage(spark)
+    return prepared(spark)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known.
 
@@ -37,7 +43,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     being in their likeliest language is below ``KNOWN_SCORE``. The classifier
     learns from the documents' own ``lang``, outside the held-out fold.
     """
-    prepared(spark)
+    begun(spark)
     part = sampling.remainder(F.col("doc_id"), 5)
     training = docs.filter(part != 0).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     found = language.predict(docs, language.fit(training))
@@ -51,7 +57,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The classifier learns from ``labels`` outside the held-out fold; without a
     label among the documents nothing can be told, and all are kept.
     """
-    prepared(spark)
+    begun(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     training = labelled_quality(docs.select("doc_id", "text"), labels)
     model = quality.fit(training, per_label=None)
@@ -67,7 +73,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     itself; repeated rows are one document. Documents without words stay, and so
     do those without an id.
     """
-    prepared(spark)
+    begun(spark)
     return minhash.one_of_each(docs.filter("doc_id is not null")).unionByName(docs.filter("doc_id is null"))
 
 
@@ -77,7 +83,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document of which nothing is left stays with an empty text. ``n_chars``
     counts the new text.
     """
-    prepared(spark)
+    begun(spark)
     found = substring.remove_repeats(docs)
     new = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
     return found.select(*(new.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
@@ -85,7 +91,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 ids, mixed by source: one row per piece, with its ids."""
-    prepared(spark)
+    begun(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

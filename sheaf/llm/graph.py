@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.session import written
+from sheaf.session import collect_garbage, written
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     the smaller ones, so long chains fold up in a logarithmic number of rounds.
     Minima combine before the shuffle and the joins are plain equi-joins, which
     adaptive execution splits at a hub. Every round is a table in the shared
-    folder, so lineage stays short and lost executors cost one round.
+    folder, so lineage stays short and lost executors cost one round. What the
+    driver held for a round is collected with it.
     """
     edges = links.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -30,6 +31,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").unionByName(low.withColumnRenamed("m", "v")).distinct()
         edges, before = written(small, name), now
+        collect_garbage(edges.sparkSession)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from sheaf.llm.graph import components
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_substring import brute as substring_brute
 
@@ -131,3 +132,23 @@ def test_language_stage_rejects_letters_in_no_language_and_keeps_short_texts(spa
     kept = set(ids(pipeline.language_stage(spark, spark.createDataFrame(rows + junk + short, KIND), "")))
     assert not kept & set(range(900, 920))
     assert {950, 951} <= kept and set(range(240)) <= kept
+
+
+def whole_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "Mark" in b.getName())
+
+
+def test_a_stage_begins_with_the_garbage_collected(spark):
+    docs = spark.createDataFrame([], KIND)
+    for name, stage in pipeline.STAGES[2:4]:
+        before = whole_collections(spark)
+        stage(spark, docs, "")
+        assert whole_collections(spark) > before, name
+
+
+def test_rounds_of_components_leave_no_garbage(spark):
+    before = whole_collections(spark)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r.component for r in components(links).collect()} == {0}
+    assert whole_collections(spark) >= before + 3
