@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.batches import U64, chunks, lowered, mix, random_table, utf8, window_hashes
 from sheaf.llm.graph import components
 from sheaf.llm.substring import TextWords
-from sheaf.session import written
+from sheaf.session import collect_garbage, written
 
 SHINGLE, PERCENT = 5, 75
 TABLES, ROWS = 16, 3
@@ -140,7 +140,7 @@ def parted(halves: DataFrame, tables: int, rows: int, hot: int) -> DataFrame:
     The smallest member of a bucket, its pivot, is added to every part that has
     a member of the bucket, so all of them meet the pivot as they would undealt.
     """
-    counts = written(halves.groupBy("half").count(), "halves")
+    counts = _cut(halves.groupBy("half").count(), "halves")
     most = max(hot, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_SHARE)
     large = counts.filter(F.col("count") > most).select(F.col("half").alias("of"), F.ceil(F.col("count") / most).alias("parts"))
     if large.isEmpty():
@@ -301,13 +301,13 @@ def verified(members: DataFrame, texts: DataFrame, size: int, percent: int, docs
     held = texts.join(dealt, "tkey").select("num", "cluster", "blocks", "block", "text").mapInArrow(
         sets, "num bigint, cluster bigint, blocks bigint, block bigint, shingles binary"
     )
-    held = written(held, "shingles")
+    held = _cut(held, "shingles")
     own = held.select("*", F.col("block").alias("cell"), F.lit(True).alias("mine"))
     hub = held.filter("blocks > 1 and block = 0").select(
         "*", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("cell"), F.lit(False).alias("mine")
     )
     columns = ["cluster", "cell", F.lit(0).cast("bigint").alias("part"), "num", F.col("num").alias("group"), "mine", "shingles"]
-    first = written(_cells(own.unionByName(hub).select(*columns), percent), "links")
+    first = _cut(_cells(own.unionByName(hub).select(*columns), percent), "links")
 
     wide = held.filter("blocks > 1").drop("shingles")
     if wide.isEmpty():
@@ -358,13 +358,13 @@ def classified(
     words has none.
     """
     source = docs.select(docs[id_column].alias("doc"), whole(docs[text]).alias("text")).withColumn("tkey", text_key("text"))
-    base = written(described(source, size, tables, rows), "described")
+    base = _cut(described(source, size, tables, rows), "described")
     full = base.filter("n > 0")
     classes = full.groupBy("cid").agg(
         F.min("doc").alias("least"), F.min("tkey").alias("tkey"), F.first("n").alias("n"),
         F.first("keys").alias("keys"), F.first("sig").alias("sig"),
     )
-    classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+    classes = _cut(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
     clusters = components(proposals(classes, tables, rows, AGREE, hot), "clusters")
     members = classes.join(clusters, classes.num == clusters.node).select(
         "num", F.col("component").alias("cluster"), "tkey", "n"
@@ -376,12 +376,23 @@ def classified(
         "cid", "least", F.coalesce("component", "num").alias("component")
     )
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select("cid", "component", "component_id")
+    named = _cut(placed.join(least, "component").select("cid", "component", "component_id"), "named")
     lone = base.filter("n = 0").select("doc", "tkey", "n", F.lit(None).cast("bigint").alias("component"), F.col("doc").alias("component_id"))
     linked = full.join(named, "cid").select("doc", "tkey", "n", "component", "component_id")
     return linked.unionByName(lone)
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """``written``; the driver's garbage is collected with it.
+
+    Joins with small tables are broadcast from the driver's heap; in one query
+    those of all its joins add up.
+    """
+    out = written(df, name)
+    collect_garbage(out.sparkSession)
+    return out
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
@@ -420,6 +431,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     keys = classified(docs, id_column, text, **options).filter("component is not null")
     order = F.struct(F.col("doc").isNull().alias("missing"), "doc", "tkey")
     chosen = keys.groupBy("component").agg(F.min(order).alias("chosen")).select("chosen.doc", "chosen.tkey")
+    chosen = _cut(chosen, "chosen")
     marked = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[id_column].alias("own"), whole(docs[text]).alias("text"))
     marked = marked.withColumn("key", text_key("text"))
     match = (F.col("key") == F.col("tkey")) & F.col("own").eqNullSafe(F.col("doc"))

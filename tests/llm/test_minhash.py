@@ -97,6 +97,14 @@ def test_one_row_of_each_component_stays(spark):
     assert (5, "something else") in kept and sum(t.lower() == "a b c d e f" for _, t in kept) == 1
 
 
+def test_the_last_query_only_joins_the_rows_with_the_chosen_ones(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
+    got = minhash.one_of_each(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_nulls_repeats_clashes_and_hot_copies(spark):
     rows = [(5, "a b c d e f", 1, 1)] * 30 + [(None, "a b c d e f", 1, 1), (None, "x y", 1, 1), (4, None, 1, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, n int")
