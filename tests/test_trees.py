@@ -39,3 +39,30 @@ def test_rows_that_no_cell_stands_for_go_to_the_plain_trees(spark, monkeypatch):
     monkeypatch.setattr(TR, "MAX_CELLS", 10)
     model = TR.BoostedTrees(maxIter=2, maxDepth=2, seed=1).fit(data)
     assert isinstance(model, type(GBTRegressor(maxIter=2, maxDepth=2, seed=1).fit(data)))
+
+
+def test_importances_of_the_query_come_from_cells(spark, monkeypatch, tmp_path):
+    from sheaf.plans.registry import QUERIES
+
+    n = 6000
+    rng = np.random.default_rng(5)
+    lines = [
+        (i, 1, float(rng.integers(1, 51)), float(rng.integers(0, 11)) / 100, float(rng.integers(0, 9)) / 100, "ANR"[i % 3], float(rng.normal()) * 1000)
+        for i in range(n)
+    ]
+    kind = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_extendedprice double"
+    spark.createDataFrame(lines, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(tuple, _whole(spark, tmp_path).collect()))
+    monkeypatch.setattr(GBTRegressor, "_fit_java", lambda *_: pytest.fail("fitted on rows"))
+    got = sorted(map(tuple, QUERIES["m15_feature_importance"](spark, str(tmp_path)).collect()))
+    assert [r[0] for r in got] == [r[0] for r in want] and len(got) == 6
+    assert [r[1] for r in got] == pytest.approx([r[1] for r in want], abs=1e-9)
+
+
+def _whole(spark, folder):
+    from sheaf.plans import modelling as P
+    from sheaf.plans.registry import Tables
+
+    rows = M.assembled(Tables(spark, str(folder)).derive(P.MODEL_ROWS), P.NUMERIC, ("l_returnflag",))
+    model = GBTRegressor(labelCol="label", maxIter=100, maxDepth=3, stepSize=0.1, seed=42).fit(rows)
+    return M.importances(model, rows, derived=("l_tax",), names={"l_quantity": "Quantity"})
