@@ -66,3 +66,30 @@ def _whole(spark, folder):
     rows = M.assembled(Tables(spark, str(folder)).derive(P.MODEL_ROWS), P.NUMERIC, ("l_returnflag",))
     model = GBTRegressor(labelCol="label", maxIter=100, maxDepth=3, stepSize=0.1, seed=42).fit(rows)
     return M.importances(model, rows, derived=("l_tax",), names={"l_quantity": "Quantity"})
+
+
+@pytest.mark.parametrize("n", [500, 15_000])
+def test_weighted_rounds_on_cells_are_those_of_rows(spark, monkeypatch, n):
+    from sheaf.session import intermediates
+
+    data = rows(spark, n, parts=1)
+    boost = M.AdaBoostR2(rounds=6)
+    whole = boost._on_rows(data)
+    before = set(intermediates(spark))
+    monkeypatch.setattr(M.AdaBoostR2, "_on_rows", lambda *_: pytest.fail("fitted on rows"))
+    model = boost.fit(data)
+    assert model.strengths == pytest.approx(whole.strengths, rel=1e-9) and len(model.strengths) == 6
+    # Blocks of earlier rounds are gone.
+    assert len(set(intermediates(spark)) - before) == 1
+    some = data.limit(300)
+    got, want = ([r.prediction for r in m.transform(some).select("prediction").collect()] for m in (model, whole))
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_weighted_rounds_end_with_a_tree_that_misses_nothing(spark):
+    from pyspark.ml.linalg import Vectors
+
+    data = spark.createDataFrame([(Vectors.dense([float(i % 2)]), float(i % 2)) for i in range(8)], ["features", "label"])
+    model = M.AdaBoostR2(rounds=3).fit(data)
+    assert model.strengths == [1.0]
+    assert [r.prediction for r in model.transform(data).collect()] == [0.0, 1.0] * 4
