@@ -109,3 +109,21 @@ def test_heads_are_those_of_md5():
     tails = ["-1", "-42", "-100000"]
     got = md5_heads(pa.array(names), tails)
     assert got.tolist() == [[int(hashlib.md5((n + t).encode()).hexdigest()[:8], 16) for t in tails] for n in names]
+
+
+def test_packed_marks_are_the_marks(spark):
+    ids = [*range(400), *[10**k for k in range(3, 12)], 7, 7, None]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3).localCheckpoint()
+    seeds = list(range(30))
+    plain = sorted((str(r.id), r.is_test) for r in linear.split_marks(df, "id", seeds).collect())
+    packed = sorted((str(r.id), [{0: False, 1: True, 255: None}[b] for b in r.is_test]) for r in linear.split_marks(df, "id", seeds, packed=True).collect())
+    assert packed == plain and len(plain) == len(ids)
+    assert sum(m is None for _, marks in plain for m in marks) == len(seeds)
+
+
+def test_names_of_many_lengths_are_hashed_alike():
+    names = [str(10**k + i) for i in range(9) for k in range(1, 60, 3)] + ["", "ä€"]
+    tails = ["-1", "-22", "-" + "9" * 20, ""]
+    want = [[int(hashlib.md5((n + t).encode()).hexdigest()[:8], 16) for t in tails] for n in names]
+    assert md5_heads(pa.array(names), tails).tolist() == want
+    assert md5_heads(pa.array(names).slice(5, 40), tails).tolist() == want[5:45]
