@@ -260,3 +260,13 @@ def test_neighbours_are_exact_whatever_rough_distances_lose(spark, scale):
         for i, v in enumerate(x[80:]):
             gaps = np.abs(x[:80] - v).sum(axis=1) if p == 1 else np.sqrt(((x[:80] - v) ** 2).sum(axis=1))
             assert [got[1000 + i, place] for place in (1, 2, 3)] == np.lexsort((np.arange(80), gaps))[:3].tolist()
+
+
+def test_a_fold_leaves_nothing_on_disk(spark):
+    from sheaf.session import intermediates
+
+    x = np.random.default_rng(8).normal(size=(60, 2))
+    rows = spark.createDataFrame([(i, [float(a), float(b)], float(a)) for i, (a, b) in enumerate(x)], "id long, v array<double>, y double")
+    before = set(intermediates(spark))
+    assert len(N.knn_search(rows, "id", "v", "y", ks=(1, 3), folds=3).collect()) == 8
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in intermediates(spark) if p not in before] == ["knn-folds"]
