@@ -270,3 +270,17 @@ def test_a_fold_leaves_nothing_on_disk(spark):
     before = set(intermediates(spark))
     assert len(N.knn_search(rows, "id", "v", "y", ks=(1, 3), folds=3).collect()) == 8
     assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in intermediates(spark) if p not in before] == ["knn-folds"]
+
+
+def test_folds_at_once_are_those_of_the_plain_search(spark):
+    from pyspark.ml.tuning import CrossValidator
+
+    rng = np.random.default_rng(9)
+    rows = [(Vectors.dense(a), float(a[0] - a[1] + rng.normal() > 0), 1.0) for a in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, ["features", "label", "weight"]).repartition(3).localCheckpoint()
+    estimator, grid = T.classifier_grids(200)["Logistic Regression"]
+    found = T.grid_search(df, estimator, grid[::4], folds=3)
+    judge = T.MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    plain = CrossValidator(estimator=estimator, estimatorParamMaps=grid[::4], evaluator=judge, numFolds=3, seed=42, parallelism=2).fit(df)
+    assert found.avgMetrics == pytest.approx(plain.avgMetrics) and found.stdMetrics == pytest.approx(plain.stdMetrics)
+    assert found.bestModel.coefficients == plain.bestModel.coefficients
